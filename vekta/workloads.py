@@ -194,3 +194,114 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = knn_ops.knn_join(b, b, 10)
     truth = knn_ops.build_truth(b, b, 20)
     return _round_recall(rec.recall_curve(found, truth, b.count(), [1, 5, 10]))
+
+
+# -------------------------------------------------------------- IVF (cells)
+from .operators import ivf as ivf_ops  # noqa: E402
+
+SQL_CENT = """
+cent AS (
+  SELECT cell, list(m ORDER BY pos) AS c FROM (
+    SELECT cell, pos, avg(x) AS m FROM (
+      SELECT label AS cell, unnest(embedding)::DOUBLE AS x,
+             unnest(range(len(embedding))) AS pos FROM embeddings)
+    GROUP BY cell, pos)
+  GROUP BY cell)"""
+
+
+def sql_probe(p: int) -> str:
+    return f"""
+probe AS (
+  SELECT q.id AS query_id, c.cell,
+         row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_distance(q.v, c.c), c.cell) AS pr
+  FROM base q, cent c QUALIFY pr <= {p}),
+cand AS (
+  SELECT p.query_id, b.id, list_cosine_distance(q.v, b.v) AS d
+  FROM probe p JOIN base b ON b.cell = p.cell JOIN base q ON q.id = p.query_id)"""
+
+
+def sql_ivf_top(p: int, k: int) -> str:
+    return f"""{sql_probe(p)},
+ivf AS (
+  SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank
+  FROM cand QUALIFY rank <= {k})"""
+
+
+def _label_index(spark, sf_dir):
+    b = fx.base_vectors(spark, sf_dir, with_label=True)
+    return b, ivf_ops.ivf_from_labels(b, "label")
+
+
+@register("ivf_label_cells_assign", f"""
+WITH base AS ({SQL_BASE}), {SQL_CENT},
+r AS (
+  SELECT b.id, c.cell, list_cosine_distance(b.v, c.c) AS d,
+         row_number() OVER (PARTITION BY b.id ORDER BY list_cosine_distance(b.v, c.c), c.cell) AS rn
+  FROM base b, cent c QUALIFY rn = 1)
+SELECT id, cell, {sql_round('d')} AS cell_distance FROM r""")
+def ivf_label_cells_assign(spark, sf_dir):
+    b, idx = _label_index(spark, sf_dir)
+    return (ivf_ops.assign_cells(b, idx.centroids, idx.dim)
+            .select("id", "cell", rounded("cell_distance").alias("cell_distance")))
+
+
+@register("ivf_label_cells_search", f"""
+WITH base AS ({SQL_BASE}), {SQL_CENT}, {sql_ivf_top(3, 10)}
+SELECT query_id, id, rank, {sql_round('d')} AS distance FROM ivf""")
+def ivf_label_cells_search(spark, sf_dir):
+    b, idx = _label_index(spark, sf_dir)
+    return (ivf_ops.ivf_search(idx, b, 10, probes=3)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
+@register("ivf_label_cells_recall", f"""
+WITH {SQL_PAIRS}, {SQL_CENT}, {sql_ivf_top(3, 10)},
+{_truth_sql(20)},
+found AS (SELECT query_id, id, rank FROM ivf),
+{sql_recall('found', [10])}""")
+def ivf_label_cells_recall(spark, sf_dir):
+    b, idx = _label_index(spark, sf_dir)
+    found = ivf_ops.ivf_search(idx, b, 10, probes=3)
+    truth = knn_ops.build_truth(b, b, 20)
+    return _round_recall(rec.recall_at_k(found, truth, b.count(), 10))
+
+
+@register("recall_curve", f"""
+WITH {SQL_PAIRS}, {SQL_CENT}, {sql_ivf_top(2, 80)},
+{_truth_sql(80)},
+found AS (SELECT query_id, id, rank FROM ivf),
+{sql_recall('found', rec.DEFAULT_K_VALUES)}""")
+def recall_curve(spark, sf_dir):
+    b, idx = _label_index(spark, sf_dir)
+    found = ivf_ops.ivf_search(idx, b, max(rec.DEFAULT_K_VALUES), probes=2)
+    truth = knn_ops.build_truth(b, b, max(rec.DEFAULT_K_VALUES))
+    return _round_recall(rec.recall_curve(found, truth, b.count(), rec.DEFAULT_K_VALUES))
+
+
+@register("search_effort", f"""
+WITH base AS ({SQL_BASE}), {SQL_CENT}, {sql_probe(3)},
+per_q AS (SELECT query_id, count(*) AS examined FROM cand GROUP BY query_id)
+SELECT count(*)::BIGINT AS queries, round(avg(examined), 6) AS mean_examined,
+       round(stddev_samp(examined), 6) AS stddev_examined,
+       min(examined)::BIGINT AS min_examined, max(examined)::BIGINT AS max_examined
+FROM per_q""")
+def search_effort(spark, sf_dir):
+    b, idx = _label_index(spark, sf_dir)
+    eff = ivf_ops.search_effort(idx, b, probes=3)
+    s = eff.agg(F.count(F.lit(1)).cast("long").alias("queries"),
+                F.round(F.avg("examined"), 6).alias("mean_examined"),
+                F.round(F.stddev_samp("examined"), 6).alias("stddev_examined"),
+                F.min("examined").cast("long").alias("min_examined"),
+                F.max("examined").cast("long").alias("max_examined"))
+    return s
+
+
+@register("ivf_kmeans_search")
+def ivf_kmeans_search(spark, sf_dir):
+    """k-means IVF (lists = floor(sqrt(N))), probes=4, k=10 — rows-only check."""
+    import math
+    b = fx.base_vectors(spark, sf_dir)
+    n = b.count()
+    idx = ivf_ops.ivf_build(b, lists=max(1, int(math.sqrt(n))), seed=42)
+    return (ivf_ops.ivf_search(idx, b, 10, probes=4)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
