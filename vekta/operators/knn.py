@@ -96,9 +96,9 @@ def _grid_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int, nq:
     qb_n = n_blocks(nq, dim, broadcast_limit(spark))
     bb_n = n_blocks(nb_rows, dim, block_limit(spark))
     qg = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb_n)))
-          .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(bb_n - 1))).cast("long")))
+          .withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bb_n - 1).cast("long")))))
     bg = (base.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb_n)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1))).cast("long")))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb_n - 1).cast("long")))))
 
     def pair(qt, bt):
         if counts:
