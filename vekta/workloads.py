@@ -305,3 +305,131 @@ def ivf_kmeans_search(spark, sf_dir):
     idx = ivf_ops.ivf_build(b, lists=max(1, int(math.sqrt(n))), seed=42)
     return (ivf_ops.ivf_search(idx, b, 10, probes=4)
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
+# ------------------------------------------------------------ results store
+from .operators import results as res_ops  # noqa: E402
+
+KEYS_SQL = "metric_type, extension, index_params, dataset, n, k"
+KEYTEXT_SQL = "concat_ws(chr(1), metric_type, extension, index_params, dataset, n::VARCHAR, k::VARCHAR)"
+SQL_RUNS = f"""
+li AS (
+  SELECT l_returnflag AS metric_type, l_linestatus AS extension,
+         '{{"lines":' || l_linenumber::VARCHAR || '}}' AS index_params,
+         'lineitem' AS dataset, l_quantity::BIGINT AS n, 0::BIGINT AS k,
+         l_extendedprice AS metric_value,
+         CASE WHEN l_shipdate < TIMESTAMP '{fx.RUN_SPLIT}' THEN 1 ELSE 2 END AS run
+  FROM lineitem),
+run1 AS (SELECT {KEYS_SQL}, max(metric_value) AS metric_value FROM li WHERE run = 1 GROUP BY ALL),
+run2 AS (SELECT {KEYS_SQL}, max(metric_value) AS metric_value FROM li WHERE run = 2 GROUP BY ALL),
+old_t AS (SELECT *, row_number() OVER (ORDER BY {KEYTEXT_SQL}) AS id FROM run1),
+keep AS (SELECT o.* FROM old_t o ANTI JOIN run2 USING ({KEYS_SQL})),
+upd AS (SELECT r.*, o.id FROM run2 r JOIN old_t o USING ({KEYS_SQL})),
+fresh AS (
+  SELECT r.*, row_number() OVER (ORDER BY {KEYTEXT_SQL}) + (SELECT max(id) FROM old_t) AS id
+  FROM run2 r ANTI JOIN old_t USING ({KEYS_SQL})),
+store AS (
+  SELECT id, {KEYS_SQL}, metric_value FROM keep
+  UNION ALL SELECT id, {KEYS_SQL}, metric_value FROM upd
+  UNION ALL SELECT id, {KEYS_SQL}, metric_value FROM fresh)"""
+
+
+def _store(spark, sf_dir):
+    return fx.results_store(spark, sf_dir)
+
+
+@register("results_upsert", f"""
+WITH {SQL_RUNS}
+SELECT id, {KEYS_SQL}, metric_value, TIMESTAMP '{fx.RESULTS_NOW}' AS created_at FROM store""")
+def results_upsert(spark, sf_dir):
+    return _store(spark, sf_dir).select("id", *res_ops.KEY, "metric_value", "created_at")
+
+
+@register("results_lookup", f"""
+WITH {SQL_RUNS},
+keys AS (SELECT DISTINCT metric_type, extension, index_params, dataset, n, (run - 1)::BIGINT AS k FROM li)
+SELECT keys.metric_type, keys.extension, keys.index_params, keys.dataset, keys.n, keys.k,
+       coalesce(max(store.metric_value), 0.0) AS metric_value
+FROM keys LEFT JOIN store USING ({KEYS_SQL})
+GROUP BY ALL""")
+def results_lookup(spark, sf_dir):
+    keys = (fx.measurement_rows(spark, sf_dir)
+            .select(*res_ops.KEY[:-1], (F.col("run") - 1).cast("long").alias("k")).distinct())
+    return res_ops.lookup_result(_store(spark, sf_dir), keys)
+
+
+@register("results_distinct_params", f"""
+WITH {SQL_RUNS}
+SELECT DISTINCT index_params FROM store
+WHERE metric_type IN ('A', 'R') AND extension = 'F' AND dataset = 'lineitem'""")
+def results_distinct_params(spark, sf_dir):
+    return res_ops.distinct_params(_store(spark, sf_dir), ["A", "R"], "F", "lineitem")
+
+
+@register("metric_series", f"""
+WITH {SQL_RUNS}
+SELECT n,
+       max(CASE WHEN metric_type = 'A' THEN metric_value END) AS "A",
+       max(CASE WHEN metric_type = 'N' THEN metric_value END) AS "N",
+       max(CASE WHEN metric_type = 'R' THEN metric_value END) AS "R"
+FROM store
+WHERE metric_type IN ('A', 'N', 'R') AND extension = 'F' AND index_params = '{{"lines":1}}'
+  AND dataset = 'lineitem'
+GROUP BY n""")
+def metric_series(spark, sf_dir):
+    return res_ops.metric_series(_store(spark, sf_dir), ["A", "N", "R"], "F", '{"lines":1}', "lineitem")
+
+
+@register("metric_series_single", f"""
+WITH {SQL_RUNS}
+SELECT k, metric_value FROM store
+WHERE metric_type = 'R' AND extension = 'O' AND index_params = '{{"lines":2}}'
+  AND dataset = 'lineitem' AND n = 7""")
+def metric_series_single(spark, sf_dir):
+    return res_ops.metric_series(_store(spark, sf_dir), "R", "O", '{"lines":2}', "lineitem", n=7)
+
+
+@register("metric_scatter", f"""
+WITH {SQL_RUNS}
+SELECT index_params,
+       max(CASE WHEN metric_type = 'A' THEN metric_value END) AS "A",
+       max(CASE WHEN metric_type = 'R' THEN metric_value END) AS "R"
+FROM store
+WHERE metric_type IN ('A', 'R') AND extension = 'F' AND dataset = 'lineitem' AND n = 5 AND k = 0
+GROUP BY index_params""")
+def metric_scatter(spark, sf_dir):
+    return res_ops.metric_scatter(_store(spark, sf_dir), "A", "R", "F", "lineitem", n=5, k=0)
+
+
+@register("metric_series_all", f"""
+WITH {SQL_RUNS}
+SELECT index_params, n,
+       max(CASE WHEN metric_type = 'A' THEN metric_value END) AS "A",
+       max(CASE WHEN metric_type = 'N' THEN metric_value END) AS "N",
+       max(CASE WHEN metric_type = 'R' THEN metric_value END) AS "R"
+FROM store
+WHERE metric_type IN ('A', 'N', 'R') AND extension = 'O' AND dataset = 'lineitem'
+GROUP BY index_params, n""")
+def metric_series_all(spark, sf_dir):
+    return res_ops.metric_series_all(_store(spark, sf_dir), ["A", "N", "R"], "O", "lineitem")
+
+
+@register("compare_results", f"""
+WITH {SQL_RUNS},
+j AS (
+  SELECT {KEYS_SQL}, o.metric_value AS old_value, n2.metric_value AS new_value
+  FROM run1 o JOIN run2 n2 USING ({KEYS_SQL})),
+r AS (
+  SELECT *, CASE WHEN old_value IS NULL OR old_value = 0 THEN NULL
+                 ELSE (new_value - old_value) / abs(old_value) END AS rc,
+         CASE WHEN metric_type = 'R' THEN -1.0 WHEN metric_type = 'A' THEN 1.0 END AS sg
+  FROM j)
+SELECT {KEYS_SQL}, old_value, new_value, round(rc, 9) AS rel_change,
+       CASE WHEN sg IS NULL OR rc IS NULL THEN NULL
+            WHEN abs(rc) <= 0.01 THEN 'same'
+            WHEN rc * sg > 0 THEN 'better' ELSE 'worse' END AS verdict
+FROM r""")
+def compare_results(spark, sf_dir):
+    c = res_ops.compare_results(fx.results_run(spark, sf_dir, 1), fx.results_run(spark, sf_dir, 2),
+                                decrease=["R"], increase=["A"], tol=0.01)
+    return c.withColumn("rel_change", F.round("rel_change", 9))
