@@ -65,3 +65,42 @@ def results_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(RESULTS_NOW).cast("timestamp")
     first = R.results_table(results_run(spark, sf_dir, 1), now=now)
     return R.upsert_results(first, results_run(spark, sf_dir, 2), now=now)
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a request log: value = latency ms, event_type = run."""
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def run_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events rendered as load-driver summaries (one text per event); error
+    runs print no stddev / tps lines."""
+    e = table(spark, sf_dir, "events")
+    ok = F.col("event_type") != "error"
+    out = F.concat_ws(
+        "\n",
+        F.concat(F.lit("transaction type: "), F.col("event_type")),
+        F.concat(F.lit("latency average = "), F.format_string("%.3f", F.col("value")), F.lit(" ms")),
+        F.when(ok, F.concat(F.lit("latency stddev = "), F.format_string("%.3f", F.col("value") / 10), F.lit(" ms"))),
+        F.when(ok, F.concat(F.lit("tps = "), F.format_string("%.6f", F.col("user_id") * 1.5),
+                            F.lit(" (without initial connection time)"))))
+    return e.select("event_id", out.alias("out"))
+
+
+def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events rendered as plan text, one row per line: a Buffers line before
+    the distance operator (to be ignored), the operator line, then a Buffers
+    line whose ``read=`` part is missing for 'view' runs and which is absent
+    for 'error' runs."""
+    e = table(spark, sf_dir, "events")
+    hit = F.floor(F.col("value")).cast("long").cast("string")
+    rd = F.pmod(F.col("event_id"), F.lit(7)).cast("string")
+    buf = F.concat(F.lit("        Buffers: shared hit="), hit,
+                   F.when(F.col("event_type") != "view", F.concat(F.lit(" read="), rd)).otherwise(F.lit("")))
+    lines = F.array(
+        F.lit("Limit  (cost=0.00..1.00 rows=10 width=8)"),
+        F.concat(F.lit("  Buffers: shared hit="), F.col("user_id").cast("string"), F.lit(" read=1")),
+        F.lit("  ->  Index Scan using items_v_idx on items  (order by: (v <=> q))"),
+        F.when(F.col("event_type") != "error", buf).otherwise(F.lit("Planning Time: 0.1 ms")))
+    return (e.select(F.col("event_id").alias("plan_id"), F.posexplode(lines).alias("line_no", "line"))
+            .withColumn("line_no", F.col("line_no").cast("long")))

@@ -433,3 +433,109 @@ def compare_results(spark, sf_dir):
     c = res_ops.compare_results(fx.results_run(spark, sf_dir, 1), fx.results_run(spark, sf_dir, 2),
                                 decrease=["R"], increase=["A"], tol=0.01)
     return c.withColumn("rel_change", F.round("rel_change", 9))
+
+
+# ------------------------------------------------------- logs and metrics
+from .functions import text as text_fns  # noqa: E402
+from .functions.vectors import with_stddev_band  # noqa: E402
+from .operators import metrics as met_ops  # noqa: E402
+
+SQL_RUN_OUTPUT = """
+ro AS (
+  SELECT event_id, concat_ws(chr(10),
+      'transaction type: ' || event_type,
+      'latency average = ' || printf('%.3f', value) || ' ms',
+      CASE WHEN event_type <> 'error' THEN 'latency stddev = ' || printf('%.3f', value / 10) || ' ms' END,
+      CASE WHEN event_type <> 'error' THEN 'tps = ' || printf('%.6f', user_id * 1.5) || ' (without initial connection time)' END) AS out
+  FROM events)"""
+
+
+@register("run_metrics_extract", f"""
+WITH {SQL_RUN_OUTPUT}
+SELECT event_id,
+  CAST(NULLIF(regexp_extract(out, 'latency average = (\\d+\\.\\d+) ms', 1), '') AS DOUBLE) AS latency_average,
+  CAST(NULLIF(regexp_extract(out, 'latency stddev = (\\d+\\.\\d+) ms', 1), '') AS DOUBLE) AS latency_stddev,
+  CAST(NULLIF(regexp_extract(out, 'tps = (\\d+\\.\\d+)', 1), '') AS DOUBLE) AS tps
+FROM ro""")
+def run_metrics_extract(spark, sf_dir):
+    return text_fns.extract_run_metrics(fx.run_output(spark, sf_dir), "out").drop("out")
+
+
+@register("plan_buffers_extract", """
+WITH pl AS (
+  SELECT event_id AS plan_id, u.line_no - 1 AS line_no, u.line FROM events,
+  LATERAL (SELECT * FROM (SELECT unnest(range(1, 5)) AS line_no, unnest([
+      'Limit  (cost=0.00..1.00 rows=10 width=8)',
+      '  Buffers: shared hit=' || user_id::VARCHAR || ' read=1',
+      '  ->  Index Scan using items_v_idx on items  (order by: (v <=> q))',
+      CASE WHEN event_type <> 'error'
+           THEN '        Buffers: shared hit=' || floor(value)::BIGINT::VARCHAR ||
+                CASE WHEN event_type <> 'view' THEN ' read=' || (event_id % 7)::VARCHAR ELSE '' END
+           ELSE 'Planning Time: 0.1 ms' END]) AS line)) u),
+m AS (SELECT plan_id, min(CASE WHEN contains(line, ' <=> ') THEN line_no END) AS mk FROM pl GROUP BY plan_id),
+b AS (
+  SELECT pl.plan_id, arg_min(pl.line, pl.line_no) AS buf
+  FROM pl JOIN m USING (plan_id)
+  WHERE pl.line_no > m.mk AND contains(pl.line, 'Buffers') GROUP BY pl.plan_id)
+SELECT m.plan_id,
+  coalesce(CAST(NULLIF(regexp_extract(b.buf, 'shared hit=(\\d+)', 1), '') AS BIGINT), 0) AS shared_hit,
+  coalesce(CAST(NULLIF(regexp_extract(b.buf, 'read=(\\d+)', 1), '') AS BIGINT), 0) AS disk_read
+FROM m LEFT JOIN b USING (plan_id)""")
+def plan_buffers_extract(spark, sf_dir):
+    return text_fns.extract_plan_buffers(fx.plan_lines(spark, sf_dir))
+
+
+@register("latency_summary", """
+SELECT event_type, count(*)::BIGINT AS requests,
+       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev,
+       round(CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
+             THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END, 9) AS tps
+FROM events GROUP BY event_type""")
+def latency_summary(spark, sf_dir):
+    s = met_ops.latency_summary(fx.request_log(spark, sf_dir), ["event_type"])
+    return s.select("event_type", "requests", F.round("latency_average", 6).alias("latency_average"),
+                    F.round("latency_stddev", 6).alias("latency_stddev"), F.round("tps", 9).alias("tps"))
+
+
+@register("latency_windows", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, count(*)::BIGINT AS requests,
+       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev
+FROM events GROUP BY ALL""")
+def latency_windows(spark, sf_dir):
+    w = met_ops.latency_windows(fx.request_log(spark, sf_dir), "1 hour", ["event_type"])
+    return (w.withColumn("latency_average", F.round("latency_average", 6))
+            .withColumn("latency_stddev", F.round("latency_stddev", 6)))
+
+
+@register("stddev_band", f"""
+WITH {SQL_RUNS}
+SELECT metric_type, extension, count(*)::BIGINT AS metric_value_count,
+       round(avg(metric_value), 6) AS metric_value_mean,
+       round(stddev_samp(metric_value), 6) AS metric_value_stddev,
+       round(avg(metric_value) + coalesce(stddev_samp(metric_value), 0), 6) AS metric_value_upper,
+       round(avg(metric_value) - coalesce(stddev_samp(metric_value), 0), 6) AS metric_value_lower
+FROM li GROUP BY metric_type, extension""")
+def stddev_band(spark, sf_dir):
+    s = met_ops.summarize(fx.measurement_rows(spark, sf_dir), "metric_value", ["metric_type", "extension"])
+    s = with_stddev_band(s, "metric_value_mean", "metric_value_stddev", "metric_value")
+    return s.select("metric_type", "extension", "metric_value_count",
+                    *[F.round(c, 6).alias(c) for c in ("metric_value_mean", "metric_value_stddev",
+                                                        "metric_value_upper", "metric_value_lower")])
+
+
+@register("index_stats", f"""
+WITH base AS ({SQL_BASE}), {SQL_CENT},
+per AS (SELECT cell, count(*) AS c FROM base GROUP BY cell)
+SELECT (SELECT count(*) FROM base)::BIGINT AS rows,
+       (SELECT sum(len(v) * 4 + 8) FROM base)::BIGINT AS payload_bytes,
+       (SELECT count(*) FROM per)::BIGINT AS cells,
+       (SELECT min(c) FROM per)::BIGINT AS min_cell_rows,
+       (SELECT max(c) FROM per)::BIGINT AS max_cell_rows,
+       (SELECT round(avg(c), 6) FROM per) AS mean_cell_rows,
+       (SELECT sum(len(c) * 8 + 4) FROM cent)::BIGINT AS centroid_bytes""")
+def index_stats(spark, sf_dir):
+    b, idx = _label_index(spark, sf_dir)
+    s = met_ops.index_stats(idx.cells, idx.centroids)
+    return s.withColumn("mean_cell_rows", F.round("mean_cell_rows", 6))
