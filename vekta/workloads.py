@@ -539,3 +539,24 @@ def index_stats(spark, sf_dir):
     b, idx = _label_index(spark, sf_dir)
     s = met_ops.index_stats(idx.cells, idx.centroids)
     return s.withColumn("mean_cell_rows", F.round("mean_cell_rows", 6))
+
+
+# ---------------------------------------------------------------- sources
+from .sources import vectors as vec_src  # noqa: E402
+
+
+@register("validate_vectors", """
+WITH t AS (
+  SELECT CASE WHEN embedding IS NULL THEN 'null vector'
+              WHEN len(embedding) <> 64 THEN 'wrong dimension'
+              WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL)) THEN 'null element'
+              WHEN list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) = 0 THEN 'zero vector'
+              ELSE 'ok' END AS problem,
+         label
+  FROM embeddings)
+SELECT problem, label, count(*)::BIGINT AS rows FROM t GROUP BY ALL""")
+def validate_vectors(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    t = vec_src.validate_vectors(e, 64, vec="embedding", mode="tag")
+    return (t.select(F.coalesce("problem", F.lit("ok")).alias("problem"), "label")
+            .groupBy("problem", "label").agg(F.count(F.lit(1)).cast("long").alias("rows")))
