@@ -45,7 +45,12 @@ def latency_windows(log: DataFrame, duration: str = "5 seconds", by: Sequence[st
                     watermark: str | None = None) -> DataFrame:
     """Tumbling-window progress metrics (batch or stream). With ``watermark``
     rows later than the watermark are dropped by the streaming engine."""
-    src = log.withWatermark(ts, watermark) if watermark else log
+    src = log
+    if watermark:
+        # event-time watermarks need TIMESTAMP (session time zone), not NTZ
+        ntz = log.schema[ts].dataType.typeName() == "timestamp_ntz"
+        src = log.withColumn(ts, F.col(ts).cast("timestamp")) if ntz else log
+        src = src.withWatermark(ts, watermark)
     return (src.groupBy(F.window(ts, duration).alias("w"), *by)
             .agg(F.count(F.lit(1)).cast("long").alias("requests"),
                  F.avg(latency).alias("latency_average"),

@@ -560,3 +560,134 @@ def validate_vectors(spark, sf_dir):
     t = vec_src.validate_vectors(e, 64, vec="embedding", mode="tag")
     return (t.select(F.coalesce("problem", F.lit("ok")).alias("problem"), "label")
             .groupBy("problem", "label").agg(F.count(F.lit(1)).cast("long").alias("rows")))
+
+
+# ----------------------------------------------------------------- ingest
+from .operators import ingest as ing_ops  # noqa: E402
+from .streaming import ingest as ing_stream  # noqa: E402
+from .streaming import progress as prog_stream  # noqa: E402
+from .session import scratch_path  # noqa: E402
+
+
+def sql_cent_from(src: str) -> str:
+    """Centroids (cell, c DOUBLE[]) of a relation with (cell, v DOUBLE[])."""
+    return f"""
+cent AS (
+  SELECT cell, list(m ORDER BY pos) AS c FROM (
+    SELECT cell, pos, avg(x) AS m FROM (
+      SELECT cell, unnest(v) AS x, unnest(range(len(v))) AS pos FROM {src})
+    GROUP BY cell, pos)
+  GROUP BY cell)"""
+
+
+SQL_INSERT = f"""
+{SQL_PAIRS},
+plan AS (SELECT count(*) AS n, count(*) // 10 AS start FROM base),
+seed AS (SELECT * FROM base WHERE id < (SELECT start FROM plan)),
+{sql_cent_from('seed')},
+appended AS (
+  SELECT b.id, c.cell,
+         row_number() OVER (PARTITION BY b.id ORDER BY list_cosine_distance(b.v, c.c), c.cell) AS rn
+  FROM base b, cent c
+  WHERE b.id >= (SELECT start FROM plan) AND b.id < (SELECT n FROM plan)
+  QUALIFY rn = 1),
+cells AS (
+  SELECT id, v, cell FROM seed
+  UNION ALL SELECT b.id, b.v, a.cell FROM base b JOIN appended a USING (id))"""
+
+
+def _insert_index(spark, sf_dir):
+    b = fx.base_vectors(spark, sf_dir, with_label=True)
+    plan = ing_ops.plan_ingest(b)
+    seed_idx = ing_ops.ingest_seed_labels(b, plan, "label")
+    app = ing_ops.appended_rows(b, plan)
+    return b, plan, seed_idx, ing_ops.ingest_append(seed_idx, app)
+
+
+@register("ingest_windows", """
+WITH plan AS (SELECT count(*) AS n, count(*) // 10 AS start, least(count(*), 1000) AS iv FROM embeddings),
+a AS (
+  SELECT floor((vec_id - plan.start) / plan.iv)::BIGINT AS w, plan.start, plan.iv, plan.n
+  FROM embeddings, plan WHERE vec_id >= plan.start AND vec_id < plan.n)
+SELECT w AS "window", (start + w * iv)::BIGINT AS window_start,
+       least(start + w * iv + iv, n)::BIGINT AS window_end,
+       count(*)::BIGINT AS rows, ceil(count(*) / 100)::BIGINT AS bulk_blocks
+FROM a GROUP BY w, start, iv, n""")
+def ingest_windows(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    plan = ing_ops.plan_ingest(e)
+    return ing_ops.window_counts(ing_ops.appended_rows(e, plan), plan)
+
+
+@register("recall_after_insert", f"""
+WITH {SQL_INSERT},
+probe AS (
+  SELECT q.id AS query_id, c.cell,
+         row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_distance(q.v, c.c), c.cell) AS pr
+  FROM base q, cent c QUALIFY pr <= 3),
+cand AS (
+  SELECT p.query_id, x.id, list_cosine_distance(q.v, x.v) AS d
+  FROM probe p JOIN cells x ON x.cell = p.cell JOIN base q ON q.id = p.query_id),
+ivf AS (
+  SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank
+  FROM cand QUALIFY rank <= 10),
+{_truth_sql(20)},
+found AS (SELECT query_id, id, rank FROM ivf),
+{sql_recall('found', [10])}""")
+def recall_after_insert(spark, sf_dir):
+    b, plan, _, idx = _insert_index(spark, sf_dir)
+    found = ivf_ops.ivf_search(idx, b, 10, probes=3)
+    truth = knn_ops.build_truth(b, b, 20)
+    return _round_recall(rec.recall_at_k(found, truth, b.count(), 10))
+
+
+@register("insert_metrics", """
+WITH plan AS (SELECT count(*) AS n, count(*) // 10 AS start, least(count(*), 1000) AS iv FROM events),
+a AS (
+  SELECT floor((event_id - plan.start) / plan.iv)::BIGINT AS w, ts, value
+  FROM events, plan WHERE event_id >= plan.start AND event_id < plan.n)
+SELECT w AS "window", count(*)::BIGINT AS requests,
+       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev,
+       round(CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
+             THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END, 9) AS tps
+FROM a GROUP BY w""")
+def insert_metrics(spark, sf_dir):
+    log = fx.request_log(spark, sf_dir).withColumnRenamed("event_id", "id")
+    plan = ing_ops.plan_ingest(log)
+    s = met_ops.latency_summary(ing_ops.appended_rows(log, plan), ["window"])
+    return s.select("window", "requests", F.round("latency_average", 6).alias("latency_average"),
+                    F.round("latency_stddev", 6).alias("latency_stddev"), F.round("tps", 9).alias("tps"))
+
+
+@register("ingest_stream", f"""
+WITH {SQL_INSERT}
+SELECT id, cell FROM appended""")
+def ingest_stream(spark, sf_dir):
+    b, plan, seed_idx, _ = _insert_index(spark, sf_dir)
+    schema = fx.table(spark, sf_dir, "embeddings").schema
+    stream = (prog_stream.source_stream(spark, sf_dir, "embeddings", schema)
+              .select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+              .where((F.col("id") >= plan.start) & (F.col("id") < plan.n)))
+    out, ck = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ck")
+    q = ing_stream.ingest_stream(seed_idx, stream, out, ck)
+    q.awaitTermination()
+    return ing_stream.read_ingested(spark, out).select("id", F.col("cell").cast("int").alias("cell"))
+
+
+@register("latency_windows_stream", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, count(*)::BIGINT AS requests,
+       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev
+FROM events GROUP BY ALL""")
+def latency_windows_stream(spark, sf_dir):
+    schema = fx.table(spark, sf_dir, "events").schema
+    s = prog_stream.source_stream(spark, sf_dir, "events", schema).select("ts", "event_type", "value")
+    out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
+    prog_stream.start_progress(s, out, ck, "1 hour", ["event_type"]).awaitTermination()
+    r = prog_stream.read_progress(spark, out, ["event_type"])
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                    "event_type", "requests",
+                    F.round("latency_average", 6).alias("latency_average"),
+                    F.round("latency_stddev", 6).alias("latency_stddev"))
