@@ -227,3 +227,44 @@ def block_pair_topk(q_tbl: pa.Table, b_tbl: pa.Table, k: int, dim: int,
     batches = b_tbl.select([id_col, vec_col]).to_batches()
     out = list(exact_topk_partition(iter(batches), qids, qn, q_ok, k, dim, id_col, vec_col, dtype))
     return pa.Table.from_batches(out, schema=CANDIDATE_SCHEMA)
+
+
+def cell_pair_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray,
+                             qn: np.ndarray, q_ok: np.ndarray, cell_slots: dict,
+                             slot_query: np.ndarray, slot_cell: np.ndarray, k: int, dim: int,
+                             id_col: str, vec_col: str, cell_col: str,
+                             dtype=np.float64) -> Iterator[pa.RecordBatch]:
+    """Top-k per (query, probed cell) pair ("slot"), so one pass at the
+    largest probe count serves every smaller probe count: the top-k over
+    probes <= P is the top-k of the union of the per-cell lists."""
+    top = TopK(len(slot_query), k)
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        cells = rb.column(cell_col).to_numpy(zero_copy_only=False)
+        ids = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+        b, valid = vectors_from_arrow(rb.column(vec_col), dim, dtype)
+        bn, b_ok = normalise(b, valid)
+        order = np.argsort(cells, kind="stable")
+        bounds = np.flatnonzero(np.diff(cells[order])) + 1
+        for grp in np.split(order, bounds):
+            if len(grp) == 0:
+                continue
+            slots = cell_slots.get(int(cells[grp[0]]))
+            if slots is None:
+                continue
+            grp = grp[valid[grp]]
+            if len(grp) == 0:
+                continue
+            for s in _query_chunks(len(slots), len(grp)):
+                sl = slots[s]
+                qr = slot_query[sl]
+                top.merge(sl, cosine_block(qn[qr], q_ok[qr], bn[grp], b_ok[grp]), ids[grp])
+    keep = top.ids != SENTINEL_ID
+    shape = top.ids.shape
+    qi = np.broadcast_to(query_ids[slot_query][:, None], shape)[keep]
+    ce = np.broadcast_to(slot_cell[:, None], shape)[keep]
+    dist = np.where(np.isinf(top.d), np.nan, top.d)[keep]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(qi, pa.int64()), pa.array(ce, pa.int32()), pa.array(top.ids[keep], pa.int64()),
+         pa.array(dist, pa.float64())], names=["query_id", "cell", "id", "distance"])

@@ -10,7 +10,7 @@ those that found fewer than K rows or nothing, or that have no truth row
 
 from __future__ import annotations
 
-from typing import Iterable
+from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def _hits(found, truth, id_offset):
 
 
 def per_query_hits(neighbours: DataFrame, truth: DataFrame, ks: Iterable[int],
-                   id_offset: int | str = 0) -> DataFrame:
+                   id_offset: int | str = 0, by: Sequence[str] = ()) -> DataFrame:
     """(k, query_id, hits, has_truth) for every query with at least one found row.
 
     A found row of rank r counts for every K >= r (one generator, no join
@@ -38,20 +38,21 @@ def per_query_hits(neighbours: DataFrame, truth: DataFrame, ks: Iterable[int],
     """
     ks = sorted({int(k) for k in ks})
     karr = F.array(*[F.lit(k) for k in ks])
-    found = (neighbours.select("query_id", "id", "rank")
+    found = (neighbours.select(*by, "query_id", "id", "rank")
              .withColumn("k", F.explode(F.filter(karr, lambda x: x >= F.col("rank"))))
-             .groupBy("k", "query_id").agg(F.collect_list("id").alias("found")))
+             .groupBy(*by, "k", "query_id").agg(F.collect_list("id").alias("found")))
     t = truth.select(F.col("id").alias("query_id"), F.col("indices"))
     j = found.join(t, "query_id", "left")
     return j.select(
-        "k", "query_id",
+        *by, "k", "query_id",
         _hits(F.col("found"), F.slice(F.coalesce(F.col("indices"), F.array().cast("array<bigint>")),
                                       1, F.col("k")), id_offset).cast("long").alias("hits"),
         F.col("indices").isNotNull().alias("has_truth"))
 
 
 def recall_curve(neighbours: DataFrame, truth: DataFrame, n_queries: int,
-                 ks: Iterable[int] = DEFAULT_K_VALUES, id_offset: int | str = 0) -> DataFrame:
+                 ks: Iterable[int] = DEFAULT_K_VALUES, id_offset: int | str = 0,
+                 by: Sequence[str] = ()) -> DataFrame:
     """One row per K: (k, recall, hits, queries, missing_truth).
 
     ``neighbours`` holds (query_id, id, rank) searched once at max(ks).
@@ -59,9 +60,16 @@ def recall_curve(neighbours: DataFrame, truth: DataFrame, n_queries: int,
     """
     spark = neighbours.sparkSession
     ks = sorted({int(k) for k in ks})
-    h = per_query_hits(neighbours, truth, ks, id_offset)
-    agg = h.groupBy("k").agg(F.sum("hits").alias("hits"),
+    h = per_query_hits(neighbours, truth, ks, id_offset, by)
+    agg = h.groupBy(*by, "k").agg(F.sum("hits").alias("hits"),
                              F.sum(F.when(~F.col("has_truth"), 1).otherwise(0)).alias("missing_truth"))
+    if by:
+        # one row per (group, K) that found anything (every group in a sweep)
+        return agg.select(*by, F.col("k").cast("long").alias("k"),
+                          (F.col("hits").cast("double") / F.lit(float(n_queries)) / F.col("k")).alias("recall"),
+                          F.col("hits").cast("long").alias("hits"),
+                          F.lit(n_queries).cast("long").alias("queries"),
+                          F.col("missing_truth").cast("long").alias("missing_truth"))
     kdf = spark.createDataFrame([(k,) for k in ks], "k int")
     return (kdf.join(F.broadcast(agg), "k", "left")
             .select(F.col("k").cast("long").alias("k"),

@@ -691,3 +691,45 @@ def latency_windows_stream(spark, sf_dir):
                     "event_type", "requests",
                     F.round("latency_average", 6).alias("latency_average"),
                     F.round("latency_stddev", 6).alias("latency_stddev"))
+
+
+# ------------------------------------------------------------------ sweeps
+from .operators import sweep as sweep_ops  # noqa: E402
+
+
+@register("param_grid_ivf", """
+WITH nn AS (SELECT count(*) AS n FROM embeddings),
+s AS (SELECT floor(sqrt(n))::BIGINT AS s FROM nn),
+f AS (SELECT unnest([0.6, 0.8, 1.0, 1.2, 1.4]) AS f),
+p AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS p),
+g AS (SELECT trunc(f.f * s.s)::INTEGER AS lists, p.p::INTEGER AS probes FROM f, p, s)
+SELECT 'ivf' AS method, lists, probes, NULL::INTEGER AS m, NULL::INTEGER AS ef_construction,
+       NULL::INTEGER AS ef, '{"lists":' || lists::VARCHAR || ',"probes":' || probes::VARCHAR || '}' AS index_params
+FROM g""")
+def param_grid_ivf(spark, sf_dir):
+    n = fx.table(spark, sf_dir, "embeddings").count()
+    return sweep_ops.param_grid(spark, "ivf", n)
+
+
+@register("param_grid_graph", """
+WITH nn AS (SELECT count(*) AS n FROM embeddings),
+m AS (SELECT unnest([4, 8, 16, 32, 64]) AS m),
+c AS (SELECT unnest([32, 64, 128]) AS efc),
+e AS (SELECT unnest([10, 20, 40]) AS ef)
+SELECT 'graph' AS method, NULL::INTEGER AS lists, NULL::INTEGER AS probes, m.m::INTEGER AS m,
+       c.efc::INTEGER AS ef_construction, e.ef::INTEGER AS ef,
+       '{"ef":' || e.ef::VARCHAR || ',"ef_construction":' || c.efc::VARCHAR || ',"m":' || m.m::VARCHAR || '}' AS index_params
+FROM m, c, e, nn WHERE c.efc > 2 * m.m AND m.m < nn.n""")
+def param_grid_graph(spark, sf_dir):
+    n = fx.table(spark, sf_dir, "embeddings").count()
+    return sweep_ops.param_grid(spark, "graph", n)
+
+
+@register("sweep_ivf")
+def sweep_ivf(spark, sf_dir):
+    """All 30 IVF parameter sets at K=5 (5 k-means builds, one probe pass
+    each) — rows-only check (k-means centroids are not SQL)."""
+    b = fx.base_vectors(spark, sf_dir)
+    grid = sweep_ops.param_grid(spark, "ivf", b.count())
+    truth = knn_ops.build_truth(b, b, sweep_ops.SWEEP_K)
+    return _round_recall(sweep_ops.sweep_ivf(b, b, truth, grid, k=sweep_ops.SWEEP_K))
