@@ -17,6 +17,8 @@ Above the broadcast limit the salted grid path takes over.
 
 from __future__ import annotations
 
+from ..plans.shipping import ensure_shipped
+
 import math
 from dataclasses import dataclass
 
@@ -64,6 +66,7 @@ def nearest_centroids(df: DataFrame, centroids: DataFrame, n: int, dim: int,
         ids, m, ok = bc.value
         yield from K.nearest_of_block(batches, ids, m, ok, n, dim, id_col, vec_col,
                                       out_cell, out_rank, out_dist)
+    ensure_shipped(spark)
     schema = f"{id_col} long, {out_cell} long, {out_rank} long, {out_dist} double"
     return (df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
             .mapInArrow(run, schema)
@@ -169,6 +172,7 @@ def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
     scan = index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
     scan = scan.where(F.col("cell").isin(sorted(cq)))
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
+    ensure_shipped(spark)
     return scan.mapInArrow(run, schema)
 
 
@@ -199,6 +203,7 @@ def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
                              "examined": pa.array(np.full(len(qids), bt.num_rows), pa.int64())})
         return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v")
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
+    ensure_shipped(spark)
     return q.groupBy("cell", "salt").cogroup(b.groupBy("cell", "salt")).applyInArrow(pair, schema)
 
 

@@ -15,6 +15,8 @@ broadcast limit the grid path shuffles both sides into bounded
 
 from __future__ import annotations
 
+from ..plans.shipping import ensure_shipped
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +80,7 @@ def exact_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int,
             yield from K.exact_topk_partition(batches, ids, m, ok, k, dim, "id", "v",
                                               counts=counts)
         schema = "query_id long, examined long" if counts else CANDIDATES_DDL
+        ensure_shipped(spark)
         return base.mapInArrow(run, schema)
     return _grid_candidates(queries, base, k, dim, nq, counts)
 
@@ -109,6 +112,7 @@ def _grid_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int, nq:
                              "examined": pa.array(np.full(len(qids), int(ok.sum())), pa.int64())})
         return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v")
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
+    ensure_shipped(spark)
     return qg.groupBy("qb", "bb").cogroup(bg.groupBy("qb", "bb")).applyInArrow(pair, schema)
 
 

@@ -10,6 +10,8 @@ top-k window — 6 probe settings cost one scan.
 
 from __future__ import annotations
 
+from ..plans.shipping import ensure_shipped
+
 import math
 from typing import Sequence
 
@@ -87,6 +89,7 @@ def probe_sweep_candidates(index: IvfIndex, queries: DataFrame, k: int, max_prob
         yield from K.cell_pair_topk_partition(batches, ids, m, ok, cs, sq, sc, k, dim, "id", "v", "cell")
     scan = (index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
             .where(F.col("cell").isin(sorted(cell_slots))))
+    ensure_shipped(spark)
     cands = scan.mapInArrow(run, "query_id long, cell int, id long, distance double")
     return cands.join(probe.select("query_id", "cell", "probe_rank"), ["query_id", "cell"])
 

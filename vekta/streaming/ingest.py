@@ -6,6 +6,8 @@ adding duplicates; the checkpoint records which batches are done."""
 
 from __future__ import annotations
 
+from ..plans.shipping import ensure_shipped
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,7 @@ def _assign_full(index: IvfIndex, s: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
     ddl = "id long, v array<float>, cell int" + "".join(
         f", {c} {s.schema[c].dataType.simpleString()}" for c in extra)
+    ensure_shipped(s.sparkSession)
     return s.mapInArrow(run, ddl)
 
 

@@ -733,3 +733,17 @@ def sweep_ivf(spark, sf_dir):
     grid = sweep_ops.param_grid(spark, "ivf", b.count())
     truth = knn_ops.build_truth(b, b, sweep_ops.SWEEP_K)
     return _round_recall(sweep_ops.sweep_ivf(b, b, truth, grid, k=sweep_ops.SWEEP_K))
+
+
+# ------------------------------------------------------------------- graph
+from .operators import graph as graph_ops  # noqa: E402
+
+
+@register("graph_search")
+def graph_search(spark, sf_dir):
+    """NN-descent graph (m=8, ef_construction=32) searched with ef=20, k=10
+    for every embedding — rows-only check (approximate by design)."""
+    b = fx.base_vectors(spark, sf_dir)
+    g = graph_ops.graph_build(b, m=8, ef_construction=32, max_iter=4)
+    return (graph_ops.graph_search(g, b, 10, ef=20)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
