@@ -180,24 +180,24 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, ef: int, entry_points:
     from .knn import exact_candidates, sample_queries
     sample = sample_queries(index.vectors, entry_points, seed=seed)
     seeds = rank_candidates(exact_candidates(q, sample, beam, dim), beam)
-    state = _checkpoint(seeds.select("query_id", "id", "distance").withColumn("expanded", F.lit(False)))
-    visited = _checkpoint(state.select("query_id", "id"))
+    # one table per query: every scored node, whether it was expanded, and
+    # whether it is in the current beam (best ``beam`` by distance, id)
+    seen = _checkpoint(seeds.select("query_id", "id", "distance", F.lit(False).alias("expanded"),
+                                    F.lit(True).alias("in_beam")))
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
+    edges = index.edges.select("src", "dst")
     for _ in range(max_rounds):
-        frontier = state.where(~F.col("expanded")).select("query_id", F.col("id").alias("src"))
-        nbrs = (frontier.join(index.edges.select("src", "dst"), "src")
-                .select("query_id", F.col("dst").alias("id")).distinct()
-                .join(visited, ["query_id", "id"], "left_anti"))
+        frontier = seen.where(F.col("in_beam") & ~F.col("expanded")).select("query_id", F.col("id").alias("src"))
+        nbrs = (frontier.join(edges, "src").select("query_id", F.col("dst").alias("id")).distinct()
+                .join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"))
         scored = nbrs.join(index.vectors, "id").select("query_id", "id", "v").mapInArrow(score, schema)
-        cand = (state.select("query_id", "id", "distance", F.lit(True).alias("expanded"))
-                .unionByName(scored.withColumn("expanded", F.lit(False))))
-        new_state = (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= beam).drop("_r"))
-        new_state = _checkpoint(new_state)
-        visited = _checkpoint(visited.unionByName(nbrs.select("query_id", "id")))
-        state = new_state
-        if state.where(~F.col("expanded")).limit(1).isEmpty():
+        marked = seen.select("query_id", "id", "distance",
+                             (F.col("expanded") | F.col("in_beam")).alias("expanded"))
+        rows = marked.unionByName(scored.withColumn("expanded", F.lit(False)))
+        seen = _checkpoint(rows.withColumn("in_beam", F.row_number().over(w) <= beam))
+        if seen.where(F.col("in_beam") & ~F.col("expanded")).limit(1).isEmpty():
             break
-    return state, visited
+    return seen.where("in_beam"), seen.select("query_id", "id")
 
 
 def graph_search_effort(index: GraphIndex, queries: DataFrame, ef: int = DEFAULT_EF, **kw) -> DataFrame:

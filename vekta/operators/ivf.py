@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sizing import (BroadcastBlock, block_limit, broadcast_limit, n_blocks,
-                            vector_bytes, vector_dim)
+from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
+                            vector_dim)
 from . import kernel as K
 from .knn import CANDIDATES_DDL, _empty, _prep, rank_candidates
 
@@ -124,9 +124,13 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     lists = max(1, min(int(lists), n))
     frac = min(1.0, train_rows / max(n, 1))
     sample = b.sample(False, frac, seed) if frac < 1.0 else b
-    feats = sample.select(array_to_vector("v").alias("features"))
-    model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=max_iter,
-                   featuresCol="features").fit(feats)
+    # the sample is bounded (train_rows); MLlib iterates over it, so cache it
+    feats = sample.select(array_to_vector("v").alias("features")).persist()
+    try:
+        model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=max_iter,
+                       featuresCol="features").fit(feats)
+    finally:
+        feats.unpersist()
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cent = spark.createDataFrame(centers, "cell int, v array<double>")
     assigned = assign_cells(b, cent, dim).select("id", "cell")
@@ -136,6 +140,15 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     return IvfIndex(cent, cells, lists=len(centers), dim=dim)
 
 
+def _cell_map(qids: np.ndarray, probe_q: np.ndarray, probe_c: np.ndarray) -> dict:
+    """cell -> sorted positions (in the query block) of the queries probing it."""
+    import pandas as pd
+    rows = pd.Index(qids).get_indexer(probe_q)
+    keep = rows >= 0
+    df = pd.DataFrame({"cell": probe_c[keep].astype(np.int64), "row": rows[keep].astype(np.int64)})
+    return {int(c): np.sort(g["row"].to_numpy()) for c, g in df.groupby("cell", sort=True)}
+
+
 def _probe_table(queries: DataFrame, index: IvfIndex, probes: int) -> DataFrame:
     return nearest_centroids(queries, index.centroids, probes, index.dim,
                              id_col="query_id", vec_col="v")
@@ -146,21 +159,16 @@ def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
     """Partial candidates (query_id, id, distance) — or (query_id, examined)."""
     spark = queries.sparkSession
     dim = index.dim
-    nq = queries.count()
     probe = _probe_table(queries, index, probes)
-    if vector_bytes(nq, dim) > broadcast_limit(spark):
+    try:
+        blk = BroadcastBlock.collect(queries, "query_id", "v", dim, broadcast_limit(spark))
+    except BroadcastTooLarge:
         return _grid_ivf(index, queries, probe, k, counts)
-    blk = BroadcastBlock.collect(queries, "query_id", "v", dim, broadcast_limit(spark))
     valid = blk.extra["_valid"]
     qids, qm = blk.ids[valid], blk.matrix[valid]
     qn, q_ok = K.normalise(qm)
-    pos = {int(q): i for i, q in enumerate(qids)}
     pt = probe.select("query_id", "cell").toArrow()  # Q x probes ints: bounded with the block
-    cell_queries: dict[int, list[int]] = {}
-    for q, c in zip(pt.column("query_id").to_pylist(), pt.column("cell").to_pylist()):
-        if q in pos:
-            cell_queries.setdefault(int(c), []).append(pos[q])
-    cq = {c: np.asarray(sorted(v), dtype=np.int64) for c, v in cell_queries.items()}
+    cq = _cell_map(qids, pt.column("query_id").to_numpy(), pt.column("cell").to_numpy())
     if not cq:
         return spark.createDataFrame([], "query_id long, examined long" if counts else CANDIDATES_DDL)
     bc = spark.sparkContext.broadcast((qids, qn, q_ok, cq))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.sizing import (BroadcastBlock, block_limit, broadcast_limit, n_blocks,
-                            vector_bytes, vector_dim)
+from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
+                            n_blocks, vector_dim)
 from . import kernel as K
 
 CANDIDATES_DDL = "query_id long, id long, distance double"
@@ -67,22 +67,21 @@ def exact_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int,
     With ``counts=True`` returns (query_id, examined) partial counts instead.
     """
     spark = queries.sparkSession
-    nq = queries.count()
-    if vector_bytes(nq, dim) <= broadcast_limit(spark):
+    try:
         block = _query_block(queries, dim)
-        valid = block.extra["_valid"]
-        qids, qn = block.ids[valid], block.matrix[valid]
-        qn, q_ok = K.normalise(qn)
-        bc = spark.sparkContext.broadcast((qids, qn, q_ok))
-
-        def run(batches):
-            ids, m, ok = bc.value
-            yield from K.exact_topk_partition(batches, ids, m, ok, k, dim, "id", "v",
-                                              counts=counts)
-        schema = "query_id long, examined long" if counts else CANDIDATES_DDL
-        ensure_shipped(spark)
-        return base.mapInArrow(run, schema)
-    return _grid_candidates(queries, base, k, dim, nq, counts)
+    except BroadcastTooLarge:
+        return _grid_candidates(queries, base, k, dim, queries.count(), counts)
+    valid = block.extra["_valid"]
+    qids, qn = block.ids[valid], block.matrix[valid]
+    qn, q_ok = K.normalise(qn)
+    bc = spark.sparkContext.broadcast((qids, qn, q_ok))
+
+    def run(batches):
+        ids, m, ok = bc.value
+        yield from K.exact_topk_partition(batches, ids, m, ok, k, dim, "id", "v", counts=counts)
+    schema = "query_id long, examined long" if counts else CANDIDATES_DDL
+    ensure_shipped(spark)
+    return base.mapInArrow(run, schema)
 
 
 def _grid_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int, nq: int,

@@ -54,11 +54,14 @@ class BroadcastBlock:
     @staticmethod
     def collect(df: DataFrame, id_col: str, vec_col: str, dim: int,
                 limit: int, extra_cols: tuple[str, ...] = ()) -> "BroadcastBlock":
+        """Collect at most ``limit`` bytes of vectors: one job that fetches
+        ``max_rows + 1`` rows and refuses the block when the extra row came
+        back, so the bound holds whatever the size of ``df``."""
         from ..operators.kernel import vectors_from_arrow
-        rows = df.count()
-        if vector_bytes(rows, dim) > limit:
-            raise BroadcastTooLarge(rows, dim, limit)
-        tbl: pa.Table = df.select(id_col, vec_col, *extra_cols).toArrow()
+        max_rows = max(1, int(limit) // max(1, int(dim) * 8))
+        tbl: pa.Table = df.select(id_col, vec_col, *extra_cols).limit(max_rows + 1).toArrow()
+        if tbl.num_rows > max_rows:
+            raise BroadcastTooLarge(tbl.num_rows, dim, limit)
         ids = tbl.column(id_col).to_numpy().astype(np.int64)
         m, valid = vectors_from_arrow(tbl.column(vec_col), dim)
         extra = {c: tbl.column(c).to_numpy(zero_copy_only=False) for c in extra_cols}
@@ -68,5 +71,5 @@ class BroadcastBlock:
 
 class BroadcastTooLarge(Exception):
     def __init__(self, rows: int, dim: int, limit: int):
-        super().__init__(f"{rows} vectors x {dim} dims exceed broadcast limit {limit} bytes")
+        super().__init__(f"more than {rows - 1} vectors x {dim} dims exceed broadcast limit {limit} bytes")
         self.rows, self.dim, self.limit = rows, dim, limit
