@@ -119,3 +119,12 @@ def test_topk_merge_tie_resolution():
     assert t.ids[0].tolist() == [3, 5]
     t.merge(slice(None), np.array([[0.5]]), np.array([1]))
     assert t.ids[0].tolist() == [1, 3]
+
+
+def test_tree_merge_equals_flat(spark, monkeypatch):
+    b, _ = random_df(spark, 400, 8, 11)
+    q, _ = random_df(spark, 20, 8, 12, start=900)
+    flat = as_dict(K.knn_join(q, b.repartition(40), 6))
+    monkeypatch.setattr(K, "TREE_MERGE_PARTITIONS", 4)
+    tree = as_dict(K.knn_join(q, b.repartition(40), 6))
+    assert tree == flat

@@ -131,7 +131,26 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "id
         dim = vector_dim(q, "v")
     if dim is None or k <= 0:
         return _empty(spark)
-    return rank_candidates(exact_candidates(q, b, k, dim), k)
+    return merge_topk(exact_candidates(q, b, k, dim), k)
+
+
+# Above this many candidate partitions the merge goes through an
+# intermediate level, so no final group holds more than ~sqrt(P) x k rows.
+TREE_MERGE_PARTITIONS = 1024
+
+
+def merge_topk(cands: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    """Global top-k per key over per-task partial top-k lists. With P tasks a
+    key's final group would hold P x k rows; for large P an intermediate
+    merge by (key, task mod sqrt(P)) bounds every group to ~sqrt(P) x k."""
+    import math
+    parts = cands.rdd.getNumPartitions()
+    if parts <= TREE_MERGE_PARTITIONS:
+        return rank_candidates(cands, k, key)
+    fan = int(math.ceil(math.sqrt(parts)))
+    mid = rank_candidates(cands.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(fan))),
+                          k, [key, "_g"])
+    return rank_candidates(mid.drop("_g", "rank"), k, key)
 
 
 def knn(base: DataFrame, query: DataFrame, k: int, *, query_id: str = "id",
