@@ -29,3 +29,23 @@ def test_graph_search_wide_beam_is_exact_on_small_base(spark):
     def key(df):
         return sorted((r["query_id"], r["rank"], round(r["distance"], 9)) for r in df.collect())
     assert key(got) == key(want)
+
+
+def test_multi_ef_equals_single_searches(spark, sf):
+    b = fx.base_vectors(spark, sf)
+    g = graph.graph_build(b, m=6, ef_construction=16, max_iter=2)
+    multi = graph.graph_search_multi(g, b, 5, [5, 20])
+    for ef in (5, 20):
+        one = sorted((r["query_id"], r["rank"], r["id"]) for r in graph.graph_search(g, b, 5, ef=ef).collect())
+        got = sorted((r["query_id"], r["rank"], r["id"]) for r in multi.where(F.col("ef") == ef).collect())
+        assert one == got
+
+
+def test_sweep_graph_rows(spark, sf):
+    from vekta.operators import sweep
+    b = fx.base_vectors(spark, sf)
+    grid = spark.createDataFrame([("graph", None, None, 4, 16, e, "x") for e in (10, 20)], sweep.GRID_DDL)
+    truth = knn.build_truth(b, b, 5)
+    res = sweep.sweep_graph(b, b, truth, grid, k=5, max_iter=2).collect()
+    assert sorted(r["ef"] for r in res) == [10, 20]
+    assert all(0 < r["recall"] <= 1 for r in res)

@@ -141,16 +141,27 @@ def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAUL
     seeded sample of ``entry_points`` nodes."""
     if k <= 0:
         return _empty(queries.sparkSession)
-    state, _ = _beam(index, queries, k, ef, entry_points, max_rounds, seed, query_id, query_vec)
+    state, _ = _beam(index, queries, k, [ef], entry_points, max_rounds, seed, query_id, query_vec)
     return rank_candidates(state.select("query_id", "id", "distance"), k)
 
 
-def _beam(index: GraphIndex, queries: DataFrame, k: int, ef: int, entry_points: int = 64,
+def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[int],
+                       entry_points: int = 64, max_rounds: int = 32, seed: int = 42,
+                       query_id: str = "id", query_vec: str = "v") -> DataFrame:
+    """Several ``ef`` settings in one search: the setting is part of the beam
+    key, so all settings advance together round by round.
+    Returns (ef, query_id, id, distance, rank)."""
+    state, _ = _beam(index, queries, k, efs, entry_points, max_rounds, seed, query_id, query_vec)
+    return rank_candidates(state.select("ef", "query_id", "id", "distance"), k, ["ef", "query_id"])
+
+
+def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_points: int = 64,
           max_rounds: int = 32, seed: int = 42, query_id: str = "id", query_vec: str = "v"):
     spark = queries.sparkSession
     q = _prep(queries, query_id, query_vec, "query_id")
     dim = index.dim
-    beam = max(ef, k)
+    efs = sorted({int(e) for e in efs})
+    widest = max(max(efs), k)
     blk = BroadcastBlock.collect(q, "query_id", "v", dim, broadcast_limit(spark))
     valid = blk.extra["_valid"]
     qids, qm = blk.ids[valid], blk.matrix[valid]
@@ -158,49 +169,56 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, ef: int, entry_points:
     bc = spark.sparkContext.broadcast((qids, qn, q_ok))
 
     def score(batches):
+        import pandas as pd
         import pyarrow as pa
         ids, m, ok = bc.value
-        pos = {int(x): i for i, x in enumerate(ids)}
+        index_of = pd.Index(ids)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            qi = np.array([pos.get(int(x), -1) for x in rb.column("query_id").to_pylist()])
+            qi = index_of.get_indexer(rb.column("query_id").to_numpy())
             b, vb = K.vectors_from_arrow(rb.column("v"), dim)
             bn, bok = K.normalise(b, vb)
             have = qi >= 0
             d = np.full(rb.num_rows, np.nan)
             if have.any():
-                d[have] = 1.0 - np.einsum("ij,ij->i", m[qi[have]], bn[have])
-                d[have] = np.where(ok[qi[have]] & bok[have], d[have], np.nan)
-            yield pa.RecordBatch.from_arrays([rb.column("query_id"), rb.column("id"), pa.array(d, pa.float64())],
-                                             names=["query_id", "id", "distance"])
+                dd = 1.0 - np.einsum("ij,ij->i", m[qi[have]], bn[have])
+                d[have] = np.where(ok[qi[have]] & bok[have], dd, np.nan)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("ef"), rb.column("query_id"), rb.column("id"), pa.array(d, pa.float64())],
+                names=["ef", "query_id", "id", "distance"])
     ensure_shipped(spark)
-    schema = "query_id long, id long, distance double"
-    # seeds: the beam nearest nodes of a seeded sample, per query
+    schema = "ef int, query_id long, id long, distance double"
+    # seeds: each query's nearest nodes among a seeded sample, per ef setting
     from .knn import exact_candidates, sample_queries
     sample = sample_queries(index.vectors, entry_points, seed=seed)
-    seeds = rank_candidates(exact_candidates(q, sample, beam, dim), beam)
-    # one table per query: every scored node, whether it was expanded, and
-    # whether it is in the current beam (best ``beam`` by distance, id)
-    seen = _checkpoint(seeds.select("query_id", "id", "distance", F.lit(False).alias("expanded"),
+    seeds = rank_candidates(exact_candidates(q, sample, widest, dim), widest)
+    efarr = F.array(*[F.lit(e) for e in efs])
+    beam_w = F.greatest(F.col("ef"), F.lit(k))
+    seeds = (seeds.withColumn("ef", F.explode(efarr))
+             .where(F.col("rank") <= F.greatest(F.col("ef"), F.lit(k))))
+    # one table per (ef, query): every scored node, whether it was expanded,
+    # and whether it is in the current beam (best max(ef, k) by distance, id)
+    seen = _checkpoint(seeds.select("ef", "query_id", "id", "distance", F.lit(False).alias("expanded"),
                                     F.lit(True).alias("in_beam")))
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
+    w = Window.partitionBy("ef", "query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
     edges = index.edges.select("src", "dst")
+    key = ["ef", "query_id", "id"]
     for _ in range(max_rounds):
-        frontier = seen.where(F.col("in_beam") & ~F.col("expanded")).select("query_id", F.col("id").alias("src"))
-        nbrs = (frontier.join(edges, "src").select("query_id", F.col("dst").alias("id")).distinct()
-                .join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"))
-        scored = nbrs.join(index.vectors, "id").select("query_id", "id", "v").mapInArrow(score, schema)
-        marked = seen.select("query_id", "id", "distance",
+        frontier = seen.where(F.col("in_beam") & ~F.col("expanded")).select("ef", "query_id", F.col("id").alias("src"))
+        nbrs = (frontier.join(edges, "src").select("ef", "query_id", F.col("dst").alias("id")).distinct()
+                .join(seen.select(*key), key, "left_anti"))
+        scored = nbrs.join(index.vectors, "id").select("ef", "query_id", "id", "v").mapInArrow(score, schema)
+        marked = seen.select("ef", "query_id", "id", "distance",
                              (F.col("expanded") | F.col("in_beam")).alias("expanded"))
         rows = marked.unionByName(scored.withColumn("expanded", F.lit(False)))
-        seen = _checkpoint(rows.withColumn("in_beam", F.row_number().over(w) <= beam))
+        seen = _checkpoint(rows.withColumn("in_beam", F.row_number().over(w) <= beam_w))
         if seen.where(F.col("in_beam") & ~F.col("expanded")).limit(1).isEmpty():
             break
-    return seen.where("in_beam"), seen.select("query_id", "id")
+    return seen.where("in_beam"), seen.select(*key)
 
 
 def graph_search_effort(index: GraphIndex, queries: DataFrame, ef: int = DEFAULT_EF, **kw) -> DataFrame:
     """(query_id, examined): nodes scored per query (seeds + visited)."""
-    _, visited = _beam(index, queries, max(ef, 1), ef, **kw)
+    _, visited = _beam(index, queries, 1, [ef], **kw)
     return visited.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("examined"))

@@ -119,6 +119,30 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
     return out.select("lists", "probes", "index_params", "k", "recall", "hits", "queries")
 
 
+def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataFrame,
+                k: int = SWEEP_K, seed: int = 42, max_iter: int = 4,
+                id_offset: int | str = 0) -> DataFrame:
+    """recall@k per graph parameter set: one build per (m, ef_construction);
+    all ``ef`` values of a build are searched together (ef is part of the
+    beam key). Returns (m, ef_construction, ef, index_params, k, recall, hits, queries)."""
+    from .graph import graph_build, graph_search_multi
+    q = _prep(queries, "id", "v", "query_id")
+    nq = q.count()
+    sets = [(r["m"], r["ef_construction"], r["ef"])
+            for r in grid.where("method = 'graph'").select("m", "ef_construction", "ef").collect()]
+    out = None
+    for m, efc in sorted({(s[0], s[1]) for s in sets}):
+        efs = sorted({e for mm, cc, e in sets if (mm, cc) == (m, efc)})
+        g = graph_build(base, m=m, ef_construction=efc, max_iter=max_iter, seed=seed)
+        found = graph_search_multi(g, queries, k, efs, seed=seed)
+        r = (recall_curve(found, truth, nq, [k], id_offset, by=["ef"])
+             .withColumn("m", F.lit(m)).withColumn("ef_construction", F.lit(efc))
+             .withColumn("index_params", F.concat(F.lit('{"ef":'), F.col("ef").cast("string"),
+                                                  F.lit(',"ef_construction":%d,"m":%d}' % (efc, m)))))
+        out = r if out is None else out.unionByName(r)
+    return out.select("m", "ef_construction", "ef", "index_params", "k", "recall", "hits", "queries")
+
+
 def evaluate_search(recall: DataFrame, extension: str, dataset: str, n: int,
                     latency: DataFrame | None = None, effort: DataFrame | None = None,
                     bulk: bool = False) -> DataFrame:
