@@ -58,6 +58,19 @@ def sql_round(c: str) -> str:
     return f"(round(greatest({c}, 0), 6) + 0.0)"
 
 
+def sql_avg2(c: str) -> str:
+    """Exact mean of a 2-decimal column rounded half-up to 6 decimals:
+    integer arithmetic on the cent sum, so rounding ties resolve exactly as
+    Spark's ``avg(decimal(18,2))`` does."""
+    return (f"((((sum({c}::DECIMAL(18,2)) * 100)::HUGEINT * 20000 + count({c})) "
+            f"// (2 * count({c})))::DOUBLE / 1000000)")
+
+
+def as_cents(df: DataFrame, c: str) -> DataFrame:
+    """The 2-decimal measurement as decimal(18,2): its mean is then exact."""
+    return df.withColumn(c, F.col(c).cast("decimal(18,2)"))
+
+
 # ------------------------------------------------------------- exact search
 def _exact(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     b = fx.base_vectors(spark, sf_dir)
@@ -155,14 +168,16 @@ agg AS (
   FROM h GROUP BY k),
 nq AS (SELECT count(*) AS n FROM embeddings)
 SELECT ks.k::BIGINT AS k,
-       round(coalesce(agg.hits, 0)::DOUBLE / nq.n / ks.k, 6) AS recall,
+       coalesce(agg.hits, 0)::DOUBLE / nq.n / ks.k AS recall,
        coalesce(agg.hits, 0)::BIGINT AS hits, nq.n::BIGINT AS queries,
        coalesce(agg.mt, 0)::BIGINT AS missing_truth
 FROM ks CROSS JOIN nq LEFT JOIN agg ON agg.k = ks.k"""
 
 
 def _round_recall(df: DataFrame) -> DataFrame:
-    return df.withColumn("recall", F.round("recall", 6))
+    """recall = hits / queries / K is the same IEEE operations on both sides
+    (exact integer inputs), so it is compared unrounded."""
+    return df
 
 
 @register("recall_exact", f"""
@@ -427,7 +442,7 @@ r AS (
                  ELSE (new_value - old_value) / abs(old_value) END AS rc,
          CASE WHEN metric_type = 'R' THEN -1.0 WHEN metric_type = 'A' THEN 1.0 END AS sg
   FROM j)
-SELECT {KEYS_SQL}, old_value, new_value, round(rc, 9) AS rel_change,
+SELECT {KEYS_SQL}, old_value, new_value, rc AS rel_change,
        CASE WHEN sg IS NULL OR rc IS NULL THEN NULL
             WHEN abs(rc) <= 0.01 THEN 'same'
             WHEN rc * sg > 0 THEN 'better' ELSE 'worse' END AS verdict
@@ -435,7 +450,7 @@ FROM r""")
 def compare_results(spark, sf_dir):
     c = res_ops.compare_results(fx.results_run(spark, sf_dir, 1), fx.results_run(spark, sf_dir, 2),
                                 decrease=["R"], increase=["A"], tol=0.01)
-    return c.withColumn("rel_change", F.round("rel_change", 9))
+    return c
 
 
 # ------------------------------------------------------- logs and metrics
@@ -488,43 +503,45 @@ def plan_buffers_extract(spark, sf_dir):
     return text_fns.extract_plan_buffers(fx.plan_lines(spark, sf_dir))
 
 
-@register("latency_summary", """
+@register("latency_summary", f"""
 SELECT event_type, count(*)::BIGINT AS requests,
-       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev,
-       round(CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
-             THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END, 9) AS tps
+       {sql_avg2('value')} AS latency_average, round(stddev_samp(value), 6) AS latency_stddev,
+       CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
+            THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END AS tps
 FROM events GROUP BY event_type""")
 def latency_summary(spark, sf_dir):
-    s = met_ops.latency_summary(fx.request_log(spark, sf_dir), ["event_type"])
-    return s.select("event_type", "requests", F.round("latency_average", 6).alias("latency_average"),
-                    F.round("latency_stddev", 6).alias("latency_stddev"), F.round("tps", 9).alias("tps"))
+    s = met_ops.latency_summary(as_cents(fx.request_log(spark, sf_dir), "value"), ["event_type"])
+    return s.select("event_type", "requests", F.col("latency_average").cast("double").alias("latency_average"),
+                    F.round("latency_stddev", 6).alias("latency_stddev"), "tps")
 
 
-@register("latency_windows", """
+@register("latency_windows", f"""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
        time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
        event_type, count(*)::BIGINT AS requests,
-       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev
+       {sql_avg2('value')} AS latency_average, round(stddev_samp(value), 6) AS latency_stddev
 FROM events GROUP BY ALL""")
 def latency_windows(spark, sf_dir):
-    w = met_ops.latency_windows(fx.request_log(spark, sf_dir), "1 hour", ["event_type"])
-    return (w.withColumn("latency_average", F.round("latency_average", 6))
+    w = met_ops.latency_windows(as_cents(fx.request_log(spark, sf_dir), "value"), "1 hour", ["event_type"])
+    return (w.withColumn("latency_average", F.col("latency_average").cast("double"))
             .withColumn("latency_stddev", F.round("latency_stddev", 6)))
 
 
 @register("stddev_band", f"""
 WITH {SQL_RUNS}
 SELECT metric_type, extension, count(*)::BIGINT AS metric_value_count,
-       round(avg(metric_value), 6) AS metric_value_mean,
+       {sql_avg2('metric_value')} AS metric_value_mean,
        round(stddev_samp(metric_value), 6) AS metric_value_stddev,
-       round(avg(metric_value) + coalesce(stddev_samp(metric_value), 0), 6) AS metric_value_upper,
-       round(avg(metric_value) - coalesce(stddev_samp(metric_value), 0), 6) AS metric_value_lower
+       round({sql_avg2('metric_value')} + coalesce(stddev_samp(metric_value), 0), 6) AS metric_value_upper,
+       round({sql_avg2('metric_value')} - coalesce(stddev_samp(metric_value), 0), 6) AS metric_value_lower
 FROM li GROUP BY metric_type, extension""")
 def stddev_band(spark, sf_dir):
-    s = met_ops.summarize(fx.measurement_rows(spark, sf_dir), "metric_value", ["metric_type", "extension"])
+    s = met_ops.summarize(as_cents(fx.measurement_rows(spark, sf_dir), "metric_value"), "metric_value",
+                          ["metric_type", "extension"])
+    s = s.withColumn("metric_value_mean", F.col("metric_value_mean").cast("double"))
     s = with_stddev_band(s, "metric_value_mean", "metric_value_stddev", "metric_value")
-    return s.select("metric_type", "extension", "metric_value_count",
-                    *[F.round(c, 6).alias(c) for c in ("metric_value_mean", "metric_value_stddev",
+    return s.select("metric_type", "extension", "metric_value_count", "metric_value_mean",
+                    *[F.round(c, 6).alias(c) for c in ("metric_value_stddev",
                                                         "metric_value_upper", "metric_value_lower")])
 
 
@@ -644,22 +661,22 @@ def recall_after_insert(spark, sf_dir):
     return _round_recall(rec.recall_at_k(found, truth, b.count(), 10))
 
 
-@register("insert_metrics", """
+@register("insert_metrics", f"""
 WITH plan AS (SELECT count(*) AS n, count(*) // 10 AS start, least(count(*), 1000) AS iv FROM events),
 a AS (
   SELECT floor((event_id - plan.start) / plan.iv)::BIGINT AS w, ts, value
   FROM events, plan WHERE event_id >= plan.start AND event_id < plan.n)
 SELECT w AS "window", count(*)::BIGINT AS requests,
-       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev,
-       round(CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
-             THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END, 9) AS tps
+       {sql_avg2('value')} AS latency_average, round(stddev_samp(value), 6) AS latency_stddev,
+       CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
+            THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END AS tps
 FROM a GROUP BY w""")
 def insert_metrics(spark, sf_dir):
     log = fx.request_log(spark, sf_dir).withColumnRenamed("event_id", "id")
     plan = ing_ops.plan_ingest(log)
-    s = met_ops.latency_summary(ing_ops.appended_rows(log, plan), ["window"])
-    return s.select("window", "requests", F.round("latency_average", 6).alias("latency_average"),
-                    F.round("latency_stddev", 6).alias("latency_stddev"), F.round("tps", 9).alias("tps"))
+    s = met_ops.latency_summary(as_cents(ing_ops.appended_rows(log, plan), "value"), ["window"])
+    return s.select("window", "requests", F.col("latency_average").cast("double").alias("latency_average"),
+                    F.round("latency_stddev", 6).alias("latency_stddev"), "tps")
 
 
 @register("ingest_stream", f"""
@@ -677,22 +694,23 @@ def ingest_stream(spark, sf_dir):
     return ing_stream.read_ingested(spark, out).select("id", F.col("cell").cast("int").alias("cell"))
 
 
-@register("latency_windows_stream", """
+@register("latency_windows_stream", f"""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
        time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
        event_type, count(*)::BIGINT AS requests,
-       round(avg(value), 6) AS latency_average, round(stddev_samp(value), 6) AS latency_stddev
+       {sql_avg2('value')} AS latency_average, round(stddev_samp(value), 6) AS latency_stddev
 FROM events GROUP BY ALL""")
 def latency_windows_stream(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
-    s = prog_stream.source_stream(spark, sf_dir, "events", schema).select("ts", "event_type", "value")
+    s = as_cents(prog_stream.source_stream(spark, sf_dir, "events", schema)
+                 .select("ts", "event_type", "value"), "value")
     out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
     prog_stream.start_progress(s, out, ck, "1 hour", ["event_type"]).awaitTermination()
     r = prog_stream.read_progress(spark, out, ["event_type"])
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                     "event_type", "requests",
-                    F.round("latency_average", 6).alias("latency_average"),
+                    F.col("latency_average").cast("double").alias("latency_average"),
                     F.round("latency_stddev", 6).alias("latency_stddev"))
 
 
