@@ -182,6 +182,20 @@ def metric_series(results: DataFrame, metric_type: str | Sequence[str], extensio
     return r.groupBy(x).pivot("metric_type", list(metric_type)).agg(F.max("metric_value")).orderBy(x)
 
 
+def chart_series(results: DataFrame, configs: DataFrame, metric_types: Sequence[str], dataset: str,
+                 x: str = "n", fixed: dict | None = None) -> DataFrame:
+    """Series for a list of configurations (extension, index_params): the
+    configuration table is joined to the results (broadcast when small is
+    AQE's call), then one grouped pivot per (configuration, x)."""
+    cond = _metric_filter(metric_types) & (F.col("dataset") == dataset)
+    for c, v in (fixed or {}).items():
+        cond &= F.col(c) == v
+    sel = results.where(cond).join(configs.select("extension", "index_params"),
+                                   ["extension", "index_params"])
+    return (sel.groupBy("extension", "index_params", x)
+            .pivot("metric_type", list(metric_types)).agg(F.max("metric_value")))
+
+
 def metric_series_all(results: DataFrame, metric_types: Sequence[str], extension: str,
                       dataset: str, n: int | None = None) -> DataFrame:
     """All parameter sets at once: (index_params, x, metric columns...) —

@@ -166,12 +166,14 @@ h AS (
 agg AS (
   SELECT k, sum({hits})::BIGINT AS hits, sum(CASE WHEN no_truth THEN 1 ELSE 0 END)::BIGINT AS mt
   FROM h GROUP BY k),
-nq AS (SELECT count(*) AS n FROM embeddings)
+nq AS (SELECT count(*) AS n FROM embeddings),
+rc AS (
 SELECT ks.k::BIGINT AS k,
        coalesce(agg.hits, 0)::DOUBLE / nq.n / ks.k AS recall,
        coalesce(agg.hits, 0)::BIGINT AS hits, nq.n::BIGINT AS queries,
        coalesce(agg.mt, 0)::BIGINT AS missing_truth
-FROM ks CROSS JOIN nq LEFT JOIN agg ON agg.k = ks.k"""
+FROM ks CROSS JOIN nq LEFT JOIN agg ON agg.k = ks.k)
+SELECT * FROM rc"""
 
 
 def _round_recall(df: DataFrame) -> DataFrame:
@@ -768,3 +770,66 @@ def graph_search(spark, sf_dir):
     g = graph_ops.graph_build(b, m=8, ef_construction=32, max_iter=4)
     return (graph_ops.graph_search(g, b, 10, ef=20)
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
+# ------------------------------------------------- evaluation and reports
+EVAL_PARAMS = '{"probes":3}'
+
+
+@register("search_evaluation", f"""
+WITH {SQL_PAIRS}, {SQL_CENT}, {sql_ivf_top(3, 80)},
+{_truth_sql(80)},
+found AS (SELECT query_id, id, rank FROM ivf),
+{sql_recall('found', rec.DEFAULT_K_VALUES).replace('SELECT * FROM rc', '')},
+per_q AS (SELECT query_id, count(*) AS examined FROM cand GROUP BY query_id),
+eff AS (SELECT avg(examined) AS m, stddev_samp(examined) AS sd FROM per_q),
+rows AS (
+  SELECT '{res_ops.METRIC_RECALL_AFTER_CREATE}' AS metric_type, k, recall AS metric_value FROM rc
+  UNION ALL SELECT '{res_ops.METRIC_BUFFER_SHARED_HIT_COUNT}', k, eff.m FROM rc, eff
+  UNION ALL SELECT '{res_ops.METRIC_BUFFER_SHARED_HIT_COUNT_STDDEV}', k, round(eff.sd, 6) FROM rc, eff),
+keyed AS (
+  SELECT metric_type, 'ivf_labels' AS extension, '{EVAL_PARAMS}' AS index_params,
+         'embeddings' AS dataset, (SELECT count(*) FROM embeddings)::BIGINT AS n, k::BIGINT AS k, metric_value
+  FROM rows)
+SELECT row_number() OVER (ORDER BY {KEYTEXT_SQL}) AS id, {KEYS_SQL}, metric_value FROM keyed""")
+def search_evaluation(spark, sf_dir):
+    """One IVF search evaluation (label cells, probes=3) at every default K:
+    recall per K and the search effort (candidates examined per query, the
+    counterpart of buffer hits), melted into results rows and stored."""
+    b, idx = _label_index(spark, sf_dir)
+    n = b.count()
+    kmax = max(rec.DEFAULT_K_VALUES)
+    found = ivf_ops.ivf_search(idx, b, kmax, probes=3)
+    truth = knn_ops.build_truth(b, b, kmax)
+    recall = rec.recall_curve(found, truth, n, rec.DEFAULT_K_VALUES).withColumn("index_params", F.lit(EVAL_PARAMS))
+    eff = ivf_ops.search_effort(idx, b, probes=3)
+    eff_s = eff.agg(F.avg("examined").alias("examined_mean"),
+                    F.round(F.stddev_samp("examined"), 6).alias("examined_stddev"))
+    effort = _attach_one_row(recall.select("k", "index_params"), eff_s)
+    rows = sweep_ops.evaluate_search(recall, "ivf_labels", "embeddings", n, effort=effort)
+    store = res_ops.results_table(rows, now=F.lit(fx.RESULTS_NOW).cast("timestamp"))
+    return store.select("id", *res_ops.KEY, "metric_value")
+
+
+def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row (equi-join on a
+    constant key; the one-row side is broadcast)."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+@register("chart_series", f"""
+WITH {SQL_RUNS},
+configs AS (SELECT DISTINCT extension, index_params FROM run2 WHERE n = 25),
+sel AS (
+  SELECT s.* FROM store s JOIN configs c USING (extension, index_params)
+  WHERE s.dataset = 'lineitem' AND s.metric_type IN ('A', 'R'))
+SELECT extension, index_params, n,
+       max(CASE WHEN metric_type = 'A' THEN metric_value END) AS "A",
+       max(CASE WHEN metric_type = 'R' THEN metric_value END) AS "R"
+FROM sel GROUP BY extension, index_params, n""")
+def chart_series(spark, sf_dir):
+    """Chart series for a configuration list: the configurations measured at
+    n = 25 in the second run, each with its A and R series over n."""
+    configs = fx.results_run(spark, sf_dir, 2).where(F.col("n") == 25).select("extension", "index_params").distinct()
+    return res_ops.chart_series(_store(spark, sf_dir), configs, ["A", "R"], "lineitem")
