@@ -184,10 +184,10 @@ def evaluate_build(records: DataFrame, extension: str, dataset: str, n: int) ->
     s = build_summary(records, ["index_params"])
     melted = s.select(
         "index_params", "builds",
-        F.expr(f"stack(4, '{R.METRIC_CREATE_LATENCY}', latency_average, "
-               f"'{R.METRIC_CREATE_LATENCY_STDDEV}', latency_stddev, "
-               f"'{R.METRIC_DISK_USAGE}', size_average, "
-               f"'{R.METRIC_DISK_USAGE_STDDEV}', size_stddev) AS (metric_type, metric_value)"))
+        F.expr(f"stack(4, '{R.METRIC_CREATE_LATENCY}', CAST(latency_average AS DOUBLE), "
+               f"'{R.METRIC_CREATE_LATENCY_STDDEV}', CAST(latency_stddev AS DOUBLE), "
+               f"'{R.METRIC_DISK_USAGE}', CAST(size_average AS DOUBLE), "
+               f"'{R.METRIC_DISK_USAGE_STDDEV}', CAST(size_stddev AS DOUBLE)) AS (metric_type, metric_value)"))
     melted = melted.where(~F.col("metric_type").contains("stddev") | (F.col("builds") > 1)).drop("builds")
     return (melted.withColumn("extension", F.lit(extension)).withColumn("dataset", F.lit(dataset))
             .withColumn("n", F.lit(n).cast("long")).withColumn("k", F.lit(0).cast("long")))

@@ -104,3 +104,12 @@ def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") != "error", buf).otherwise(F.lit("Planning Time: 0.1 ms")))
     return (e.select(F.col("event_id").alias("plan_id"), F.posexplode(lines).alias("line_no", "line"))
             .withColumn("line_no", F.col("line_no").cast("long")))
+
+
+def build_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events rendered as timed index builds: the command echo, then a
+    ``Time: <ms> ms`` line (value = build time)."""
+    e = table(spark, sf_dir, "events")
+    out = F.concat(F.lit("CREATE INDEX\nTime: "), F.format_string("%.3f", F.col("value")),
+                   F.lit(" ms"))
+    return e.select("event_id", "event_type", "user_id", out.alias("out"))

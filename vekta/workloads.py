@@ -833,3 +833,44 @@ def chart_series(spark, sf_dir):
     n = 25 in the second run, each with its A and R series over n."""
     configs = fx.results_run(spark, sf_dir, 2).where(F.col("n") == 25).select("extension", "index_params").distinct()
     return res_ops.chart_series(_store(spark, sf_dir), configs, ["A", "R"], "lineitem")
+
+
+@register("build_timing_extract", """
+SELECT event_id,
+       CAST(NULLIF(regexp_extract('CREATE INDEX' || chr(10) || 'Time: ' || printf('%.3f', value) || ' ms',
+                                  '(?m)^Time: *([0-9.]+)', 1), '') AS DOUBLE) AS time_ms
+FROM events""")
+def build_timing_extract(spark, sf_dir):
+    return text_fns.extract_timing(fx.build_output(spark, sf_dir)).select("event_id", "time_ms")
+
+
+@register("build_evaluation", f"""
+WITH r AS (
+  SELECT '{{"kind":"' || event_type || '"}}' AS index_params, value AS latency_ms,
+         user_id * 8192 AS size_bytes FROM events),
+s AS (
+  SELECT index_params, count(*) AS builds,
+         {sql_avg2('latency_ms')} AS la, round(stddev_samp(latency_ms), 6) AS ls,
+         avg(size_bytes) AS sa, round(stddev_samp(size_bytes), 6) AS ss
+  FROM r GROUP BY index_params),
+m AS (
+  SELECT index_params, '{res_ops.METRIC_CREATE_LATENCY}' AS metric_type, la AS metric_value FROM s
+  UNION ALL SELECT index_params, '{res_ops.METRIC_CREATE_LATENCY_STDDEV}', ls FROM s WHERE builds > 1
+  UNION ALL SELECT index_params, '{res_ops.METRIC_DISK_USAGE}', sa FROM s
+  UNION ALL SELECT index_params, '{res_ops.METRIC_DISK_USAGE_STDDEV}', ss FROM s WHERE builds > 1)
+SELECT metric_type, 'ivf_labels' AS extension, index_params, 'events' AS dataset,
+       (SELECT count(*) FROM events)::BIGINT AS n, 0::BIGINT AS k, metric_value
+FROM m""")
+def build_evaluation(spark, sf_dir):
+    """Build records (one per event: kind = event_type, time from the
+    extracted ``Time:`` line, size = user_id x 8 KiB) -> mean build time and
+    size per index configuration, stddevs when rebuilt more than once."""
+    t = text_fns.extract_timing(fx.build_output(spark, sf_dir))
+    recs = t.select(F.to_json(F.create_map(F.lit("kind"), F.col("event_type"))).alias("index_params"),
+                    F.col("time_ms").cast("decimal(18,2)").alias("latency_ms"),
+                    (F.col("user_id") * 8192).alias("size_bytes"))
+    n = fx.table(spark, sf_dir, "events").count()
+    ev = sweep_ops.evaluate_build(recs, "ivf_labels", "events", n)
+    val = F.when(F.col("metric_type").contains("stddev"), F.round("metric_value", 6)) \
+        .otherwise(F.col("metric_value"))
+    return ev.select(*res_ops.KEY, val.alias("metric_value"))
