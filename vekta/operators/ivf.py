@@ -80,6 +80,36 @@ def assign_cells(df: DataFrame, centroids: DataFrame, dim: int, id_col: str = "i
             .drop("probe_rank"))
 
 
+def with_cells(df: DataFrame, centroids: DataFrame, dim: int, vec_col: str = "v",
+               out_cell: str = "cell", out_dist: str | None = None) -> DataFrame:
+    """Every row of ``df`` with its nearest centroid appended (all columns
+    pass through). One map over the rows — no join back by id, so assigning
+    a 100 TB base costs one scan, not a shuffle of the base."""
+    import pyarrow as pa
+    spark = df.sparkSession
+    blk = _centroid_block(centroids, dim)
+    cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
+    bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
+    names = df.columns
+
+    def run(batches):
+        ids, m, ok = bc.value
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            cell, dist = K.nearest_one(rb.column(vec_col), ids, m, ok, dim)
+            cols = [rb.column(c) for c in names] + [pa.array(cell, pa.int32(), mask=cell < 0)]
+            out = names + [out_cell]
+            if out_dist:
+                cols.append(pa.array(dist, pa.float64()))
+                out.append(out_dist)
+            yield pa.RecordBatch.from_arrays(cols, names=out)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    ddl += f", `{out_cell}` int" + (f", `{out_dist}` double" if out_dist else "")
+    ensure_shipped(spark)
+    return df.mapInArrow(run, ddl)
+
+
 def label_centroids(base: DataFrame, cell_col: str = "label", vec_col: str = "v") -> DataFrame:
     """Per-cell mean vector (double), with map-side partial aggregation, so a
     cell holding a third of all rows costs no more than any other."""
@@ -133,8 +163,7 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
         feats.unpersist()
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cent = spark.createDataFrame(centers, "cell int, v array<double>")
-    assigned = assign_cells(b, cent, dim).select("id", "cell")
-    cells = b.join(assigned, "id").select("id", "v", "cell")
+    cells = with_cells(b, cent, dim)
     if layout:
         cells = _layout(cells, lists)
     return IvfIndex(cent, cells, lists=len(centers), dim=dim)

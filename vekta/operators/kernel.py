@@ -214,6 +214,20 @@ def nearest_of_block(batches: Iterator[pa.RecordBatch], cand_ids: np.ndarray,
             names=[id_col, out_id, out_rank, out_dist])
 
 
+def nearest_one(vec_col: pa.Array, cand_ids: np.ndarray, cn: np.ndarray, c_ok: np.ndarray,
+                dim: int, dtype=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest candidate id per row (-1 for NULL / wrong-length vectors) and
+    its distance (NaN when undefined); ties by candidate id."""
+    q, valid = vectors_from_arrow(vec_col, dim, dtype)
+    qn, q_ok = normalise(q, valid)
+    top = TopK(len(q), 1)
+    top.merge(slice(None), cosine_block(qn, q_ok, cn, c_ok), cand_ids)
+    best = top.ids[:, 0]
+    keep = valid & (best != SENTINEL_ID)
+    dist = np.where(np.isinf(top.d[:, 0]), np.nan, top.d[:, 0])
+    return np.where(keep, best, -1), np.where(keep, dist, np.nan)
+
+
 def block_pair_topk(q_tbl: pa.Table, b_tbl: pa.Table, k: int, dim: int,
                     qid_col: str, qvec_col: str, id_col: str, vec_col: str,
                     dtype=np.float64) -> pa.Table:

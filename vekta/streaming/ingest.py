@@ -11,7 +11,7 @@ from ..plans.shipping import ensure_shipped
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ivf import IvfIndex
+from ..operators.ivf import IvfIndex, with_cells
 
 
 def assign_stream(index: IvfIndex, stream: DataFrame, id_col: str = "id",
@@ -25,44 +25,7 @@ def assign_stream(index: IvfIndex, stream: DataFrame, id_col: str = "id",
     s = stream.select(*cols)
     if event_time and dedupe_within:
         s = s.withWatermark(event_time, dedupe_within).dropDuplicatesWithinWatermark(["id"])
-    return _assign_full(index, s)
-
-
-def _assign_full(index: IvfIndex, s: DataFrame) -> DataFrame:
-    from ..operators import kernel as K
-    from ..plans.sizing import BroadcastBlock, broadcast_limit
-    import pyarrow as pa
-    spark = s.sparkSession
-    blk = BroadcastBlock.collect(index.centroids.select(F.col("cell").cast("long").alias("cell"), "v"),
-                                 "cell", "v", index.dim, broadcast_limit(spark))
-    cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
-    bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
-    dim = index.dim
-    extra = [c for c in s.columns if c not in ("id", "v")]
-
-    def run(batches):
-        import numpy as np
-        ids, m, ok = bc.value
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            q, valid = K.vectors_from_arrow(rb.column("v"), dim)
-            qn, q_ok = K.normalise(q, valid)
-            top = K.TopK(rb.num_rows, 1)
-            top.merge(slice(None), K.cosine_block(qn, q_ok, m, ok), ids)
-            best = top.ids[:, 0]
-            keep = valid & (best != K.SENTINEL_ID)
-            cells = pa.array(np.where(keep, best, 0).astype(np.int32), mask=~keep)
-            cols = [rb.column("id"), rb.column("v").cast(pa.list_(pa.float32())), cells]
-            names = ["id", "v", "cell"]
-            for c in extra:
-                cols.append(rb.column(c))
-                names.append(c)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-    ddl = "id long, v array<float>, cell int" + "".join(
-        f", {c} {s.schema[c].dataType.simpleString()}" for c in extra)
-    ensure_shipped(s.sparkSession)
-    return s.mapInArrow(run, ddl)
+    return with_cells(s, index.centroids, index.dim)
 
 
 def ingest_stream(index: IvfIndex, stream: DataFrame, out_path: str, checkpoint: str,
