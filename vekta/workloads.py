@@ -362,7 +362,9 @@ def _store(spark, sf_dir):
 WITH {SQL_RUNS}
 SELECT id, {KEYS_SQL}, metric_value, TIMESTAMP '{fx.RESULTS_NOW}' AS created_at FROM store""")
 def results_upsert(spark, sf_dir):
-    return _store(spark, sf_dir).select("id", *res_ops.KEY, "metric_value", "created_at")
+    # wall-clock form of the stored instant, independent of the session time zone
+    return _store(spark, sf_dir).select("id", *res_ops.KEY, "metric_value",
+                                        F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 @register("results_lookup", f"""
