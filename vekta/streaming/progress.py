@@ -25,7 +25,11 @@ def source_stream(spark: SparkSession, folder: str, table: str, schema) -> DataF
 
 def start_progress(stream: DataFrame, out_path: str, checkpoint: str, duration: str = "5 seconds",
                    by: Sequence[str] = (), ts: str = "ts", latency: str = "value",
-                   watermark: str = "10 minutes", available_now: bool = True):
+                   watermark: str = "10 minutes", available_now: bool = True,
+                   state_partitions: int | None = None):
+    """``state_partitions`` sizes the aggregation state (it is fixed in the
+    checkpoint when the query first starts); default: the session's shuffle
+    partitions."""
     agg = latency_windows(stream, duration, by, ts, latency, watermark=watermark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -34,7 +38,16 @@ def start_progress(stream: DataFrame, out_path: str, checkpoint: str, duration:
     w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    spark = stream.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(key, prev)
 
 
 def read_progress(spark: SparkSession, out_path: str, by: Sequence[str] = ()) -> DataFrame:

@@ -709,7 +709,8 @@ def latency_windows_stream(spark, sf_dir):
     s = as_cents(prog_stream.source_stream(spark, sf_dir, "events", schema)
                  .select("ts", "event_type", "value"), "value")
     out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
-    prog_stream.start_progress(s, out, ck, "1 hour", ["event_type"]).awaitTermination()
+    prog_stream.start_progress(s, out, ck, "1 hour", ["event_type"],
+                               state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     r = prog_stream.read_progress(spark, out, ["event_type"])
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"),
