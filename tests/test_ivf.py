@@ -87,3 +87,26 @@ def test_effort_counts(spark, sf):
     assert eff[0] == eff[1] == n
     full = ivf.search_effort(idx, b, probes=10).agg(F.min("examined")).first()[0]
     assert full == n
+
+
+def test_with_cells_is_a_map_and_matches_assign(spark, sf):
+    b = fx.base_vectors(spark, sf, with_label=True)
+    idx = ivf.ivf_from_labels(b, "label")
+    wc = ivf.with_cells(b.select("id", "v"), idx.centroids, idx.dim)
+    plan = wc._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan   # scan -> map, nothing else
+    a = {r["id"]: r["cell"] for r in ivf.assign_cells(b, idx.centroids, idx.dim).collect()}
+    assert {r["id"]: r["cell"] for r in wc.collect()} == a
+
+
+def test_ingest_append_equals_fresh_assignment(spark, sf):
+    from vekta.operators import ingest
+    b = fx.base_vectors(spark, sf, with_label=True)
+    plan = ingest.plan_ingest(b)
+    seed = ingest.ingest_seed_labels(b, plan)
+    full = ingest.ingest_append(seed, ingest.appended_rows(b, plan))
+    fresh = ivf.assign_cells(b.where(F.col("id") >= plan.start), seed.centroids, seed.dim)
+    got = {r["id"]: r["cell"] for r in full.cells.where(F.col("id") >= plan.start).collect()}
+    assert got == {r["id"]: r["cell"] for r in fresh.collect()}
+    wc = {r["window"]: r["rows"] for r in ingest.window_counts(ingest.appended_rows(b, plan), plan).collect()}
+    assert sum(wc.values()) == b.count() - plan.start

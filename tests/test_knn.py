@@ -128,3 +128,15 @@ def test_tree_merge_equals_flat(spark, monkeypatch):
     monkeypatch.setattr(K, "TREE_MERGE_PARTITIONS", 4)
     tree = as_dict(K.knn_join(q, b.repartition(40), 6))
     assert tree == flat
+
+
+def test_point_workload_draws_existing_ids(spark, sf):
+    b = fx.base_vectors(spark, sf)
+    w = K.point_workload(b, b, 3, t=50, seed=7)
+    rows = w.collect()
+    ids = {r["id"] for r in b.select("id").collect()}
+    assert len({r["txn"] for r in rows}) == 50
+    assert all(r["query_id"] in ids for r in rows)
+    assert all(r["rank"] <= 3 for r in rows)
+    again = sorted((r["txn"], r["query_id"]) for r in K.point_workload(b, b, 3, t=50, seed=7).collect())
+    assert again == sorted((r["txn"], r["query_id"]) for r in rows)
