@@ -82,9 +82,10 @@ def index_stats(cells: DataFrame, centroids: DataFrame | None = None,
 
 
 def _one_row_combine(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side combination of two single-row aggregates (a join on a
-    constant key of two one-row tables)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Side-by-side combination of two single-row aggregates: the columns of
+    ``b`` arrive as a scalar subquery (no join)."""
+    from ..plans.scalars import attach_scalars
+    return attach_scalars(a, b)
 
 
 def files_bytes(df: DataFrame) -> DataFrame:

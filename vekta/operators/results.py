@@ -131,12 +131,10 @@ def upsert_results(old: DataFrame, new: DataFrame, order_col: str | None = None,
     firsts = o.select(*KEY, F.col("id").alias("_old_id"), F.col("created_at").alias("_old_ts"))
     merged = nb.join(firsts, KEY, "left")
     fresh = merged.where(F.col("_old_id").isNull()).select(*KEY)
-    # current maximum id as a one-row table joined on a constant key (the
-    # plan stays lazy; the one-row side is broadcast)
-    max_id = o.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max")).withColumn("_one", F.lit(1))
+    # current maximum id as a scalar subquery (the plan stays lazy, no join)
+    max_id = o.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max")).scalar()
     fresh_ids = (with_positions(fresh.withColumn("_key", _key_text()), "_key")
-                 .withColumn("_one", F.lit(1)).join(F.broadcast(max_id), "_one")
-                 .select(*KEY, (F.col("_max") + F.col("pos") + 1).alias("_new_id")))
+                 .select(*KEY, (max_id + F.col("pos") + 1).alias("_new_id")))
     upd = (merged.join(fresh_ids, KEY, "left")
            .withColumn("id", F.coalesce("_old_id", "_new_id"))
            .withColumn("created_at", F.coalesce("_old_ts", "created_at"))

@@ -815,10 +815,9 @@ def search_evaluation(spark, sf_dir):
 
 
 def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (equi-join on a
-    constant key; the one-row side is broadcast)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row (scalar subquery)."""
+    from .plans.scalars import attach_scalars
+    return attach_scalars(df, one)
 
 
 @register("chart_series", f"""
