@@ -1,14 +1,15 @@
 """Neighbour-graph ANN index built and searched with DataFrame joins.
 
 Build (NN-descent, Dong et al. 2011, as iterated joins):
-  * start from ``m`` hashed-random out-edges per node;
-  * each round, a node's neighbourhood L(v) = its ``m`` out-edges plus at
-    most ``m`` nearest in-edges (reverse edges chosen by distance, so a hub
-    cannot blow up a group); every pair (a, b) in L(v) with at least one
-    edge new since the last round is a candidate edge a -> b;
+  * start from the best ``m`` of max(2m, ef_construction) hashed-random
+    candidates per node;
+  * each round, candidate edges come from the current graph with no caps:
+    two hops u -> v -> w, and siblings u, w that share a neighbour v (both
+    out-edges of v, at most m^2 per v); only pairs touching an edge that is
+    new since the last round are scored;
   * candidate distances come from two joins with the id-partitioned vector
-    table and a vectorised Arrow kernel; each node keeps its best
-    ``ef_construction`` candidates as the pool and the best ``m`` as edges;
+    table and a vectorised Arrow kernel; each node keeps its best ``m``
+    edges (the initial graph draws max(2m, ef_construction) candidates);
   * the round's edges are checkpointed (shared checkpoint folder) to cut
     lineage; the driver reads only the count of changed edges and stops
     below ``min_update_rate`` or at ``max_iter``.
@@ -89,6 +90,22 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _candidate_pairs(edges: DataFrame) -> DataFrame:
+    """New candidate edges u -> w from the current graph, without caps:
+      * two hops  u -> v -> w (join on v; a hub v fans out linearly in its
+        in-degree — each row a different u — which AQE's skew join splits);
+      * siblings  u, w both out-neighbours of one v (at most m^2 per v).
+    Only pairs touching an edge that is new since the last round."""
+    a = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("is_new").alias("n1"))
+    b = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("is_new").alias("n2"))
+    hop = (a.join(b, "v").where((F.col("u") != F.col("w")) & (F.col("n1") | F.col("n2")))
+           .select(F.col("u").alias("src"), F.col("w").alias("dst")))
+    c = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("is_new").alias("n1"))
+    sib = (c.join(b, "v").where((F.col("u") != F.col("w")) & (F.col("n1") | F.col("n2")))
+           .select(F.col("u").alias("src"), F.col("w").alias("dst")))
+    return hop.unionByName(sib).distinct()
+
+
 def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFAULT_EF_CONSTRUCTION,
                 max_iter: int = 6, min_update_rate: float = 0.002, seed: int = 42,
                 id_col: str = "id", vec_col: str = "v", dim: int | None = None,
@@ -100,31 +117,24 @@ def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFA
     vectors = _checkpoint(b.repartition(parts, "id"))
     n = vectors.count()
     m = max(1, min(m, n - 1)) if n > 1 else 1
-    pool = max(m, ef_construction)
-    # initial graph: m hashed draws per node (self-draws and repeats dropped)
+    pool = max(2 * m, ef_construction)
+    # initial graph: ``pool`` hashed draws per node (self-draws and repeats
+    # dropped), the best m kept — ef_construction sets how many random
+    # candidates each node starts from
     pos = with_positions(vectors.select("id"), "id")
-    draws = (pos.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(2 * m - 1))).alias("j"))
+    draws = (pos.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(pool - 1))).alias("j"))
              .withColumn("pos", F.pmod(hash_draw(seed, F.concat_ws(":", F.col("src"), F.col("j"))), F.lit(n))))
     init = (draws.join(pos.select(F.col("id").alias("dst"), "pos"), "pos")
             .where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
     edges = _keep_best(_with_vectors(init, vectors, dim), m).withColumn("is_new", F.lit(True))
     edges = _checkpoint(edges)
     for _ in range(max_iter):
-        fwd = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "distance", "is_new")
-        rev = edges.select(F.col("dst").alias("v"), F.col("src").alias("u"), "distance", "is_new")
-        wr = Window.partitionBy("v").orderBy(F.col("distance").asc_nulls_last(), F.col("u"))
-        rev = rev.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= m).drop("_r")
-        hood = fwd.unionByName(rev).groupBy("v", "u").agg(F.max("is_new").alias("is_new"))
-        a = hood.select("v", F.col("u").alias("src"), F.col("is_new").alias("na"))
-        c = hood.select("v", F.col("u").alias("dst"), F.col("is_new").alias("nb"))
-        pairs = (a.join(c, "v").where((F.col("src") != F.col("dst")) & (F.col("na") | F.col("nb")))
-                 .select("src", "dst").distinct())
+        pairs = _candidate_pairs(edges)
         old = edges.select("src", "dst")
         fresh = pairs.join(old, ["src", "dst"], "left_anti")
         scored = _with_vectors(fresh, vectors, dim).withColumn("is_new", F.lit(True))
         merged = edges.select("src", "dst", "distance", F.lit(False).alias("is_new")).unionByName(scored)
-        best = _keep_best(merged, pool)
-        new_edges = _checkpoint(best.where(F.col("rank") <= m))
+        new_edges = _checkpoint(_keep_best(merged, m))
         changed = new_edges.where("is_new").count()
         edges = new_edges
         if changed <= min_update_rate * n * m:
