@@ -144,7 +144,7 @@ def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFA
 
 
 def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAULT_EF,
-                 entry_points: int = 64, max_rounds: int = 32, seed: int = 42,
+                 entry_points: int = 64, max_rounds: int | None = None, seed: int = 42,
                  query_id: str = "id", query_vec: str = "v") -> DataFrame:
     """Approximate k nearest via beam search: (query_id, id, distance, rank).
     The beam is max(ef, k) wide; seeds are each query's nearest nodes among a
@@ -156,7 +156,7 @@ def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAUL
 
 
 def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[int],
-                       entry_points: int = 64, max_rounds: int = 32, seed: int = 42,
+                       entry_points: int = 64, max_rounds: int | None = None, seed: int = 42,
                        query_id: str = "id", query_vec: str = "v") -> DataFrame:
     """Several ``ef`` settings in one search: the setting is part of the beam
     key, so all settings advance together round by round.
@@ -166,7 +166,7 @@ def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[
 
 
 def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_points: int = 64,
-          max_rounds: int = 32, seed: int = 42, query_id: str = "id", query_vec: str = "v"):
+          max_rounds: int | None = None, seed: int = 42, query_id: str = "id", query_vec: str = "v"):
     spark = queries.sparkSession
     q = _prep(queries, query_id, query_vec, "query_id")
     dim = index.dim
@@ -214,7 +214,11 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_p
     w = Window.partitionBy("ef", "query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
     edges = index.edges.select("src", "dst")
     key = ["ef", "query_id", "id"]
-    for _ in range(max_rounds):
+    # runs until no beam has an unexpanded node (the visited set only grows,
+    # so this terminates); ``max_rounds`` is an optional safety bound
+    rnd = 0
+    while max_rounds is None or rnd < max_rounds:
+        rnd += 1
         frontier = seen.where(F.col("in_beam") & ~F.col("expanded")).select("ef", "query_id", F.col("id").alias("src"))
         nbrs = (frontier.join(edges, "src").select("ef", "query_id", F.col("dst").alias("id")).distinct()
                 .join(seen.select(*key), key, "left_anti"))
