@@ -83,3 +83,18 @@ def test_index_write_read_drop(spark, sf):
     assert back.cells.count() == b.count()
     assert back.centroids.count() == 10
     assert catalog.drop_index(spark, path) and not catalog.table_exists(spark, path)
+
+
+def test_index_stats_and_disk_bytes(spark, sf):
+    from vekta.operators import graph, ivf, metrics
+    b = fx.base_vectors(spark, sf, with_label=True)
+    idx = ivf.ivf_from_labels(b, "label", layout=True)
+    path = scratch_path(spark, "stats")
+    catalog.write_index(idx, path)
+    cells = catalog.read_version(spark, path, "cells")
+    s = metrics.index_stats(cells, idx.centroids).first()
+    assert s["rows"] == b.count() and s["cells"] == 10 and s["payload_bytes"] == b.count() * (64 * 4 + 8)
+    assert metrics.files_bytes(cells).first()["disk_bytes"] > 0
+    g = graph.graph_build(b.where("id < 120"), m=4, ef_construction=8, max_iter=1)
+    gs = metrics.index_stats(g.vectors, edges=g.edges).first()
+    assert gs["edges"] == 120 * 4
