@@ -6,8 +6,6 @@ adding duplicates; the checkpoint records which batches are done."""
 
 from __future__ import annotations
 
-from ..plans.shipping import ensure_shipped
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
