@@ -49,3 +49,16 @@ def test_sweep_graph_rows(spark, sf):
     res = sweep.sweep_graph(b, b, truth, grid, k=5, max_iter=2).collect()
     assert sorted(r["ef"] for r in res) == [10, 20]
     assert all(0 < r["recall"] <= 1 for r in res)
+
+
+def test_search_with_query_set_above_broadcast_limit(spark, sf):
+    b = fx.base_vectors(spark, sf)
+    g = graph.graph_build(b, m=6, ef_construction=16, max_iter=2)
+    q = b.where("id < 60")
+    want = sorted((r["query_id"], r["rank"], r["id"]) for r in graph.graph_search(g, q, 5, ef=10).collect())
+    spark.conf.set("vekta.broadcast.maxBytes", str(64 * 8 * 20))
+    try:
+        got = sorted((r["query_id"], r["rank"], r["id"]) for r in graph.graph_search(g, q, 5, ef=10).collect())
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+    assert got == want

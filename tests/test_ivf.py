@@ -110,3 +110,35 @@ def test_ingest_append_equals_fresh_assignment(spark, sf):
     assert got == {r["id"]: r["cell"] for r in fresh.collect()}
     wc = {r["window"]: r["rows"] for r in ingest.window_counts(ingest.appended_rows(b, plan), plan).collect()}
     assert sum(wc.values()) == b.count() - plan.start
+
+
+def test_centroid_table_above_broadcast_limit(spark, sf):
+    b = fx.base_vectors(spark, sf, with_label=True)
+    idx = ivf.ivf_from_labels(b, "label")
+    want_assign = {r["id"]: r["cell"] for r in ivf.assign_cells(b, idx.centroids, idx.dim).collect()}
+    want_search = _ids(ivf.ivf_search(idx, b, 5, probes=2))
+    spark.conf.set("vekta.broadcast.maxBytes", str(64 * 8 * 5))   # < 10 centroids
+    try:
+        got_assign = {r["id"]: r["cell"] for r in ivf.assign_cells(b, idx.centroids, idx.dim).collect()}
+        got_cells = {r["id"]: r["cell"] for r in
+                     ivf.with_cells(b.select("id", "v"), idx.centroids, idx.dim).collect()}
+        got_search = _ids(ivf.ivf_search(idx, b, 5, probes=2))
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+    assert got_assign == want_assign == got_cells
+    assert got_search == want_search
+
+
+def test_sweep_fallback_equals_probe_pass(spark, sf):
+    from vekta.operators import sweep
+    b = fx.base_vectors(spark, sf).where("id < 200")
+    grid = spark.createDataFrame([("ivf", 4, p, None, None, None, "x") for p in (1, 2, 4)], sweep.GRID_DDL)
+    truth = knn.build_truth(b, b, 5)
+    want = sorted((r["probes"], r["hits"]) for r in sweep.sweep_ivf(b, b, truth, grid, k=5).collect())
+    spark.conf.set("vekta.broadcast.maxBytes", str(64 * 8 * 50))
+    try:
+        got = sorted((r["probes"], r["hits"]) for r in sweep.sweep_ivf(b, b, truth, grid, k=5).collect())
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+    assert got == want
+    assert [h for _, h in want] == sorted(h for _, h in want)

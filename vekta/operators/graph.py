@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
-from ..plans.sizing import BroadcastBlock, broadcast_limit, vector_dim
+from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, broadcast_limit, vector_dim
 from ..session import checkpoint_dir
 from . import kernel as K
 from .knn import _empty, _prep, hash_draw, rank_candidates, with_positions
@@ -171,11 +171,16 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_p
     dim = index.dim
     efs = sorted({int(e) for e in efs})
     widest = max(max(efs), k)
-    blk = BroadcastBlock.collect(q, "query_id", "v", dim, broadcast_limit(spark))
-    valid = blk.extra["_valid"]
-    qids, qm = blk.ids[valid], blk.matrix[valid]
-    qn, q_ok = K.normalise(qm)
-    bc = spark.sparkContext.broadcast((qids, qn, q_ok))
+    try:
+        blk = BroadcastBlock.collect(q, "query_id", "v", dim, broadcast_limit(spark))
+    except BroadcastTooLarge:
+        blk = None   # query set above the broadcast limit: score by joining query vectors
+    if blk is not None:
+        valid = blk.extra["_valid"]
+        qids, qm = blk.ids[valid], blk.matrix[valid]
+        qn, q_ok = K.normalise(qm)
+        bc = spark.sparkContext.broadcast((qids, qn, q_ok))
+    qvec = q.select("query_id", F.col("v").alias("qv"))
 
     def score(batches):
         import pandas as pd
@@ -221,7 +226,13 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_p
         frontier = seen.where(F.col("in_beam") & ~F.col("expanded")).select("ef", "query_id", F.col("id").alias("src"))
         nbrs = (frontier.join(edges, "src").select("ef", "query_id", F.col("dst").alias("id")).distinct()
                 .join(seen.select(*key), key, "left_anti"))
-        scored = nbrs.join(index.vectors, "id").select("ef", "query_id", "id", "v").mapInArrow(score, schema)
+        with_v = nbrs.join(index.vectors, "id")
+        if blk is not None:
+            scored = with_v.select("ef", "query_id", "id", "v").mapInArrow(score, schema)
+        else:
+            scored = _pair_distance(with_v.join(qvec, "query_id")
+                                    .select("ef", "query_id", "id", F.col("qv").alias("va"),
+                                            F.col("v").alias("vb")), dim)
         marked = seen.select("ef", "query_id", "id", "distance",
                              (F.col("expanded") | F.col("in_beam")).alias("expanded"))
         rows = marked.unionByName(scored.withColumn("expanded", F.lit(False)))

@@ -56,7 +56,10 @@ def nearest_centroids(df: DataFrame, centroids: DataFrame, n: int, dim: int,
     cell id). The centroid table is size-checked and broadcast; the rows are
     streamed through a map, so this never shuffles."""
     spark = df.sparkSession
-    blk = _centroid_block(centroids, dim)
+    try:
+        blk = _centroid_block(centroids, dim)
+    except BroadcastTooLarge:
+        return _centroids_by_join(df, centroids, n, dim, id_col, vec_col, out_cell, out_rank, out_dist)
     cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
     bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
 
@@ -71,6 +74,19 @@ def nearest_centroids(df: DataFrame, centroids: DataFrame, n: int, dim: int,
             .withColumn(out_cell, F.col(out_cell).cast("int")))
 
 
+def _centroids_by_join(df: DataFrame, centroids: DataFrame, n: int, dim: int, id_col: str,
+                       vec_col: str, out_cell: str, out_rank: str, out_dist: str) -> DataFrame:
+    """Centroid table above the broadcast limit (many lists x high dimension):
+    an exact kNN join with the centroids as the base side — the rows are
+    broadcast when they are few (query probes), else the grid path."""
+    from .knn import knn_join
+    c = centroids.select(F.col("cell").cast("long").alias("id"), F.col("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    r = knn_join(rows, c, n, dim=dim)
+    return r.select(F.col("query_id").alias(id_col), F.col("id").cast("int").alias(out_cell),
+                    F.col("rank").alias(out_rank), F.col("distance").alias(out_dist))
+
+
 def assign_cells(df: DataFrame, centroids: DataFrame, dim: int, id_col: str = "id",
                  vec_col: str = "v") -> DataFrame:
     """(id, cell, cell_distance): the nearest centroid of every row."""
@@ -79,13 +95,20 @@ def assign_cells(df: DataFrame, centroids: DataFrame, dim: int, id_col: str = "i
 
 
 def with_cells(df: DataFrame, centroids: DataFrame, dim: int, vec_col: str = "v",
-               out_cell: str = "cell", out_dist: str | None = None) -> DataFrame:
+               out_cell: str = "cell", out_dist: str | None = None, id_col: str = "id") -> DataFrame:
     """Every row of ``df`` with its nearest centroid appended (all columns
     pass through). One map over the rows — no join back by id, so assigning
     a 100 TB base costs one scan, not a shuffle of the base."""
     import pyarrow as pa
     spark = df.sparkSession
-    blk = _centroid_block(centroids, dim)
+    try:
+        blk = _centroid_block(centroids, dim)
+    except BroadcastTooLarge:
+        # centroid table above the broadcast limit: assign by kNN join, then
+        # attach by id (a shuffle, only on this fallback path)
+        a = _centroids_by_join(df, centroids, 1, dim, id_col, vec_col, out_cell, "_rank", "_dist")
+        a = a.select(id_col, out_cell, *([F.col("_dist").alias(out_dist)] if out_dist else []))
+        return df.join(a, id_col, "left")
     cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
     bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
     names = df.columns
