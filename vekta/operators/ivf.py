@@ -142,10 +142,22 @@ def label_centroids(base: DataFrame, cell_col: str = "label", vec_col: str = "v"
             .select("cell", vector_to_array("_m").alias("v")))
 
 
-def _layout(cells: DataFrame, lists: int) -> DataFrame:
-    """Cluster rows by cell (range partitions + sort) for min/max skipping."""
-    n = max(1, min(lists, cells.sparkSession.sparkContext.defaultParallelism * 4))
-    return cells.repartitionByRange(n, "cell").sortWithinPartitions("cell", "id")
+# Target bytes per index partition when the index is laid out by cell.
+LAYOUT_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def _layout(cells: DataFrame, rows: int | None, dim: int) -> DataFrame:
+    """Cluster rows by cell for min/max skipping: range partitions on
+    (cell, id) — the id splits a hot cell over as many partitions as its
+    size needs — sorted within partitions. The partition count follows the
+    data size (~256 MB each), not the number of lists."""
+    spark = cells.sparkSession
+    if rows is None:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        n = max(spark.sparkContext.defaultParallelism,
+                -(-int(rows) * (dim * 4 + 16) // LAYOUT_PARTITION_BYTES))
+    return cells.repartitionByRange(n, "cell", "id").sortWithinPartitions("cell", "id")
 
 
 def ivf_from_labels(base: DataFrame, cell_col: str = "label", id_col: str = "id",
@@ -156,7 +168,7 @@ def ivf_from_labels(base: DataFrame, cell_col: str = "label", id_col: str = "id"
                     F.col(cell_col).cast("int").alias("cell"))
     dim = dim or vector_dim(b, "v")
     cent = label_centroids(b, "cell", "v")
-    cells = _layout(b, 64) if layout else b
+    cells = _layout(b, None, dim) if layout else b
     return IvfIndex(cent, cells, lists=-1, dim=dim)
 
 
@@ -186,7 +198,7 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     cent = spark.createDataFrame(centers, "cell int, v array<double>")
     cells = with_cells(b, cent, dim)
     if layout:
-        cells = _layout(cells, lists)
+        cells = _layout(cells, n, dim)
     return IvfIndex(cent, cells, lists=len(centers), dim=dim)
 
 
