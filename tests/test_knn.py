@@ -140,3 +140,16 @@ def test_point_workload_draws_existing_ids(spark, sf):
     assert all(r["rank"] <= 3 for r in rows)
     again = sorted((r["txn"], r["query_id"]) for r in K.point_workload(b, b, 3, t=50, seed=7).collect())
     assert again == sorted((r["txn"], r["query_id"]) for r in rows)
+
+
+def test_single_precision_kernel_is_close(spark):
+    b, bm = random_df(spark, 300, 16, 21)
+    q, qm = random_df(spark, 20, 16, 22, start=700)
+    exp = brute(qm, bm, np.arange(700, 720), np.arange(300), 5)
+    spark.conf.set("vekta.kernel.precision", "single")
+    try:
+        got = as_dict(K.knn_join(q, b, 5))
+    finally:
+        spark.conf.unset("vekta.kernel.precision")
+    for qi in exp:
+        assert np.allclose([d for _, d in got[qi]], [d for _, d in exp[qi]], atol=1e-5)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
 from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
-                            vector_dim)
+                            kernel_dtype, vector_dim)
 from . import kernel as K
 from .knn import CANDIDATES_DDL, _empty, _prep, rank_candidates
 
@@ -62,11 +62,12 @@ def nearest_centroids(df: DataFrame, centroids: DataFrame, n: int, dim: int,
         return _centroids_by_join(df, centroids, n, dim, id_col, vec_col, out_cell, out_rank, out_dist)
     cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
     bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
+    dt = kernel_dtype(spark)
 
     def run(batches):
         ids, m, ok = bc.value
         yield from K.nearest_of_block(batches, ids, m, ok, n, dim, id_col, vec_col,
-                                      out_cell, out_rank, out_dist)
+                                      out_cell, out_rank, out_dist, dtype=dt)
     ensure_shipped(spark)
     schema = f"{id_col} long, {out_cell} long, {out_rank} long, {out_dist} double"
     return (df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
@@ -111,6 +112,7 @@ def with_cells(df: DataFrame, centroids: DataFrame, dim: int, vec_col: str = "v"
         return df.join(a, id_col, "left")
     cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
     bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
+    dt = kernel_dtype(spark)
     names = df.columns
 
     def run(batches):
@@ -118,7 +120,7 @@ def with_cells(df: DataFrame, centroids: DataFrame, dim: int, vec_col: str = "v"
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            cell, dist = K.nearest_one(rb.column(vec_col), ids, m, ok, dim)
+            cell, dist = K.nearest_one(rb.column(vec_col), ids, m, ok, dim, dtype=dt)
             cols = [rb.column(c) for c in names] + [pa.array(cell, pa.int32(), mask=cell < 0)]
             out = names + [out_cell]
             if out_dist:
@@ -234,10 +236,11 @@ def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
     if not cq:
         return spark.createDataFrame([], "query_id long, examined long" if counts else CANDIDATES_DDL)
     bc = spark.sparkContext.broadcast((qids, qn, q_ok, cq))
+    dt = kernel_dtype(spark)
 
     def run(batches):
         ids, m, ok, cmap = bc.value
-        yield from K.cell_topk_partition(batches, ids, m, ok, cmap, k, dim, "id", "v", "cell",
+        yield from K.cell_topk_partition(batches, ids, m, ok, cmap, k, dim, "id", "v", "cell", dtype=dt,
                                          counts=counts)
     scan = index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
     scan = scan.where(F.col("cell").isin(sorted(cq)))
@@ -254,6 +257,7 @@ def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
     spark = queries.sparkSession
     dim = index.dim
     rows_per_block = max(1, block_limit(spark) // (dim * 8))
+    dt = kernel_dtype(spark)
     sizes = index.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     salts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_block)))
                          .cast("int").alias("_s"))
@@ -271,7 +275,7 @@ def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
             qids = qt.column("query_id").to_numpy()
             return pa.table({"query_id": pa.array(qids, pa.int64()),
                              "examined": pa.array(np.full(len(qids), bt.num_rows), pa.int64())})
-        return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v")
+        return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v", dtype=dt)
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
     ensure_shipped(spark)
     return q.groupBy("cell", "salt").cogroup(b.groupBy("cell", "salt")).applyInArrow(pair, schema)

@@ -122,6 +122,7 @@ def exact_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.ndarra
                          counts: bool = False) -> Iterator[pa.RecordBatch]:
     """Stream base batches against a broadcast query block; emit <= k rows per
     query for this partition (the partial top-k)."""
+    qn = qn.astype(dtype, copy=False)
     top = TopK(len(query_ids), k)
     examined = np.zeros(len(query_ids), dtype=np.int64)
     for rb in batches:
@@ -157,6 +158,7 @@ def cell_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray
                         dtype=np.float64, counts: bool = False) -> Iterator[pa.RecordBatch]:
     """IVF probe kernel: a base row of cell c is compared only with the queries
     that probe c (``cell_queries[c]`` = index array into the query block)."""
+    qn = qn.astype(dtype, copy=False)
     top = TopK(len(query_ids), k)
     examined = np.zeros(len(query_ids), dtype=np.int64)
     for rb in batches:
@@ -196,6 +198,7 @@ def nearest_of_block(batches: Iterator[pa.RecordBatch], cand_ids: np.ndarray,
     """For each streamed row, its n nearest rows of a complete broadcast block
     (centroids, seed nodes). Pure map: no merge across partitions needed."""
     n = min(n, len(cand_ids))
+    cn = cn.astype(dtype, copy=False)
     for rb in batches:
         if rb.num_rows == 0:
             continue
@@ -218,6 +221,7 @@ def nearest_one(vec_col: pa.Array, cand_ids: np.ndarray, cn: np.ndarray, c_ok: n
                 dim: int, dtype=np.float64) -> tuple[np.ndarray, np.ndarray]:
     """Nearest candidate id per row (-1 for NULL / wrong-length vectors) and
     its distance (NaN when undefined); ties by candidate id."""
+    cn = cn.astype(dtype, copy=False)
     q, valid = vectors_from_arrow(vec_col, dim, dtype)
     qn, q_ok = normalise(q, valid)
     top = TopK(len(q), 1)
@@ -251,6 +255,7 @@ def cell_pair_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.nd
     """Top-k per (query, probed cell) pair ("slot"), so one pass at the
     largest probe count serves every smaller probe count: the top-k over
     probes <= P is the top-k of the union of the per-cell lists."""
+    qn = qn.astype(dtype, copy=False)
     top = TopK(len(slot_query), k)
     for rb in batches:
         if rb.num_rows == 0:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..plans.shipping import ensure_shipped
 from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
-                            n_blocks, vector_dim)
+                            kernel_dtype, n_blocks, vector_dim)
 from . import kernel as K
 
 CANDIDATES_DDL = "query_id long, id long, distance double"
@@ -74,10 +74,11 @@ def exact_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int,
     qids, qn = block.ids[valid], block.matrix[valid]
     qn, q_ok = K.normalise(qn)
     bc = spark.sparkContext.broadcast((qids, qn, q_ok))
+    dt = kernel_dtype(spark)
 
     def run(batches):
         ids, m, ok = bc.value
-        yield from K.exact_topk_partition(batches, ids, m, ok, k, dim, "id", "v", counts=counts)
+        yield from K.exact_topk_partition(batches, ids, m, ok, k, dim, "id", "v", dtype=dt, counts=counts)
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
     ensure_shipped(spark)
     return base.mapInArrow(run, schema)
@@ -95,6 +96,7 @@ def _grid_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int, nq:
     spark = queries.sparkSession
     nb_rows = base.count()
     qb_n = n_blocks(nq, dim, broadcast_limit(spark))
+    dt = kernel_dtype(spark)
     bb_n = n_blocks(nb_rows, dim, block_limit(spark))
     qg = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb_n)))
           .withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bb_n - 1).cast("long")))))
@@ -108,7 +110,7 @@ def _grid_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int, nq:
             _, ok = K.vectors_from_arrow(bt.column("v"), dim)
             return pa.table({"query_id": pa.array(qids, pa.int64()),
                              "examined": pa.array(np.full(len(qids), int(ok.sum())), pa.int64())})
-        return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v")
+        return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v", dtype=dt)
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
     ensure_shipped(spark)
     return qg.groupBy("qb", "bb").cogroup(bg.groupBy("qb", "bb")).applyInArrow(pair, schema)

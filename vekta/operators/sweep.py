@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
 from ..functions.vectors import params_json
-from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, broadcast_limit, vector_dim
+from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, broadcast_limit, kernel_dtype, vector_dim
 from . import kernel as K
 from .ivf import IvfIndex, ivf_build, nearest_centroids
 from .knn import _prep, rank_candidates
@@ -80,10 +80,12 @@ def probe_sweep_candidates(index: IvfIndex, queries: DataFrame, k: int, max_prob
     bounds = np.flatnonzero(np.diff(slot_cell[order])) + 1
     cell_slots = {int(slot_cell[g[0]]): g for g in np.split(order, bounds) if len(g)}
     bc = spark.sparkContext.broadcast((qids, qn, q_ok, cell_slots, slot_query, slot_cell))
+    dt = kernel_dtype(spark)
 
     def run(batches):
         ids, m, ok, cs, sq, sc = bc.value
-        yield from K.cell_pair_topk_partition(batches, ids, m, ok, cs, sq, sc, k, dim, "id", "v", "cell")
+        yield from K.cell_pair_topk_partition(batches, ids, m, ok, cs, sq, sc, k, dim, "id", "v", "cell",
+                                              dtype=dt)
     scan = (index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
             .where(F.col("cell").isin(sorted(cell_slots))))
     ensure_shipped(spark)
