@@ -44,8 +44,9 @@ def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int,
     if valid.all() and offsets[0] == 0 and offsets[-1] == n * dim:
         return values[: n * dim].reshape(n, dim), valid
     out = np.zeros((n, dim), dtype=dtype)
-    for i in np.nonzero(valid)[0]:
-        out[i] = values[offsets[i]:offsets[i + 1]]
+    rows = np.nonzero(valid)[0]
+    if len(rows):
+        out[rows] = values[offsets[rows][:, None] + np.arange(dim)]
     return out, valid
 
 
