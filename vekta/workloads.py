@@ -14,9 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as text_fns
+from .functions.vectors import with_stddev_band
+from .operators import graph as graph_ops
+from .operators import ingest as ing_ops
+from .operators import ivf as ivf_ops
 from .operators import knn as knn_ops
+from .operators import metrics as met_ops
 from .operators import recall as rec
+from .operators import results as res_ops
+from .operators import sweep as sweep_ops
+from .session import scratch_path
 from .sources import fixtures as fx
+from .sources import vectors as vec_src
+from .streaming import ingest as ing_stream
+from .streaming import progress as prog_stream
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -217,7 +229,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------- IVF (cells)
-from .operators import ivf as ivf_ops  # noqa: E402
 
 SQL_CENT = """
 cent AS (
@@ -328,7 +339,6 @@ def ivf_kmeans_search(spark, sf_dir):
 
 
 # ------------------------------------------------------------ results store
-from .operators import results as res_ops  # noqa: E402
 
 KEYS_SQL = "metric_type, extension, index_params, dataset, n, k"
 KEYTEXT_SQL = "concat_ws(chr(1), metric_type, extension, index_params, dataset, n::VARCHAR, k::VARCHAR)"
@@ -458,9 +468,6 @@ def compare_results(spark, sf_dir):
 
 
 # ------------------------------------------------------- logs and metrics
-from .functions import text as text_fns  # noqa: E402
-from .functions.vectors import with_stddev_band  # noqa: E402
-from .operators import metrics as met_ops  # noqa: E402
 
 SQL_RUN_OUTPUT = """
 ro AS (
@@ -566,7 +573,6 @@ def index_stats(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sources
-from .sources import vectors as vec_src  # noqa: E402
 
 
 @register("validate_vectors", """
@@ -587,10 +593,6 @@ def validate_vectors(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- ingest
-from .operators import ingest as ing_ops  # noqa: E402
-from .streaming import ingest as ing_stream  # noqa: E402
-from .streaming import progress as prog_stream  # noqa: E402
-from .session import scratch_path  # noqa: E402
 
 
 def sql_cent_from(src: str) -> str:
@@ -720,7 +722,6 @@ def latency_windows_stream(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ sweeps
-from .operators import sweep as sweep_ops  # noqa: E402
 
 
 @register("param_grid_ivf", """
@@ -762,7 +763,6 @@ def sweep_ivf(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- graph
-from .operators import graph as graph_ops  # noqa: E402
 
 
 @register("graph_search")
