@@ -251,23 +251,37 @@ def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
 
 def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
               counts: bool) -> DataFrame:
-    """Shuffle path: (cell, salt) groups. A cell's rows are split into
-    ceil(rows / block) salts (from a per-cell count table, one row per
-    list); the queries probing that cell are replicated to each salt."""
+    """Shuffle path: (cell, salt, qb) groups, bounded on both sides.
+
+    From two per-cell tables (one row per list): a cell's rows are split into
+    ``_s = ceil(rows / block)`` salts and the queries probing it into
+    ``_qb = ceil(probing queries / block)`` query blocks. Each base row goes
+    to its salt and is replicated to the cell's query blocks; each probing
+    query goes to its query block and is replicated to the cell's salts. A
+    cell holding a third of the rows, or probed by a third of the queries,
+    is spread over as many groups as its size needs."""
     spark = queries.sparkSession
     dim = index.dim
     rows_per_block = max(1, block_limit(spark) // (dim * 8))
     dt = kernel_dtype(spark)
-    sizes = index.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    salts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_block)))
-                         .cast("int").alias("_s"))
-    salts = F.broadcast(salts)  # one row per list: bounded by the index parameter
+    nb = F.lit(rows_per_block)
+    sizes = index.cells.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("_n"))
+    probing = probe.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("_p"))
+    split = (sizes.join(probing, "cell")
+             .select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / nb)).cast("int").alias("_s"),
+                     F.greatest(F.lit(1), F.ceil(F.col("_p") / nb)).cast("int").alias("_qb")))
+    split = F.broadcast(split)  # one row per list: bounded by the index parameter
     b = (index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
-         .join(salts, "cell")
-         .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int")).drop("_s"))
-    q = (probe.select("query_id", "cell").join(queries.select("query_id", "v"), "query_id")
-         .join(salts, "cell")
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s"))
+         .join(split, "cell")
+         .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)))
+         .drop("_s", "_qb"))
+    q = (probe.select("query_id", F.col("cell").cast("int").alias("cell"))
+         .join(queries.select("query_id", "v"), "query_id")
+         .join(split, "cell")
+         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("_qb")).cast("int"))
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+         .drop("_s", "_qb"))
 
     def pair(qt, bt):
         if counts:
@@ -278,7 +292,8 @@ def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
         return K.block_pair_topk(qt, bt, k, dim, "query_id", "v", "id", "v", dtype=dt)
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
     ensure_shipped(spark)
-    return q.groupBy("cell", "salt").cogroup(b.groupBy("cell", "salt")).applyInArrow(pair, schema)
+    keys = ["cell", "salt", "qb"]
+    return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(pair, schema)
 
 
 def ivf_search(index: IvfIndex, queries: DataFrame, k: int, probes: int = DEFAULT_PROBES,
