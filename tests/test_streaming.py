@@ -55,3 +55,34 @@ def test_late_rows_beyond_watermark_are_dropped(spark):
     assert r[t0]["requests"] == 5 and r[t0]["latency_average"] == 10.0
     last = t0 + dt.timedelta(minutes=55)
     assert r[last]["requests"] == 6
+
+
+def test_stream_drops_duplicate_ids_within_watermark(spark, sf):
+    b = fx.base_vectors(spark, sf, with_label=True)
+    plan = ingest.plan_ingest(b)
+    seed = ingest.ingest_seed_labels(b, plan)
+    rows = b.where("id >= 100 AND id < 130").select("id", "v").collect()
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    data = [(r["id"], r["v"], t0 + dt.timedelta(seconds=i)) for i, r in enumerate(rows)]
+    data += [(r["id"], r["v"], t0 + dt.timedelta(seconds=40 + i)) for i, r in enumerate(rows[:10])]  # replays
+    src = scratch_path(spark, "dup")
+    spark.createDataFrame(data, "id long, v array<float>, ts timestamp").coalesce(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = sing.assign_stream(seed, stream, event_time="ts", dedupe_within="10 minutes")
+    got_path = scratch_path(spark, "dup-out")
+    q = (out.writeStream.foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(f"{got_path}/batch={i}"))
+         .option("checkpointLocation", scratch_path(spark, "dup-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(got_path)
+    assert got.count() == 30 and got.select("id").distinct().count() == 30
+    assert got.where("cell IS NULL").count() == 0
+
+
+def test_search_dispatch(spark, sf):
+    from vekta.operators.search import search
+    b = fx.base_vectors(spark, sf, with_label=True)
+    idx = ivf.ivf_from_labels(b, "label")
+    exact = sorted((r["query_id"], r["id"]) for r in search(b, 3, base=b).collect())
+    full = sorted((r["query_id"], r["id"]) for r in search(b, 3, index=idx, probes=10).collect())
+    assert exact == full

@@ -19,6 +19,7 @@ from .operators.knn import (build_truth, knn, knn_join, neighbour_lists,  # noqa
                             point_workload, sample_queries)
 from .operators.metrics import index_stats, latency_summary, latency_windows, summarize  # noqa: E402,F401
 from .operators.recall import recall_at_k, recall_curve  # noqa: E402,F401
+from .operators.search import search  # noqa: E402,F401
 from .operators.results import (compare_results, distinct_params, lookup_result,  # noqa: E402,F401
                                 metric_series, metric_series_all, upsert_results)
 from .operators.sweep import evaluate_build, evaluate_search, param_grid, sweep_graph, sweep_ivf  # noqa: E402,F401
