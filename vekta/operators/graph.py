@@ -14,6 +14,9 @@ Build (NN-descent, Dong et al. 2011, as iterated joins):
     lineage; the driver reads only the count of changed edges and stops
     below ``min_update_rate`` or at ``max_iter``.
 
+The index adjacency is bidirectional with bounded degree: m out-links plus
+up to m links back from the nearest nodes pointing at a node.
+
 Search (batched beam search): every query keeps a beam of ``max(ef, k)``
 (node, distance) rows; each round expands the unexpanded beam nodes through
 the edge table, drops already-visited nodes (left anti join), scores the
@@ -44,7 +47,7 @@ DEFAULT_EF = 10
 @dataclass
 class GraphIndex:
     vectors: DataFrame   # (id, v), hash-partitioned by id
-    edges: DataFrame     # (src, dst, distance, rank) — rank 1..m per src
+    edges: DataFrame     # (src, dst, distance, rank, kind): kind 'out' rank 1..m, 'in' <= m
     m: int
     ef_construction: int
     dim: int
@@ -138,8 +141,23 @@ def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFA
         edges = new_edges
         if changed <= min_update_rate * n * m:
             break
-    final = edges.select("src", "dst", "distance", "rank")
-    return GraphIndex(vectors, final, m, ef_construction, dim)
+    return GraphIndex(vectors, _bidirectional(edges, m), m, ef_construction, dim)
+
+
+def _bidirectional(edges: DataFrame, m: int) -> DataFrame:
+    """Search adjacency: each node's m out-links (kind 'out') plus links back
+    from the m nearest nodes that point at it (kind 'in'), so the index is a
+    bounded-degree bidirectional graph (degree <= 2m) — a directed kNN graph
+    alone navigates poorly. Reverse links are chosen by distance (a window
+    with WindowGroupLimit, reduced map-side for hub nodes)."""
+    out = edges.select("src", "dst", "distance", "rank", F.lit("out").alias("kind"))
+    w = Window.partitionBy("src").orderBy(F.col("distance").asc_nulls_last(), F.col("dst"))
+    back = (edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
+            .join(out.select("src", "dst"), ["src", "dst"], "left_anti")
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
+            .select("src", "dst", "distance", F.col("rank").cast("long").alias("rank"),
+                    F.lit("in").alias("kind")))
+    return _checkpoint(out.unionByName(back))
 
 
 def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAULT_EF,
