@@ -27,7 +27,7 @@ from ..plans.shipping import ensure_shipped
 from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
                             kernel_dtype, vector_dim)
 from . import kernel as K
-from .knn import CANDIDATES_DDL, _empty, _prep, rank_candidates
+from .knn import CANDIDATES_DDL, _empty, _prep, merge_topk
 
 # Index parameter defaults of the reference.
 DEFAULT_LISTS = 100
@@ -302,7 +302,7 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int, probes: int = DEFAUL
     q = _prep(queries, query_id, query_vec, "query_id")
     if k <= 0 or probes <= 0:
         return _empty(queries.sparkSession)
-    return rank_candidates(ivf_candidates(index, q, k, probes), k)
+    return merge_topk(ivf_candidates(index, q, k, probes), k)
 
 
 def search_effort(index: IvfIndex | None, queries: DataFrame, base: DataFrame | None = None,
