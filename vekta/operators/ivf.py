@@ -105,6 +105,9 @@ def with_cells(df: DataFrame, centroids: DataFrame, dim: int, vec_col: str = "v"
     try:
         blk = _centroid_block(centroids, dim)
     except BroadcastTooLarge:
+        if df.isStreaming:
+            raise ValueError("centroid table exceeds vekta.broadcast.maxBytes; a streaming assignment "
+                             "needs the centroids broadcast (raise the limit or use fewer lists)")
         # centroid table above the broadcast limit: assign by kNN join, then
         # attach by id (a shuffle, only on this fallback path)
         a = _centroids_by_join(df, centroids, 1, dim, id_col, vec_col, out_cell, "_rank", "_dist")
