@@ -95,3 +95,14 @@ def test_sample_and_positions(spark):
     s1 = [r["id"] for r in knn.sample_queries(df, 10, seed=1).collect()]
     s2 = [r["id"] for r in knn.sample_queries(df.repartition(7), 10, seed=1).collect()]
     assert s1 == s2 and len(set(s1)) == 10
+
+
+def test_series_keep_k_apart_unless_merged(spark):
+    ddl = "metric_type string, extension string, index_params string, dataset string, n long, k long, metric_value double"
+    rows = [("r", "ivf", "{}", "d", 10, 5, 0.5), ("r", "ivf", "{}", "d", 10, 10, 0.7),
+            ("t", "ivf", "{}", "d", 10, 5, 3.0)]
+    res = R.results_table(spark.createDataFrame(rows, ddl))
+    apart = R.metric_series(res, ["r", "t"], "ivf", "{}", "d").collect()
+    assert sorted((r["k"], r["r"]) for r in apart) == [(5, 0.5), (10, 0.7)]
+    merged = R.metric_series(res, ["r", "t"], "ivf", "{}", "d", merge_k=True).collect()
+    assert [(r["n"], r["r"], r["t"]) for r in merged] == [(10, 0.7, 3.0)]

@@ -165,12 +165,21 @@ def distinct_params(results: DataFrame, metric_type: str | Sequence[str], extens
     return results.where(cond).select("index_params").distinct()
 
 
+def _series_keys(n, k, merge_k: bool) -> list[str]:
+    """x axis: n when n is not fixed, else k. With neither fixed, rows of
+    different K at the same n stay apart (grouped by n and k) unless
+    ``merge_k`` asks for one MAX per n across all K."""
+    if n is None and k is None and not merge_k:
+        return ["n", "k"]
+    return ["n"] if n is None else ["k"]
+
+
 def metric_series(results: DataFrame, metric_type: str | Sequence[str], extension: str,
                   index_params: str, dataset: str, n: int | None = None,
-                  k: int | None = None) -> DataFrame:
-    """x = n when n is not fixed, else k. One metric: every matching row
-    (x, metric_value). Several: one column per metric, MAX per x."""
-    x = "n" if n is None else "k"
+                  k: int | None = None, merge_k: bool = False) -> DataFrame:
+    """One metric: every matching row (x, metric_value). Several: one column
+    per metric, MAX per x (see ``_series_keys`` for the x axis)."""
+    xs = _series_keys(n, k, merge_k)
     cond = (_metric_filter(metric_type) & (F.col("extension") == extension)
             & (F.col("index_params") == index_params) & (F.col("dataset") == dataset))
     if n is not None:
@@ -179,8 +188,8 @@ def metric_series(results: DataFrame, metric_type: str | Sequence[str], extensio
         cond &= F.col("k") == k
     r = results.where(cond)
     if isinstance(metric_type, str):
-        return r.select(x, "metric_value").orderBy(x)
-    return r.groupBy(x).pivot("metric_type", list(metric_type)).agg(F.max("metric_value")).orderBy(x)
+        return r.select(*xs, "metric_value").orderBy(*xs)
+    return r.groupBy(*xs).pivot("metric_type", list(metric_type)).agg(F.max("metric_value")).orderBy(*xs)
 
 
 def chart_series(results: DataFrame, configs: DataFrame, metric_types: Sequence[str], dataset: str,
@@ -198,14 +207,14 @@ def chart_series(results: DataFrame, configs: DataFrame, metric_types: Sequence[
 
 
 def metric_series_all(results: DataFrame, metric_types: Sequence[str], extension: str,
-                      dataset: str, n: int | None = None) -> DataFrame:
+                      dataset: str, n: int | None = None, merge_k: bool = False) -> DataFrame:
     """All parameter sets at once: (index_params, x, metric columns...) —
     one grouped pivot instead of a query per parameter set."""
-    x = "n" if n is None else "k"
+    xs = _series_keys(n, None, merge_k)
     cond = _metric_filter(metric_types) & (F.col("extension") == extension) & (F.col("dataset") == dataset)
     if n is not None:
         cond &= F.col("n") == n
-    return (results.where(cond).groupBy("index_params", x)
+    return (results.where(cond).groupBy("index_params", *xs)
             .pivot("metric_type", list(metric_types)).agg(F.max("metric_value")))
 
 

@@ -400,14 +400,14 @@ def results_distinct_params(spark, sf_dir):
 
 @register("metric_series", f"""
 WITH {SQL_RUNS}
-SELECT n,
+SELECT n, k,
        max(CASE WHEN metric_type = 'A' THEN metric_value END) AS "A",
        max(CASE WHEN metric_type = 'N' THEN metric_value END) AS "N",
        max(CASE WHEN metric_type = 'R' THEN metric_value END) AS "R"
 FROM store
 WHERE metric_type IN ('A', 'N', 'R') AND extension = 'F' AND index_params = '{{"lines":1}}'
   AND dataset = 'lineitem'
-GROUP BY n""")
+GROUP BY n, k""")
 def metric_series(spark, sf_dir):
     return res_ops.metric_series(_store(spark, sf_dir), ["A", "N", "R"], "F", '{"lines":1}', "lineitem")
 
@@ -435,13 +435,13 @@ def metric_scatter(spark, sf_dir):
 
 @register("metric_series_all", f"""
 WITH {SQL_RUNS}
-SELECT index_params, n,
+SELECT index_params, n, k,
        max(CASE WHEN metric_type = 'A' THEN metric_value END) AS "A",
        max(CASE WHEN metric_type = 'N' THEN metric_value END) AS "N",
        max(CASE WHEN metric_type = 'R' THEN metric_value END) AS "R"
 FROM store
 WHERE metric_type IN ('A', 'N', 'R') AND extension = 'O' AND dataset = 'lineitem'
-GROUP BY index_params, n""")
+GROUP BY index_params, n, k""")
 def metric_series_all(spark, sf_dir):
     return res_ops.metric_series_all(_store(spark, sf_dir), ["A", "N", "R"], "O", "lineitem")
 
