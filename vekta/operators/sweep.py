@@ -189,6 +189,27 @@ def evaluate_search(recall: DataFrame, extension: str, dataset: str, n: int,
             .withColumn("n", F.lit(n).cast("long")))
 
 
+def evaluate_insert(latency: DataFrame, extension: str, dataset: str, n: int,
+                    recall: DataFrame | None = None, bulk: bool = False) -> DataFrame:
+    """Insert totals (one ``latency_summary`` row per index configuration,
+    with ``index_params``) -> results rows: insert latency, its stddev and
+    throughput (k = 0), plus recall after insert per K when given."""
+    from . import results as R
+    lat = R.METRIC_INSERT_BULK_LATENCY if bulk else R.METRIC_INSERT_LATENCY
+    sd = R.METRIC_INSERT_BULK_LATENCY_STDDEV if bulk else R.METRIC_INSERT_LATENCY_STDDEV
+    tps = R.METRIC_INSERT_BULK_TPS if bulk else R.METRIC_INSERT_TPS
+    out = latency.select(
+        "index_params", F.lit(0).cast("long").alias("k"),
+        F.expr(f"stack(3, '{lat}', CAST(latency_average AS DOUBLE), '{sd}', CAST(latency_stddev AS DOUBLE), "
+               f"'{tps}', CAST(tps AS DOUBLE)) AS (metric_type, metric_value)"))
+    if recall is not None:
+        out = out.unionByName(recall.select(
+            "index_params", F.col("k").cast("long").alias("k"),
+            F.lit(R.METRIC_RECALL_AFTER_INSERT).alias("metric_type"), F.col("recall").alias("metric_value")))
+    return (out.withColumn("extension", F.lit(extension)).withColumn("dataset", F.lit(dataset))
+            .withColumn("n", F.lit(n).cast("long")))
+
+
 def evaluate_build(records: DataFrame, extension: str, dataset: str, n: int) -> DataFrame:
     """Build records (index_params, latency_ms, size_bytes per rebuild) ->
     results rows: averages always, sample stddevs only with > 1 rebuild."""

@@ -876,3 +876,52 @@ def build_evaluation(spark, sf_dir):
     val = F.when(F.col("metric_type").contains("stddev"), F.round("metric_value", 6)) \
         .otherwise(F.col("metric_value"))
     return ev.select(*res_ops.KEY, val.alias("metric_value"))
+
+
+@register("insert_evaluation", f"""
+WITH {SQL_INSERT},
+probe AS (
+  SELECT q.id AS query_id, c.cell,
+         row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_distance(q.v, c.c), c.cell) AS pr
+  FROM base q, cent c QUALIFY pr <= 3),
+cand AS (
+  SELECT p.query_id, x.id, list_cosine_distance(q.v, x.v) AS d
+  FROM probe p JOIN cells x ON x.cell = p.cell JOIN base q ON q.id = p.query_id),
+ivf AS (
+  SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank
+  FROM cand QUALIFY rank <= 10),
+{_truth_sql(20)},
+found AS (SELECT query_id, id, rank FROM ivf),
+{sql_recall('found', [10]).replace('SELECT * FROM rc', '')},
+eplan AS (SELECT count(*) AS n, count(*) // 10 AS start FROM events),
+ins AS (SELECT e.ts, e.value FROM events e, eplan WHERE e.event_id >= eplan.start AND e.event_id < eplan.n),
+lat AS (
+  SELECT {sql_avg2('value')} AS la, round(stddev_samp(value), 6) AS ls,
+         CASE WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 0
+              THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) END AS tp
+  FROM ins),
+rows AS (
+  SELECT '{res_ops.METRIC_INSERT_LATENCY}' AS metric_type, 0::BIGINT AS k, la AS metric_value FROM lat
+  UNION ALL SELECT '{res_ops.METRIC_INSERT_LATENCY_STDDEV}', 0, ls FROM lat
+  UNION ALL SELECT '{res_ops.METRIC_INSERT_TPS}', 0, tp FROM lat
+  UNION ALL SELECT '{res_ops.METRIC_RECALL_AFTER_INSERT}', k, recall FROM rc)
+SELECT metric_type, 'ivf_labels' AS extension, '{EVAL_PARAMS}' AS index_params,
+       'embeddings' AS dataset, (SELECT count(*) FROM embeddings)::BIGINT AS n, k::BIGINT AS k, metric_value
+FROM rows""")
+def insert_evaluation(spark, sf_dir):
+    """One insert evaluation: the appended part of the request log (events
+    after the first tenth, the insert run) summarised as totals, plus recall
+    after inserting into the label-cell index (probes=3, K=10), as results rows."""
+    b, plan, _, idx = _insert_index(spark, sf_dir)
+    n = b.count()
+    found = ivf_ops.ivf_search(idx, b, 10, probes=3)
+    truth = knn_ops.build_truth(b, b, 20)
+    recall = rec.recall_at_k(found, truth, n, 10).withColumn("index_params", F.lit(EVAL_PARAMS))
+    log = fx.request_log(spark, sf_dir).withColumnRenamed("event_id", "id")
+    lplan = ing_ops.plan_ingest(log)
+    lat = met_ops.latency_summary(as_cents(ing_ops.appended_rows(log, lplan), "value"))
+    lat = lat.select(F.lit(EVAL_PARAMS).alias("index_params"),
+                     F.col("latency_average").cast("double").alias("latency_average"),
+                     F.round("latency_stddev", 6).alias("latency_stddev"), "tps")
+    rows = sweep_ops.evaluate_insert(lat, "ivf_labels", "embeddings", n, recall=recall)
+    return rows.select(*res_ops.KEY, "metric_value")
