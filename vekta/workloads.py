@@ -5,8 +5,13 @@ holds the equivalent DuckDB SQL over the pre-registered views. Every query
 runs over whole tables: all embeddings are queries and base, every
 lineitem/events row feeds the results and log queries.
 
-Distances are reported rounded: ``round(greatest(d, 0), 6) + 0.0`` on both
-sides (self-distance may come out as -1e-16; ``+ 0.0`` turns -0.0 into 0.0).
+Values are compared bit for bit, so each side computes them the same way:
+  * distances are rounded: ``round(greatest(d, 0), 6) + 0.0`` on both sides
+    (self-distance may come out as -1e-16; ``+ 0.0`` turns -0.0 into 0.0);
+  * means of 2-decimal measurements are exact decimals (``as_cents`` here,
+    ``sql_avg2`` in DuckDB), so rounding ties resolve identically;
+  * ratios of exact integers (recall, throughput) are the same IEEE
+    operations on both sides and stay unrounded.
 """
 
 from __future__ import annotations
