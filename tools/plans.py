@@ -48,12 +48,22 @@ def main():
         ("results upsert (anti join + union; ids from distributed positions)",
          fx.results_store(spark, sf)),
     ]
+    from vekta.operators import graph
+    g = graph.graph_build(b.select("id", "v"), m=8, ef_construction=32, max_iter=1)
+    edges = g.edges.where("kind = 'out'").withColumn("is_new", F.lit(True))
+    fresh = graph._candidate_pairs(edges).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    sections += [
+        ("graph build round: candidate pairs (two-hop + siblings) scored with the vector table",
+         graph._with_vectors(fresh, g.vectors, g.dim)),
+        ("graph search (beam search over the bidirectional index; one checkpointed table per round)",
+         graph.graph_search(g, b.where("id < 50"), 10, ef=20)),
+    ]
     spark.conf.set("vekta.broadcast.maxBytes", str(64 * 8 * 100))
     spark.conf.set("vekta.block.maxBytes", str(64 * 8 * 100))
     sections += [
         ("knn grid path (query side above the broadcast limit)",
          knn.knn_join(b, b, 10)),
-        ("ivf grid path (salted (cell, salt) groups)",
+        ("ivf grid path (bounded (cell, salt, query block) groups)",
          ivf.ivf_search(idx, b, 10, probes=3)),
     ]
     spark.conf.unset("vekta.broadcast.maxBytes")
