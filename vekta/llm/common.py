@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,14 @@ def byte_ngrams(data: np.ndarray, off: np.ndarray, n: int, buckets: int) -> tupl
     return row[:m][inside], (key[inside] % np.uint32(buckets)).astype(np.int64)
 
 
+def numbered(items: Iterable) -> tuple[np.ndarray, dict]:
+    """A number for each item, by first place, and the numbers of the distinct
+    items (a dict: pandas takes strings that differ after a NUL for equal)."""
+    known: dict = {}
+    codes = [known.setdefault(x, len(known)) for x in items]
+    return np.array(codes, np.int64), known
+
+
 def segment_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments values[off[i]:off[i+1]] (empty ones give 0)."""
     c = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
