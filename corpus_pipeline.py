@@ -1,10 +1,47 @@
-"""Corpus pipeline: documents through language ID, quality rules, near-duplicate removal and packing."""
+"""Corpus pipeline: documents through language ID, quality rules, near-duplicate
+removal and packing. Each stage takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and reread as the next stage's docs."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from vekta.llm import language_id, ngram_join, packing, quality_rules
+from vekta.llm.common import staged, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows."""
+    return language_id.keep_identified(docs, language_id.learn(docs))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the raw corpus is this stage's input."""
+    trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality_rules.keep_good(docs, quality_rules.fit_ratios(docs, trusted))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs, ngram_join.near_duplicates(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, path, keep_ids=False).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("pack", pack)]
+
+# The stages fit models and sample tokens, which SQL can't express; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_ngrams, staged, table, text_slices, utf8
+from .common import byte_ngrams, fresh, staged, table, text_slices, utf8
 
 NGRAM, BUCKETS = 3, 4096
 PER_LANGUAGE = 1000   # most documents a language that the model is fitted on
@@ -112,36 +112,54 @@ def fit_language_model(sample: DataFrame, centroids: int = CENTROIDS) -> Languag
     return LanguageModel(idf, stack, [r["lang"] for r in rows], np.array([r["floor"] for r in rows]))
 
 
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def predictions(m: LanguageModel, texts: pa.Array, letters: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(language, cosine, rejected) of each text."""
+    n = len(texts)
+    known = letters.to_numpy(zero_copy_only=False)
+    lang, score, far = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
+    for s in range(0, n if m.langs else 0, 256):
+        at = slice(s, min(s + 256, n))
+        sim = unit_vectors(term_counts(texts.slice(s, 256)), m.idf) @ m.centroids.T
+        best = np.argmax(sim, axis=1)
+        score[at] = np.clip(sim[np.arange(len(best)), best], 0, 1)
+        far[at] = score[at] < m.floor[best]
+        lang[at] = np.array(m.langs, object)[best]
+    lang[~known], score[~known], far[~known] = "und", 0.0, True
+    return pa.array(lang, pa.string()), pa.array(score), pa.array(far)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (cosine, 0 to 1), rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of buckets, few centroids
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for big in text_slices(batches, "text"):
-            for s in range(0, big.num_rows, 256):
-                b = big.slice(s, 256)
-                letters = b.column("letters").to_numpy(zero_copy_only=False)
-                if m.langs:
-                    sim = unit_vectors(term_counts(b.column("text")), m.idf) @ m.centroids.T
-                    best = np.argmax(sim, axis=1)
-                    score = np.clip(sim[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                    far = score < m.floor[best]
-                    lang = np.array(m.langs, object)[best]
-                else:
-                    score, far, lang = np.zeros(b.num_rows), np.ones(b.num_rows, bool), np.full(b.num_rows, "und", object)
-                lang[~letters] = "und"
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(far | ~letters)],
-                    ["id", "lang_pred", "score", "rejected"])
-
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                      F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+        for b in text_slices(batches, "text"):
+            lang, score, rejected = predictions(shared.value, b.column("text"), b.column("letters"))
+            yield pa.RecordBatch.from_arrays([b.column("id"), lang, score, rejected], ["id", "lang_pred", "score", "rejected"])
+
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), has_letter(text_col).alias("letters"))
     id_type = src.schema["id"].dataType.simpleString()
     return (src.mapInArrow(predict, f"id {id_type}, lang_pred string, score double, rejected boolean")
             .withColumnRenamed("id", "doc_id"))
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language isn't rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    letters = fresh("letters", docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, text_col):
+            rejected = predictions(shared.value, b.column(text_col), b.column(letters))[2]
+            yield b.select([n for n in b.schema.names if n != letters]).filter(pc.invert(rejected))
+
+    return docs.withColumn(letters, has_letter(text_col)).mapInArrow(keep, docs.schema)
+
+
 def remainder() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3
 

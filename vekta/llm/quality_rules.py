@@ -105,6 +105,16 @@ def fit_ratios(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", tex
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
+def verdicts(texts: pa.Array, ratios: np.ndarray, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, base_failed, score, kept) of each text."""
+    counts = base_counts(texts)
+    row, bucket = byte_ngrams(*utf8(texts), NGRAM, BUCKETS)
+    n = np.bincount(row, minlength=len(texts))
+    mean = np.bincount(row, ratios[bucket], minlength=len(texts)) / np.maximum(n, 1)
+    failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+    return counts, failed, mean, ~failed & (mean >= threshold)
+
+
 def judge(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, base counts, base_failed, score and kept."""
@@ -112,18 +122,10 @@ def judge(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
-            texts = b.column("text")
-            counts = base_counts(texts)
-            data, off = utf8(texts)
-            row, bucket = byte_ngrams(data, off, NGRAM, BUCKETS)
-            n = np.bincount(row, minlength=b.num_rows)
-            mean = np.bincount(row, shared.value[bucket], minlength=b.num_rows) / np.maximum(n, 1)
-            failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
-            kept = ~failed & (mean >= threshold)
+            counts, failed, mean, kept = verdicts(b.column("text"), shared.value, threshold)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), *(pa.array(counts[c]) for c in COUNTS), pa.array(failed), pa.array(mean), pa.array(kept)],
-                schema=pa.schema([("id", b.column("id").type), *((c, pa.int64()) for c in COUNTS),
-                                  ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())]))
+                ["id", *COUNTS, "base_failed", "score", "kept"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
@@ -131,6 +133,17 @@ def judge(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def keep_good(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, text_col):
+            yield b.filter(pa.array(verdicts(b.column(text_col), shared.value, threshold)[3]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = fit_ratios(docs, trusted_ids(table(spark, sf_dir, "labels")))

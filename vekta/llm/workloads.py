@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .language_id import op4_language_id
 from .license_scan import op6_license_scan
+from .ngram_join import op1_ngram_join
 from .packing import op9_best_fit_packing
 from .quality_rules import op7_quality_rules
 from .sentencepiece_codec import op5_sentencepiece
 from .url_filter import op10_url_filter
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_license_scan": op6_license_scan,
