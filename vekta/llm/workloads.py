@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from .ann_codes import op2_one_bit_search
 from .language_id import op4_language_id
 from .license_scan import op6_license_scan
 from .ngram_join import op1_ngram_join
 from .packing import op9_best_fit_packing
 from .quality_rules import op7_quality_rules
 from .sentencepiece_codec import op5_sentencepiece
+from .toxicity import op8_toxicity
 from .url_filter import op10_url_filter
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_one_bit_search": op2_one_bit_search,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
 }
