@@ -37,6 +37,7 @@ DIM, HIDDEN, ATTENTION = 16, 8, 8
 WINDOW, STRIDE = 32, 24
 PER_CLASS = 1000      # most labelled texts of a class that the network is fitted on
 ROUNDS, BATCH, RATE = 8, 128, 0.01
+STEPS = 180           # least steps of a fit, for small samples
 FORWARD = 4096        # windows of a forward pass
 
 _words = re.compile(r"\w+").findall
@@ -207,8 +208,8 @@ def coded(texts: list[str]) -> tuple[WordTable, np.ndarray, np.ndarray]:
     return word_table(list(known)), code, np.fromiter(map(len, words), np.int64, len(words))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> Network:
-    """Adam over picked windows, in rounds."""
+def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 5) -> Network:
+    """Adam over picked windows, in at least so many rounds and steps."""
     net, g = Network(), np.random.default_rng(seed)
     if not len(texts):
         return net
@@ -217,7 +218,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, seed: int
     m, v, step = ({k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0)
     first = np.searchsorted(text, np.arange(len(texts)))
     n = np.diff(np.append(first, len(text)))
-    for r in range(rounds):
+    per_round = -(-(len(texts) + int((labels == 0).sum())) // BATCH)
+    for r in range(max(rounds, -(-steps // per_round))):
         random = first + (g.random(len(texts)) * n).astype(np.int64)
         score = net.logits(table, code, start, length) if r > 1 else g.random(len(text)).astype(np.float32)
         order = np.lexsort((-score, text))

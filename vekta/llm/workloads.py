@@ -8,6 +8,7 @@ from .license_scan import op6_license_scan
 from .ngram_join import op1_ngram_join
 from .packing import op9_best_fit_packing
 from .quality_rules import op7_quality_rules
+from .quotes import op3_quotation_links
 from .sentencepiece_codec import op5_sentencepiece
 from .toxicity import op8_toxicity
 from .url_filter import op10_url_filter
@@ -15,6 +16,7 @@ from .url_filter import op10_url_filter
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_one_bit_search": op2_one_bit_search,
+    "op3_quotation_links": op3_quotation_links,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_license_scan": op6_license_scan,
