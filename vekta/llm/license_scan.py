@@ -128,5 +128,31 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"))
 
 
+def license_sql(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> str:
+    """DuckDB SQL that compares every block with every template."""
+    def quoted(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    places = " UNION ALL ".join(
+        f"SELECT doc, i - 1 AS place, '{label}' AS label FROM words, unnest(range(1, len(w) + 1)) AS u(i) WHERE "
+        + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in phrases.items())
+    kinds = ", ".join(f"('{name}', {quoted(sorted(set(text.split())))})" for name, text in templates.items())
+    return f"""
+WITH words AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS ({places}),
+base AS (SELECT doc, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc),
+blocks AS (SELECT doc, list_slice(w, {STRIDE} * k + 1, {STRIDE} * k + {BLOCK}) AS b FROM words,
+    unnest(range(0, 1 + greatest(0, ceil((len(w) - {BLOCK}) / {STRIDE}.0)::INT))) AS u(k)),
+found AS (SELECT doc, name, max(len(list_intersect(tokens, b)) / len(tokens)) AS held
+    FROM blocks, (VALUES {kinds}) AS t(name, tokens) GROUP BY doc, name HAVING held >= {CONTAINMENT}),
+best AS (SELECT doc, max(held) AS held, list(name) AS names FROM found GROUP BY doc)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(names, [])))), ',') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(held, 0.0) END::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc) LEFT JOIN best USING (doc)"""
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, staged, table, text_slices
+from .common import fresh, numbered, staged, table, text_slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -345,14 +345,15 @@ def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", tex
     grouped = classes.where("n_links > 0")
     first = grouped.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("comp", F.col("first.rid").alias("stays"))
     # rows are known again by (id, text); the copies among rows with both equal count
+    t_id, t_key, row = (fresh(n, docs.columns) for n in ("t_id", "t_key", "row"))
     marked = (grouped.join(first, "comp").groupBy("doc_id", "text_key")
               .agg(F.max((F.col("rid") == F.col("stays")).cast("int")).alias("has_first"), F.count("*").alias("rows")))
-    touched = staged(marked.where("has_first = 0 OR rows > 1").select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), "has_first"), "dropped")
-    same = F.col(id_col).eqNullSafe(F.col("t_id")) & (F.xxhash64(F.col(text_col)) == F.col("t_key"))
-    untouched = docs.join(sized(touched), same, "left_anti")
-    repeated = touched.where("has_first = 1")
-    once = (docs.join(sized(repeated), same).groupBy("t_id", "t_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-            .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+    touched = staged(marked.where("has_first = 0 OR rows > 1").select(F.col("doc_id").alias(t_id), F.col("text_key").alias(t_key), "has_first"), "dropped")
+    same = F.col(id_col).eqNullSafe(F.col(t_id)) & (F.xxhash64(F.col(text_col)) == F.col(t_key))
+    untouched = docs.join(sized(touched.select(t_id, t_key)), same, "left_anti")
+    repeated = touched.where("has_first = 1").select(t_id, t_key)
+    once = (docs.join(sized(repeated), same).groupBy(t_id, t_key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+            .select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))
     return untouched.unionByName(once)
 
 

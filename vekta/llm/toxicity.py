@@ -81,8 +81,8 @@ class Network:
         d, h, a = DIM, HIDDEN, ATTENTION
         shapes = {"word": (WORD_BUCKETS, d), "char": (CHAR_BUCKETS, d), "wf": (d, 3 * h), "wb": (d, 3 * h), "rf": (h, 3 * h),
                   "rb": (h, 3 * h), "bf": (3 * h,), "bb": (3 * h,), "att": (2 * h, a), "pick": (a,), "out": (2 * h,), "bias": (1,)}
-        self.p = {k: (g.standard_normal(s) * (0.3 if k in ("word", "char") else 1 / np.sqrt(s[0]))).astype(np.float32) for k, s in shapes.items()}
-        for k in ("bf", "bb", "bias"):
+        self.p = {k: (g.standard_normal(s) * (0.3 if k == "char" else 1 / np.sqrt(s[0]))).astype(np.float32) for k, s in shapes.items()}
+        for k in ("word", "bf", "bb", "bias"):  # a word that training never saw adds nothing
             self.p[k][:] = 0
 
     def word_inputs(self, t: WordTable) -> np.ndarray:

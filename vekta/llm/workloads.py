@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .ann_codes import op2_one_bit_search
 from .language_id import op4_language_id
-from .license_scan import op6_license_scan
+from .license_scan import license_sql, op6_license_scan
 from .ngram_join import op1_ngram_join
 from .packing import op9_best_fit_packing
 from .quality_rules import op7_quality_rules
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_license_scan": license_sql()}
