@@ -6,7 +6,7 @@ row), so extraction is a distributed projection / aggregation, not a loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The line shapes of the load driver's summary and of the
@@ -51,15 +51,13 @@ def extract_plan_buffers(lines: DataFrame, plan_col: str = "plan_id",
     Output: plan_id, shared_hit (bigint), disk_read (bigint).
     """
     t = F.col(text)
-    marked = (lines.groupBy(plan_col)
-              .agg(F.min(F.when(t.contains(PLAN_MARKER), F.col(line_no))).alias("_m")))
-    buf = (lines.join(marked, plan_col)
-           .where((F.col(line_no) > F.col("_m")) & t.contains(BUFFERS_MARKER))
-           .groupBy(plan_col)
-           .agg(F.min_by(t, F.col(line_no)).alias("_buf")))
+    # window and aggregate share one exchange by plan
+    marker = F.min(F.when(t.contains(PLAN_MARKER), F.col(line_no))).over(Window.partitionBy(plan_col))
+    after = (F.col(line_no) > F.col("_m")) & t.contains(BUFFERS_MARKER)
+    buf = (lines.withColumn("_m", marker).groupBy(plan_col)
+           .agg(F.min_by(F.when(after, t), F.when(after, F.col(line_no))).alias("_buf")))
     hit = F.regexp_extract(F.col("_buf"), SHARED_HIT_PATTERN, 1)
     rd = F.regexp_extract(F.col("_buf"), READ_PATTERN, 1)
-    return (marked.select(plan_col).join(buf, plan_col, "left")
-            .select(plan_col,
-                    F.coalesce(F.when(hit != "", hit.cast("bigint")), F.lit(0).cast("bigint")).alias("shared_hit"),
-                    F.coalesce(F.when(rd != "", rd.cast("bigint")), F.lit(0).cast("bigint")).alias("disk_read")))
+    return buf.select(plan_col,
+                      F.coalesce(F.when(hit != "", hit.cast("bigint")), F.lit(0).cast("bigint")).alias("shared_hit"),
+                      F.coalesce(F.when(rd != "", rd.cast("bigint")), F.lit(0).cast("bigint")).alias("disk_read"))

@@ -26,6 +26,7 @@ query (grouped top-k window). Stops when no beam changes.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,7 @@ from .knn import _empty, _prep, hash_draw, rank_candidates, with_positions
 DEFAULT_M = 32
 DEFAULT_EF_CONSTRUCTION = 128
 DEFAULT_EF = 10
+MIN_ENTRY_POINTS = 64
 
 
 @dataclass
@@ -109,7 +111,7 @@ def _candidate_pairs(edges: DataFrame) -> DataFrame:
 
 
 def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFAULT_EF_CONSTRUCTION,
-                max_iter: int = 6, min_update_rate: float = 0.002, seed: int = 42,
+                max_iter: int | None = None, min_update_rate: float = 0.002, seed: int = 42,
                 id_col: str = "id", vec_col: str = "v", dim: int | None = None,
                 partitions: int | None = None) -> GraphIndex:
     spark = base.sparkSession
@@ -130,7 +132,9 @@ def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFA
             .where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
     edges = _keep_best(_with_vectors(init, vectors, dim), m).withColumn("is_new", F.lit(True))
     edges = _checkpoint(edges)
-    for _ in range(max_iter):
+    # rounds until few edges change; random starts need about log(n) of them
+    rounds = max_iter if max_iter is not None else 4 + n.bit_length()
+    for _ in range(rounds):
         pairs = _candidate_pairs(edges)
         old = edges.select("src", "dst")
         fresh = pairs.join(old, ["src", "dst"], "left_anti")
@@ -160,12 +164,29 @@ def _bidirectional(edges: DataFrame, m: int) -> DataFrame:
     return _checkpoint(out.unionByName(back))
 
 
+def graph_append(index: GraphIndex, new_rows: DataFrame, id_col: str = "id", vec_col: str = "v") -> GraphIndex:
+    """Insert rows into a graph index: each new node links to its nearest
+    nodes, found by searching the present graph and among the batch itself;
+    links back are chosen anew, so degrees keep their bound."""
+    from .knn import knn_join
+    new = _checkpoint(new_rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")))
+    found = graph_search(index, new, index.m, ef=max(index.ef_construction, index.m))
+    own = knn_join(new, new, index.m + 1, dim=index.dim).where("query_id <> id")
+    links = (found.unionByName(own).where("query_id <> id")
+             .select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance").distinct())
+    out = _keep_best(links, index.m).select("src", "dst", "distance", "rank")
+    old = index.edges.where("kind = 'out'").select("src", "dst", "distance", "rank")
+    edges = _checkpoint(old.unionByName(out))
+    return GraphIndex(_checkpoint(index.vectors.select("id", "v").unionByName(new)), _bidirectional(edges, index.m),
+                      index.m, index.ef_construction, index.dim)
+
+
 def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAULT_EF,
-                 entry_points: int = 64, max_rounds: int | None = None, seed: int = 42,
+                 entry_points: int | None = None, max_rounds: int | None = None, seed: int = 42,
                  query_id: str = "id", query_vec: str = "v") -> DataFrame:
     """Approximate k nearest via beam search: (query_id, id, distance, rank).
     The beam is max(ef, k) wide; seeds are each query's nearest nodes among a
-    seeded sample of ``entry_points`` nodes."""
+    seeded sample of ``entry_points`` nodes (default: 4 times the root of the node count)."""
     if k <= 0:
         return _empty(queries.sparkSession)
     state, _ = _beam(index, queries, k, [ef], entry_points, max_rounds, seed, query_id, query_vec)
@@ -173,7 +194,7 @@ def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAUL
 
 
 def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[int],
-                       entry_points: int = 64, max_rounds: int | None = None, seed: int = 42,
+                       entry_points: int | None = None, max_rounds: int | None = None, seed: int = 42,
                        query_id: str = "id", query_vec: str = "v") -> DataFrame:
     """Several ``ef`` settings in one search: the setting is part of the beam
     key, so all settings advance together round by round.
@@ -182,7 +203,7 @@ def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[
     return rank_candidates(state.select("ef", "query_id", "id", "distance"), k, ["ef", "query_id"])
 
 
-def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_points: int = 64,
+def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_points: int | None = None,
           max_rounds: int | None = None, seed: int = 42, query_id: str = "id", query_vec: str = "v"):
     spark = queries.sparkSession
     q = _prep(queries, query_id, query_vec, "query_id")
@@ -223,6 +244,8 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_p
     schema = "ef int, query_id long, id long, distance double"
     # seeds: each query's nearest nodes among a seeded sample, per ef setting
     from .knn import exact_candidates, sample_queries
+    if entry_points is None:
+        entry_points = max(MIN_ENTRY_POINTS, 4 * math.isqrt(index.vectors.count()))
     sample = sample_queries(index.vectors, entry_points, seed=seed)
     seeds = rank_candidates(exact_candidates(q, sample, widest, dim), widest)
     efarr = F.array(*[F.lit(e) for e in efs])

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
+from ..plans.staging import staged
+from ..sources.vectors import vector_problem
 from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
                             kernel_dtype, vector_dim)
 from . import kernel as K
@@ -110,9 +112,11 @@ def with_cells(df: DataFrame, centroids: DataFrame, dim: int, vec_col: str = "v"
                              "needs the centroids broadcast (raise the limit or use fewer lists)")
         # centroid table above the broadcast limit: assign by kNN join, then
         # attach by id (a shuffle, only on this fallback path)
-        a = _centroids_by_join(df, centroids, 1, dim, id_col, vec_col, out_cell, "_rank", "_dist")
-        a = a.select(id_col, out_cell, *([F.col("_dist").alias(out_dist)] if out_dist else []))
-        return df.join(a, id_col, "left")
+        # (ids may repeat, so rows go by a number of their own, fixed by the written table)
+        rows = staged(df.withColumn("_uid", F.monotonically_increasing_id()), "assign")
+        a = _centroids_by_join(rows, centroids, 1, dim, "_uid", vec_col, out_cell, "_rank", "_dist")
+        a = a.select("_uid", out_cell, *([F.col("_dist").alias(out_dist)] if out_dist else []))
+        return rows.join(a, "_uid", "left").select(*df.columns, out_cell, *([out_dist] if out_dist else []))
     cn, c_ok = K.normalise(blk.matrix, blk.extra["_valid"])
     bc = spark.sparkContext.broadcast((blk.ids, cn, c_ok))
     dt = kernel_dtype(spark)
@@ -141,8 +145,10 @@ def label_centroids(base: DataFrame, cell_col: str = "label", vec_col: str = "v"
     cell holding a third of all rows costs no more than any other."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    return (base.select(F.col(cell_col).cast("int").alias("cell"),
-                        array_to_vector(F.col(vec_col)).alias("_f"))
+    dim = vector_dim(base, vec_col)
+    return (base.where(vector_problem(F.col(vec_col), dim or 0).isNull())
+            .select(F.col(cell_col).cast("int").alias("cell"),
+                    array_to_vector(F.col(vec_col)).alias("_f"))
             .groupBy("cell").agg(Summarizer.mean(F.col("_f")).alias("_m"))
             .select("cell", vector_to_array("_m").alias("v")))
 
@@ -178,11 +184,14 @@ def ivf_from_labels(base: DataFrame, cell_col: str = "label", id_col: str = "id"
 
 
 def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_iter: int = 10,
-              train_rows: int = 256 * DEFAULT_LISTS, id_col: str = "id", vec_col: str = "v",
+              rows_per_list: int | None = 256, id_col: str = "id", vec_col: str = "v",
               dim: int | None = None, layout: bool = True) -> IvfIndex:
-    """k-means IVF index (cosine). Centroids are fitted by Spark ML KMeans on a
-    bounded, seeded sample (``train_rows`` ≈ 256 per list); every row is then
-    assigned by the broadcast-centroid kernel."""
+    """k-means IVF index (cosine). Centroids are fitted by Spark ML KMeans on
+    about ``rows_per_list`` rows for each list, drawn by a seeded hash of the
+    id (None: all rows); every row is then assigned by the
+    broadcast-centroid kernel. Vectors without a direction (NULL, wrong
+    length, NULL element, zero) take no part in the fit; NULL and wrong-length
+    ones get no cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     spark = base.sparkSession
@@ -190,9 +199,10 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     dim = dim or vector_dim(b, "v")
     n = b.count()
     lists = max(1, min(int(lists), n))
-    frac = min(1.0, train_rows / max(n, 1))
-    sample = b.sample(False, frac, seed) if frac < 1.0 else b
-    # the sample is bounded (train_rows); MLlib iterates over it, so cache it
+    usable = b.where(vector_problem(F.col("v"), dim or 0).isNull())
+    one_in = 1 if rows_per_list is None else max(1, n // (rows_per_list * lists))
+    sample = usable.where(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(one_in)) == 0)
+    # the sample follows ``lists``; MLlib iterates over it, so cache it
     feats = sample.select(array_to_vector("v").alias("features")).persist()
     try:
         model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=max_iter,
@@ -305,21 +315,27 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int, probes: int = DEFAUL
     q = _prep(queries, query_id, query_vec, "query_id")
     if k <= 0 or probes <= 0:
         return _empty(queries.sparkSession)
-    return merge_topk(ivf_candidates(index, q, k, probes), k)
+    return merge_topk(ivf_candidates(index, q, k, probes), k, source=index.cells)
 
 
 def search_effort(index: IvfIndex | None, queries: DataFrame, base: DataFrame | None = None,
                   probes: int = DEFAULT_PROBES, query_id: str = "id",
                   query_vec: str = "v") -> DataFrame:
-    """Candidates examined per query: (query_id, examined).
+    """Candidates examined per query: (query_id, examined), from the cells'
+    row counts; no distance but those to the centroids is computed.
 
     ``index=None`` measures exact search over ``base`` (every valid row)."""
     q = _prep(queries, query_id, query_vec, "query_id")
     if index is None:
-        from .knn import exact_candidates
-        b = _prep(base, "id", "v")
         dim = vector_dim(q, "v")
-        parts = exact_candidates(q, b, 1, dim, counts=True)
-    else:
-        parts = ivf_candidates(index, q, 1, probes, counts=True)
-    return parts.groupBy("query_id").agg(F.sum("examined").cast("long").alias("examined"))
+        n = _countable(_prep(base, "id", "v"), dim).agg(F.count(F.lit(1)).alias("n")).scalar()
+        return _countable(q, dim).select("query_id", n.cast("long").alias("examined")).where("examined > 0")
+    sizes = (_countable(index.cells, index.dim).groupBy(F.col("cell").cast("int").alias("cell"))
+             .agg(F.count(F.lit(1)).alias("rows")))  # one row per list
+    return (_probe_table(q, index, probes).join(sizes, "cell")
+            .groupBy("query_id").agg(F.sum("rows").cast("long").alias("examined")))
+
+
+def _countable(df: DataFrame, dim: int | None) -> DataFrame:
+    """Rows whose vector a search compares: the right length, no NULL."""
+    return df.where((F.size("v") == F.lit(dim or 0)) & ~F.exists("v", lambda x: x.isNull()))

@@ -94,13 +94,19 @@ class TopK:
             # Ties at the k-th distance: resolve those rows exactly by id.
             thr = sd.max(axis=1)
             amb = np.nonzero((cd <= thr[:, None]).sum(axis=1) > k)[0]
-            for r in amb:
-                o = np.lexsort((ci[r], cd[r]))[:k]
-                sd[r], si[r] = cd[r, o], ci[r, o]
+            if len(amb):
+                o = np.lexsort((ci[amb], cd[amb]), axis=1)[:, :k]
+                sd[amb] = np.take_along_axis(cd[amb], o, axis=1)
+                si[amb] = np.take_along_axis(ci[amb], o, axis=1)
         else:
             sd, si = cd, ci
         self.d[rows], self.ids[rows] = sd, si
 
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids) with each row in (distance, id) order."""
+        o = np.lexsort((self.ids, self.d), axis=1)
+        return np.take_along_axis(self.d, o, axis=1), np.take_along_axis(self.ids, o, axis=1)
+
     def emit(self, query_ids: np.ndarray) -> pa.RecordBatch:
         keep = self.ids != SENTINEL_ID
         qi = np.broadcast_to(query_ids[:, None], self.ids.shape)[keep]
@@ -207,13 +213,15 @@ def nearest_of_block(batches: Iterator[pa.RecordBatch], cand_ids: np.ndarray,
         q, valid = vectors_from_arrow(rb.column(vec_col), dim, dtype)
         qn, q_ok = normalise(q, valid)
         top = TopK(len(ids), n)
-        top.merge(slice(None), cosine_block(qn, q_ok, cn, c_ok), cand_ids)
-        keep = (top.ids != SENTINEL_ID) & valid[:, None]
-        rank = np.broadcast_to(np.arange(1, n + 1, dtype=np.int64), top.ids.shape)
-        dist = np.where(np.isinf(top.d), np.nan, top.d)
+        for s in _query_chunks(len(ids), len(cand_ids)):
+            top.merge(s, cosine_block(qn[s], q_ok[s], cn, c_ok), cand_ids)
+        near, near_ids = top.ordered()
+        keep = (near_ids != SENTINEL_ID) & valid[:, None]
+        rank = np.broadcast_to(np.arange(1, n + 1, dtype=np.int64), near_ids.shape)
+        dist = np.where(np.isinf(near), np.nan, near)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.broadcast_to(ids[:, None], top.ids.shape)[keep], pa.int64()),
-             pa.array(top.ids[keep], pa.int64()), pa.array(rank[keep], pa.int64()),
+            [pa.array(np.broadcast_to(ids[:, None], near_ids.shape)[keep], pa.int64()),
+             pa.array(near_ids[keep], pa.int64()), pa.array(rank[keep], pa.int64()),
              pa.array(dist[keep], pa.float64())],
             names=[id_col, out_id, out_rank, out_dist])
 
@@ -226,7 +234,8 @@ def nearest_one(vec_col: pa.Array, cand_ids: np.ndarray, cn: np.ndarray, c_ok: n
     q, valid = vectors_from_arrow(vec_col, dim, dtype)
     qn, q_ok = normalise(q, valid)
     top = TopK(len(q), 1)
-    top.merge(slice(None), cosine_block(qn, q_ok, cn, c_ok), cand_ids)
+    for s in _query_chunks(len(q), len(cand_ids)):
+        top.merge(s, cosine_block(qn[s], q_ok[s], cn, c_ok), cand_ids)
     best = top.ids[:, 0]
     keep = valid & (best != SENTINEL_ID)
     dist = np.where(np.isinf(top.d[:, 0]), np.nan, top.d[:, 0])

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shipping import ensure_shipped
+from ..plans.staging import staged
 from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
                             kernel_dtype, n_blocks, vector_dim)
 from . import kernel as K
@@ -132,7 +133,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "id
         dim = vector_dim(q, "v")
     if dim is None or k <= 0:
         return _empty(spark)
-    return merge_topk(exact_candidates(q, b, k, dim), k)
+    return merge_topk(exact_candidates(q, b, k, dim), k, source=b)
 
 
 # Above this many candidate partitions the merge goes through an
@@ -140,12 +141,22 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, query_id: str = "id
 TREE_MERGE_PARTITIONS = 1024
 
 
-def merge_topk(cands: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks a scan of ``df`` takes, from the planner's size
+    estimate alone (nothing runs)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m")
+    per_task = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split)
+    return max(1, size // max(1, per_task))
+
+
+def merge_topk(cands: DataFrame, k: int, key: str = "query_id", source: DataFrame | None = None) -> DataFrame:
     """Global top-k per key over per-task partial top-k lists. With P tasks a
-    key's final group would hold P x k rows; for large P an intermediate
-    merge by (key, task mod sqrt(P)) bounds every group to ~sqrt(P) x k."""
+    key's final group would hold P x k rows; for large P (estimated from the
+    scanned ``source``) an intermediate merge by (key, task mod sqrt(P))
+    bounds every group to ~sqrt(P) x k."""
     import math
-    parts = cands.rdd.getNumPartitions()
+    parts = scan_tasks(cands if source is None else source)
     if parts <= TREE_MERGE_PARTITIONS:
         return rank_candidates(cands, k, key)
     fan = int(math.ceil(math.sqrt(parts)))
@@ -198,14 +209,16 @@ def hash_draw(seed: int, col) -> "F.Column":
 def with_positions(df: DataFrame, order_col: str, out: str = "pos") -> DataFrame:
     """0-based position in ``order_col`` order without a single-partition
     window: range-sort, number rows inside each partition, then add the
-    running total of the partition sizes (one row per partition, broadcast)."""
-    srt = (df.orderBy(order_col)
-           .withColumn("_p", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
+    running total of the partition sizes (one row per partition). The sorted
+    rows are written once, and sizes and positions come from that one table:
+    two sorts of the same rows need not draw the same partition bounds."""
+    srt = staged(df.orderBy(order_col)
+                 .withColumn("_p", F.spark_partition_id())
+                 .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     sizes = srt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_p").cast("long"), 33)
-    return (srt.join(F.broadcast(offs), "_p")
+    return (srt.join(offs, "_p")
             .withColumn(out, F.col("_off") + local)
             .drop("_p", "_mid", "_off"))
 

@@ -52,8 +52,10 @@ def per_query_hits(neighbours: DataFrame, truth: DataFrame, ks: Iterable[int],
 
 def recall_curve(neighbours: DataFrame, truth: DataFrame, n_queries: int,
                  ks: Iterable[int] = DEFAULT_K_VALUES, id_offset: int | str = 0,
-                 by: Sequence[str] = ()) -> DataFrame:
-    """One row per K: (k, recall, hits, queries, missing_truth).
+                 by: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
+    """One row per K: (k, recall, hits, queries, missing_truth); with ``by``,
+    one per group and K. ``groups`` lists the groups, also those that found nothing
+    (default: the ones in ``neighbours``).
 
     ``neighbours`` holds (query_id, id, rank) searched once at max(ks).
     ``n_queries`` is the number of issued queries (the denominator).
@@ -64,7 +66,11 @@ def recall_curve(neighbours: DataFrame, truth: DataFrame, n_queries: int,
     agg = h.groupBy(*by, "k").agg(F.sum("hits").alias("hits"),
                              F.sum(F.when(~F.col("has_truth"), 1).otherwise(0)).alias("missing_truth"))
     if by:
-        # one row per (group, K) that found anything (every group in a sweep)
+        # every group has a row for each K; finding nothing is recall 0
+        karr = F.array(*[F.lit(k) for k in ks])
+        groups = neighbours.select(*by) if groups is None else groups.select(*by)
+        every = groups.distinct().withColumn("k", F.explode(karr))
+        agg = every.join(agg, [*by, "k"], "left").fillna(0, ["hits", "missing_truth"])
         return agg.select(*by, F.col("k").cast("long").alias("k"),
                           (F.col("hits").cast("double") / F.lit(float(n_queries)) / F.col("k")).alias("recall"),
                           F.col("hits").cast("long").alias("hits"),

@@ -90,16 +90,17 @@ def conform(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def dedupe_last(batch: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One row per key; with ``order_col`` the greatest wins (last write).
+    """One row per key: the one with the greatest ``order_col`` (last write
+    wins). Without an order a key must not repeat; the job fails if one does.
 
     ``row_number() = 1`` plans as WindowGroupLimit, so even a key holding a
     third of the batch is reduced map-side before the shuffle."""
     if order_col is None:
-        order = [F.col(c).desc_nulls_last() for c in ("metric_value", "out", "err")
-                 if c in batch.columns]
-    else:
-        order = [F.col(order_col).desc_nulls_last()]
-    w = Window.partitionBy(*KEY).orderBy(*order)
+        rest = [c for c in batch.columns if c not in KEY]
+        one = batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+        unique = F.when(F.col("_n") > 1, F.raise_error(F.lit("a result key repeats: order_col has to say which row is the last")).cast("boolean")).otherwise(F.lit(True))
+        return one.where(unique).select(*[F.col(c) if c in KEY else F.col(f"_row.{c}").alias(c) for c in batch.columns])
+    w = Window.partitionBy(*KEY).orderBy(F.col(order_col).desc_nulls_last())
     return batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

@@ -37,8 +37,7 @@ GRID_DDL = "method string, lists int, probes int, m int, ef_construction int, ef
 def param_grid(spark: SparkSession, method: str, n: int) -> DataFrame:
     """Parameter sets for a base of n rows. ivf: lists = int(f * floor(sqrt n))
     x probes (30 sets); graph: m x ef_construction x ef with
-    ef_construction > 2m, and m < n (a node has at most n-1 neighbours);
-    exact: one empty set."""
+    ef_construction > 2m; exact: one empty set."""
     rows = []
     if method == "ivf":
         s = int(math.sqrt(n))
@@ -50,7 +49,7 @@ def param_grid(spark: SparkSession, method: str, n: int) -> DataFrame:
         for m in GRAPH_M:
             for efc in GRAPH_EF_CONSTRUCTION:
                 for ef in GRAPH_EF:
-                    if efc > 2 * m and m < n:
+                    if efc > 2 * m:
                         rows.append(("graph", None, None, m, efc, ef,
                                      params_json({"m": m, "ef_construction": efc, "ef": ef})))
     elif method == "exact":
@@ -60,6 +59,10 @@ def param_grid(spark: SparkSession, method: str, n: int) -> DataFrame:
     return spark.createDataFrame(rows, GRID_DDL)
 
 
+def _settings(spark: SparkSession, name: str, values: list[int]) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+
+
 def probe_sweep_candidates(index: IvfIndex, queries: DataFrame, k: int, max_probes: int) -> DataFrame:
     """(query_id, probe_rank, id, distance): top-k per (query, probed cell)."""
     spark = queries.sparkSession
@@ -115,7 +118,7 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
             for p in probes:
                 t = ivf_search(idx, queries, k, probes=p).withColumn("probes", F.lit(p))
                 top = t if top is None else top.unionByName(t)
-            r = (recall_curve(top, truth, nq, [k], id_offset, by=["probes"])
+            r = (recall_curve(top, truth, nq, [k], id_offset, by=["probes"], groups=_settings(spark, "probes", probes))
                  .withColumn("lists", F.lit(lists))
                  .withColumn("index_params", F.concat(F.lit('{"lists":%d,"probes":' % lists),
                                                       F.col("probes").cast("string"), F.lit("}"))))
@@ -124,7 +127,7 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
         parr = F.array(*[F.lit(p) for p in probes])
         per = cands.withColumn("probes", F.explode(F.filter(parr, lambda p: p >= F.col("probe_rank"))))
         top = rank_candidates(per, k, ["probes", "query_id"])
-        r = (recall_curve(top, truth, nq, [k], id_offset, by=["probes"])
+        r = (recall_curve(top, truth, nq, [k], id_offset, by=["probes"], groups=_settings(spark, "probes", probes))
              .withColumn("lists", F.lit(lists))
              .withColumn("index_params", F.concat(F.lit('{"lists":%d,"probes":' % lists),
                                                   F.col("probes").cast("string"), F.lit("}"))))
@@ -148,7 +151,7 @@ def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: Dat
         efs = sorted({e for mm, cc, e in sets if (mm, cc) == (m, efc)})
         g = graph_build(base, m=m, ef_construction=efc, max_iter=max_iter, seed=seed)
         found = graph_search_multi(g, queries, k, efs, seed=seed)
-        r = (recall_curve(found, truth, nq, [k], id_offset, by=["ef"])
+        r = (recall_curve(found, truth, nq, [k], id_offset, by=["ef"], groups=_settings(base.sparkSession, "ef", efs))
              .withColumn("m", F.lit(m)).withColumn("ef_construction", F.lit(efc))
              .withColumn("index_params", F.concat(F.lit('{"ef":'), F.col("ef").cast("string"),
                                                   F.lit(',"ef_construction":%d,"m":%d}' % (efc, m)))))
@@ -162,7 +165,8 @@ def evaluate_search(recall: DataFrame, extension: str, dataset: str, n: int,
     """Melt one search evaluation into results rows (metric_type,
     metric_value) for the upsert: recall per K, plus latency/tps (from
     ``latency_summary``) and effort mean/stddev (examined candidates, the
-    data-level counterpart of buffer hits) when given."""
+    data-level counterpart of buffer hits; with read_mean / read_stddev also
+    the reads) when given: eight metrics per K in all."""
     from . import results as R
     rows = recall.select(F.lit(R.METRIC_RECALL_AFTER_CREATE).alias("metric_type"),
                          F.col("recall").alias("metric_value"), F.col("k").cast("long").alias("k"),
@@ -182,6 +186,12 @@ def evaluate_search(recall: DataFrame, extension: str, dataset: str, n: int,
         parts.append(effort.select(
             F.col("k").cast("long").alias("k"), "index_params",
             F.expr(f"stack(2, '{hit}', examined_mean, '{hsd}', examined_stddev) AS (metric_type, metric_value)")))
+        if "read_mean" in effort.columns:
+            rd = R.METRIC_BUFFER_BULK_READ_COUNT if bulk else R.METRIC_BUFFER_READ_COUNT
+            rsd = R.METRIC_BUFFER_BULK_READ_COUNT_STDDEV if bulk else R.METRIC_BUFFER_READ_COUNT_STDDEV
+            parts.append(effort.select(
+                F.col("k").cast("long").alias("k"), "index_params",
+                F.expr(f"stack(2, '{rd}', read_mean, '{rsd}', read_stddev) AS (metric_type, metric_value)")))
     out = parts[0].select("metric_type", "metric_value", "k", "index_params")
     for p in parts[1:]:
         out = out.unionByName(p.select("metric_type", "metric_value", "k", "index_params"))

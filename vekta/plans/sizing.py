@@ -39,8 +39,10 @@ def block_limit(spark: SparkSession) -> int:
 
 
 def vector_dim(df: DataFrame, vec_col: str) -> int | None:
-    """Dimension from one non-null vector (one-row job; pushdown keeps it cheap)."""
-    r = df.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).first()
+    """The length that most vectors have (the larger of two that tie), so a
+    malformed row never decides. Reads one column; pass ``dim`` where it is known."""
+    r = (df.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count()
+         .orderBy(F.desc("count"), F.desc("d")).first())
     return None if r is None else int(r["d"])
 
 

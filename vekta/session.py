@@ -38,15 +38,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when the
-    session has none (local tests) is a fresh scratch folder created and
-    registered, so that checkpoint() works.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). Only a local
+    session without one (tests) gets a fresh scratch folder; on a cluster a
+    machine-local folder would lose rows, so a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jd = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = jd.get() if jd.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="vekta-ckpt-", dir=os.environ.get("VEKTA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

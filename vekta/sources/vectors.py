@@ -7,7 +7,7 @@ the source carries ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +31,19 @@ def _read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_positional_id(df: DataFrame, start: int = 1, col: str = "id") -> DataFrame:
-    """Ids start, start+1, … in file order: order by (file, offset of the
-    split, row within the split) and number rows without a single-partition
-    window (see ``with_positions``)."""
-    from ..operators.knn import with_positions
-    tagged = (df.withColumn("_f", F.col("_metadata.file_path"))
-              .withColumn("_b", F.col("_metadata.file_block_start"))
-              .withColumn("_r", F.monotonically_increasing_id()))
-    key = F.struct("_f", "_b", "_r")
-    pos = with_positions(tagged.withColumn("_key", key), "_key")
-    return pos.withColumn(col, F.col("pos") + F.lit(start)).drop("_f", "_b", "_r", "_key", "pos")
+    """Ids start, start+1, … in file order. The scanned rows are written once
+    with their split (file, offset) and place; each split's row count, summed
+    over the splits before it, is its offset. Nothing is sorted but one row
+    per split, and no vector is shuffled unless the splits are too many to broadcast."""
+    from ..plans.staging import staged
+    rows = staged(df.withColumn("_f", F.col("_metadata.file_path"))
+                  .withColumn("_b", F.col("_metadata.file_block_start"))
+                  .withColumn("_r", F.monotonically_increasing_id()), "numbered")
+    splits = rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")
+    out = rows.join(splits.withColumn("_off", before).drop("_n"), ["_f", "_b"])
+    return (out.withColumn(col, F.col("_off") + F.col("_r") - F.col("_first") + F.lit(start))
+            .drop("_f", "_b", "_r", "_first", "_off"))
 
 
 def load_vectors(spark: SparkSession, path: str, start_id: int = 1) -> DataFrame:
@@ -94,11 +97,12 @@ def ensure_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     least one row is already there; returns the table at ``path``. The row
     check reads one row (never a full count)."""
     spark = df.sparkSession
-    try:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # an unreadable table is an error, never a reason to overwrite it
+    if fs.exists(where) and any(not st.getPath().getName().startswith(("_", ".")) for st in fs.listStatus(where)):
         existing = spark.read.format(fmt).load(path)
         if not existing.limit(1).isEmpty():
             return existing
-    except Exception:  # noqa: BLE001 - no table yet
-        pass
     df.write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)

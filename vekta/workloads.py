@@ -16,11 +16,11 @@ Values are compared bit for bit, so each side computes them the same way:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as text_fns
-from .functions.vectors import with_stddev_band
+from .functions.vectors import cosine_distance, with_stddev_band
 from .operators import graph as graph_ops
 from .operators import ingest as ing_ops
 from .operators import ivf as ivf_ops
@@ -30,6 +30,7 @@ from .operators import recall as rec
 from .operators import results as res_ops
 from .operators import sweep as sweep_ops
 from .session import scratch_path
+from .sources import catalog
 from .sources import fixtures as fx
 from .sources import vectors as vec_src
 from .streaming import ingest as ing_stream
@@ -335,6 +336,56 @@ def search_effort(spark, sf_dir):
     return s
 
 
+@register("ivf_label_probe_ranks", f"""
+WITH base AS ({SQL_BASE}), {SQL_CENT}
+SELECT b.id, c.cell::INTEGER AS cell, row_number() OVER (PARTITION BY b.id ORDER BY list_cosine_distance(b.v, c.c), c.cell) AS probe_rank
+FROM base b, cent c""")
+def ivf_label_probe_ranks(spark, sf_dir):
+    """Every cell of every query, in probe order."""
+    b, idx = _label_index(spark, sf_dir)
+    cells = idx.centroids.count()
+    return ivf_ops.nearest_centroids(b, idx.centroids, cells, idx.dim).select("id", "cell", "probe_rank")
+
+
+@register("ivf_kmeans_full_probe", ORACLE["knn_bulk_top10"])
+def ivf_kmeans_full_probe(spark, sf_dir):
+    """k-means IVF stored as a table, read back and searched with all lists probed: exact search."""
+    import math
+    b = fx.base_vectors(spark, sf_dir)
+    lists = max(1, math.isqrt(b.count()))
+    path = scratch_path(spark, "ivf-index")
+    catalog.write_index(ivf_ops.ivf_build(b, lists=lists, seed=42), path)
+    idx = catalog.read_ivf_index(spark, path)
+    return (ivf_ops.ivf_search(idx, b, 10, probes=lists)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
+@register("load_vectors_roundtrip", """
+SELECT row_number() OVER (ORDER BY vec_id) AS id, len(embedding)::INTEGER AS dim,
+       embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last FROM embeddings""")
+def load_vectors_roundtrip(spark, sf_dir):
+    """embeddings written as array literals over several files, loaded with positional ids."""
+    path = scratch_path(spark, "vectors-csv")
+    e = fx.table(spark, sf_dir, "embeddings")
+    (e.repartitionByRange(6, "vec_id").sortWithinPartitions("vec_id")
+     .select(F.concat(F.lit("{"), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("}"))).write.text(path))
+    v = vec_src.load_vectors(spark, path)
+    return v.select("id", F.size("v").alias("dim"), F.get("v", F.lit(0)).cast("double").alias("first"),
+                    F.get("v", F.size("v") - 1).cast("double").alias("last"))
+
+
+@register("load_truth_roundtrip", """
+SELECT row_number() OVER (ORDER BY vec_id) AS id, [vec_id, label::BIGINT, vec_id * 3] AS indices FROM embeddings""")
+def load_truth_roundtrip(spark, sf_dir):
+    """Id lists written as array literals, loaded as truth with positional ids."""
+    path = scratch_path(spark, "truth-csv")
+    e = fx.table(spark, sf_dir, "embeddings")
+    ids = F.array(F.col("vec_id"), F.col("label").cast("long"), F.col("vec_id") * 3)
+    (e.repartitionByRange(6, "vec_id").sortWithinPartitions("vec_id")
+     .select(F.concat(F.lit("{"), F.array_join(ids.cast("array<string>"), ","), F.lit("}"))).write.text(path))
+    return vec_src.load_truth(spark, path)
+
+
 @register("ivf_kmeans_search")
 def ivf_kmeans_search(spark, sf_dir):
     """k-means IVF (lists = floor(sqrt(N))), probes=4, k=10 — rows-only check."""
@@ -701,7 +752,7 @@ def ingest_stream(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "embeddings").schema
     stream = (prog_stream.source_stream(spark, sf_dir, "embeddings", schema)
               .select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-              .where((F.col("id") >= plan.start) & (F.col("id") < plan.n)))
+              .where((F.col("id") >= plan.start) & (F.col("id") < plan.end)))
     out, ck = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ck")
     q = ing_stream.ingest_stream(seed_idx, stream, out, ck)
     q.awaitTermination()
@@ -747,14 +798,13 @@ def param_grid_ivf(spark, sf_dir):
 
 
 @register("param_grid_graph", """
-WITH nn AS (SELECT count(*) AS n FROM embeddings),
-m AS (SELECT unnest([4, 8, 16, 32, 64]) AS m),
+WITH m AS (SELECT unnest([4, 8, 16, 32, 64]) AS m),
 c AS (SELECT unnest([32, 64, 128]) AS efc),
 e AS (SELECT unnest([10, 20, 40]) AS ef)
 SELECT 'graph' AS method, NULL::INTEGER AS lists, NULL::INTEGER AS probes, m.m::INTEGER AS m,
        c.efc::INTEGER AS ef_construction, e.ef::INTEGER AS ef,
        '{"ef":' || e.ef::VARCHAR || ',"ef_construction":' || c.efc::VARCHAR || ',"m":' || m.m::VARCHAR || '}' AS index_params
-FROM m, c, e, nn WHERE c.efc > 2 * m.m AND m.m < nn.n""")
+FROM m, c, e WHERE c.efc > 2 * m.m""")
 def param_grid_graph(spark, sf_dir):
     n = fx.table(spark, sf_dir, "embeddings").count()
     return sweep_ops.param_grid(spark, "graph", n)
@@ -783,6 +833,27 @@ def graph_search(spark, sf_dir):
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
 
 
+@register("graph_search_checks", """
+SELECT vec_id AS query_id, 10::BIGINT AS found, 0::BIGINT AS wrong_distances, 0::BIGINT AS wrong_ranks, TRUE AS finds_itself
+FROM embeddings""")
+def graph_search_checks(spark, sf_dir):
+    """The stored graph, read back and searched: every query finds 10 different
+    nodes, itself first, with the true distances, in rank order."""
+    b = fx.base_vectors(spark, sf_dir)
+    path = scratch_path(spark, "graph-index")
+    catalog.write_index(graph_ops.graph_build(b, m=8, ef_construction=32), path)
+    got = graph_ops.graph_search(catalog.read_graph_index(spark, path), b, 10, ef=20)
+    pairs = (got.join(b.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+             .join(b.select("id", "v"), "id"))
+    before = F.lag("distance").over(Window.partitionBy("query_id").orderBy("rank"))
+    checked = pairs.withColumn("true", cosine_distance(F.col("qv"), F.col("v"))).withColumn("before", before)
+    return checked.groupBy("query_id").agg(
+        F.count_distinct("id").alias("found"),
+        F.sum((F.abs(F.col("true") - F.col("distance")) > 1e-9).cast("long")).alias("wrong_distances"),
+        F.sum(F.coalesce((F.col("before") > F.col("distance")).cast("long"), F.lit(0))).cast("long").alias("wrong_ranks"),
+        F.max((F.col("id") == F.col("query_id")) & (F.col("rank") == 1)).alias("finds_itself"))
+
+
 # ------------------------------------------------- evaluation and reports
 EVAL_PARAMS = '{"probes":3}'
 
@@ -828,6 +899,81 @@ def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return attach_scalars(df, one)
 
 
+def _record_sql(bulk: bool) -> str:
+    m = res_ops
+    names = ([m.METRIC_SELECT_BULK_LATENCY, m.METRIC_SELECT_BULK_LATENCY_STDDEV, m.METRIC_SELECT_BULK_TPS,
+              m.METRIC_BUFFER_BULK_SHARED_HIT_COUNT, m.METRIC_BUFFER_BULK_SHARED_HIT_COUNT_STDDEV,
+              m.METRIC_BUFFER_BULK_READ_COUNT, m.METRIC_BUFFER_BULK_READ_COUNT_STDDEV] if bulk else
+             [m.METRIC_SELECT_LATENCY, m.METRIC_SELECT_LATENCY_STDDEV, m.METRIC_SELECT_TPS,
+              m.METRIC_BUFFER_SHARED_HIT_COUNT, m.METRIC_BUFFER_SHARED_HIT_COUNT_STDDEV,
+              m.METRIC_BUFFER_READ_COUNT, m.METRIC_BUFFER_READ_COUNT_STDDEV])
+    values = ["la", "ls", "tp", "hm", "hs", "rm", "rs"]
+    union = " ".join(f"UNION ALL SELECT '{n}', k, {v} FROM rc, lat, buf" for n, v in zip(names, values))
+    plans = ORACLE["plan_buffers_extract"]
+    return f"""
+WITH {SQL_PAIRS}, {SQL_CENT}, {sql_ivf_top(3, 10)},
+{_truth_sql(10)},
+found AS (SELECT query_id, id, rank FROM ivf),
+{sql_recall('found', [1, 5, 10]).replace('SELECT * FROM rc', '')},
+lat AS (
+  SELECT {sql_avg2('value')} AS la, round(stddev_samp(value), 6) AS ls,
+         count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1e6) AS tp FROM events),
+buf AS (SELECT avg(shared_hit) AS hm, round(stddev_samp(shared_hit), 6) AS hs, avg(disk_read) AS rm, round(stddev_samp(disk_read), 6) AS rs
+        FROM ({plans})),
+rows AS (SELECT '{m.METRIC_RECALL_AFTER_CREATE}' AS metric_type, k, recall AS metric_value FROM rc {union})
+SELECT metric_type, 'ivf_labels' AS extension, '{EVAL_PARAMS}' AS index_params, 'embeddings' AS dataset,
+       (SELECT count(*) FROM embeddings)::BIGINT AS n, k::BIGINT AS k, metric_value FROM rows"""
+
+
+def _search_record(spark, sf_dir, bulk):
+    """All eight metrics per K of one search run: recall from the label-cell
+    search, latency and throughput from the request log, hits and reads from the plan text."""
+    b, idx = _label_index(spark, sf_dir)
+    ks = [1, 5, 10]
+    found = ivf_ops.ivf_search(idx, b, max(ks), probes=3)
+    n = b.count()
+    recall = rec.recall_curve(found, knn_ops.build_truth(b, b, max(ks)), n, ks).withColumn("index_params", F.lit(EVAL_PARAMS))
+    per_k = recall.select("k", "index_params")
+    lat = met_ops.latency_summary(as_cents(fx.request_log(spark, sf_dir), "value")).select(
+        F.col("latency_average").cast("double").alias("latency_average"), F.round("latency_stddev", 6).alias("latency_stddev"), "tps")
+    buf = text_fns.extract_plan_buffers(fx.plan_lines(spark, sf_dir)).agg(
+        F.avg("shared_hit").alias("examined_mean"), F.round(F.stddev_samp("shared_hit"), 6).alias("examined_stddev"),
+        F.avg("disk_read").alias("read_mean"), F.round(F.stddev_samp("disk_read"), 6).alias("read_stddev"))
+    rows = sweep_ops.evaluate_search(recall, "ivf_labels", "embeddings", n, latency=_attach_one_row(per_k, lat),
+                                     effort=_attach_one_row(per_k, buf), bulk=bulk)
+    return rows.select(*res_ops.KEY, "metric_value")
+
+
+@register("search_record", _record_sql(False))
+def search_record(spark, sf_dir):
+    return _search_record(spark, sf_dir, False)
+
+
+@register("search_record_bulk", _record_sql(True))
+def search_record_bulk(spark, sf_dir):
+    return _search_record(spark, sf_dir, True)
+
+
+@register("results_last_write", f"""
+WITH r AS (
+  SELECT l_returnflag AS metric_type, l_linestatus AS extension, '{{"order":' || l_orderkey::VARCHAR || '}}' AS index_params,
+         'lineitem' AS dataset, l_quantity::BIGINT AS n, 0::BIGINT AS k, l_extendedprice AS metric_value,
+         row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_orderkey, l_quantity::BIGINT
+                            ORDER BY l_linenumber DESC, l_extendedprice DESC) AS rn
+  FROM lineitem)
+SELECT row_number() OVER (ORDER BY {KEYTEXT_SQL}) AS id, {KEYS_SQL}, metric_value FROM r WHERE rn = 1""")
+def results_last_write(spark, sf_dir):
+    """Every lineitem row as a measurement of its order, none aggregated: the
+    last line of a key is stored, and ids follow the key order."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_returnflag").alias("metric_type"), F.col("l_linestatus").alias("extension"),
+                     F.concat(F.lit('{"order":'), F.col("l_orderkey").cast("string"), F.lit("}")).alias("index_params"),
+                     F.lit("lineitem").alias("dataset"), F.col("l_quantity").cast("long").alias("n"), F.lit(0).cast("long").alias("k"),
+                     F.col("l_extendedprice").alias("metric_value"), F.struct("l_linenumber", "l_extendedprice").alias("written"))
+    store = res_ops.results_table(rows, "written", now=F.lit(fx.RESULTS_NOW).cast("timestamp"))
+    return store.select("id", *res_ops.KEY, "metric_value")
+
+
 @register("chart_series", f"""
 WITH {SQL_RUNS},
 configs AS (SELECT DISTINCT extension, index_params FROM run2 WHERE n = 25),
