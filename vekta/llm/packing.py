@@ -154,9 +154,10 @@ def best_fit(size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, l
 def pack_round(items: DataFrame, capacity: int, last: bool) -> DataFrame:
     """(item, size) -> (item, bin, at, bin_size, closed); a bin goes by its first item's number."""
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), pa.schema([("item", pa.int64()), ("size", pa.int64())]))
-        if not rows.num_rows:
+        parts = list(batches)  # ITEMS_A_TASK rows of two numbers at most
+        if not sum(b.num_rows for b in parts):
             return
+        rows = pa.Table.from_batches(parts)
         item, size = rows["item"].to_numpy(), rows["size"].to_numpy()
         bins, at, free = best_fit(size, capacity)
         name = np.zeros(len(free), np.int64)
