@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
-from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, broadcast_limit, vector_dim
+from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, query_limit, vector_dim
 from ..session import checkpoint_dir
 from . import kernel as K
 from .knn import _empty, _prep, hash_draw, rank_candidates, with_positions
@@ -211,7 +211,7 @@ def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_p
     efs = sorted({int(e) for e in efs})
     widest = max(max(efs), k)
     try:
-        blk = BroadcastBlock.collect(q, "query_id", "v", dim, broadcast_limit(spark))
+        blk = BroadcastBlock.collect(q, "query_id", "v", dim, query_limit(spark, dim, widest))
     except BroadcastTooLarge:
         blk = None   # query set above the broadcast limit: score by joining query vectors
     if blk is not None:

@@ -27,7 +27,7 @@ from ..plans.shipping import ensure_shipped
 from ..plans.staging import staged
 from ..sources.vectors import vector_problem
 from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
-                            kernel_dtype, vector_dim)
+                            kernel_dtype, query_limit, vector_dim)
 from . import kernel as K
 from .knn import CANDIDATES_DDL, _empty, _prep, merge_topk
 
@@ -238,7 +238,7 @@ def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
     dim = index.dim
     probe = _probe_table(queries, index, probes)
     try:
-        blk = BroadcastBlock.collect(queries, "query_id", "v", dim, broadcast_limit(spark))
+        blk = BroadcastBlock.collect(queries, "query_id", "v", dim, query_limit(spark, dim, k + probes))
     except BroadcastTooLarge:
         return _grid_ivf(index, queries, probe, k, counts)
     valid = blk.extra["_valid"]
@@ -283,7 +283,6 @@ def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
     split = (sizes.join(probing, "cell")
              .select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / nb)).cast("int").alias("_s"),
                      F.greatest(F.lit(1), F.ceil(F.col("_p") / nb)).cast("int").alias("_qb")))
-    split = F.broadcast(split)  # one row per list: bounded by the index parameter
     b = (index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
          .join(split, "cell")
          .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from ..plans.shipping import ensure_shipped
 from ..plans.staging import staged
-from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, broadcast_limit,
-                            kernel_dtype, n_blocks, vector_dim)
+from ..plans.sizing import (BroadcastBlock, BroadcastTooLarge, block_limit, kernel_dtype, n_blocks,
+                            query_limit, vector_dim)
 from . import kernel as K
 
 CANDIDATES_DDL = "query_id long, id long, distance double"
@@ -53,9 +53,9 @@ def rank_candidates(cands: DataFrame, k: int, key: str | list[str] = "query_id")
             .withColumn("rank", F.col("rank").cast("long")))
 
 
-def _query_block(queries: DataFrame, dim: int) -> BroadcastBlock:
+def _query_block(queries: DataFrame, dim: int, k: int) -> BroadcastBlock:
     spark = queries.sparkSession
-    return BroadcastBlock.collect(queries, "query_id", "v", dim, broadcast_limit(spark))
+    return BroadcastBlock.collect(queries, "query_id", "v", dim, query_limit(spark, dim, k))
 
 
 def exact_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int,
@@ -68,7 +68,7 @@ def exact_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int,
     """
     spark = queries.sparkSession
     try:
-        block = _query_block(queries, dim)
+        block = _query_block(queries, dim, k)
     except BroadcastTooLarge:
         return _grid_candidates(queries, base, k, dim, queries.count(), counts)
     valid = block.extra["_valid"]
@@ -96,7 +96,7 @@ def _grid_candidates(queries: DataFrame, base: DataFrame, k: int, dim: int, nq:
     """
     spark = queries.sparkSession
     nb_rows = base.count()
-    qb_n = n_blocks(nq, dim, broadcast_limit(spark))
+    qb_n = n_blocks(nq, dim, query_limit(spark, dim, k))
     dt = kernel_dtype(spark)
     bb_n = n_blocks(nb_rows, dim, block_limit(spark))
     qg = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb_n)))

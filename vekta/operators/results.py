@@ -72,6 +72,14 @@ METRICS_THAT_SHOULD_INCREASE = [
 ]
 
 
+# The metrics of each report, in its column order.
+REPORT_METRICS = {
+    "build": [METRIC_CREATE_LATENCY, METRIC_CREATE_LATENCY_STDDEV, METRIC_DISK_USAGE, METRIC_DISK_USAGE_STDDEV],
+    "insert": [METRIC_INSERT_TPS, METRIC_INSERT_LATENCY, METRIC_INSERT_LATENCY_STDDEV],
+    "insert bulk": [METRIC_INSERT_BULK_TPS, METRIC_INSERT_BULK_LATENCY, METRIC_INSERT_BULK_LATENCY_STDDEV],
+}
+
+
 def conform(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Fill missing optional columns (k=0, out/err NULL, created_at=now)."""
     now = F.current_timestamp() if now is None else now
@@ -207,6 +215,14 @@ def chart_series(results: DataFrame, configs: DataFrame, metric_types: Sequence[
             .pivot("metric_type", list(metric_types)).agg(F.max("metric_value")))
 
 
+def report(results: DataFrame, kind: str, dataset: str) -> DataFrame:
+    """The build, insert or bulk insert report of a dataset: one row per
+    (extension, index_params, n) with the kind's metrics as columns."""
+    metrics = REPORT_METRICS[kind]
+    return (results.where(_metric_filter(metrics) & (F.col("dataset") == dataset))
+            .groupBy("extension", "index_params", "n").pivot("metric_type", metrics).agg(F.max("metric_value")))
+
+
 def metric_series_all(results: DataFrame, metric_types: Sequence[str], extension: str,
                       dataset: str, n: int | None = None, merge_k: bool = False) -> DataFrame:
     """All parameter sets at once: (index_params, x, metric columns...) —

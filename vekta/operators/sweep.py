@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
 from ..functions.vectors import params_json
-from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, broadcast_limit, kernel_dtype, vector_dim
+from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, kernel_dtype, query_limit, vector_dim
 from . import kernel as K
 from .ivf import IvfIndex, ivf_build, nearest_centroids
 from .knn import _prep, rank_candidates
@@ -68,7 +68,7 @@ def probe_sweep_candidates(index: IvfIndex, queries: DataFrame, k: int, max_prob
     spark = queries.sparkSession
     dim = index.dim
     probe = nearest_centroids(queries, index.centroids, max_probes, dim, id_col="query_id", vec_col="v")
-    blk = BroadcastBlock.collect(queries, "query_id", "v", dim, broadcast_limit(spark))
+    blk = BroadcastBlock.collect(queries, "query_id", "v", dim, query_limit(spark, dim, max_probes * (k + 1)))
     valid = blk.extra["_valid"]
     qids, qm = blk.ids[valid], blk.matrix[valid]
     qn, q_ok = K.normalise(qm)

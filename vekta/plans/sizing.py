@@ -33,6 +33,13 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(v) if v else DEFAULT_BROADCAST_BYTES
 
 
+def query_limit(spark: SparkSession, dim: int, kept: int) -> int:
+    """Bytes of query vectors to broadcast when a task also keeps ``kept``
+    (distance, id) pairs for each query: vectors and pairs together stay
+    within the broadcast limit."""
+    return max(1, broadcast_limit(spark) * int(dim) // (int(dim) + 2 * max(0, int(kept))))
+
+
 def block_limit(spark: SparkSession) -> int:
     v = spark.conf.get("vekta.block.maxBytes", None)
     return int(v) if v else DEFAULT_BLOCK_BYTES

@@ -194,12 +194,6 @@ FROM ks CROSS JOIN nq LEFT JOIN agg ON agg.k = ks.k)
 SELECT * FROM rc"""
 
 
-def _round_recall(df: DataFrame) -> DataFrame:
-    """recall = hits / queries / K is the same IEEE operations on both sides
-    (exact integer inputs), so it is compared unrounded."""
-    return df
-
-
 @register("recall_exact", f"""
 WITH {SQL_PAIRS},
 {_truth_sql(20)},
@@ -210,7 +204,7 @@ def recall_exact(spark, sf_dir):
     top20 = knn_ops.knn_join(b, b, 20)          # one exact join serves both sides:
     found = top20.where(F.col("rank") <= 10)     # ties break by id, so top-10 = rank <= 10
     truth = knn_ops.neighbour_lists(top20, "indices").withColumnRenamed("query_id", "id")
-    return _round_recall(rec.recall_at_k(found, truth, b.count(), 10))
+    return rec.recall_at_k(found, truth, b.count(), 10)
 
 
 @register("recall_offset_best", f"""
@@ -224,7 +218,7 @@ def recall_offset_best(spark, sf_dir):
     found = top20.where(F.col("rank") <= 10)
     truth = (knn_ops.neighbour_lists(top20, "indices").withColumnRenamed("query_id", "id")
              .withColumn("indices", F.transform("indices", lambda x: x - 1)))
-    return _round_recall(rec.recall_at_k(found, truth, b.count(), 10, id_offset="best"))
+    return rec.recall_at_k(found, truth, b.count(), 10, id_offset="best")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +228,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = ivf_ops.ivf_from_labels(b, "label")
     found = ivf_ops.ivf_search(idx, b, 10, probes=3)
     truth = knn_ops.build_truth(b, b, 20)
-    return _round_recall(rec.recall_curve(found, truth, b.count(), [1, 5, 10]))
+    return rec.recall_curve(found, truth, b.count(), [1, 5, 10])
 
 
 # -------------------------------------------------------------- IVF (cells)
@@ -303,7 +297,7 @@ def ivf_label_cells_recall(spark, sf_dir):
     b, idx = _label_index(spark, sf_dir)
     found = ivf_ops.ivf_search(idx, b, 10, probes=3)
     truth = knn_ops.build_truth(b, b, 20)
-    return _round_recall(rec.recall_at_k(found, truth, b.count(), 10))
+    return rec.recall_at_k(found, truth, b.count(), 10)
 
 
 @register("recall_curve", f"""
@@ -315,7 +309,7 @@ def recall_curve(spark, sf_dir):
     b, idx = _label_index(spark, sf_dir)
     found = ivf_ops.ivf_search(idx, b, max(rec.DEFAULT_K_VALUES), probes=2)
     truth = knn_ops.build_truth(b, b, max(rec.DEFAULT_K_VALUES))
-    return _round_recall(rec.recall_curve(found, truth, b.count(), rec.DEFAULT_K_VALUES))
+    return rec.recall_curve(found, truth, b.count(), rec.DEFAULT_K_VALUES)
 
 
 @register("search_effort", f"""
@@ -723,7 +717,7 @@ def recall_after_insert(spark, sf_dir):
     b, plan, _, idx = _insert_index(spark, sf_dir)
     found = ivf_ops.ivf_search(idx, b, 10, probes=3)
     truth = knn_ops.build_truth(b, b, 20)
-    return _round_recall(rec.recall_at_k(found, truth, b.count(), 10))
+    return rec.recall_at_k(found, truth, b.count(), 10)
 
 
 @register("insert_metrics", f"""
@@ -817,7 +811,7 @@ def sweep_ivf(spark, sf_dir):
     b = fx.base_vectors(spark, sf_dir)
     grid = sweep_ops.param_grid(spark, "ivf", b.count())
     truth = knn_ops.build_truth(b, b, sweep_ops.SWEEP_K)
-    return _round_recall(sweep_ops.sweep_ivf(b, b, truth, grid, k=sweep_ops.SWEEP_K))
+    return sweep_ops.sweep_ivf(b, b, truth, grid, k=sweep_ops.SWEEP_K)
 
 
 # ------------------------------------------------------------------- graph
@@ -1032,6 +1026,16 @@ def build_evaluation(spark, sf_dir):
     return ev.select(*res_ops.KEY, val.alias("metric_value"))
 
 
+def _report_sql(source: str, kind: str) -> str:
+    cols = ", ".join(f"max(CASE WHEN metric_type = '{m}' THEN metric_value END) AS \"{m}\"" for m in res_ops.REPORT_METRICS[kind])
+    return f"SELECT extension, index_params, n, {cols} FROM ({ORACLE[source]}) GROUP BY extension, index_params, n"
+
+
+@register("build_report", _report_sql("build_evaluation", "build"))
+def build_report(spark, sf_dir):
+    return res_ops.report(build_evaluation(spark, sf_dir), "build", "events")
+
+
 @register("insert_evaluation", f"""
 WITH {SQL_INSERT},
 probe AS (
@@ -1079,3 +1083,8 @@ def insert_evaluation(spark, sf_dir):
                      F.round("latency_stddev", 6).alias("latency_stddev"), "tps")
     rows = sweep_ops.evaluate_insert(lat, "ivf_labels", "embeddings", n, recall=recall)
     return rows.select(*res_ops.KEY, "metric_value")
+
+
+@register("insert_report", _report_sql("insert_evaluation", "insert"))
+def insert_report(spark, sf_dir):
+    return res_ops.report(insert_evaluation(spark, sf_dir), "insert", "embeddings")
