@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.shipping import ensure_shipped
 from ..session import scratch_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +64,15 @@ def byte_ngrams(data: np.ndarray, off: np.ndarray, n: int, buckets: int) -> tupl
     """Hashed byte n-grams that lie inside one text: (row, bucket), in text order."""
     m = len(data) - n + 1
     if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     key = np.zeros(m, np.uint32)
     for k in range(n):
         key = key * np.uint32(257) + data[k:k + m]
     key *= np.uint32(2654435761)
     key ^= key >> np.uint32(15)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     inside = row[:m] == row[n - 1:]
-    return row[:m][inside], (key[inside] % np.uint32(buckets)).astype(np.int64)
+    return row[:m][inside], (key[inside] % np.uint32(buckets)).astype(np.int32)
 
 
 def numbered(items: Iterable) -> tuple[np.ndarray, dict]:

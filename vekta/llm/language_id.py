@@ -53,7 +53,7 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     stay[off[:-1]] = True
     off = np.concatenate([[0], np.cumsum(stay)])[off]
     row, bucket = byte_ngrams(data[stay], off, NGRAM, BUCKETS)
-    return np.bincount(row * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+    return np.bincount(row.astype(np.int64) * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
 
 
 def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ NEARLY_FULL = 8          # most free places of a bin that is closed before the l
 FIRST_ITEMS = 10_000     # items of a task in the first round
 FAN_IN = 8               # tasks whose underfull bins meet in one task of the next round
 ITEMS_A_TASK = 200_000   # most items of any task
-CACHED_TOKENS = 400_000  # distinct pre-tokens whose ids a worker remembers
+CACHED_TOKENS = 150_000  # distinct pre-tokens whose ids a worker remembers
 LEAST_GAIN = 0.01        # a round that merges less than this share of its items is the last
 
 
