@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, staged, table
 
 BUCKETS = 4096
 SIZES = (3, 4, 5)
@@ -103,7 +103,7 @@ def train_url_model(labelled: DataFrame, buckets: int = BUCKETS, rounds: int = 4
     aggregation by bucket; the driver gets at most ``buckets`` sums."""
     host, path = host_path(F.col("url"))
     grams = ngram_buckets(F.concat(F.lit("^"), host, path), buckets)
-    rows = labelled.select("label", grams.alias("grams")).coalesce(1)
+    rows = staged(labelled.select("label", grams.alias("grams")).coalesce(1), "labelled-urls")
     n = max(1, rows.count())
     weights, bias = [0.0] * buckets, 0.0
     for _ in range(rounds):
@@ -135,7 +135,12 @@ def filter_urls(pages: DataFrame, model: tuple[list[float], float], rules: list[
     return scored.withColumn("verdict", verdict).drop(gram_col, by_col)
 
 
+def labelled_urls(spark: SparkSession, rows: list[tuple[str, int]] = LABELLED) -> DataFrame:
+    """(url, label) as an SQL table of constants, which needs no Python worker."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows])))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_url_model(spark.createDataFrame(LABELLED, "url string, label int"))
+    model = train_url_model(labelled_urls(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
