@@ -122,6 +122,27 @@ def test_license_scan_equals_sql(spark):
     assert "ArrowPython" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_licenses_that_differ_in_the_deciding_word(spark):
+    gpl = "This work is licensed under the GNU {}General Public License{}."
+    want = {
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC-SA 4.0": "cc-by", "Licensed under CC BY-NC-ND 4.0": "cc-by", "Licensed under CC BY-SA 3.0": "cc-by",
+        "Licensed under CC BY-NC 4.0, not licensed under CC BY-SA 4.0": "cc-by,cc-by-nc-4.0,cc-by-sa-4.0",
+        gpl.format("", ", version 3"): "gpl,gpl-3.0", gpl.format("", ", version 2"): "gpl", gpl.format("Lesser ", " version 2.1"): "gpl",
+        gpl.format("Lesser ", " version 3"): "gpl", gpl.format("Affero ", " version 3"): "gpl", gpl.format("", " (GPL) v3"): "gpl,gpl-3.0",
+        gpl.format("", " as published by the Free Software Foundation, either version 3 of the License"): "gpl,gpl-3.0",
+        gpl.format("", " version 2 or version 3"): "gpl,gpl-3.0", gpl.format("", ", version 2. See section 3"): "gpl",
+        "This work is licensed under version 3 of the GNU General Public License": "gpl,gpl-3.0",
+        "This work is licensed under version 2 of the GNU General Public License, section 3": "gpl",
+        "Licensed under the Apache License, Version 2.0": "apache-2.0", "Licensed under the Apache License, Version 1.1; 2 files": "",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software covered by this license": "",
+    }
+    texts = list(want) + [prose(7, 50) + " " + t + " " + prose(8, 90) for t in want]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    assert {(k % len(want), v) for k, v in got.items()} == set(enumerate(want.values()))
+
+
 # ---- quality rules
 
 def brute_quality(t):

@@ -10,6 +10,10 @@ pair that shares a prefix word must pass the length filter and the positional fi
 before its overlap is counted. Words outside all templates cannot add to
 an overlap, so only template words are counted, sorted and shuffled.
 
+Bags of words cannot tell notices apart that differ in one word (nc or sa, 2 or 3,
+Lesser or not), so a match of a template in ``CONFIRM`` counts only where its block
+names that license and version. The DuckDB SQL has no such step.
+
 DataFrame functions only. Defined results: a null or empty text has no words, no
 labels and score 0; repeated rows each keep their own row; an empty table
 gives an empty table.
@@ -42,6 +46,27 @@ TEMPLATES = {
 }
 
 
+def _named(name: str, version: int, other: str = "") -> str:
+    """Pattern of a license's name with the version, over words with single spaces: the
+    one right before the name, or the first number after it (at most 16 words on, behind
+    others joined by and/or), which must be called a version if another one stands before the name."""
+    word = rf"(?!v?[0-9]{{1,2}} {other})\S+ "
+    listed = r"(?:v?[0-9]{1,2} (?:[0-9] )?(?:or|and) (?:the )?(?:versions? )?)*"
+    return (rf" (?<![0-9] of the )(?<![0-9] of the gnu ){name} (?:{word}){{0,16}}?{listed}v?{version} "
+            rf"| {name} (?:{word}){{0,16}}?(?:versions? |v){version} | v?{version} (?:0 )?(?:of |the |gnu |cc )*{name} ")
+
+
+# What a block must say besides the words of a template, and a template word that such a block has.
+CONFIRM = {
+    "apache-2.0": ("apache", _named("apache", 2)),
+    "cc-by-nc-4.0": ("nc", _named("by nc(?! sa | nd )", 4, "|by |sa |nd ")),
+    "cc-by-sa-4.0": ("sa", _named("by sa", 4, "|by |nc |nd ")),
+    "gpl-3.0": ("general", _named("(?<!lesser )(?<!library )(?<!affero )general public license", 3)),
+    "mit": ("person", "^(?!.* person or organization )"),  # the Boost license has MIT's words
+    "mpl-2.0": ("mozilla", _named("mozilla public license", 2)),
+}
+
+
 def spaced_words(text: Column) -> Column:
     """Each word with a space before and one after it, joined ('' without words):
     phrases found in it are whole words, and neighbours never share a space."""
@@ -73,11 +98,19 @@ def base_columns(docs: DataFrame, spaced: str, phrases: dict[str, str]) -> DataF
     })
 
 
+def _block(by_rank: Column, words: Column, anchors: Column) -> Column:
+    """The template words of a block, and all its words where a match may have to be confirmed."""
+    block = F.array_intersect(by_rank, words)
+    spoken = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.struct(block.alias("block"), F.when(F.arrays_overlap(words, anchors), spoken).otherwise("").alias("said"))
+
+
 def block_matches(docs: DataFrame, keys: list[str], spaced: str, templates: dict[str, str],
-                  containment: float = CONTAINMENT) -> DataFrame:
+                  containment: float = CONTAINMENT, confirm: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(keys..., template, containment): every template that a block of the
-    row holds, with the largest containment over the row's blocks."""
+    row holds and confirms, with the largest containment over the row's blocks."""
     spark = docs.sparkSession
+    confirm = confirm if confirm is not None else CONFIRM if templates == TEMPLATES else {}
     sets = {name: sorted(set(text.split())) for name, text in templates.items()}
     vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*sets.values()))])
     words = docs.select(*keys, F.split(F.trim(spaced), "  ").alias("words"))
@@ -86,25 +119,27 @@ def block_matches(docs: DataFrame, keys: list[str], spaced: str, templates: dict
     order = sorted(set().union(*sets.values()), key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     need = {name: max(1, -(-round(containment * 1000) * len(s) // 1000)) for name, s in sets.items()}
-    prefixes = [(w, name, i, len(s), need[name], sorted(s, key=rank.get))
+    prefixes = [(w, name, i, len(s), need[name], sorted(s, key=rank.get), confirm.get(name, (None, None))[1])
                 for name, s in sets.items() for i, w in enumerate(sorted(s, key=rank.get)[:len(s) - need[name] + 1])]
-    prefix_table = spark.createDataFrame(prefixes, "w string, template string, i int, n int, need int, tokens array<string>")
+    prefix_table = spark.createDataFrame(prefixes, "w string, template string, i int, n int, need int, tokens array<string>, confirm string")
     prefix_words = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefixes})])
     by_rank = F.array(*[F.lit(w) for w in order])
+    anchors = F.array(*[F.lit(w) for w in sorted({a for a, _ in confirm.values()})]).cast("array<string>")
 
     near = words.where(F.arrays_overlap("words", prefix_words))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - BLOCK) / STRIDE).cast("int")))
     # array_intersect keeps the order of its first argument: words by global frequency
-    blocks = (near.select(*keys, F.explode(F.transform(starts, lambda k: F.array_intersect(
-        by_rank, F.slice(F.col("words"), k * STRIDE + 1, BLOCK)))).alias("block"))
-        .where(F.size("block") >= min(need.values())))
-    probes = blocks.select(*keys, "block", F.posexplode(F.array_intersect("block", prefix_words)).alias("k", "w"))
+    blocks = (near.select(*keys, F.explode(F.transform(starts, lambda k: _block(
+        by_rank, F.slice(F.col("words"), k * STRIDE + 1, BLOCK), anchors))).alias("b"))
+        .select(*keys, "b.block", "b.said").where(F.size("block") >= min(need.values())))
+    probes = blocks.select(*keys, "block", "said", F.posexplode(F.array_intersect("block", prefix_words)).alias("k", "w"))
     pairs = (probes.join(F.broadcast(prefix_table), "w")
              .where(F.size("block") >= F.col("need"))
              .withColumn("j", F.array_position("block", F.col("w")).cast("int") - 1)
              .where(1 + F.least(F.col("n") - F.col("i") - 1, F.size("block") - F.col("j") - 1) + F.least("i", "j") >= F.col("need"))
              .withColumn("shared", F.size(F.array_intersect("block", "tokens")))
-             .where(F.col("shared") >= F.col("need")))
+             .where(F.col("shared") >= F.col("need"))
+             .where(F.col("confirm").isNull() | F.rlike("said", F.col("confirm"))))
     return pairs.groupBy(*keys, "template").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
 
 
