@@ -143,6 +143,18 @@ def test_licenses_that_differ_in_the_deciding_word(spark):
     assert {(k % len(want), v) for k, v in got.items()} == set(enumerate(want.values()))
 
 
+def test_a_long_template_is_found_at_every_offset(spark):
+    long = [f"t{k}" for k in range(150)]
+    middle = [f"m{k}" for k in range(50)]
+    templates = {"long": "The " + ", ".join(long[1:]).upper(), "middle": " ".join(middle), "short": "s1 s2 s3"}
+    rows = [(k, " ".join([*["x"] * k, "the", *long[1:], *["y"] * 700])) for k in range(0, 520)]
+    rows += [(1000 + k, " ".join([*["x"] * k, *middle, *["y"] * 200])) for k in range(130)] + [(2000, "s1 " + "x " * 70 + "s2 s3"), (2001, "a s3 s2 s1")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(documents(spark, rows), templates=templates).collect()}
+    assert {got[k] for k in range(520)} == {("long", 1.0)} and {got[1000 + k] for k in range(130)} == {("middle", 1.0)}
+    assert got[2000] == ("", 0.0) and got[2001] == ("short", 1.0)
+    assert [license_scan.widening(n) for n in (0, 17, 33, 34, 65, 66, 150)] == [1, 1, 1, 2, 2, 4, 8]
+
+
 # ---- quality rules
 
 def brute_quality(t):

@@ -2,7 +2,8 @@
 with license templates.
 
 A block is a window of 64 consecutive words, one every 32 words, so a notice of up to 33
-words lies whole in some block however it is wrapped. A block matches a
+words lies whole in some block however it is wrapped. Templates of more words get windows
+of twice, four times, ... that length and stride (``widening``). A block matches a
 template when it holds at least 0.8 of the template's distinct words. The join is
 exact: words are ordered by their document frequency over the whole corpus
 (rarest first), a template's prefix is its first n - c + 1 words (c: words needed), and a
@@ -12,7 +13,7 @@ an overlap, so only template words are counted, sorted and shuffled.
 
 Bags of words cannot tell notices apart that differ in one word (nc or sa, 2 or 3,
 Lesser or not), so a match of a template in ``CONFIRM`` counts only where its block
-names that license and version. The DuckDB SQL has no such step.
+names that license and version. The DuckDB SQL has no such step, and windows of 64 words only.
 
 DataFrame functions only. Defined results: a null or empty text has no words, no
 labels and score 0; repeated rows each keep their own row; an empty table
@@ -21,6 +22,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,7 @@ from .common import table
 
 BLOCK, STRIDE, CONTAINMENT = 64, 32, 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 # Base phrases of the query's contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -98,6 +101,20 @@ def base_columns(docs: DataFrame, spaced: str, phrases: dict[str, str]) -> DataF
     })
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a template, cut like those of the texts."""
+    return [w for w in re.split(SEPARATORS, text.translate(LOWER)) if w]
+
+
+def widening(n_words: int) -> int:
+    """The least power of two so that a run of ``n_words`` words lies whole in some
+    block of BLOCK times it, one every STRIDE times it, wherever the run starts."""
+    wide = 1
+    while (BLOCK - STRIDE) * wide + 1 < n_words:
+        wide *= 2
+    return wide
+
+
 def _block(by_rank: Column, words: Column, anchors: Column) -> Column:
     """The template words of a block, and all its words where a match may have to be confirmed."""
     block = F.array_intersect(by_rank, words)
@@ -111,7 +128,10 @@ def block_matches(docs: DataFrame, keys: list[str], spaced: str, templates: dict
     row holds and confirms, with the largest containment over the row's blocks."""
     spark = docs.sparkSession
     confirm = confirm if confirm is not None else CONFIRM if templates == TEMPLATES else {}
-    sets = {name: sorted(set(text.split())) for name, text in templates.items()}
+    split = {name: template_words(text) for name, text in templates.items()}
+    sets = {name: sorted(set(words)) for name, words in split.items() if words}
+    if not sets:
+        return docs.select(*keys, F.lit("").alias("template"), F.lit(0.0).alias("containment")).limit(0)
     vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*sets.values()))])
     words = docs.select(*keys, F.split(F.trim(spaced), "  ").alias("words"))
     # one row for each template word, however large the corpus
@@ -119,27 +139,36 @@ def block_matches(docs: DataFrame, keys: list[str], spaced: str, templates: dict
     order = sorted(set().union(*sets.values()), key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     need = {name: max(1, -(-round(containment * 1000) * len(s) // 1000)) for name, s in sets.items()}
-    prefixes = [(w, name, i, len(s), need[name], sorted(s, key=rank.get), confirm.get(name, (None, None))[1])
-                for name, s in sets.items() for i, w in enumerate(sorted(s, key=rank.get)[:len(s) - need[name] + 1])]
-    prefix_table = spark.createDataFrame(prefixes, "w string, template string, i int, n int, need int, tokens array<string>, confirm string")
-    prefix_words = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefixes})])
     by_rank = F.array(*[F.lit(w) for w in order])
     anchors = F.array(*[F.lit(w) for w in sorted({a for a, _ in confirm.values()})]).cast("array<string>")
 
-    near = words.where(F.arrays_overlap("words", prefix_words))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - BLOCK) / STRIDE).cast("int")))
-    # array_intersect keeps the order of its first argument: words by global frequency
-    blocks = (near.select(*keys, F.explode(F.transform(starts, lambda k: _block(
-        by_rank, F.slice(F.col("words"), k * STRIDE + 1, BLOCK), anchors))).alias("b"))
-        .select(*keys, "b.block", "b.said").where(F.size("block") >= min(need.values())))
-    probes = blocks.select(*keys, "block", "said", F.posexplode(F.array_intersect("block", prefix_words)).alias("k", "w"))
-    pairs = (probes.join(F.broadcast(prefix_table), "w")
-             .where(F.size("block") >= F.col("need"))
-             .withColumn("j", F.array_position("block", F.col("w")).cast("int") - 1)
-             .where(1 + F.least(F.col("n") - F.col("i") - 1, F.size("block") - F.col("j") - 1) + F.least("i", "j") >= F.col("need"))
-             .withColumn("shared", F.size(F.array_intersect("block", "tokens")))
-             .where(F.col("shared") >= F.col("need"))
-             .where(F.col("confirm").isNull() | F.rlike("said", F.col("confirm"))))
+    def matches(names: list[str], wide: int) -> DataFrame:
+        """Matches of the templates that go into windows of ``wide`` blocks."""
+        block, stride = BLOCK * wide, STRIDE * wide
+        prefixes = [(w, name, i, len(sets[name]), need[name], sorted(sets[name], key=rank.get), confirm.get(name, (None, None))[1])
+                    for name in names for i, w in enumerate(sorted(sets[name], key=rank.get)[:len(sets[name]) - need[name] + 1])]
+        prefix_table = spark.createDataFrame(prefixes, "w string, template string, i int, n int, need int, tokens array<string>, confirm string")
+        prefix_words = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefixes})])
+        near = words.where(F.arrays_overlap("words", prefix_words))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - block) / stride).cast("int")))
+        # array_intersect keeps the order of its first argument: words by global frequency
+        blocks = (near.select(*keys, F.explode(F.transform(starts, lambda k: _block(
+            by_rank, F.slice(F.col("words"), k * stride + 1, block), anchors))).alias("b"))
+            .select(*keys, "b.block", "b.said").where(F.size("block") >= min(need[name] for name in names)))
+        probes = blocks.select(*keys, "block", "said", F.posexplode(F.array_intersect("block", prefix_words)).alias("k", "w"))
+        return (probes.join(F.broadcast(prefix_table), "w")
+                .where(F.size("block") >= F.col("need"))
+                .withColumn("j", F.array_position("block", F.col("w")).cast("int") - 1)
+                .where(1 + F.least(F.col("n") - F.col("i") - 1, F.size("block") - F.col("j") - 1) + F.least("i", "j") >= F.col("need"))
+                .withColumn("shared", F.size(F.array_intersect("block", "tokens")))
+                .where(F.col("shared") >= F.col("need"))
+                .where(F.col("confirm").isNull() | F.rlike("said", F.col("confirm"))))
+
+    widths = {name: widening(len(split[name])) for name in sets}
+    pairs = None
+    for wide in sorted(set(widths.values())):
+        found = matches([name for name in sets if widths[name] == wide], wide)
+        pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.groupBy(*keys, "template").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
 
 
