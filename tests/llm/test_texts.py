@@ -263,6 +263,22 @@ def test_byte_ids_equal_the_library(texts):
         assert ids[cut[k]:cut[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(ODD, st.sampled_from(["<|endoftext|>", "<|endoftext|", "<", " "])), max_size=6).map("".join), max_size=6))
+def test_added_tokens_equal_the_library_as_loaded(texts):
+    t = Tokenizer.from_file(BYTE)
+    texts = [*texts, "a<|endoftext|>b", "<|endoftext|><|endoftext|> x  <|endoftext|>", "<|<|endoftext|>|>"]
+    ids, n = packing.tokenizer(BYTE).encode(texts)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    for k, x in enumerate(texts):
+        assert ids[cut[k]:cut[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_packing_counts_an_added_token_once(spark):
+    out = packing.pack_documents(documents(spark, [(1, "a<|endoftext|>b")]), BYTE).collect()
+    assert [(r.length, r.ids) for r in out] == [(4, [64, 50256, 65, 2])]
+
+
 def check_packing(rows, out, capacity=1024):
     t = Tokenizer.from_file(BYTE)
     t.encode_special_tokens = True

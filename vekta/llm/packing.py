@@ -53,8 +53,13 @@ class ByteTokenizer:
         # the byte alphabet: printable bytes stand for themselves, the others follow from 256
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        added = spec.get("added_tokens", ())
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not known here")
+        # the library takes added tokens out of a text first, the longest of those that start at one place
+        self.added = {t["content"]: t["id"] for t in added}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.bpe = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(PATTERN).findall
         # the same pattern for re, right for texts in which \w and \s have no character outside \p{L}, \d, _ and \s
@@ -67,15 +72,21 @@ class ByteTokenizer:
         self.known.clear()
         self.ids, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _pieces(self, text: str) -> list[str]:
+        """Added tokens and the pre-tokens between them (which hold no added token)."""
+        if self.cut is None or not self.cut.search(text):
+            return self.split(text) if self.not_plain(text) else self.split_plain(text)
+        return [x for part in self.cut.split(text) for x in ([part] if part in self.added else self.split(part))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and their number for each text."""
         if len(self.known) > CACHED_TOKENS:
             self._clear()
-        parts = [self.split(t) if self.not_plain(t) else self.split_plain(t) for t in texts]
+        parts = [self._pieces(t) for t in texts]
         known, before = self.known, len(self.known)
         code = np.array([known.setdefault(x, len(known)) for x in chain.from_iterable(parts)], np.int64)
         if len(known) > before:
-            new = [self.bpe.encode_ordinary(x) for x in list(known)[before:]]
+            new = [[self.added[x]] if x in self.added else self.bpe.encode_ordinary(x) for x in list(known)[before:]]
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.int32)])
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in new])])
         width = np.diff(self.off)[code]
