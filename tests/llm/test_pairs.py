@@ -181,6 +181,15 @@ def test_quotes_are_linked_and_taken_out(spark):
     assert got[(4, 3, "Why?")] == (1, 1, 2, 0, 2)
 
 
+def test_a_reply_goes_to_the_message_that_holds_most_of_its_quote(spark):
+    rows = [(1, 0, "user", "A."), (1, 1, "user", "B."), (1, 2, "user", "A. B."), (1, 3, "user", "> A.\n> B.\nThree."),
+            (2, 0, "user", "A."), (2, 1, "user", "B."), (2, 2, "user", "> A.\n> B.\nTie."), (2, 3, "user", "A. B."),
+            (3, 0, "user", "Thanks."), (3, 1, "user", "Thanks. One."), (3, 2, "user", "Thanks. Two."), (3, 3, "user", "Thanks. Two."),
+            (3, 4, "user", "> Thanks.\n> Two.\nFour."), (3, 5, "user", "> Thanks.\nFive.")]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got[(1, 3)] == (2, 2) and got[(2, 2)] == (2, 1) and got[(3, 4)] == (2, 2) and got[(3, 5)] == (1, 0)
+
+
 def test_long_chain_of_replies(spark):
     rows = [(1, 0, "user", "Say 0.")] + [(1, k, "user", f"> Say {k - 1}.\nSay {k}.") for k in range(1, 40)]
     got = sorted((r.turn, r.reply_to, r.thread, r.depth) for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect())

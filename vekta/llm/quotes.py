@@ -3,12 +3,14 @@
 A line that starts with ``>`` marks is quoted, as deep as it has marks. Neighbouring
 lines of one level form a block, whose passages are its sentences (so a block that was
 wrapped anew still matches). Passages are normalised (lower case, single spaces) and hashed. The
-original of a passage is the first message of the same conversation that has it in its own words. A message
-replies to the earlier message that most of its outermost passages come from (the later one
-if two tie). Its thread is found by doubling the reply links, so a chain of n replies takes log n rounds.
+originals of a passage are all messages of the same conversation that have it in their own words. A message
+replies to the earlier message that holds most of its outermost known passages; if two hold as many, to
+the one that said more of them first, then to the later one. Its thread is found by doubling the reply
+links, so a chain of n replies takes log n rounds.
 
-An original is reduced to one row for each conversation and passage before it is
-joined, so a very common sentence never meets its own copies.
+Messages of a conversation that hold the same quoted passages get the same votes from any
+reply, so only the first of them is a candidate. A reply that quotes a single known passage goes to
+its first speaker without a join of the candidates.
 
 Defined results: a null text gives null own text and no quotes; a null
 conversation links nothing; repeated rows are separate messages; a message that quotes nothing known has
@@ -93,14 +95,26 @@ def link_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text (own words), n_quotes, n_linked, reply_to (turn), thread (turn), depth."""
     rows = parsed(messages, text_col)
     quoted = rows.select("uid", "conv_id", "turn", F.explode("quotes").alias("q")).select("uid", "conv_id", "turn", "q.level", "q.h")
-    said = rows.select("uid", "conv_id", "turn", F.explode("own").alias("h"))
+    said = rows.select("uid", "conv_id", "turn", F.explode(F.array_distinct("own")).alias("h"))
     first = (said.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
              .groupBy("conv_id", "h").agg(F.min(F.struct("turn", "uid")).alias("o")).select("conv_id", "h", F.col("o.turn").alias("o_turn"), F.col("o.uid").alias("o_uid")))
-    links = staged(quoted.join(first, ["conv_id", "h"]).where("o_turn < turn").select("uid", "level", "o_uid", "o_turn"), "quote-links")
+    links = staged(quoted.join(first, ["conv_id", "h"]).where("o_turn < turn"), "quote-links")
     # a message's outermost quotes are of its smallest level
-    votes = links.groupBy("uid", "level", "o_uid", "o_turn").count()
-    parent = staged(votes.groupBy("uid").agg(F.max(F.struct((-F.col("level")).alias("l"), "count", "o_turn", "o_uid")).alias("v"), F.sum("count").alias("n_linked"))
-                    .select("uid", "n_linked", F.col("v.o_uid").alias("up"), F.col("v.o_turn").alias("reply_to")), "replies")
+    level = links.groupBy("uid").agg(F.min("level").alias("level"), F.count("*").alias("n_linked"))
+    votes = staged(links.join(level.select("uid", "level"), ["uid", "level"])
+                   .groupBy("uid", "conv_id", "turn", "h", "o_uid", "o_turn").count(), "quote-votes")
+    kinds = votes.groupBy("uid").agg(F.count("*").alias("kinds"))
+    several = votes.join(kinds.where("kinds > 1").select("uid"), "uid", "left_semi")
+    # messages with the same quoted passages are one candidate, the first of them
+    holds = said.join(several.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
+    sets = holds.groupBy("conv_id", "turn", "uid").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    able = (sets.groupBy("conv_id", "hs").agg(F.min(F.struct("turn", "uid")).alias("c"))
+            .select("conv_id", F.explode("hs").alias("h"), F.col("c.turn").alias("c_turn"), F.col("c.uid").alias("c_uid")))
+    held = (several.join(able, ["conv_id", "h"]).where("c_turn < turn").groupBy("uid", "c_uid", "c_turn")
+            .agg(F.sum("count").alias("n"), F.sum(F.when(F.col("o_uid") == F.col("c_uid"), F.col("count")).otherwise(0)).alias("n_first")))
+    most = held.groupBy("uid").agg(F.max(F.struct("n", "n_first", "c_turn", "c_uid")).alias("v")).select("uid", F.col("v.c_uid").alias("up"), F.col("v.c_turn").alias("reply_to"))
+    single = votes.join(kinds.where("kinds = 1").select("uid"), "uid", "left_semi").select("uid", F.col("o_uid").alias("up"), F.col("o_turn").alias("reply_to"))
+    parent = staged(single.unionByName(most).join(level.select("uid", "n_linked"), "uid").select("uid", "n_linked", "up", "reply_to"), "replies")
     chain = parent.select("uid", F.col("up").alias("root"), F.col("reply_to").alias("thread"), F.lit(1).alias("depth"))
     while True:
         above = chain.select(F.col("uid").alias("root"), F.col("root").alias("r2"), F.col("thread").alias("t2"), F.col("depth").alias("d2"))
