@@ -1,6 +1,11 @@
+import inspect
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from vekta.operators import graph, knn, recall
+from vekta import workloads
+from vekta.operators import graph, knn, recall, sweep
 from vekta.sources import fixtures as fx
 
 
@@ -64,3 +69,16 @@ def test_search_with_query_set_above_broadcast_limit(spark, sf):
     finally:
         spark.conf.unset("vekta.broadcast.maxBytes")
     assert got == want
+
+
+# m=8 and ef=20 bound the recall at the larger size; a build of 4 rounds stays below 0.81
+@pytest.mark.parametrize("scale,least", [("sf0.001", 0.96), ("sf0.1", 0.81)])
+def test_registered_graph_search_keeps_its_recall_as_rows_grow(spark, sf, scale, least):
+    path = os.path.join(os.path.dirname(sf), scale)
+    b = fx.base_vectors(spark, path)
+    found = workloads.QUERIES["graph_search"](spark, path)
+    assert recall.recall_at_k(found, knn.build_truth(b, b, 10), b.count(), 10).first()["recall"] > least
+
+
+def test_sweep_builds_until_few_edges_change():
+    assert inspect.signature(sweep.sweep_graph).parameters["max_iter"].default is None

@@ -136,7 +136,7 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
 
 
 def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataFrame,
-                k: int = SWEEP_K, seed: int = 42, max_iter: int = 4,
+                k: int = SWEEP_K, seed: int = 42, max_iter: int | None = None,
                 id_offset: int | str = 0) -> DataFrame:
     """recall@k per graph parameter set: one build per (m, ef_construction);
     all ``ef`` values of a build are searched together (ef is part of the

@@ -822,7 +822,7 @@ def graph_search(spark, sf_dir):
     """NN-descent graph (m=8, ef_construction=32) searched with ef=20, k=10
     for every embedding — rows-only check (approximate by design)."""
     b = fx.base_vectors(spark, sf_dir)
-    g = graph_ops.graph_build(b, m=8, ef_construction=32, max_iter=4)
+    g = graph_ops.graph_build(b, m=8, ef_construction=32)
     return (graph_ops.graph_search(g, b, 10, ef=20)
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
 
