@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann_codes import op2_one_bit_search
 from .language_id import op4_language_id
 from .license_scan import license_sql, op6_license_scan
+from .merkle import manifest_sql, op13_merkle_manifest
 from .ngram_join import op1_ngram_join
 from .packing import op9_best_fit_packing
 from .quality_rules import op7_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {"op6_license_scan": license_sql()}
+ORACLE: dict[str, str] = {"op6_license_scan": license_sql(), "op13_merkle_manifest": manifest_sql()}
