@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op12_tokenizer_alignment
 from .ann_codes import op2_one_bit_search
+from .html_text import op11_html_extraction
 from .language_id import op4_language_id
 from .license_scan import license_sql, op6_license_scan
 from .merkle import manifest_sql, op13_merkle_manifest
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_html_extraction": op11_html_extraction,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
