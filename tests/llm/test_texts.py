@@ -1,6 +1,7 @@
 """Language ID, SentencePiece, license scan, quality rules, toxicity, packing and URLs."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -106,14 +107,17 @@ def licensed():
             (24, " ".join(reversed(mit.split())) + " " + prose(6, 400)), (25, "É cc by")]
 
 
+def by_sql(rows, **how):
+    con = duckdb.connect()
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})  # noqa: F841
+    con.register("documents", docs)
+    return sorted(con.execute(license_scan.license_sql(**how)).fetchall(), key=str)
+
+
 def test_license_scan_equals_sql(spark):
     rows = licensed() + edge_rows()
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in rows if "\x00" not in (r[1] or "")])
-    want = con.execute(license_scan.license_sql()).fetchall()
-    got = license_scan.scan_licenses(documents(spark, [r for r in rows if "\x00" not in (r[1] or "")]))
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    got = license_scan.scan_licenses(documents(spark, rows).selectExpr("*", "1 AS spaced", "2 AS text_key", "3 AS WORDS", "4 AS found"))
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql(rows)
     by_id = {r.doc_id: r for r in got.collect()}
     assert (by_id[20].n_base, by_id[20].first_word, by_id[20].last_word, by_id[20].base_labels) == (5, 0, 8, "cc-by")
     assert by_id[21].labels == "apache-2.0" and by_id[24].labels == "mit" and by_id[23].labels == ""
@@ -143,6 +147,24 @@ def test_licenses_that_differ_in_the_deciding_word(spark):
     assert {(k % len(want), v) for k, v in got.items()} == set(enumerate(want.values()))
 
 
+def test_confirmation_equals_sql_with_any_templates(spark):
+    g = random.Random(4)
+    parts = ("licensed under this work is the gnu general public license version 2 3 or v3 lesser affero library of cc by nc sa nd 4 0 apache mozilla "
+             "terms subject source code form 12 v2 and versions 1 later").split()
+    rows = [(k, " ".join(g.choice(parts) for _ in range(g.randint(4, 70)))) for k in range(1500)]
+    for base in license_scan.TEMPLATES.values():
+        for k in range(60):
+            words = base.split()
+            for _ in range(g.randint(0, 4)):
+                words.insert(g.randint(0, len(words)), g.choice(parts))
+            rows.append((2000 + len(rows), " ".join(words)))
+    more = license_scan.TEMPLATES | {"own": "a notice of our own house", "long": " ".join(f"w{k}" for k in range(70))}
+    rows.append((9000, "x " * 40 + more["long"] + " a notice of our own house " + "licensed under cc by nc 4 0"))
+    for templates in (license_scan.TEMPLATES, more):
+        got = license_scan.scan_licenses(documents(spark, rows), templates=templates)
+        assert sorted(map(tuple, got.collect()), key=str) == by_sql(rows, templates=templates)
+
+
 def test_a_long_template_is_found_at_every_offset(spark):
     long = [f"t{k}" for k in range(150)]
     middle = [f"m{k}" for k in range(50)]

@@ -13,7 +13,8 @@ an overlap, so only template words are counted, sorted and shuffled.
 
 Bags of words cannot tell notices apart that differ in one word (nc or sa, 2 or 3,
 Lesser or not), so a match of a template in ``CONFIRM`` counts only where its block
-names that license and version. The DuckDB SQL has no such step, and windows of 64 words only.
+names that license and version, whatever other templates are given. The DuckDB SQL has the same rule without look-around: names that do not
+count are masked first.
 
 DataFrame functions only. Defined results: a null or empty text has no words, no
 labels and score 0; repeated rows each keep their own row; an empty table
@@ -70,6 +71,42 @@ CONFIRM = {
 }
 
 
+# The same in SQL: (what masks names that do not count, and by what), the name, the version, and words that may not lie between them.
+NAMES_SQL = {
+    "apache-2.0": (None, "apache", 2, ""),
+    "cc-by-nc-4.0": ((" by nc (sa|nd) ", " X X X "), "by nc", 4, "by|sa|nd"),
+    "cc-by-sa-4.0": (None, "by sa", 4, "by|nc|nd"),
+    "gpl-3.0": ((" (lesser|library|affero) general public license ", " \\1 general public M "), "general public license", 3, ""),
+    "mpl-2.0": (None, "mozilla public license", 2, ""),
+}
+
+
+def _confirmed_sql(template: str, said: str) -> str:
+    """SQL condition on the text of a block, spelled like ``said``, for a match of ``template``. Texts are in lower case, so
+    the capitals stand for nothing else: X bars the way from name to version, N is the name, M takes no part."""
+    if template == "mit":
+        return f"NOT contains({said}, ' person or organization ')"
+    mask, name, version, barred = NAMES_SQL[template]
+
+    def replaced(text: str, what: str, by: str) -> str:
+        return f"regexp_replace({text}, '{what}', '{by}', 'g')"
+
+    if mask:
+        said = replaced(said, *mask)
+    last = "X X" if barred else f"{name.rpartition(' ')[0]} M".strip()
+    fresh = replaced(said, f"([0-9]) of the (gnu )?{name} ", f"\\1 of the \\2{last} ")
+    before = f"regexp_matches({said}, ' v?{version} (?:0 )?(?:of |the |gnu |cc )*{name} ')"
+    if barred:
+        said, fresh = (replaced(t, f" {name} ", " N ") for t in (said, fresh))
+        for _ in range(2):                                  # neighbours share a space
+            said, fresh = (replaced(t, f" ({barred}) ", " X ") for t in (said, fresh))
+        name = "N"
+    word = "(?:[^ v0-9XN][^ ]*|v|v[^0-9 ][^ ]*|v?[0-9]{1,2}[^0-9 ][^ ]*|v?[0-9]{3}[^ ]*) "    # any but a number of one or two digits
+    listed = "(?:v?[0-9]{1,2} (?:[0-9] )?(?:or|and) (?:the )?(?:versions? )?)*"
+    return (f"(regexp_matches({fresh}, ' {name} (?:{word}){{0,16}}?{listed}v?{version} ')"
+            f" OR regexp_matches({said}, ' {name} (?:{word}){{0,16}}?(?:versions? |v){version} ') OR {before})")
+
+
 def spaced_words(text: Column) -> Column:
     """Each word with a space before and one after it, joined ('' without words):
     phrases found in it are whole words, and neighbours never share a space."""
@@ -123,11 +160,11 @@ def _block(by_rank: Column, words: Column, anchors: Column) -> Column:
 
 
 def block_matches(docs: DataFrame, keys: list[str], spaced: str, templates: dict[str, str],
-                  containment: float = CONTAINMENT, confirm: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+                  containment: float = CONTAINMENT, confirm: dict[str, tuple[str, str]] = CONFIRM) -> DataFrame:
     """(keys..., template, containment): every template that a block of the
-    row holds and confirms, with the largest containment over the row's blocks."""
+    row holds and confirms, with the largest containment over the row's blocks.
+    ``confirm`` has the rules by template name; a template without one needs none."""
     spark = docs.sparkSession
-    confirm = confirm if confirm is not None else CONFIRM if templates == TEMPLATES else {}
     split = {name: template_words(text) for name, text in templates.items()}
     sets = {name: sorted(set(words)) for name, words in split.items() if words}
     if not sets:
@@ -200,16 +237,21 @@ def license_sql(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = T
     places = " UNION ALL ".join(
         f"SELECT doc, i - 1 AS place, '{label}' AS label FROM words, unnest(range(1, len(w) + 1)) AS u(i) WHERE "
         + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in phrases.items())
-    kinds = ", ".join(f"('{name}', {quoted(sorted(set(text.split())))})" for name, text in templates.items())
+    split = {name: template_words(text) for name, text in templates.items()}
+    kinds = ", ".join(f"('{name}', {quoted(sorted(set(words)))}, {widening(len(words))})" for name, words in split.items() if words)
+    wides = ", ".join(f"({w})" for w in sorted({widening(len(words)) for words in split.values() if words}))
+    confirmed = " ".join(f"WHEN name = '{name}' THEN {_confirmed_sql(name, 'said')}" for name in split if name in CONFIRM)
+    confirmed = f"CASE {confirmed} ELSE true END" if confirmed else "true"
     return f"""
 WITH words AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS ({places}),
 base AS (SELECT doc, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc),
-blocks AS (SELECT doc, list_slice(w, {STRIDE} * k + 1, {STRIDE} * k + {BLOCK}) AS b FROM words,
-    unnest(range(0, 1 + greatest(0, ceil((len(w) - {BLOCK}) / {STRIDE}.0)::INT))) AS u(k)),
-found AS (SELECT doc, name, max(len(list_intersect(tokens, b)) / len(tokens)) AS held
-    FROM blocks, (VALUES {kinds}) AS t(name, tokens) GROUP BY doc, name HAVING held >= {CONTAINMENT}),
+blocks AS (SELECT doc, wide, list_slice(w, {STRIDE} * wide * k + 1, {STRIDE} * wide * k + {BLOCK} * wide) AS b FROM words, (VALUES {wides}) AS v(wide),
+    unnest(range(0, 1 + greatest(0, ceil((len(w) - {BLOCK} * wide) / ({STRIDE}.0 * wide))::INT))) AS u(k)),
+held AS (SELECT doc, name, ' ' || array_to_string(b, ' ') || ' ' AS said, len(list_intersect(tokens, b)) / len(tokens) AS held
+    FROM blocks JOIN (VALUES {kinds}) AS t(name, tokens, size) ON wide = size WHERE len(list_intersect(tokens, b)) / len(tokens) >= {CONTAINMENT}),
+found AS (SELECT doc, name, max(held) AS held FROM held WHERE {confirmed} GROUP BY doc, name),
 best AS (SELECT doc, max(held) AS held, list(name) AS names FROM found GROUP BY doc)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
