@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,23 @@ def test_single_precision_kernel_is_close(spark):
         spark.conf.unset("vekta.kernel.precision")
     for qi in exp:
         assert np.allclose([d for _, d in got[qi]], [d for _, d in exp[qi]], atol=1e-5)
+
+
+@pytest.mark.parametrize("dtype", [np.float64, np.float32])
+def test_distances_do_not_depend_on_block_shapes(monkeypatch, dtype):
+    g = np.random.default_rng(3)
+    for dim in (1, 7, 64, 100):
+        b, q = g.normal(size=(700, dim)).astype(dtype), g.normal(size=(40, dim)).astype(dtype)
+        b[::50] = b[0]
+        b[3], q[5] = 0, 0
+        ids = g.permutation(700).astype(np.int64)
+        want = None
+        for cells, chunk in ((4_000_000, 700), (500, 1), (90, 33), (10_000, 400)):
+            monkeypatch.setattr(kernel, "BLOCK_CELLS", cells)
+            batches = [pa.RecordBatch.from_arrays([pa.array(ids[s:s + chunk]), pa.array(b[s:s + chunk].astype(np.float32).tolist(), pa.list_(pa.float32()))], ["id", "v"])
+                       for s in range(0, 700, chunk)]
+            qn, ok = kernel.normalise(q)
+            got = next(kernel.exact_topk_partition(iter(batches), np.arange(40), qn, ok, 9, dim, "id", "v", dtype))
+            rows = sorted(map(str, zip(*(c.to_pylist() for c in got.columns))))
+            assert want is None or rows == want
+            want = rows

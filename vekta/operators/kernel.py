@@ -3,7 +3,9 @@
 Spark partitions and shuffles the work; these functions only turn one Arrow
 batch (or one co-grouped block pair) into a handful of candidate rows.
 Distances are cosine distances computed as ``1 - q̂·b̂`` on row-normalised
-matrices, so every norm is computed once per row, never per pair.
+matrices, so every norm is computed once per row, never per pair. A matrix
+product finds the pairs worth keeping; the distance of a kept pair is added up in one
+fixed order, so it does not depend on the plan or the shape of a block.
 
 Ordering contract (shared by every operator): ascending distance, ties by
 ascending id; NaN distances (zero vectors) sort after every number.
@@ -52,8 +54,8 @@ def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int,
 
 def normalise(m: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row-normalised copy and a mask of rows whose distance is a number
-    (valid, finite, non-zero norm)."""
-    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+    (valid, finite, non-zero norm). A row's result does not depend on the rows around it."""
+    norms = np.sqrt(row_sums(m * m))
     ok = np.isfinite(norms) & (norms > 0)
     if valid is not None:
         ok &= valid
@@ -61,6 +63,25 @@ def normalise(m: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarra
     return m / safe[:, None], ok
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sum of each row, halves added to halves: the order depends on the row length only."""
+    if x.shape[1] == 0:
+        return np.zeros(len(x), dtype=x.dtype)
+    while x.shape[1] > 1:
+        half = x.shape[1] // 2
+        odd = x[:, 2 * half:]
+        x = x[:, :half] + x[:, half:2 * half]
+        if odd.shape[1]:
+            x[:, :1] += odd
+    return x[:, 0]
+
+
+def pair_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of row i of ``a`` and row i of ``b`` (normalised). Products are added by halving in
+    float64, so the value follows from the two vectors alone, not from batch or block shapes."""
+    return 1.0 - row_sums(a.astype(np.float64, copy=False) * b.astype(np.float64, copy=False))
+
+
 def cosine_block(qn: np.ndarray, q_ok: np.ndarray, bn: np.ndarray, b_ok: np.ndarray) -> np.ndarray:
     """Distance block; pairs involving a zero/invalid vector are +inf
     (ranked last; reported as NaN)."""
@@ -79,8 +100,33 @@ class TopK:
         self.d = np.full((n_queries, k), np.inf)
         self.ids = np.full((n_queries, k), SENTINEL_ID, dtype=np.int64)
 
+    def add(self, rows: np.ndarray | slice, qn: np.ndarray, q_ok: np.ndarray,
+            bn: np.ndarray, b_ok: np.ndarray, ids: np.ndarray) -> None:
+        """Merge the base rows ``bn`` into the queries ``rows`` (vectors ``qn``). The matrix product only
+        chooses the pairs that can be among the k nearest, with a margin for its rounding;
+        their distances come from ``pair_cosine``, so they are the same on every path."""
+        d = cosine_block(qn, q_ok, bn, b_ok)
+        if self.k == 0 or d.size == 0:
+            return
+        bound = np.partition(np.concatenate([self.d[rows], d], axis=1), self.k - 1, axis=1)[:, self.k - 1]
+        margin = 4 * max(1, qn.shape[1]) * np.finfo(d.dtype).eps
+        row, col = np.nonzero(d <= (bound + margin)[:, None])
+        dist = d[row, col].astype(np.float64)
+        number = np.flatnonzero(np.isfinite(dist))
+        step = max(1, BLOCK_CELLS // max(1, qn.shape[1]))
+        for s in range(0, len(number), step):
+            at = number[s:s + step]
+            dist[at] = pair_cosine(qn[row[at]], bn[col[at]])
+        count = np.bincount(row, minlength=d.shape[0])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        width = int(count.max()) if len(count) else 0
+        near = np.full((d.shape[0], width), np.inf)
+        near_ids = np.full((d.shape[0], width), SENTINEL_ID, dtype=np.int64)
+        near[row, place], near_ids[row, place] = dist, ids[col]
+        self.merge(rows, near, near_ids)
+
     def merge(self, rows: np.ndarray | slice, d: np.ndarray, ids: np.ndarray) -> None:
-        """Merge block ``d`` (len(rows) x len(ids)) into the queries ``rows``."""
+        """Merge block ``d`` (a row for each of ``rows``) of the base rows ``ids`` (one list, or one a row)."""
         k = self.k
         if k == 0 or d.size == 0:
             return
@@ -145,7 +191,7 @@ def exact_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.ndarra
             continue
         examined += len(ids)
         for qs in _query_chunks(len(query_ids), len(ids)):
-            top.merge(qs, cosine_block(qn[qs], q_ok[qs], bn, b_ok), ids)
+            top.add(qs, qn[qs], q_ok[qs], bn, b_ok, ids)
     if counts:
         yield _counts_batch(query_ids, examined)
     else:
@@ -191,7 +237,7 @@ def cell_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray
             gb, gok, gid = bn[grp], b_ok[grp], ids[grp]
             for s in _query_chunks(len(qsel), len(grp)):
                 rows = qsel[s]
-                top.merge(rows, cosine_block(qn[rows], q_ok[rows], gb, gok), gid)
+                top.add(rows, qn[rows], q_ok[rows], gb, gok, gid)
     if counts:
         yield _counts_batch(query_ids, examined)
     else:
@@ -214,7 +260,7 @@ def nearest_of_block(batches: Iterator[pa.RecordBatch], cand_ids: np.ndarray,
         qn, q_ok = normalise(q, valid)
         top = TopK(len(ids), n)
         for s in _query_chunks(len(ids), len(cand_ids)):
-            top.merge(s, cosine_block(qn[s], q_ok[s], cn, c_ok), cand_ids)
+            top.add(s, qn[s], q_ok[s], cn, c_ok, cand_ids)
         near, near_ids = top.ordered()
         keep = (near_ids != SENTINEL_ID) & valid[:, None]
         rank = np.broadcast_to(np.arange(1, n + 1, dtype=np.int64), near_ids.shape)
@@ -235,7 +281,7 @@ def nearest_one(vec_col: pa.Array, cand_ids: np.ndarray, cn: np.ndarray, c_ok: n
     qn, q_ok = normalise(q, valid)
     top = TopK(len(q), 1)
     for s in _query_chunks(len(q), len(cand_ids)):
-        top.merge(s, cosine_block(qn[s], q_ok[s], cn, c_ok), cand_ids)
+        top.add(s, qn[s], q_ok[s], cn, c_ok, cand_ids)
     best = top.ids[:, 0]
     keep = valid & (best != SENTINEL_ID)
     dist = np.where(np.isinf(top.d[:, 0]), np.nan, top.d[:, 0])
@@ -288,7 +334,7 @@ def cell_pair_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.nd
             for s in _query_chunks(len(slots), len(grp)):
                 sl = slots[s]
                 qr = slot_query[sl]
-                top.merge(sl, cosine_block(qn[qr], q_ok[qr], bn[grp], b_ok[grp]), ids[grp])
+                top.add(sl, qn[qr], q_ok[qr], bn[grp], b_ok[grp], ids[grp])
     keep = top.ids != SENTINEL_ID
     shape = top.ids.shape
     qi = np.broadcast_to(query_ids[slot_query][:, None], shape)[keep]
