@@ -71,8 +71,8 @@ def test_search_with_query_set_above_broadcast_limit(spark, sf):
     assert got == want
 
 
-# m=8 and ef=20 bound the recall at the larger size; a build of 4 rounds stays below 0.81
-@pytest.mark.parametrize("scale,least", [("sf0.001", 0.96), ("sf0.1", 0.81)])
+# m=8 and ef=20 bound the recall at the larger size
+@pytest.mark.parametrize("scale,least", [("sf0.001", 0.96), ("sf0.1", 0.93)])
 def test_registered_graph_search_keeps_its_recall_as_rows_grow(spark, sf, scale, least):
     path = os.path.join(os.path.dirname(sf), scale)
     b = fx.base_vectors(spark, path)
@@ -82,3 +82,72 @@ def test_registered_graph_search_keeps_its_recall_as_rows_grow(spark, sf, scale,
 
 def test_sweep_builds_until_few_edges_change():
     assert inspect.signature(sweep.sweep_graph).parameters["max_iter"].default is None
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_recall_with_more_links(spark, sf, scale):
+    path = os.path.join(os.path.dirname(sf), scale)
+    assert [r.reaches_95 for r in workloads.QUERIES["graph_search_recall"](spark, path).collect()] == [True]
+
+
+def test_rounds_exchange_candidates_and_not_the_nodes(spark, sf):
+    b = fx.base_vectors(spark, sf)
+    g = graph.graph_build(b, m=4, ef_construction=8, max_iter=1)
+    cands = spark.range(50).selectExpr("1 AS ef", "id % 7 AS query_id", "id")
+    plan = graph.at_nodes(cands, g.nodes)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "Scan parquet" in x)
+    assert "Bucketed: true" in lines[scan]
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for x in reversed(lines[:scan]):
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+    assert any("ShuffledHashJoin" in x for x in above) and not any("Exchange" in x or "Sort" in x for x in above)
+
+
+def test_occlusion_prunes_near_doubles(spark):
+    """Candidates on one ray: the nearest is kept, the others are nearer to it than to the node; one to the other side is kept."""
+    v = {0: [1.0, 0.0], 1: [1.0, 0.1], 2: [1.0, 0.11], 3: [1.0, 0.12], 4: [1.0, -0.3]}
+    vectors = spark.createDataFrame(list(v.items()), "id long, v array<float>")
+    cands = knn.knn_join(vectors.where("id = 0"), vectors, 5).where("id <> 0").selectExpr("query_id AS src", "id AS dst", "distance")
+    two = sorted(r.dst for r in graph.diverse_links(cands, vectors, 2, 2).collect())
+    assert two == [1, 4]
+    assert sorted(r.dst for r in graph.diverse_links(cands, vectors, 2, 3).collect()) == [1, 2, 4]
+
+
+def test_local_join_equals_brute_force_in_neighbourhoods(spark):
+    import numpy as np
+    g = np.random.default_rng(5)
+    n, dim = 60, 6
+    m = g.normal(size=(n, dim))
+    vectors = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(n)], "id long, v array<double>")
+    # node 0 is a hub: every node points at it
+    pairs = {(i, 0) for i in range(1, n)} | {(i, int(j)) for i in range(n) for j in g.choice(n, 3, replace=False) if i != j}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(i, j, float(1 - unit[i] @ unit[j]), True) for i, j in sorted(pairs)]
+    edges = graph._keep_best(spark.createDataFrame(rows, "src long, dst long, distance double, fresh boolean"), 8)
+    got = {(r.src, r.dst): r.distance for r in graph.local_join(edges, vectors, dim, 8, 100).collect()}
+    assert all(abs(d - (1 - unit[i] @ unit[j])) < 1e-12 for (i, j), d in got.items())
+    around = {}
+    for r in edges.collect():
+        around.setdefault(r.src, set()).add(r.dst)
+        around.setdefault(r.dst, set()).add(r.src)
+    inside = {(a, b) for s in around.values() for a in s for b in s if a != b}
+    assert set(got) <= inside and len(got) > n
+    # one block a neighbourhood and room for all: every pair of it
+    whole = {(r.src, r.dst) for r in graph.local_join(edges, vectors, dim, n, 1000).collect()}
+    assert whole == inside
+
+
+def test_zero_null_and_short_vectors_are_nodes_without_links(spark):
+    rows = [(i, [float(i % 5) + 1, float(i % 7), 1.0]) for i in range(30)] + [(100, [0.0, 0.0, 0.0]), (101, None), (102, [1.0]), (103, [1.0, 1.0, 1.0])]
+    b = spark.createDataFrame(rows, "id long, v array<double>")
+    g = graph.graph_build(b, m=4, ef_construction=8, dim=3)
+    links = {r.id: r.links for r in g.nodes.collect()}
+    assert len(links) == 34 and links[100] == links[101] == links[102] == [] and links[103]
+    found = graph.graph_search(g, b.where("id < 30"), 3, ef=20).collect()
+    assert len(found) == 90 and all(r.id not in (101, 102) for r in found)
+    empty = graph.graph_build(b.where("id < 0"), m=4, ef_construction=8, dim=3)
+    assert empty.nodes.count() == 0 and graph.graph_search(empty, b, 3).count() == 0

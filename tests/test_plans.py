@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from vekta import workloads
 
 # iterative; their sub-plans are tested elsewhere, and so are the corpus queries
-SLOW = {"graph_search", "sweep_ivf", "graph_search_checks"}
+SLOW = {"graph_search", "sweep_ivf", "graph_search_checks", "graph_search_recall", "graph_insert_recall", "sweep_graph"}
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "array<bigint>": "BIGINT[]"}
 

@@ -50,11 +50,12 @@ def main():
     ]
     from vekta.operators import graph
     g = graph.graph_build(b.select("id", "v"), m=8, ef_construction=32, max_iter=1)
-    edges = g.edges.where("kind = 'out'").withColumn("is_new", F.lit(True))
-    fresh = graph._candidate_pairs(edges).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    edges = g.edges.where("kind = 'out'").withColumn("fresh", F.lit(True))
     sections += [
-        ("graph build round: candidate pairs (two-hop + siblings) scored with the vector table",
-         graph._with_vectors(fresh, g.vectors, g.dim)),
+        ("graph build round: local join, one vector a member of a neighbourhood",
+         graph.local_join(edges, g.vectors, g.dim, graph.NEIGHBOURHOOD, 32)),
+        ("graph search: candidates of a round at the buckets of the node table",
+         graph.at_nodes(spark.range(1000), g.nodes)),
         ("graph search (beam search over the bidirectional index; one checkpointed table per round)",
          graph.graph_search(g, b.where("id < 50"), 10, ef=20)),
     ]

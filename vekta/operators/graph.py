@@ -1,43 +1,46 @@
 """Neighbour-graph ANN index built and searched with DataFrame joins.
 
-Build (NN-descent, Dong et al. 2011, as iterated joins):
-  * start from the best ``m`` of max(2m, ef_construction) hashed-random
-    candidates per node;
-  * each round, candidate edges come from the current graph with no caps:
-    two hops u -> v -> w, and siblings u, w that share a neighbour v (both
-    out-edges of v, at most m^2 per v); only pairs touching an edge that is
-    new since the last round are scored;
-  * candidate distances come from two joins with the id-partitioned vector
-    table and a vectorised Arrow kernel; each node keeps its best ``m``
-    edges (the initial graph draws max(2m, ef_construction) candidates);
-  * the round's edges are checkpointed (shared checkpoint folder) to cut
-    lineage; the driver reads only the count of changed edges and stops
-    below ``min_update_rate`` or at ``max_iter``.
+Build:
+  * a start from random projections: nodes with equal sign codes meet in bounded groups,
+    several codes a node;
+  * rounds of neighbour descent (Dong et al. 2011) as a local join by neighbourhood: the nodes around v,
+    those v points at and those that point at v, meet in one group with one vector each, and a
+    vectorised Arrow kernel scores all pairs inside. The nodes that point at a hub are split into
+    blocks, each of which meets all nodes that the hub points at. A pair leaves its group only if it
+    beats the farthest candidate that its node holds, so late rounds ship next to nothing;
+  * each node keeps its nearest ``ef_construction`` candidates; when few change, a second kernel prunes
+    them by diversity to ``m`` links: a candidate that is nearer to a link already kept than to the node is
+    passed over (and only fills places left free).
 
 The index adjacency is bidirectional with bounded degree: m out-links plus
-up to m links back from the nearest nodes pointing at a node.
-
-Search (batched beam search): every query keeps a beam of ``max(ef, k)``
-(node, distance) rows; each round expands the unexpanded beam nodes through
-the edge table, drops already-visited nodes (left anti join), scores the
-new nodes against the broadcast query block and keeps the best beam per
-query (grouped top-k window). Stops when no beam changes.
+up to m links back from the nearest nodes pointing at a node. Nodes (id, vector, links) are one table,
+bucketed by id.
+
+Search (batched beam search): every query keeps a beam of ``max(ef, k)`` nodes. A round
+sends the neighbours of the unexpanded beam nodes to the buckets of the node table, which itself is
+never exchanged, scores them there and merges the best into the beam. The beam is all that is kept
+and rewritten: it only gets nearer, so a node that fell out of it can be scored again but cannot come
+back, and no visited set is needed. Stops when every beam node is expanded.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
 from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, query_limit, vector_dim
-from ..session import checkpoint_dir
+from ..plans.staging import staged
+from ..session import scratch_path
 from . import kernel as K
-from .knn import _empty, _prep, hash_draw, rank_candidates, with_positions
+from .knn import _empty, _prep, exact_candidates, knn_join, rank_candidates, sample_queries
 
 # Graph index parameter defaults of the reference.
 DEFAULT_M = 32
@@ -45,107 +48,203 @@ DEFAULT_EF_CONSTRUCTION = 128
 DEFAULT_EF = 10
 MIN_ENTRY_POINTS = 64
 
+NEIGHBOURHOOD = 16     # nearest candidates of a node that take part in a local join, each way
+START_GROUP = 256      # nodes that meet in a group of the start, about
+START_CODES = 4        # random codes of a node at the start
+EDGE = "src long, dst long, distance double"
+
 
 @dataclass
 class GraphIndex:
-    vectors: DataFrame   # (id, v), hash-partitioned by id
+    nodes: DataFrame     # (id, v, links): bucketed by id
     edges: DataFrame     # (src, dst, distance, rank, kind): kind 'out' rank 1..m, 'in' <= m
     m: int
     ef_construction: int
     dim: int
 
-
-def _pair_distance(pairs: DataFrame, dim: int, a_vec: str = "va", b_vec: str = "vb") -> DataFrame:
-    """Adds ``distance`` for rows holding two vectors (vectorised per batch)."""
-    cols = [c for c in pairs.columns if c not in (a_vec, b_vec)]
-    import pyarrow as pa
-    out_fields = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in cols)
-
-    def run(batches):
-        for rb in batches:
-            if rb.num_rows == 0:
+    @property
+    def vectors(self) -> DataFrame:
+        return self.nodes.select("id", "v")
+
+
+# ------------------------------------------------------------- bucketed tables
+def write_bucketed(df: DataFrame, path: str, buckets: int, by: str = "id") -> DataFrame:
+    """``df`` as a table bucketed and sorted by ``by``, one file a bucket: joins on it need no exchange of it."""
+    name = f"vekta_{uuid.uuid4().hex}"
+    (df.repartition(buckets, by).write.format("parquet").option("path", path)
+     .bucketBy(buckets, by).sortBy(by).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, buckets: int, by: str = "id") -> DataFrame:
+    """A table written by ``write_bucketed``, in any session."""
+    name = f"vekta_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# --------------------------------------------------------------------- kernels
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, bounds) of whole groups from batches sorted by ``keys``: bounds[i]:bounds[i+1] is a group.
+    Holds one batch and the group that goes over its end."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(rb: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(max(0, rb.num_rows - 1), bool)
+        for k in keys:
+            c = rb.column(k).to_numpy(zero_copy_only=False)
+            change |= c[1:] != c[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [rb.num_rows]])
+
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        held.append(rb)
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        bounds = cut(whole)
+        held = [whole.slice(int(bounds[-2]))]
+        if len(bounds) > 2:
+            yield whole.slice(0, int(bounds[-2])), bounds[:-1]
+    if held:
+        yield held[0], np.array([0, held[0].num_rows])
+
+
+def _edge_batch(src: list[np.ndarray], dst: list[np.ndarray], dist: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, dist)], ["src", "dst", "distance"])
+
+
+def _local_join(batches: Iterator[pa.RecordBatch], keys: list[str], dim: int, most: int, split: int = 0) -> Iterator[pa.RecordBatch]:
+    """All pairs inside each group of members (id, v, fresh, bound): for each member its ``most`` nearest others
+    that are nearer than its bound, of pairs with a fresh member. Groups beyond ``split`` members are cut into chunks."""
+    for rb, bounds in _runs(batches, keys):
+        ids = rb.column("id").to_numpy()
+        fresh = rb.column("fresh").to_numpy(zero_copy_only=False)
+        bound = rb.column("bound").to_numpy(zero_copy_only=False)
+        v, valid = K.vectors_from_arrow(rb.column("v"), dim)
+        v, ok = K.normalise(v, valid)
+        src, dst, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        chunks = [(s, e) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
+                  for s, e in ([(a, b)] if not split else [(s, min(s + split, b)) for s in range(a, b, split)])]
+        for s, e in chunks:
+            if e - s < 2:
                 continue
-            a, va = K.vectors_from_arrow(rb.column(a_vec), dim)
-            b, vb = K.vectors_from_arrow(rb.column(b_vec), dim)
-            an, aok = K.normalise(a, va)
-            bn, bok = K.normalise(b, vb)
-            d = 1.0 - np.einsum("ij,ij->i", an, bn)
-            d = np.where(aok & bok, d, np.nan)
-            arrays = [rb.column(c) for c in cols] + [pa.array(d, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=cols + ["distance"])
-    ensure_shipped(pairs.sparkSession)
-    return pairs.mapInArrow(run, f"{out_fields}, distance double")
-
-
-def _with_vectors(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    va = vectors.select(F.col("id").alias("src"), F.col("v").alias("va"))
-    vb = vectors.select(F.col("id").alias("dst"), F.col("v").alias("vb"))
-    return _pair_distance(pairs.join(va, "src").join(vb, "dst"), dim)
-
-
+            d = 1.0 - v[s:e] @ v[s:e].T
+            old = ~fresh[s:e]
+            d[np.ix_(old, old)] = np.inf
+            d[~ok[s:e], :] = np.inf
+            d[:, ~ok[s:e]] = np.inf
+            d[ids[s:e][:, None] == ids[s:e][None, :]] = np.inf
+            n = min(most, e - s - 1)
+            near = np.argpartition(d, n - 1, axis=1)[:, :n]
+            row = np.repeat(np.arange(e - s), n)
+            col = near.ravel()
+            keep = d[row, col] < bound[s:e][row]
+            row, col = row[keep], col[keep]
+            src.append(ids[s:e][row]), dst.append(ids[s:e][col]), dist.append(K.pair_cosine(v[s:e][row], v[s:e][col]))
+        yield _edge_batch(src, dst, dist)
+
+
+def _occlusion(batches: Iterator[pa.RecordBatch], dim: int, m: int) -> Iterator[pa.RecordBatch]:
+    """Diversity pruning of each node's candidates (src, id, distance, v): nearest first, one that is nearer to a kept
+    link than to the node is passed over; those passed over fill what is left of ``m`` places, nearest first."""
+    for rb, bounds in _runs(batches, ["src"]):
+        ids, source = rb.column("id").to_numpy(), rb.column("src").to_numpy()
+        distance = rb.column("distance").to_numpy()
+        v, valid = K.vectors_from_arrow(rb.column("v"), dim)
+        v, _ = K.normalise(v, valid)
+        rows = []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            order = s + np.lexsort((ids[s:e], distance[s:e]))
+            between = 1.0 - v[order] @ v[order].T
+            own = distance[order]
+            nearest_kept = np.full(e - s, np.inf)
+            kept = np.zeros(e - s, bool)
+            for i in range(e - s):
+                if not nearest_kept[i] < own[i]:
+                    kept[i] = True
+                    nearest_kept = np.minimum(nearest_kept, between[i])
+                    if kept.sum() == m:
+                        break
+            chosen = np.concatenate([np.flatnonzero(kept), np.flatnonzero(~kept)])[:m]
+            rows.append(order[np.sort(chosen)])
+        rows = np.concatenate(rows)
+        yield _edge_batch([source[rows]], [ids[rows]], [distance[rows]])
+
+
+# ----------------------------------------------------------------------- build
 def _keep_best(cands: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("src").orderBy(F.col("distance").asc_nulls_last(), F.col("dst"))
     return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .withColumn("rank", F.col("rank").cast("long")))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _candidate_pairs(edges: DataFrame) -> DataFrame:
-    """New candidate edges u -> w from the current graph, without caps:
-      * two hops  u -> v -> w (join on v; a hub v fans out linearly in its
-        in-degree — each row a different u — which AQE's skew join splits);
-      * siblings  u, w both out-neighbours of one v (at most m^2 per v).
-    Only pairs touching an edge that is new since the last round."""
-    a = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("is_new").alias("n1"))
-    b = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("is_new").alias("n2"))
-    hop = (a.join(b, "v").where((F.col("u") != F.col("w")) & (F.col("n1") | F.col("n2")))
-           .select(F.col("u").alias("src"), F.col("w").alias("dst")))
-    c = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("is_new").alias("n1"))
-    sib = (c.join(b, "v").where((F.col("u") != F.col("w")) & (F.col("n1") | F.col("n2")))
-           .select(F.col("u").alias("src"), F.col("w").alias("dst")))
-    return hop.unionByName(sib).distinct()
-
+def _start(vectors: DataFrame, dim: int, n: int, most: int, seed: int) -> DataFrame:
+    """First candidates: nodes with one sign code under random projections, in groups of about START_GROUP.
+    Rows are dealt by range of (code, hash), so a code that many nodes share is split like any other."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / START_GROUP)))
+    planes = np.random.default_rng(seed).normal(size=(START_CODES, dim or 1, bits))
 
-def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFAULT_EF_CONSTRUCTION,
-                max_iter: int | None = None, min_update_rate: float = 0.002, seed: int = 42,
-                id_col: str = "id", vec_col: str = "v", dim: int | None = None,
-                partitions: int | None = None) -> GraphIndex:
-    spark = base.sparkSession
-    b = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    dim = dim or vector_dim(b, "v")
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vectors = _checkpoint(b.repartition(parts, "id"))
-    n = vectors.count()
-    m = max(1, min(m, n - 1)) if n > 1 else 1
-    pool = max(2 * m, ef_construction)
-    # initial graph: ``pool`` hashed draws per node (self-draws and repeats
-    # dropped), the best m kept — ef_construction sets how many random
-    # candidates each node starts from
-    pos = with_positions(vectors.select("id"), "id")
-    draws = (pos.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(pool - 1))).alias("j"))
-             .withColumn("pos", F.pmod(hash_draw(seed, F.concat_ws(":", F.col("src"), F.col("j"))), F.lit(n))))
-    init = (draws.join(pos.select(F.col("id").alias("dst"), "pos"), "pos")
-            .where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    edges = _keep_best(_with_vectors(init, vectors, dim), m).withColumn("is_new", F.lit(True))
-    edges = _checkpoint(edges)
-    # rounds until few edges change; random starts need about log(n) of them
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            v, _ = K.vectors_from_arrow(rb.column("v"), dim)
+            for t in range(START_CODES):
+                code = ((v @ planes[t] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(v))).astype(np.int64) * START_CODES + t
+                yield pa.RecordBatch.from_arrays([pa.array(code), rb.column("id"), rb.column("v")], ["code", "id", "v"])
+
+    kind = vectors.schema["v"].dataType.simpleString()
+    coded = vectors.mapInArrow(codes, f"code long, id long, v {kind}")
+    order = ["code", F.xxhash64("id", F.lit(seed)), "id"]
+    dealt = (coded.repartitionByRange(*order).sortWithinPartitions(*order)
+             .select("code", "id", "v", F.lit(True).alias("fresh"), F.lit(float("inf")).alias("bound")))
+    return dealt.mapInArrow(lambda b: _local_join(b, ["code"], dim, most, 2 * START_GROUP), EDGE).distinct()
+
+
+def local_join(edges: DataFrame, vectors: DataFrame, dim: int, reach: int, most: int) -> DataFrame:
+    """Candidates (src, dst, distance) from the neighbourhoods of ``edges`` (src, dst, distance, rank, fresh): one
+    vector a member. A hub's in-neighbours are dealt to blocks of about ``2 * reach``."""
+    near = edges.where(F.col("rank") <= reach)
+    blocks = (near.groupBy(F.col("dst").alias("v_id")).agg(F.count(F.lit(1)).alias("n"))
+              .select("v_id", F.ceil(F.col("n") / (2 * reach)).cast("int").alias("blocks")))
+    into = near.select(F.col("dst").alias("node"), F.col("src").alias("id"), "fresh")
+    into = (into.join(blocks, into["node"] == blocks["v_id"])
+            .select("node", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "fresh"))
+    out = near.select(F.col("src").alias("node"), F.col("dst").alias("id"), "fresh")
+    out = (out.join(blocks, out["node"] == blocks["v_id"], "left")
+           .select("node", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), "id", "fresh"))
+    members = into.unionByName(out).groupBy("node", "block", "id").agg(F.max("fresh").alias("fresh"))
+    bound = edges.groupBy(F.col("src").alias("id")).agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("held"))
+    bound = bound.select("id", F.when(F.col("held") >= most, F.col("bound")).otherwise(float("inf")).alias("bound"))
+    there = members.join(vectors.join(bound, "id", "left").fillna(float("inf"), ["bound"]), "id")
+    grouped = there.repartition("node", "block").sortWithinPartitions("node", "block").select("node", "block", "id", "v", "fresh", "bound")
+    return grouped.mapInArrow(lambda b: _local_join(b, ["node", "block"], dim, reach), EDGE)
+
+
+def _descend(vectors: DataFrame, dim: int, n: int, pool: int, max_iter: int | None, min_update_rate: float, seed: int) -> DataFrame:
+    """Each node's nearest ``pool`` candidates: (src, dst, distance, rank)."""
+    reach = min(NEIGHBOURHOOD, pool)
+    edges = staged(_keep_best(_start(vectors, dim, n, reach, seed), pool).withColumn("fresh", F.lit(True)), "graph-pool")
     rounds = max_iter if max_iter is not None else 4 + n.bit_length()
     for _ in range(rounds):
-        pairs = _candidate_pairs(edges)
-        old = edges.select("src", "dst")
-        fresh = pairs.join(old, ["src", "dst"], "left_anti")
-        scored = _with_vectors(fresh, vectors, dim).withColumn("is_new", F.lit(True))
-        merged = edges.select("src", "dst", "distance", F.lit(False).alias("is_new")).unionByName(scored)
-        new_edges = _checkpoint(_keep_best(merged, m))
-        changed = new_edges.where("is_new").count()
-        edges = new_edges
-        if changed <= min_update_rate * n * m:
+        found = local_join(edges, vectors, dim, reach, pool)
+        old = edges.select("src", "dst", "distance", F.lit(False).alias("fresh"))
+        merged = old.unionByName(found.withColumn("fresh", F.lit(True))).groupBy("src", "dst").agg(
+            F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
+        edges = staged(_keep_best(merged, pool), "graph-pool")
+        if edges.where(F.col("fresh") & (F.col("rank") <= reach)).count() <= min_update_rate * n * reach:
             break
-    return GraphIndex(vectors, _bidirectional(edges, m), m, ef_construction, dim)
+    return edges.select("src", "dst", "distance", "rank")
+
+
+def diverse_links(cands: DataFrame, vectors: DataFrame, dim: int, m: int) -> DataFrame:
+    """(src, dst, distance, rank): ``m`` links of each node, pruned by diversity from its candidates (src, dst, distance)."""
+    there = cands.select("src", F.col("dst").alias("id"), "distance").join(vectors, "id")
+    grouped = there.repartition("src").sortWithinPartitions("src").select("src", "id", "distance", "v")
+    return _keep_best(grouped.mapInArrow(lambda b: _occlusion(b, dim, m), EDGE), m)
 
 
 def _bidirectional(edges: DataFrame, m: int) -> DataFrame:
@@ -161,26 +260,70 @@ def _bidirectional(edges: DataFrame, m: int) -> DataFrame:
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
             .select("src", "dst", "distance", F.col("rank").cast("long").alias("rank"),
                     F.lit("in").alias("kind")))
-    return _checkpoint(out.unionByName(back))
+    return staged(out.unionByName(back), "graph-edges")
+
+
+def nodes_of(vectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, v, links): what a search reads of a node."""
+    links = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("links"))
+    return vectors.join(links, "id", "left").select("id", "v", F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))
+
+
+def _index(vectors: DataFrame, links: DataFrame, m: int, ef_construction: int, dim: int) -> GraphIndex:
+    spark = vectors.sparkSession
+    edges = _bidirectional(links, m)
+    nodes = write_bucketed(nodes_of(vectors, edges), scratch_path(spark, "graph-nodes"), _buckets(spark))
+    return GraphIndex(nodes, edges, m, ef_construction, dim)
+
+
+def _nodes_in(base: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+
+
+def graph_pool(base: DataFrame, pool: int, max_iter: int | None = None, min_update_rate: float = 0.005, seed: int = 42,
+               id_col: str = "id", vec_col: str = "v", dim: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors, candidates, dim): the dear part of a build. Every narrower build follows from the widest
+    pool by ``graph_from_pool``."""
+    spark = base.sparkSession
+    ensure_shipped(spark)
+    b = _nodes_in(base, id_col, vec_col)
+    dim = dim or vector_dim(b, "v")
+    vectors = write_bucketed(b, scratch_path(spark, "graph-vectors"), _buckets(spark))
+    n = vectors.count()
+    return vectors, _descend(vectors, dim, n, max(1, min(pool, n - 1)), max_iter, min_update_rate, seed), dim
+
+
+def graph_from_pool(vectors: DataFrame, cands: DataFrame, dim: int, m: int, ef_construction: int) -> GraphIndex:
+    """The index with ``m`` links pruned from each node's nearest max(m, ef_construction) candidates."""
+    own = cands.where(F.col("rank") <= max(m, ef_construction))
+    return _index(vectors, staged(diverse_links(own, vectors, dim, m), "graph-links"), m, ef_construction, dim)
+
+
+def graph_build(base: DataFrame, m: int = DEFAULT_M, ef_construction: int = DEFAULT_EF_CONSTRUCTION,
+                max_iter: int | None = None, min_update_rate: float = 0.005, seed: int = 42,
+                id_col: str = "id", vec_col: str = "v", dim: int | None = None) -> GraphIndex:
+    """Graph index of ``base``. Rows whose vector is null, zero or of another length than ``dim`` are nodes without links."""
+    vectors, cands, dim = graph_pool(base, max(m, ef_construction), max_iter, min_update_rate, seed, id_col, vec_col, dim)
+    return graph_from_pool(vectors, cands, dim, m, ef_construction)
 
 
 def graph_append(index: GraphIndex, new_rows: DataFrame, id_col: str = "id", vec_col: str = "v") -> GraphIndex:
     """Insert rows into a graph index: each new node links to its nearest
-    nodes, found by searching the present graph and among the batch itself;
+    nodes, found by searching the present graph and among the batch itself, pruned by diversity;
     links back are chosen anew, so degrees keep their bound."""
-    from .knn import knn_join
-    new = _checkpoint(new_rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")))
-    found = graph_search(index, new, index.m, ef=max(index.ef_construction, index.m))
-    own = knn_join(new, new, index.m + 1, dim=index.dim).where("query_id <> id")
-    links = (found.unionByName(own).where("query_id <> id")
-             .select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance").distinct())
-    out = _keep_best(links, index.m).select("src", "dst", "distance", "rank")
+    new = staged(_nodes_in(new_rows, id_col, vec_col), "graph-new")
+    pool = max(index.ef_construction, index.m)
+    found = graph_search(index, new, pool, ef=pool)
+    own = knn_join(new, new, pool + 1, dim=index.dim).where("query_id <> id")
+    vectors = index.vectors.unionByName(new)
+    cands = _keep_best(found.unionByName(own).where("query_id <> id")
+                       .select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance").distinct(), pool)
+    out = diverse_links(cands, vectors, index.dim, index.m).select("src", "dst", "distance", "rank")
     old = index.edges.where("kind = 'out'").select("src", "dst", "distance", "rank")
-    edges = _checkpoint(old.unionByName(out))
-    return GraphIndex(_checkpoint(index.vectors.select("id", "v").unionByName(new)), _bidirectional(edges, index.m),
-                      index.m, index.ef_construction, index.dim)
+    return _index(vectors, staged(old.unionByName(out), "graph-links"), index.m, index.ef_construction, index.dim)
 
 
+# ---------------------------------------------------------------------- search
 def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAULT_EF,
                  entry_points: int | None = None, max_rounds: int | None = None, seed: int = 42,
                  query_id: str = "id", query_vec: str = "v") -> DataFrame:
@@ -189,8 +332,8 @@ def graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int = DEFAUL
     seeded sample of ``entry_points`` nodes (default: 4 times the root of the node count)."""
     if k <= 0:
         return _empty(queries.sparkSession)
-    state, _ = _beam(index, queries, k, [ef], entry_points, max_rounds, seed, query_id, query_vec)
-    return rank_candidates(state.select("query_id", "id", "distance"), k)
+    beam = _beam(index, queries, k, [ef], entry_points, max_rounds, seed, query_id, query_vec)
+    return rank_candidates(_beam_rows(beam).drop("ef"), k)
 
 
 def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[int],
@@ -199,91 +342,93 @@ def graph_search_multi(index: GraphIndex, queries: DataFrame, k: int, efs: list[
     """Several ``ef`` settings in one search: the setting is part of the beam
     key, so all settings advance together round by round.
     Returns (ef, query_id, id, distance, rank)."""
-    state, _ = _beam(index, queries, k, efs, entry_points, max_rounds, seed, query_id, query_vec)
-    return rank_candidates(state.select("ef", "query_id", "id", "distance"), k, ["ef", "query_id"])
+    beam = _beam(index, queries, k, efs, entry_points, max_rounds, seed, query_id, query_vec)
+    return rank_candidates(_beam_rows(beam), k, ["ef", "query_id"])
+
+
+def graph_search_effort(index: GraphIndex, queries: DataFrame, ef: int = DEFAULT_EF, **kw) -> DataFrame:
+    """(query_id, examined): distances computed per query, seeds of the beam included."""
+    return _beam(index, queries, 1, [ef], **kw).select("query_id", "examined")
+
+
+def _beam_rows(beam: DataFrame) -> DataFrame:
+    rows = beam.select("ef", "query_id", F.explode("beam").alias("b"))
+    return rows.select("ef", "query_id", "b.id", F.when(F.col("b.distance") < float("inf"), F.col("b.distance")).otherwise(float("nan")).alias("distance"))
+
+
+def at_nodes(cands: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates joined with the node table at its buckets: the candidates are exchanged, the table is not."""
+    return cands.hint("shuffle_hash").join(nodes, "id")
 
 
 def _beam(index: GraphIndex, queries: DataFrame, k: int, efs: list[int], entry_points: int | None = None,
-          max_rounds: int | None = None, seed: int = 42, query_id: str = "id", query_vec: str = "v"):
+          max_rounds: int | None = None, seed: int = 42, query_id: str = "id", query_vec: str = "v") -> DataFrame:
+    """One row a query and ef: (ef, query_id, qv, beam, examined). beam: the best max(ef, k) nodes (distance, id, expanded, links)."""
     spark = queries.sparkSession
+    ensure_shipped(spark)
     q = _prep(queries, query_id, query_vec, "query_id")
     dim = index.dim
     efs = sorted({int(e) for e in efs})
     widest = max(max(efs), k)
     try:
         blk = BroadcastBlock.collect(q, "query_id", "v", dim, query_limit(spark, dim, widest))
-    except BroadcastTooLarge:
-        blk = None   # query set above the broadcast limit: score by joining query vectors
-    if blk is not None:
         valid = blk.extra["_valid"]
-        qids, qm = blk.ids[valid], blk.matrix[valid]
-        qn, q_ok = K.normalise(qm)
-        bc = spark.sparkContext.broadcast((qids, qn, q_ok))
-    qvec = q.select("query_id", F.col("v").alias("qv"))
-
-    def score(batches):
-        import pandas as pd
-        import pyarrow as pa
-        ids, m, ok = bc.value
-        index_of = pd.Index(ids)
+        qn, q_ok = K.normalise(blk.matrix[valid])
+        order = np.argsort(blk.ids[valid], kind="stable")
+        sent = spark.sparkContext.broadcast((blk.ids[valid][order], qn[order], q_ok[order]))
+    except BroadcastTooLarge:
+        sent = None      # query set above the broadcast limit: its vectors go with the candidates
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            qi = index_of.get_indexer(rb.column("query_id").to_numpy())
+            if sent is not None:
+                ids, m, ok = sent.value
+                at = np.searchsorted(ids, rb.column("query_id").to_numpy())
+                qv, qok = m[at], ok[at]
+            else:
+                qv, qvalid = K.vectors_from_arrow(rb.column("qv"), dim)
+                qv, qok = K.normalise(qv, qvalid)
             b, vb = K.vectors_from_arrow(rb.column("v"), dim)
             bn, bok = K.normalise(b, vb)
-            have = qi >= 0
-            d = np.full(rb.num_rows, np.nan)
-            if have.any():
-                dd = 1.0 - np.einsum("ij,ij->i", m[qi[have]], bn[have])
-                d[have] = np.where(ok[qi[have]] & bok[have], dd, np.nan)
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("ef"), rb.column("query_id"), rb.column("id"), pa.array(d, pa.float64())],
-                names=["ef", "query_id", "id", "distance"])
-    ensure_shipped(spark)
-    schema = "ef int, query_id long, id long, distance double"
-    # seeds: each query's nearest nodes among a seeded sample, per ef setting
-    from .knn import exact_candidates, sample_queries
+            d = np.where(qok & bok, K.pair_cosine(qv, bn), np.inf)
+            yield pa.RecordBatch.from_arrays([rb.column("ef"), rb.column("query_id"), rb.column("id"), pa.array(d), rb.column("links")],
+                                             ["ef", "query_id", "id", "distance", "links"])
+
+    carried = ["qv"] if sent is None else []
+    schema = "ef int, query_id long, id long, distance double, links array<long>"
+    node = F.struct("distance", "id", F.lit(False).alias("expanded"), "links")
+    width = F.greatest(F.col("ef"), F.lit(k))
+
+    def scored(cands: DataFrame) -> DataFrame:
+        there = at_nodes(cands, index.nodes).where(F.size("v") == dim).select("ef", "query_id", "id", *carried, "v", "links")
+        return there.mapInArrow(score, schema).groupBy("ef", "query_id").agg(F.collect_list(node).alias("more"), F.count(F.lit(1)).alias("n"))
+
     if entry_points is None:
-        entry_points = max(MIN_ENTRY_POINTS, 4 * math.isqrt(index.vectors.count()))
-    sample = sample_queries(index.vectors, entry_points, seed=seed)
-    seeds = rank_candidates(exact_candidates(q, sample, widest, dim), widest)
-    efarr = F.array(*[F.lit(e) for e in efs])
-    beam_w = F.greatest(F.col("ef"), F.lit(k))
-    seeds = (seeds.withColumn("ef", F.explode(efarr))
-             .where(F.col("rank") <= F.greatest(F.col("ef"), F.lit(k))))
-    # one table per (ef, query): every scored node, whether it was expanded,
-    # and whether it is in the current beam (best max(ef, k) by distance, id)
-    seen = _checkpoint(seeds.select("ef", "query_id", "id", "distance", F.lit(False).alias("expanded"),
-                                    F.lit(True).alias("in_beam")))
-    w = Window.partitionBy("ef", "query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
-    edges = index.edges.select("src", "dst")
-    key = ["ef", "query_id", "id"]
-    # runs until no beam has an unexpanded node (the visited set only grows,
-    # so this terminates); ``max_rounds`` is an optional safety bound
+        entry_points = max(MIN_ENTRY_POINTS, 4 * math.isqrt(index.nodes.count()))
+    # seeds: each query's nearest nodes of a seeded sample, which brings their links along
+    sample = staged(sample_queries(index.nodes, entry_points, seed=seed), "graph-entry")
+    seeds = rank_candidates(exact_candidates(q, sample.select("id", "v"), widest, dim), widest)
+    usable = q.where(F.size("v") == dim).select("query_id", *([F.col("v").alias("qv")] if carried else []))
+    seeds = (seeds.join(sample.select("id", "links"), "id").withColumn("ef", F.explode(F.array(*[F.lit(e) for e in efs])))
+             .where(F.col("rank") <= width).withColumn("distance", F.when(F.isnan("distance"), float("inf")).otherwise(F.col("distance"))))
+    first = seeds.groupBy("ef", "query_id").agg(F.sort_array(F.collect_list(node)).alias("beam"), F.count(F.lit(1)).alias("examined"))
+    if carried:
+        first = first.join(usable, "query_id")
+    state = staged(first.select("ef", "query_id", *carried, "beam", "examined"), "graph-beam")
+    # until no beam has an unexpanded node; a beam only gets nearer, so this ends. ``max_rounds`` is an optional bound
     rnd = 0
     while max_rounds is None or rnd < max_rounds:
         rnd += 1
-        frontier = seen.where(F.col("in_beam") & ~F.col("expanded")).select("ef", "query_id", F.col("id").alias("src"))
-        nbrs = (frontier.join(edges, "src").select("ef", "query_id", F.col("dst").alias("id")).distinct()
-                .join(seen.select(*key), key, "left_anti"))
-        with_v = nbrs.join(index.vectors, "id")
-        if blk is not None:
-            scored = with_v.select("ef", "query_id", "id", "v").mapInArrow(score, schema)
-        else:
-            scored = _pair_distance(with_v.join(qvec, "query_id")
-                                    .select("ef", "query_id", "id", F.col("qv").alias("va"),
-                                            F.col("v").alias("vb")), dim)
-        marked = seen.select("ef", "query_id", "id", "distance",
-                             (F.col("expanded") | F.col("in_beam")).alias("expanded"))
-        rows = marked.unionByName(scored.withColumn("expanded", F.lit(False)))
-        seen = _checkpoint(rows.withColumn("in_beam", F.row_number().over(w) <= beam_w))
-        if seen.where(F.col("in_beam") & ~F.col("expanded")).limit(1).isEmpty():
+        reached = F.array_distinct(F.flatten(F.transform(F.filter("beam", lambda b: ~b["expanded"]), lambda b: b["links"])))
+        new = F.array_except(reached, F.transform("beam", lambda b: b["id"]))
+        more = scored(state.select("ef", "query_id", *carried, F.explode(new).alias("id")))
+        done = F.transform("beam", lambda b: F.struct(b["distance"].alias("distance"), b["id"].alias("id"), F.lit(True).alias("expanded"),
+                                                      b["links"].alias("links")))
+        merged = F.slice(F.sort_array(F.concat(done, F.coalesce("more", F.array().cast(state.schema["beam"].dataType)))), F.lit(1), width)
+        state = staged(state.join(more, ["ef", "query_id"], "left").select(
+            "ef", "query_id", *carried, merged.alias("beam"), (F.col("examined") + F.coalesce("n", F.lit(0))).alias("examined")), "graph-beam")
+        if state.where(F.exists("beam", lambda b: ~b["expanded"])).limit(1).isEmpty():
             break
-    return seen.where("in_beam"), seen.select(*key)
-
-
-def graph_search_effort(index: GraphIndex, queries: DataFrame, ef: int = DEFAULT_EF, **kw) -> DataFrame:
-    """(query_id, examined): nodes scored per query (seeds + visited)."""
-    _, visited = _beam(index, queries, 1, [ef], **kw)
-    return visited.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("examined"))
+    return state

@@ -138,18 +138,19 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
 def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataFrame,
                 k: int = SWEEP_K, seed: int = 42, max_iter: int | None = None,
                 id_offset: int | str = 0) -> DataFrame:
-    """recall@k per graph parameter set: one build per (m, ef_construction);
-    all ``ef`` values of a build are searched together (ef is part of the
-    beam key). Returns (m, ef_construction, ef, index_params, k, recall, hits, queries)."""
-    from .graph import graph_build, graph_search_multi
+    """recall@k per graph parameter set. Candidates are gathered once, as many as the widest set
+    needs; every (m, ef_construction) is pruned from that pool, and
+    all its ``ef`` values are searched together (ef is part of the beam key). Returns (m, ef_construction, ef, index_params, k, recall, hits, queries)."""
+    from .graph import graph_from_pool, graph_pool, graph_search_multi
     q = _prep(queries, "id", "v", "query_id")
     nq = q.count()
     sets = [(r["m"], r["ef_construction"], r["ef"])
             for r in grid.where("method = 'graph'").select("m", "ef_construction", "ef").collect()]
+    vectors, cands, dim = graph_pool(base, max(max(m, efc) for m, efc, _ in sets), max_iter, seed=seed)
     out = None
     for m, efc in sorted({(s[0], s[1]) for s in sets}):
         efs = sorted({e for mm, cc, e in sets if (mm, cc) == (m, efc)})
-        g = graph_build(base, m=m, ef_construction=efc, max_iter=max_iter, seed=seed)
+        g = graph_from_pool(vectors, cands, dim, m, efc)
         found = graph_search_multi(g, queries, k, efs, seed=seed)
         r = (recall_curve(found, truth, nq, [k], id_offset, by=["ef"], groups=_settings(base.sparkSession, "ef", efs))
              .withColumn("m", F.lit(m)).withColumn("ef_construction", F.lit(efc))

@@ -29,6 +29,7 @@ from .operators import metrics as met_ops
 from .operators import recall as rec
 from .operators import results as res_ops
 from .operators import sweep as sweep_ops
+from .plans.scalars import attach_scalars
 from .session import scratch_path
 from .sources import catalog
 from .sources import fixtures as fx
@@ -848,6 +849,48 @@ def graph_search_checks(spark, sf_dir):
         F.max((F.col("id") == F.col("query_id")) & (F.col("rank") == 1)).alias("finds_itself"))
 
 
+@register("graph_search_recall", """
+SELECT 10::BIGINT AS k, count(*)::BIGINT AS queries, TRUE AS reaches_95 FROM embeddings""")
+def graph_search_recall(spark, sf_dir):
+    """recall@10 against exact truth of a graph with m=16, ef_construction=64, searched with ef=20:
+    at least 0.95 whatever the number of rows."""
+    b = fx.base_vectors(spark, sf_dir)
+    g = graph_ops.graph_build(b, m=16, ef_construction=64)
+    r = rec.recall_at_k(graph_ops.graph_search(g, b, 10, ef=20), knn_ops.build_truth(b, b, 10), b.count(), 10)
+    return r.select(F.lit(10).cast("long").alias("k"), F.col("queries").cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("reaches_95"))
+
+
+@register("graph_insert_recall", """
+WITH plan AS (SELECT count(*) // 10 AS start FROM embeddings)
+SELECT (SELECT count(*) FROM embeddings, plan WHERE vec_id >= start)::BIGINT AS appended, count(*)::BIGINT AS indexed,
+       0::BIGINT AS over_degree, TRUE AS reaches_95 FROM embeddings""")
+def graph_insert_recall(spark, sf_dir):
+    """A graph built on the first tenth, stored, read back, the other rows appended, stored and read back again: recall@10
+    after the insert is at least 0.95, and no node has more than 2 m links."""
+    b = fx.base_vectors(spark, sf_dir)
+    plan = ing_ops.plan_ingest(b)
+    path = scratch_path(spark, "graph-insert")
+    catalog.write_index(graph_ops.graph_build(ing_ops.seed_rows(b, plan), m=16, ef_construction=64), path)
+    new = ing_ops.appended_rows(b, plan).select("id", "v")
+    catalog.write_index(ing_ops.ingest_append(catalog.read_graph_index(spark, path), new), path)
+    g = catalog.read_graph_index(spark, path)
+    r = rec.recall_at_k(graph_ops.graph_search(g, b, 10, ef=20), knn_ops.build_truth(b, b, 10), b.count(), 10)
+    size = g.nodes.agg(F.count(F.lit(1)).alias("indexed"), F.sum((F.size("links") > 2 * g.m).cast("long")).alias("over_degree"))
+    added = new.agg(F.count(F.lit(1)).alias("appended"))
+    both = attach_scalars(attach_scalars(r, size), added)
+    return both.select("appended", "indexed", "over_degree", (F.col("recall") >= 0.95).alias("reaches_95"))
+
+
+@register("sweep_graph")
+def sweep_graph(spark, sf_dir):
+    """recall@5 of all 27 graph parameter sets for a seeded sample of 100 queries: one pool of candidates, from which
+    nine graphs are pruned — rows-only check (approximate by design)."""
+    b = fx.base_vectors(spark, sf_dir)
+    q = knn_ops.sample_queries(b, 100, seed=42)
+    grid = sweep_ops.param_grid(spark, "graph", b.count())
+    return sweep_ops.sweep_graph(b, q, knn_ops.build_truth(q, b, sweep_ops.SWEEP_K), grid, k=sweep_ops.SWEEP_K)
+
+
 # ------------------------------------------------- evaluation and reports
 EVAL_PARAMS = '{"probes":3}'
 
