@@ -42,6 +42,7 @@ class IvfIndex:
     cells: DataFrame       # (id long, v array<float>, cell int)
     lists: int
     dim: int
+    coarse: DataFrame | None = None   # (cell, v) of the upper level; centroids then have its cell as ``coarse``
 
 
 def _centroid_block(centroids: DataFrame, dim: int) -> BroadcastBlock:
@@ -192,14 +193,22 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     broadcast-centroid kernel. Vectors without a direction (NULL, wrong
     length, NULL element, zero) take no part in the fit; NULL and wrong-length
     ones get no cell."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    spark = base.sparkSession
     b = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     dim = dim or vector_dim(b, "v")
     n = b.count()
     lists = max(1, min(int(lists), n))
     usable = b.where(vector_problem(F.col("v"), dim or 0).isNull())
+    cent = fit_centroids(usable, n, lists, rows_per_list, seed, max_iter)
+    cells = with_cells(b, cent, dim)
+    if layout:
+        cells = _layout(cells, n, dim)
+    return IvfIndex(cent, cells, lists=cent.count(), dim=dim)
+
+
+def fit_centroids(usable: DataFrame, n: int, lists: int, rows_per_list: int | None, seed: int, max_iter: int) -> DataFrame:
+    """(cell, v) of Spark ML KMeans (cosine) on about ``rows_per_list`` of the ``n`` rows (id, v) for each list."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
     one_in = 1 if rows_per_list is None else max(1, n // (rows_per_list * lists))
     sample = usable.where(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(one_in)) == 0)
     # the sample follows ``lists``; MLlib iterates over it, so cache it
@@ -210,11 +219,7 @@ def ivf_build(base: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     finally:
         feats.unpersist()
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cent = spark.createDataFrame(centers, "cell int, v array<double>")
-    cells = with_cells(b, cent, dim)
-    if layout:
-        cells = _layout(cells, n, dim)
-    return IvfIndex(cent, cells, lists=len(centers), dim=dim)
+    return usable.sparkSession.createDataFrame(centers, "cell int, v array<double>")
 
 
 def _cell_map(qids: np.ndarray, probe_q: np.ndarray, probe_c: np.ndarray) -> dict:
@@ -227,6 +232,9 @@ def _cell_map(qids: np.ndarray, probe_q: np.ndarray, probe_c: np.ndarray) -> dic
 
 
 def _probe_table(queries: DataFrame, index: IvfIndex, probes: int) -> DataFrame:
+    if index.coarse is not None:
+        from .two_level import probe_two_level
+        return probe_two_level(queries, index, probes)
     return nearest_centroids(queries, index.centroids, probes, index.dim,
                              id_col="query_id", vec_col="v")
 
@@ -234,11 +242,16 @@ def _probe_table(queries: DataFrame, index: IvfIndex, probes: int) -> DataFrame:
 def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
                    counts: bool = False) -> DataFrame:
     """Partial candidates (query_id, id, distance) — or (query_id, examined)."""
+    return probed_candidates(index, queries, _probe_table(queries, index, probes), k, probes, counts)
+
+
+def probed_candidates(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int, most: int,
+                      counts: bool = False) -> DataFrame:
+    """Candidates of the (query_id, cell) pairs of ``probe``, at most ``most`` a query."""
     spark = queries.sparkSession
     dim = index.dim
-    probe = _probe_table(queries, index, probes)
     try:
-        blk = BroadcastBlock.collect(queries, "query_id", "v", dim, query_limit(spark, dim, k + probes))
+        blk = BroadcastBlock.collect(queries, "query_id", "v", dim, query_limit(spark, dim, k + most))
     except BroadcastTooLarge:
         return _grid_ivf(index, queries, probe, k, counts)
     valid = blk.extra["_valid"]

@@ -26,9 +26,11 @@ from .operators import ingest as ing_ops
 from .operators import ivf as ivf_ops
 from .operators import knn as knn_ops
 from .operators import metrics as met_ops
+from .operators import pivots as pivot_ops
 from .operators import recall as rec
 from .operators import results as res_ops
 from .operators import sweep as sweep_ops
+from .operators import two_level as two_ops
 from .plans.scalars import attach_scalars
 from .session import scratch_path
 from .sources import catalog
@@ -355,6 +357,14 @@ def ivf_kmeans_full_probe(spark, sf_dir):
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
 
 
+@register("knn_pivot_top10", ORACLE["knn_bulk_top10"])
+def knn_pivot_top10(spark, sf_dir):
+    """Exact join over pivot cells that the triangle inequality leaves: the same rows as the plain exact join."""
+    b = fx.base_vectors(spark, sf_dir)
+    return (pivot_ops.knn_join_pruned(b, b, 10)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
 @register("load_vectors_roundtrip", """
 SELECT row_number() OVER (ORDER BY vec_id) AS id, len(embedding)::INTEGER AS dim,
        embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last FROM embeddings""")
@@ -392,6 +402,39 @@ def ivf_kmeans_search(spark, sf_dir):
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
 
 
+def _stored(spark, index, name):
+    path = scratch_path(spark, name)
+    catalog.write_index(index, path)
+    return catalog.read_ivf_index(spark, path)
+
+
+@register("ivf_kmeans_recall", """
+SELECT 10::BIGINT AS k, count(*)::BIGINT AS queries, TRUE AS reaches_90 FROM embeddings""")
+def ivf_kmeans_recall(spark, sf_dir):
+    """recall@10 of the stored k-means index with three quarters of its floor(sqrt(N)) lists probed: at least 0.9 (the vectors have no clusters)."""
+    import math
+    b = fx.base_vectors(spark, sf_dir)
+    n = b.count()
+    lists = max(1, math.isqrt(n))
+    idx = _stored(spark, ivf_ops.ivf_build(b, lists=lists, seed=42), "ivf-index")
+    r = rec.recall_at_k(ivf_ops.ivf_search(idx, b, 10, probes=math.ceil(0.75 * lists)), knn_ops.build_truth(b, b, 10), n, 10)
+    return r.select(F.lit(10).cast("long").alias("k"), F.col("queries").cast("long").alias("queries"), (F.col("recall") >= 0.9).alias("reaches_90"))
+
+
+@register("ivf_two_level_full_probe", ORACLE["knn_bulk_top10"])
+def ivf_two_level_full_probe(spark, sf_dir):
+    """An index with two levels of cells, built on the first tenth, stored, the other rows appended, stored, read back and searched
+    with all lists probed: exact search."""
+    import math
+    b = fx.base_vectors(spark, sf_dir)
+    plan = ing_ops.plan_ingest(b)
+    seeded = ing_ops.seed_rows(b, plan)
+    idx = _stored(spark, two_ops.ivf_build_two_level(seeded, lists=2 * math.isqrt(b.count())), "two-level")
+    idx = _stored(spark, ing_ops.ingest_append(idx, ing_ops.appended_rows(b, plan).select("id", "v")), "two-level")
+    return (ivf_ops.ivf_search(idx, b, 10, probes=idx.lists)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
 # ------------------------------------------------------------ results store
 
 KEYS_SQL = "metric_type, extension, index_params, dataset, n, k"
@@ -924,18 +967,12 @@ def search_evaluation(spark, sf_dir):
     eff = ivf_ops.search_effort(idx, b, probes=3)
     eff_s = eff.agg(F.avg("examined").alias("examined_mean"),
                     F.round(F.stddev_samp("examined"), 6).alias("examined_stddev"))
-    effort = _attach_one_row(recall.select("k", "index_params"), eff_s)
+    effort = attach_scalars(recall.select("k", "index_params"), eff_s)
     rows = sweep_ops.evaluate_search(recall, "ivf_labels", "embeddings", n, effort=effort)
     store = res_ops.results_table(rows, now=F.lit(fx.RESULTS_NOW).cast("timestamp"))
     return store.select("id", *res_ops.KEY, "metric_value")
 
 
-def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (scalar subquery)."""
-    from .plans.scalars import attach_scalars
-    return attach_scalars(df, one)
-
-
 def _record_sql(bulk: bool) -> str:
     m = res_ops
     names = ([m.METRIC_SELECT_BULK_LATENCY, m.METRIC_SELECT_BULK_LATENCY_STDDEV, m.METRIC_SELECT_BULK_TPS,
@@ -976,8 +1013,8 @@ def _search_record(spark, sf_dir, bulk):
     buf = text_fns.extract_plan_buffers(fx.plan_lines(spark, sf_dir)).agg(
         F.avg("shared_hit").alias("examined_mean"), F.round(F.stddev_samp("shared_hit"), 6).alias("examined_stddev"),
         F.avg("disk_read").alias("read_mean"), F.round(F.stddev_samp("disk_read"), 6).alias("read_stddev"))
-    rows = sweep_ops.evaluate_search(recall, "ivf_labels", "embeddings", n, latency=_attach_one_row(per_k, lat),
-                                     effort=_attach_one_row(per_k, buf), bulk=bulk)
+    rows = sweep_ops.evaluate_search(recall, "ivf_labels", "embeddings", n, latency=attach_scalars(per_k, lat),
+                                     effort=attach_scalars(per_k, buf), bulk=bulk)
     return rows.select(*res_ops.KEY, "metric_value")
 
 
