@@ -195,3 +195,65 @@ def test_long_chain_of_replies(spark):
     got = sorted((r.turn, r.reply_to, r.thread, r.depth) for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect())
     assert got[1:] == [(k, k - 1, 0, k) for k in range(1, 40)]
     assert quotes.link_quotes(spark.createDataFrame([], MESSAGES)).count() == 0
+
+
+def test_parts_of_messages_are_linked(spark):
+    long = "The first half of this sentence is followed by a second half that goes on, and on."
+    rows = [(1, 0, "user", "alpha\nbeta\ngamma"), (1, 1, "user", "> beta\nWhat is it?"),
+            (2, 0, "user", long), (2, 1, "user", "> followed by a second half\n> that goes\nHow far?"), (2, 2, "user", "> HOW far?\n>> the first half of this\nFar."),
+            (3, 0, "user", "第一句。第二句。第三句！"), (3, 1, "user", "> 第二句。\n好。"), (3, 2, "user", "> 好\n?"),
+            (4, 0, "user", "one two three\nfour five\nsix"), (4, 1, "user", "> one two three\n> six\nBoth."), (4, 2, "user", "> four\nNo line, too short."),
+            (5, 0, "user", "a"), (5, 1, "user", "> not said\n> at all\nWhy?\n> a\nYes")]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES).selectExpr("*", "1 AS uid", "2 AS H", "3 AS words", "4 AS own")).collect()}
+    reply = {k: (r.n_linked, r.reply_to) for k, r in got.items()}
+    assert reply[(1, 1)] == (1, 0) and reply[(2, 1)] == (1, 0) and reply[(2, 2)] == (2, 1)
+    assert reply[(3, 1)] == (1, 0) and reply[(3, 2)] == (0, None)
+    assert reply[(4, 1)] == (1, 0) and reply[(4, 2)] == (0, None)
+    assert (got[(5, 1)].text, got[(5, 1)].text_unlinked, got[(5, 1)].n_linked) == ("Why?\nYes", "> not said\n> at all\nWhy?\nYes", 1)
+
+
+def threads(seed, conversations=25):
+    """Messages that quote parts of earlier ones, with the reply that each quote was taken from."""
+    g = random.Random(seed)
+    rows, truth = [], {}
+    for c in range(conversations):
+        said, depth, thread = [], [], []
+        for turn in range(g.randint(2, 12)):
+            own = [prose(seed * 10_000 + c * 100 + turn * 5 + k, g.randint(4, 14)) + "." for k in range(g.randint(1, 4))]
+            if turn and g.random() < 0.8:
+                up = g.randrange(turn)
+                kind = g.choice(["sentence", "half", "wrapped", "all"])
+                pick = g.choice(said[up])
+                words = pick.split()
+                quote = {"sentence": [pick.upper()], "half": [" ".join(words[1:])] if len(words) > 4 else [pick], "wrapped": [" ".join(words[:2]), " ".join(words[2:])],
+                         "all": said[up]}[kind]
+                text = "\n".join([f"> {q}" for q in quote] + own)
+                truth[(c, turn)] = (up, thread[up], depth[up] + 1)
+            else:
+                up, text = None, "\n".join(own)
+                truth[(c, turn)] = (None, turn, 0)
+            said.append(own)
+            depth.append(truth[(c, turn)][2])
+            thread.append(truth[(c, turn)][1])
+            rows.append((c, turn, "user", text))
+    return rows, truth
+
+
+def test_generated_threads_are_found_again(spark):
+    rows, truth = threads(1)
+    g = random.Random(2)
+    g.shuffle(rows)
+    got = quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth) for r in got} == truth
+    place = {(r.conv_id, r.turn): r.position for r in got}
+    for c in {r.conv_id for r in got}:
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: (r.thread, r.depth, r.turn))
+        assert [place[(c, r.turn)] for r in own] == list(range(len(own)))
+        assert all(r.reply_to is None or place[(c, r.reply_to)] < r.position for r in own)
+
+
+def test_null_turns_and_long_messages(spark):
+    rows = [(1, None, "user", "Said without a turn."), (1, 0, "user", "> Said without a turn.\nA."), (1, None, "user", "> A.\nB."),
+            (2, 0, "user", prose(1, 30_000)), (2, 1, "user", "> " + " ".join(prose(1, 30_000).split()[20_000:20_050]) + "\nYes.")]
+    got = {(r.conv_id, r.turn, r.text): (r.n_linked, r.reply_to) for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got[(1, 0, "A.")] == (0, None) and got[(1, None, "B.")] == (0, None) and got[(2, 1, "Yes.")] == (1, 0)

@@ -50,7 +50,7 @@ def fold(start: Column, steps: Column) -> Column:
     return F.aggregate(steps, start, lambda h, s: digest(s["left"], h, s["right"]))
 
 
-def _placed(leaves: DataFrame, name: str) -> DataFrame:
+def placed(leaves: DataFrame, name: str) -> DataFrame:
     """``leaves`` (grp, key, hash, carried) with tree, pos and n: the place in its group and the group's size.
 
     A row's ``at`` is (partition, number in it); a group's rows are consecutive. One row for each (partition, group) gives
@@ -121,11 +121,11 @@ def _jumped(segments: DataFrame, edges: int) -> DataFrame:
 def proofs(leaves: DataFrame) -> DataFrame:
     """From leaves (grp, key, hash, carried): carried, hash, subroot, root and proof of each leaf.
     ``proof`` lists its steps to the root: left and right siblings (hex digests, joined), and whether above the subroot."""
-    lower = _levels(_placed(leaves, "merkle"), "merkle")
+    lower = _levels(placed(leaves, "merkle"), "merkle")
     ends = [x.where("n = 1").select("tree", "level", "pos", "hash") for x in lower]
     subroots = reduce(DataFrame.unionByName, ends).select(F.lit(0).alias("grp"), F.col("tree").alias("key"), "hash",
                                            F.struct("tree", "level", "pos").alias("carried"))
-    upper = _levels(_placed(subroots, "merkle-top").withColumn("tree", F.lit(TOP).cast("long")), "merkle-top")
+    upper = _levels(placed(subroots, "merkle-top").withColumn("tree", F.lit(TOP).cast("long")), "merkle-top")
     child = F.struct("tree", (F.col("level") - 1).alias("level"), F.col("c.pos").alias("pos"))
     root = upper[-1].where("n = 1")
     nothing = F.lit(None).cast("struct<tree: bigint, level: int, pos: bigint>")
