@@ -474,6 +474,20 @@ def results_upsert(spark, sf_dir):
                                         F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
+@register("results_upsert_buckets", f"""
+WITH {SQL_RUNS}
+SELECT {KEYS_SQL}, metric_value, TIMESTAMP '{fx.RESULTS_NOW}' AS created_at, count(*) OVER () AS ids, max(id) OVER () AS last_id FROM store""")
+def results_upsert_buckets(spark, sf_dir):
+    """Both runs upserted into a store by key bucket: the values of ``results_upsert``; ids are distinct and without gaps, but follow the buckets."""
+    store = catalog.BucketedResults(scratch_path(spark, "results-buckets"), buckets=16)
+    now = F.lit(fx.RESULTS_NOW).cast("timestamp")
+    for run in (1, 2):
+        store.upsert(fx.results_run(spark, sf_dir, run), now=now)
+    rows = store.read(spark)
+    return attach_scalars(rows.select(*res_ops.KEY, "metric_value", F.col("created_at").cast("timestamp_ntz").alias("created_at")),
+                          rows.agg(F.count_distinct("id").alias("ids"), F.max("id").alias("last_id")))
+
+
 @register("results_lookup", f"""
 WITH {SQL_RUNS},
 keys AS (SELECT DISTINCT metric_type, extension, index_params, dataset, n, (run - 1)::BIGINT AS k FROM li)
