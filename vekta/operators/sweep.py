@@ -10,13 +10,14 @@ top-k window — 6 probe settings cost one scan.
 
 from __future__ import annotations
 
-import math
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
-from ..functions.vectors import params_json
+from ..plans.staging import staged
 from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, kernel_dtype, query_limit, vector_dim
 from . import kernel as K
 from .ivf import IvfIndex, ivf_build, nearest_centroids
@@ -34,29 +35,38 @@ SWEEP_K = 5
 GRID_DDL = "method string, lists int, probes int, m int, ef_construction int, ef int, index_params string"
 
 
-def param_grid(spark: SparkSession, method: str, n: int) -> DataFrame:
-    """Parameter sets for a base of n rows. ivf: lists = int(f * floor(sqrt n))
-    x probes (30 sets); graph: m x ef_construction x ef with
-    ef_construction > 2m; exact: one empty set."""
-    rows = []
+def param_grids(sizes: DataFrame, method: str, n_col: str = "n") -> DataFrame:
+    """The parameter sets for every row of ``sizes``, a base of ``n`` rows each: the columns of ``sizes`` and of the grid. ivf:
+    lists = int(f * floor(sqrt n)) x probes (30 sets); graph: m x ef_construction x ef with
+    ef_construction > 2m (27 sets); exact: one empty set."""
+    def each(name: str, values: list) -> "F.Column":
+        return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+
+    def key(*names: str) -> "F.Column":
+        parts = [F.concat(F.lit(f'"{n}":'), F.col(n).cast("string")) for n in sorted(names)]
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+    own = sizes.columns
     if method == "ivf":
-        s = int(math.sqrt(n))
-        for f in IVF_LIST_FACTORS:
-            for p in IVF_PROBES:
-                lists = int(f * s)
-                rows.append(("ivf", lists, p, None, None, None, params_json({"lists": lists, "probes": p})))
+        g = sizes.select("*", each("_f", IVF_LIST_FACTORS)).select("*", each("probes", IVF_PROBES))
+        g = g.withColumn("lists", (F.col("_f") * F.floor(F.sqrt(n_col))).cast("int"))
+        params = ["lists", "probes"]
     elif method == "graph":
-        for m in GRAPH_M:
-            for efc in GRAPH_EF_CONSTRUCTION:
-                for ef in GRAPH_EF:
-                    if efc > 2 * m:
-                        rows.append(("graph", None, None, m, efc, ef,
-                                     params_json({"m": m, "ef_construction": efc, "ef": ef})))
+        g = sizes.select("*", each("m", GRAPH_M)).select("*", each("ef_construction", GRAPH_EF_CONSTRUCTION)).select("*", each("ef", GRAPH_EF))
+        g = g.where("ef_construction > 2 * m")
+        params = ["m", "ef_construction", "ef"]
     elif method == "exact":
-        rows.append(("exact", None, None, None, None, None, params_json({})))
+        g, params = sizes, []
     else:
         raise ValueError(f"unknown method {method!r}")
-    return spark.createDataFrame(rows, GRID_DDL)
+    return g.select(*own, F.lit(method).alias("method"),
+                    *[F.col(c) if c in params else F.lit(None).cast("int").alias(c) for c in ("lists", "probes", "m", "ef_construction", "ef")],
+                    key(*params).alias("index_params"))
+
+
+def param_grid(spark: SparkSession, method: str, n: int) -> DataFrame:
+    """``param_grids`` of one base of ``n`` rows, without its size."""
+    return param_grids(spark.range(1).select(F.lit(n).alias("n")), method).drop("n")
 
 
 def _settings(spark: SparkSession, name: str, values: list[int]) -> DataFrame:
@@ -109,6 +119,7 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
     for lists in sorted({s[0] for s in sets}):
         probes = sorted({p for li, p in sets if li == lists})
         idx = ivf_build(base, lists=lists, seed=seed, dim=dim)
+        idx = replace(idx, cells=staged(idx.cells, "sweep-cells"))
         try:
             cands = probe_sweep_candidates(idx, q, k, max(probes))
         except BroadcastTooLarge:

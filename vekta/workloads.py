@@ -393,11 +393,12 @@ def load_truth_roundtrip(spark, sf_dir):
 
 @register("ivf_kmeans_search")
 def ivf_kmeans_search(spark, sf_dir):
-    """k-means IVF (lists = floor(sqrt(N))), probes=4, k=10 — rows-only check."""
+    """k-means IVF (lists = floor(sqrt(N))), stored and read back, probes=4, k=10 — rows-only check
+    (``ivf_kmeans_recall`` measures recall)."""
     import math
     b = fx.base_vectors(spark, sf_dir)
     n = b.count()
-    idx = ivf_ops.ivf_build(b, lists=max(1, int(math.sqrt(n))), seed=42)
+    idx = _stored(spark, ivf_ops.ivf_build(b, lists=max(1, int(math.sqrt(n))), seed=42), "ivf-index")
     return (ivf_ops.ivf_search(idx, b, 10, probes=4)
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
 
@@ -845,8 +846,8 @@ SELECT 'ivf' AS method, lists, probes, NULL::INTEGER AS m, NULL::INTEGER AS ef_c
        NULL::INTEGER AS ef, '{"lists":' || lists::VARCHAR || ',"probes":' || probes::VARCHAR || '}' AS index_params
 FROM g""")
 def param_grid_ivf(spark, sf_dir):
-    n = fx.table(spark, sf_dir, "embeddings").count()
-    return sweep_ops.param_grid(spark, "ivf", n)
+    sizes = fx.table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return sweep_ops.param_grids(sizes, "ivf").drop("n")
 
 
 @register("param_grid_graph", """
@@ -858,8 +859,24 @@ SELECT 'graph' AS method, NULL::INTEGER AS lists, NULL::INTEGER AS probes, m.m::
        '{"ef":' || e.ef::VARCHAR || ',"ef_construction":' || c.efc::VARCHAR || ',"m":' || m.m::VARCHAR || '}' AS index_params
 FROM m, c, e WHERE c.efc > 2 * m.m""")
 def param_grid_graph(spark, sf_dir):
-    n = fx.table(spark, sf_dir, "embeddings").count()
-    return sweep_ops.param_grid(spark, "graph", n)
+    sizes = fx.table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return sweep_ops.param_grids(sizes, "graph").drop("n")
+
+
+@register("param_grids_by_label", """
+WITH sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+ivf AS (SELECT label, n, trunc(f * floor(sqrt(n)))::INTEGER AS lists, p::INTEGER AS probes
+        FROM sizes, (SELECT unnest([0.6, 0.8, 1.0, 1.2, 1.4])::DOUBLE AS f), (SELECT unnest([1, 2, 4, 8, 16, 32]) AS p)),
+graph AS (SELECT label, n, m::INTEGER AS m, c::INTEGER AS ef_construction, e::INTEGER AS ef
+          FROM sizes, (SELECT unnest([4, 8, 16, 32, 64]) AS m), (SELECT unnest([32, 64, 128]) AS c), (SELECT unnest([10, 20, 40]) AS e) WHERE c > 2 * m)
+SELECT label, n, 'ivf' AS method, lists, probes, NULL::INTEGER AS m, NULL::INTEGER AS ef_construction, NULL::INTEGER AS ef,
+       '{"lists":' || lists || ',"probes":' || probes || '}' AS index_params FROM ivf
+UNION ALL
+SELECT label, n, 'graph', NULL, NULL, m, ef_construction, ef, '{"ef":' || ef || ',"ef_construction":' || ef_construction || ',"m":' || m || '}' FROM graph""")
+def param_grids_by_label(spark, sf_dir):
+    """Both grids for the rows of every label: one set of rows a label, from its row count."""
+    sizes = fx.table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sweep_ops.param_grids(sizes, "ivf").unionByName(sweep_ops.param_grids(sizes, "graph"))
 
 
 @register("sweep_ivf")
