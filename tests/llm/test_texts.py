@@ -1,5 +1,6 @@
 """Language ID, SentencePiece, license scan, quality rules, toxicity, packing and URLs."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -96,6 +97,49 @@ def test_language_edges(spark, sf):
     none = language_id.learn(documents(spark, []))
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
     assert language_id.identify(documents(spark, []), model).count() == 0
+    assert language_id.keep_identified(documents(spark, []), model).count() == 0
+
+
+def rejected_share(spark, model, texts):
+    got = language_id.identify(documents(spark, list(enumerate(texts))), model).collect()
+    return sum(r.rejected for r in got) / len(got)
+
+
+def test_unknown_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 40")
+    g = random.Random(3)
+    noise = [bytes(g.randrange(256) for _ in range(1500)) for _ in range(20)]
+    model = language_id.learn(docs)
+    assert rejected_share(spark, model, [base64.b64encode(n).decode() for n in noise]) == 1
+    natural = ["De snelle bruine vos springt over de luie hond en de kat zit in het huis terwijl het regent buiten.",
+               "A raposa marrom rápida pula sobre o cachorro preguiçoso e o gato fica em casa enquanto chove.",
+               "Szybki brązowy lis skacze nad leniwym psem, a kot siedzi w domu, kiedy pada deszcz.",
+               "Быстрая коричневая лиса прыгает через ленивую собаку, а кошка сидит дома."]
+    assert rejected_share(spark, model, natural) == 1
+    for lang in ("de", "en", "es", "fr"):
+        others = language_id.learn(docs.where(F.col("lang") != lang))
+        left_out = [r.text for r in docs.where(F.col("lang") == lang).limit(150).collect()]
+        assert rejected_share(spark, others, left_out) > 0.8, lang
+        assert rejected_share(spark, model, left_out) < 0.02, lang
+
+
+def test_predictions_equal_plain_loops(spark, sf):
+    model = language_id.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = [prose(11, 3), prose(12, 300), "Ü", "das ist ein Satz", "", "123", None, "le chat est là " * 50]
+    lang, score, rejected = (a.to_pylist() for a in language_id.predictions(
+        model, pa.array(texts, pa.string()), pa.array([bool(t) and any(c.isalpha() for c in t) for t in texts])))
+    for t, name, s, r in zip(texts, lang, score, rejected):
+        if not t or not any(c.isalpha() for c in t):
+            assert (name, s, r) == ("und", 0.0, True)
+            continue
+        v = language_id.unit_vectors(language_id.term_counts(pa.array([t])), model.idf)[0].astype(float)
+        ends = [*model.starts[1:], len(model.centroids)]
+        sims = [max(float(v @ model.centroids[j]) for j in range(a, e)) for a, e in zip(model.starts, ends)]
+        best = max(range(len(sims)), key=lambda i: (sims[i], -i))
+        band = int((v != 0).sum()).bit_length()
+        lead = 1 - max(x for i, x in enumerate(sims) if i != best) / sims[best]
+        assert name == model.langs[best] and abs(s - sims[best]) < 1e-5
+        assert r == (sims[best] < model.near[best, band] or lead < model.lead[best, band])
 
 
 # ---- license scan

@@ -2,18 +2,24 @@
 compared by cosine with several clustered centroids for each language.
 
 The model is fitted on at most ``PER_LANGUAGE`` labelled documents of each language (the
-smallest ids by hash). A document that is far from every centroid (below
-0.3 of what the 1st percentile of its language's sample reaches) is rejected.
-
-Defined results: a null text or one without a letter is ``und`` with score 0, and
-rejected; repeated rows are predicted one by one; equal similarity goes to the
-language first in order; with no labelled row all is ``und``.
+smallest ids by hash). A document is rejected by its distances: when it is far from
+every centroid, or when the second language's nearest centroid is about as near as the
+best one's. What counts as far follows from the language's own sample, for texts with about
+as many different n-grams (whole texts and windows of them), so a short text isn't held to the
+similarity of a long one: less than ``NEAR_SHARE`` of the sample's median similarity, or less than
+``LEAD_SHARE`` of its median lead over the second language; neither bar is above what
+``KEPT_SHARE`` of the sample reaches.
+
+Defined results: a null or empty text or one without a letter is ``und`` with score 0, and
+rejected; a very long text is judged whole; repeated rows are predicted one by one; equal similarity goes to the
+language first in order; with no labelled row, an empty table included, all is ``und`` and rejected;
+other columns, whatever their names, pass through ``keep_identified`` and aren't looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,15 +33,32 @@ from .common import byte_ngrams, fresh, staged, table, text_slices, utf8
 NGRAM, BUCKETS = 3, 4096
 PER_LANGUAGE = 1000   # most documents a language that the model is fitted on
 CENTROIDS = 4         # a language
-REJECT_SHARE = 0.3    # of the 1st percentile of a language's own similarities
+SALTS = 64            # parts of a language that are ranked before the whole of it
+NEAR_SHARE = 0.3      # of the median similarity of a language's own texts
+LEAD_SHARE = 0.5      # of the median lead of a language's own texts
+KEPT_SHARE = 0.995    # of a language's own texts stay on the right side of each bar
+WINDOWS = (24, 96, 384)  # characters of the windows that stand for short texts
+BANDS = BUCKETS.bit_length() + 1  # numbers of different n-grams, by bit length
 
 
 @dataclass
 class LanguageModel:
     idf: np.ndarray         # BUCKETS
     centroids: np.ndarray   # (centroids, BUCKETS), unit length, by language
-    langs: list[str]        # of each centroid
-    floor: np.ndarray       # of each centroid: lowest similarity that isn't rejected
+    langs: list[str]        # in order
+    starts: np.ndarray      # first centroid of each language
+    near: np.ndarray        # (langs, BANDS): lowest similarity that isn't rejected
+    lead: np.ndarray        # (langs, BANDS): lowest lead that isn't rejected
+
+    def distances(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(best language, its similarity, its lead over the second as a share, band) of each text."""
+        sim = np.maximum.reduceat(unit_vectors(counts, self.idf) @ self.centroids.T, self.starts, axis=1)
+        best = np.argmax(sim, axis=1)
+        row = np.arange(len(sim))
+        top = np.clip(sim[row, best].astype(np.float64), 0, 1)
+        sim[row, best] = 0
+        lead = (top - sim.max(axis=1)) / np.maximum(top, 1e-12)
+        return best, top, lead, np.frexp((counts > 0).sum(axis=1))[1]
 
 
 _LETTER = np.arange(256, dtype=np.uint8)
@@ -78,7 +101,10 @@ def training_sample(docs: DataFrame, allowed: Column, per_language: int = PER_LA
     """(lang, text) of at most ``per_language`` documents of each language."""
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang")
+    salted = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))
+    ids = (docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang", salt.alias("salt"))
+           .withColumn("k", F.row_number().over(salted)).where(F.col("k") <= per_language)  # a common language isn't one task's
            .withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct())
     # at most per_language ids a language
     few = known.join(F.broadcast(ids), "doc_id", "left_semi")
@@ -103,13 +129,46 @@ def fit_language_model(sample: DataFrame, centroids: int = CENTROIDS) -> Languag
         texts = pa.array(group["text"].sort_values(), pa.large_string())
         v = np.concatenate([unit_vectors(term_counts(texts.slice(s, 64)), idf) for s in range(0, len(texts), 64)])
         c = spherical_kmeans(v, centroids)
-        low = float(np.quantile((v @ c.T).max(axis=1), 0.01)) * REJECT_SHARE
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "k": range(len(c)), "floor": low, "centroid": [x.astype("float64") for x in c]})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "k": range(len(c)), "centroid": [x.astype("float64") for x in c]})
 
-    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, k int, floor double, centroid array<double>").collect()
+    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid array<double>").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["k"]))
     stack = np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), BUCKETS)
-    return LanguageModel(idf, stack, [r["lang"] for r in rows], np.array([r["floor"] for r in rows]))
+    langs = sorted({r["lang"] for r in rows})
+    starts = np.searchsorted(np.array([r["lang"] for r in rows], object), np.array(langs, object)) if langs else np.zeros(0, np.int64)
+    none = np.zeros((len(langs), BANDS))
+    return with_bars(LanguageModel(idf, stack, langs, starts, none, none), sample)
+
+
+def with_bars(m: LanguageModel, sample: DataFrame) -> LanguageModel:
+    """The model with its rejection bars, from the sample's whole texts and windows."""
+    if not m.langs:
+        return m
+    shared = sample.sparkSession.sparkContext.broadcast(m)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "text"):
+            best, near, lead, band = shared.value.distances(term_counts(b.column("text")))
+            own = b.column("lang").to_numpy(zero_copy_only=False) == np.array(shared.value.langs, object)[best]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(band, pa.int32()), pa.array(near), pa.array(lead)],
+                                             ["lang", "band", "near", "lead"]).filter(pa.array(own))
+
+    cuts = [F.substring("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(w)) for w in WINDOWS]
+    parts = sample.select("lang", F.explode(F.array("text", *cuts)).alias("text"))
+    seen = parts.mapInArrow(measure, "lang string, band int, near double, lead double")
+    low = 1 - KEPT_SHARE
+
+    def bar(c: str, share: float) -> Column:
+        return F.least(share * F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(low))).alias(c)
+
+    bars = seen.groupBy("lang", "band").agg(bar("near", NEAR_SHARE), bar("lead", LEAD_SHARE)).collect()  # at most BANDS a language
+    near, lead = np.zeros((len(m.langs), BANDS)), np.zeros((len(m.langs), BANDS))
+    for i, lang in enumerate(m.langs):
+        known = sorted((r["band"], r["near"], r["lead"]) for r in bars if r["lang"] == lang)
+        if known:  # a band without a text takes the one below it
+            at = np.clip(np.searchsorted([k[0] for k in known], np.arange(BANDS), side="right") - 1, 0, None)
+            near[i], lead[i] = np.array([k[1] for k in known])[at], np.array([k[2] for k in known])[at]
+    return replace(m, near=near, lead=lead)
 
 
 def has_letter(text_col: str) -> Column:
@@ -123,10 +182,8 @@ def predictions(m: LanguageModel, texts: pa.Array, letters: pa.Array) -> tuple[p
     lang, score, far = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
     for s in range(0, n if m.langs else 0, 256):
         at = slice(s, min(s + 256, n))
-        sim = unit_vectors(term_counts(texts.slice(s, 256)), m.idf) @ m.centroids.T
-        best = np.argmax(sim, axis=1)
-        score[at] = np.clip(sim[np.arange(len(best)), best], 0, 1)
-        far[at] = score[at] < m.floor[best]
+        best, score[at], lead, band = m.distances(term_counts(texts.slice(s, 256)))
+        far[at] = (score[at] < m.near[best, band]) | (lead < m.lead[best, band])
         lang[at] = np.array(m.langs, object)[best]
     lang[~known], score[~known], far[~known] = "und", 0.0, True
     return pa.array(lang, pa.string()), pa.array(score), pa.array(far)
