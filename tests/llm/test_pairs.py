@@ -154,6 +154,28 @@ def test_search_in_chunks_equals_one_chunk(spark, sf, monkeypatch):
     assert sorted(map(tuple, search(df).collect())) == one
 
 
+def test_one_bit_search_extremes_repeats_and_other_columns(spark):
+    rows = [(50, [1e200, 1e200], 1), (1, [1e200, 0.0], 1), (2, [0.0, 1e-300], 1), (100, [1e-200, 0.0], 1), (3, [5e-324, 0.0], 1),
+            (50, [1.0, 1.0], 1), (1, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, code int").withColumn("f", F.lit("clash")).withColumn("vec", F.lit(1))
+    got = {q: [(r.vec_id, round(r.score, 6)) for r in sorted(found, key=lambda r: r["rank"])]
+           for q, found in itertools.groupby(sorted(search(df).collect(), key=lambda r: r.query_id), lambda r: r.query_id)}
+    assert got[100] == [(1, 1.0), (1, 1.0), (3, 1.0), (50, 0.707107), (50, 0.707107)]
+    assert sorted(got[50]) == [(1, 0.707107), (1, 0.707107), (2, 0.707107), (3, 0.707107), (100, 0.707107)]  # equal but for rounding
+
+
+@pytest.mark.parametrize("dim", [1, 3, 64, 100, 130])
+def test_plane_estimates_bound_the_unrounded_ones(dim):
+    g = np.random.default_rng(dim)
+    q, v = (ann_codes.units(g.standard_normal((n, dim))) for n in (5, 40))
+    f = np.abs(v).sum(axis=1) / np.sqrt(dim)
+    plain = q @ (np.where(v > 0, 1.0, -1.0) / (f[:, None] * np.sqrt(dim))).T
+    planes = ann_codes.QueryPlanes(q)
+    got = planes.upper(slice(1, 5), ann_codes.words(v > 0), f, 0.0)
+    room = 2 * planes.off[1:] / (f * np.sqrt(dim)) + 1e-4
+    assert (got >= plain[1:] - 1e-9).all() and (got <= plain[1:] + room).all()
+
+
 MESSAGES = "conv_id long, turn long, role string, text string"
 
 

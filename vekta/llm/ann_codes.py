@@ -1,12 +1,15 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
 Every vector is scaled to unit length and rotated by one random orthogonal matrix; the
-code keeps the sign of each coordinate (packed bits) and a correction
+code keeps the sign of each coordinate (packed in 64-bit words) and a correction
 scalar f, the cosine between the rotated vector and its signs. For a query q,
 <signs, q> / f estimates the cosine without bias, and the error stays below
-``BOUND`` * sqrt((1 - f^2) / f^2 / (dim - 1)) with high probability. A vector is reranked with
+``BOUND`` * sqrt((1 - f^2) / f^2 / (dim - 1)) with high probability. The query is rounded to
+``PLANES`` bit planes, so <signs, q> comes from the words alone: one AND and one bit count for each
+plane and word; the rounding's largest possible effect is added to the bound. A vector is reranked with
 its original numbers when its estimate plus that bound reaches the k-th best
-exact score so far. All rows are coded, and every code is looked at: nothing is
+exact score so far; only those rows' numbers are looked at. Vectors are scaled by powers of two, which
+changes no cosine and keeps very large and very small numbers from overflowing. All rows are coded, and every code is looked at: nothing is
 capped, and a hot vector costs no more than its rows.
 
 Queries go out in chunks of a fixed number of bytes; each chunk is one pass
@@ -16,7 +19,7 @@ tables, and what is shuffled is k rows for each query and task.
 Defined results: vectors that are null, zero, hold null or non-finite numbers, or have
 another length than most rows take no part, and neither do null ids; with fewer candidates than k all come
 back; equal scores go to the smaller id; a repeated query id is asked once; a repeated row is a candidate each time, but
-never for its own id; an empty table gives an empty table.
+never for its own id; an empty table gives an empty table; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ BOUND = 2.5             # error bound in standard deviations of an estimate
 CHUNK_BYTES = 32 << 20  # of query vectors that are broadcast at once
 SEEDS = 4096            # index rows whose exact scores give the first k-th best
 SLICE = 2048            # index rows compared at once
-PAIRS = 1 << 22         # estimates held at once
+PAIRS = 1 << 18         # estimates held at once (they stay in a core's cache)
+PLANES = 6              # bits of a rounded query coordinate
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -53,29 +57,87 @@ def usual_length(vectors: DataFrame, vec_col: str) -> int:
     return r["d"] if r else 0
 
 
+def level(v: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to [0.5, 1)."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) if v.size else v
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def words(bits: np.ndarray) -> np.ndarray:
+    """Bits (n, dim) packed in 64-bit words (n, words), the last one filled with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+class QueryPlanes:
+    """Rotated unit queries, rounded to bit planes."""
+
+    def __init__(self, turned: np.ndarray, planes: int = PLANES):
+        low, high = turned.min(axis=1, keepdims=True), turned.max(axis=1, keepdims=True)
+        step = np.maximum(high - low, 1e-300) / ((1 << planes) - 1)
+        u = np.rint((turned - low) / step).astype(np.int64)
+        near = low + step * u
+        self.dim = turned.shape[1]
+        self.low, self.step, self.total = low, step, near.sum(axis=1, keepdims=True)
+        self.off = np.abs(turned - near).sum(axis=1, keepdims=True)  # no sign vector can turn the rounding into more
+        self.planes = [words((u >> j) & 1 == 1) for j in range(planes)]
+
+    def upper(self, at: slice, codes: np.ndarray, f: np.ndarray, bound: float) -> np.ndarray:
+        """Estimate plus error bound of (queries ``at``, codes), from the packed words."""
+        shape = (len(self.low[at]), len(codes))
+        weighted = np.zeros(shape, np.uint16 if self.dim << len(self.planes) < 1 << 16 else np.uint32)
+        both, ones_in_both = np.empty(shape, np.uint64), np.empty(shape, np.uint8)
+        columns = [np.ascontiguousarray(codes[:, w]) for w in range(codes.shape[1])]
+        for plane in reversed(self.planes):
+            weighted <<= 1
+            for w, column in enumerate(columns):
+                np.bitwise_and(plane[at, w][:, None], column, out=both)
+                weighted += np.bitwise_count(both, out=ones_in_both)
+        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+        scale = (1 / (f * np.sqrt(self.dim))).astype(np.float32)
+        slack = bound * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, self.dim - 1)) + 1e-5  # single precision
+        upper = weighted.astype(np.float32)
+        upper *= (2 * self.step[at]).astype(np.float32)
+        upper += (2 * self.low[at]).astype(np.float32) * ones.astype(np.float32)
+        upper += (self.off[at] - self.total[at]).astype(np.float32)
+        upper *= scale
+        upper += slack.astype(np.float32)
+        return upper
+
+
 def build_index(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, vec float64 bytes, code, f) of every usable vector, written to the shared folder."""
+    """(vec_id, vec float64 bytes of the levelled vector, code words, f) of every usable vector, written to the shared folder."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = rotation(dim)
         for b in batches:
             if not b.num_rows:
                 continue
             v = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            big = np.abs(v).max(axis=1, keepdims=True)
-            turned = v / big
-            turned = turned / np.linalg.norm(turned, axis=1, keepdims=True) @ p
+            v = level(v)
+            turned = units(v) @ p
             f = np.abs(turned).sum(axis=1) / np.sqrt(dim)
             yield pa.RecordBatch.from_arrays([
                 b.column("vec_id"), pa.array([r.tobytes() for r in v], pa.binary()),
-                pa.array([r.tobytes() for r in np.packbits(turned > 0, axis=1)], pa.binary()), pa.array(f)], ["vec_id", "vec", "code", "f"])
+                pa.array([r.tobytes() for r in words(turned > 0)], pa.binary()), pa.array(f)], ["vec_id", "vec", "code", "f"])
 
     src = (vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col), dim))
            .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")))
     return staged(src.mapInArrow(encode, "vec_id long, vec binary, code binary, f double"), "codes")
 
 
-def unit_rows(raw: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+def rows_of(col: pa.Array, kind: type, width: int) -> np.ndarray:
+    """A view (rows, width) of a binary column whose values all have one length; nothing is copied."""
+    col = col.cast(pa.binary())
+    off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset) if len(col) else np.zeros(1, np.int32)
+    size = int(off[-1] - off[0]) // np.dtype(kind).itemsize
+    return (np.frombuffer(col.buffers()[2], kind, size, int(off[0])) if size else np.zeros(0, kind)).reshape(-1, width)
+
+
+def one_array(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, dim)), *(rows_of(c, np.float64, dim) for c in col.chunks)])
 
 
 class TopK:
@@ -102,9 +164,12 @@ class TopK:
         self.score[q[best], place[best]], self.ids[q[best], place[best]] = s[best], i[best]
 
 
-def exact(q: np.ndarray, q_norm: np.ndarray, v: np.ndarray, v_norm: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+def exact(q: np.ndarray, q_norm: np.ndarray, rows: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
     """Cosines of the pairs (qi, vi), each summed in the same order wherever it stands."""
     out = np.empty(len(qi))
+    some, vi = np.unique(vi, return_inverse=True)
+    v = rows[some]
+    v_norm = np.linalg.norm(v, axis=1)
     for s in range(0, len(qi), 1 << 16):
         a, b = qi[s:s + (1 << 16)], vi[s:s + (1 << 16)]
         out[s:s + (1 << 16)] = (q[a] * v[b]).sum(axis=1) / (q_norm[a] * v_norm[b])
@@ -118,27 +183,22 @@ def search_chunk(index: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, flo
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, floor = shared.value
         q_norm = np.linalg.norm(q, axis=1)
-        turned = ((q / q_norm[:, None]) @ rotation(dim)).astype(np.float32)
+        planes = QueryPlanes(units(q) @ rotation(dim))
         best = TopK(len(ids), k)
         step = max(1, PAIRS // SLICE)
-        for big in batches:
+        for big in batches if len(ids) else ():
             for at in range(0, big.num_rows, SLICE):
                 b = big.slice(at, SLICE)
                 v_ids, f = b.column("vec_id").to_numpy(), b.column("f").to_numpy()
-                v = unit_rows(b.column("vec").to_pylist(), dim)
-                v_norm = np.linalg.norm(v, axis=1)
-                bits = np.unpackbits(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(v_ids), -1), axis=1, count=dim)
-                signs = bits.astype(np.float32) * 2 - 1
-                scale = (1 / (f * np.sqrt(dim))).astype(np.float32)
-                slack = (bound * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1))).astype(np.float32) + np.float32(1e-5)
+                codes, rows = rows_of(b.column("code"), np.uint64, -(-dim // 64)), rows_of(b.column("vec"), np.float64, dim)
                 for lo in range(0, len(ids), step):
-                    upper = (turned[lo:lo + step] @ signs.T) * scale + slack
-                    goal = np.maximum(best.score[lo:lo + step, -1], floor[lo:lo + step])
-                    qi, vi = np.nonzero(upper >= goal[:, None])
+                    part = slice(lo, lo + step)
+                    goal = np.maximum(best.score[part, -1], floor[part])
+                    qi, vi = np.nonzero(planes.upper(part, codes, f, bound) >= goal[:, None])
                     qi = qi + lo
                     other = ids[qi] != v_ids[vi]
                     qi, vi = qi[other], vi[other]
-                    score = exact(q, q_norm, v, v_norm, qi, vi)
+                    score = exact(q, q_norm, rows, qi, vi)
                     good = score >= np.maximum(best.score[qi, -1], floor[qi])
                     best.add(qi[good], v_ids[vi[good]], score[good])
         row, place = np.nonzero(best.score > -np.inf)
@@ -153,10 +213,10 @@ def seed_floor(seeds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, q: np.ndar
     s_ids, s = seeds
     floor = np.full(len(ids), -np.inf)
     if len(s_ids) > k:
-        unit = s / np.linalg.norm(s, axis=1, keepdims=True)
+        unit = units(s)
         for lo in range(0, len(ids), 512):
             part = q[lo:lo + 512]
-            cos = part / np.linalg.norm(part, axis=1, keepdims=True) @ unit.T
+            cos = units(part) @ unit.T
             cos[ids[lo:lo + 512, None] == s_ids[None, :]] = -np.inf
             floor[lo:lo + 512] = np.partition(cos, len(s_ids) - k, axis=1)[:, len(s_ids) - k] - 1e-9
     return floor
@@ -165,7 +225,7 @@ def seed_floor(seeds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, q: np.ndar
 def nearest(index: DataFrame, queries: DataFrame, dim: int, k: int = 5, bound: float = BOUND) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (vec_id, vec) out of the index."""
     sample = index.select("vec_id", "vec").limit(SEEDS).toArrow() if dim else None
-    seeds = (sample["vec_id"].to_numpy(), unit_rows(sample["vec"].to_pylist(), dim)) if dim else (np.zeros(0), np.zeros((0, 1)))
+    seeds = (sample["vec_id"].to_numpy(), one_array(sample["vec"], dim)) if dim else (np.zeros(0), np.zeros((0, 1)))
     asked = staged(queries.select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"]), "queries")
     per_chunk = max(1, CHUNK_BYTES // (8 * max(1, dim)))
     chunks = max(1, -(-asked.count() // per_chunk))
@@ -173,7 +233,7 @@ def nearest(index: DataFrame, queries: DataFrame, dim: int, k: int = 5, bound: f
     found = []
     for c in range(chunks):
         t = asked.where(chunk == c).toArrow()
-        ids, q = t["query_id"].to_numpy(), unit_rows(t["vec"].to_pylist(), max(1, dim))
+        ids, q = t["query_id"].to_numpy(), one_array(t["vec"], max(1, dim))
         found.append(staged(search_chunk(index, max(1, dim), ids, q, seed_floor(seeds, ids, q, k), k, bound), "found"))
     rows = found[0]
     for f in found[1:]:
