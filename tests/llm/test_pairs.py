@@ -165,15 +165,13 @@ def test_one_bit_search_extremes_repeats_and_other_columns(spark):
 
 
 @pytest.mark.parametrize("dim", [1, 3, 64, 100, 130])
-def test_plane_estimates_bound_the_unrounded_ones(dim):
+def test_table_estimates_equal_the_dense_product(dim):
     g = np.random.default_rng(dim)
     q, v = (ann_codes.units(g.standard_normal((n, dim))) for n in (5, 40))
     f = np.abs(v).sum(axis=1) / np.sqrt(dim)
-    plain = q @ (np.where(v > 0, 1.0, -1.0) / (f[:, None] * np.sqrt(dim))).T
-    planes = ann_codes.QueryPlanes(q)
-    got = planes.upper(slice(1, 5), ann_codes.words(v > 0), f, 0.0)
-    room = 2 * planes.off[1:] / (f * np.sqrt(dim)) + 1e-4
-    assert (got >= plain[1:] - 1e-9).all() and (got <= plain[1:] + room).all()
+    plain = (np.where(v > 0, 1.0, -1.0) / (f[:, None] * np.sqrt(dim))) @ q.T
+    got = ann_codes.upper_bounds(ann_codes.byte_tables(q), np.packbits(v > 0, axis=1), f, dim, 0.0)
+    assert np.abs(got - plain - 1e-5).max() < 1e-5
 
 
 MESSAGES = "conv_id long, turn long, role string, text string"

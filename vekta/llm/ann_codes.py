@@ -1,12 +1,12 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
 Every vector is scaled to unit length and rotated by one random orthogonal matrix; the
-code keeps the sign of each coordinate (packed in 64-bit words) and a correction
+code keeps the sign of each coordinate (packed bits) and a correction
 scalar f, the cosine between the rotated vector and its signs. For a query q,
 <signs, q> / f estimates the cosine without bias, and the error stays below
-``BOUND`` * sqrt((1 - f^2) / f^2 / (dim - 1)) with high probability. The query is rounded to
-``PLANES`` bit planes, so <signs, q> comes from the words alone: one AND and one bit count for each
-plane and word; the rounding's largest possible effect is added to the bound. A vector is reranked with
+``BOUND`` * sqrt((1 - f^2) / f^2 / (dim - 1)) with high probability. <signs, q> comes from the packed
+bytes alone: a query's table holds, for each byte of the code and each of its 256 values, the sum of those eight
+coordinates with these signs, and an estimate adds up one entry a byte. A vector is reranked with
 its original numbers when its estimate plus that bound reaches the k-th best
 exact score so far; only those rows' numbers are looked at. Vectors are scaled by powers of two, which
 changes no cosine and keeps very large and very small numbers from overflowing. All rows are coded, and every code is looked at: nothing is
@@ -37,8 +37,7 @@ BOUND = 2.5             # error bound in standard deviations of an estimate
 CHUNK_BYTES = 32 << 20  # of query vectors that are broadcast at once
 SEEDS = 4096            # index rows whose exact scores give the first k-th best
 SLICE = 2048            # index rows compared at once
-PAIRS = 1 << 18         # estimates held at once (they stay in a core's cache)
-PLANES = 6              # bits of a rounded query coordinate
+QUERIES = 128           # queries whose tables are held at once (they stay in a core's cache)
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -66,50 +65,28 @@ def units(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def words(bits: np.ndarray) -> np.ndarray:
-    """Bits (n, dim) packed in 64-bit words (n, words), the last one filled with zeros."""
-    packed = np.packbits(bits, axis=1)
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
-
-
-class QueryPlanes:
-    """Rotated unit queries, rounded to bit planes."""
-
-    def __init__(self, turned: np.ndarray, planes: int = PLANES):
-        low, high = turned.min(axis=1, keepdims=True), turned.max(axis=1, keepdims=True)
-        step = np.maximum(high - low, 1e-300) / ((1 << planes) - 1)
-        u = np.rint((turned - low) / step).astype(np.int64)
-        near = low + step * u
-        self.dim = turned.shape[1]
-        self.low, self.step, self.total = low, step, near.sum(axis=1, keepdims=True)
-        self.off = np.abs(turned - near).sum(axis=1, keepdims=True)  # no sign vector can turn the rounding into more
-        self.planes = [words((u >> j) & 1 == 1) for j in range(planes)]
-
-    def upper(self, at: slice, codes: np.ndarray, f: np.ndarray, bound: float) -> np.ndarray:
-        """Estimate plus error bound of (queries ``at``, codes), from the packed words."""
-        shape = (len(self.low[at]), len(codes))
-        weighted = np.zeros(shape, np.uint16 if self.dim << len(self.planes) < 1 << 16 else np.uint32)
-        both, ones_in_both = np.empty(shape, np.uint64), np.empty(shape, np.uint8)
-        columns = [np.ascontiguousarray(codes[:, w]) for w in range(codes.shape[1])]
-        for plane in reversed(self.planes):
-            weighted <<= 1
-            for w, column in enumerate(columns):
-                np.bitwise_and(plane[at, w][:, None], column, out=both)
-                weighted += np.bitwise_count(both, out=ones_in_both)
-        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-        scale = (1 / (f * np.sqrt(self.dim))).astype(np.float32)
-        slack = bound * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, self.dim - 1)) + 1e-5  # single precision
-        upper = weighted.astype(np.float32)
-        upper *= (2 * self.step[at]).astype(np.float32)
-        upper += (2 * self.low[at]).astype(np.float32) * ones.astype(np.float32)
-        upper += (self.off[at] - self.total[at]).astype(np.float32)
-        upper *= scale
-        upper += slack.astype(np.float32)
-        return upper
+BYTE_SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+
+
+def byte_tables(turned: np.ndarray) -> np.ndarray:
+    """(code bytes, 256, queries): what each value of each code byte adds to <signs, q>."""
+    filled = np.pad(turned.astype(np.float32), ((0, 0), (0, -turned.shape[1] % 8)))
+    return np.einsum("qpb,vb->pvq", filled.reshape(len(turned), -1, 8), BYTE_SIGNS, optimize=True)
+
+
+def upper_bounds(tables: np.ndarray, codes: np.ndarray, f: np.ndarray, dim: int, bound: float) -> np.ndarray:
+    """(codes, queries): estimated cosine plus error bound, from the packed bytes."""
+    signed = tables[0][codes[:, 0]]
+    for p in range(1, codes.shape[1]):
+        signed += tables[p][codes[:, p]]
+    signed *= (1 / (f * np.sqrt(dim))).astype(np.float32)[:, None]
+    slack = bound * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1)) + 1e-5  # single precision
+    signed += slack.astype(np.float32)[:, None]
+    return signed
 
 
 def build_index(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, vec float64 bytes of the levelled vector, code words, f) of every usable vector, written to the shared folder."""
+    """(vec_id, vec float64 bytes of the levelled vector, code, f) of every usable vector, written to the shared folder."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = rotation(dim)
         for b in batches:
@@ -121,7 +98,7 @@ def build_index(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: s
             f = np.abs(turned).sum(axis=1) / np.sqrt(dim)
             yield pa.RecordBatch.from_arrays([
                 b.column("vec_id"), pa.array([r.tobytes() for r in v], pa.binary()),
-                pa.array([r.tobytes() for r in words(turned > 0)], pa.binary()), pa.array(f)], ["vec_id", "vec", "code", "f"])
+                pa.array([r.tobytes() for r in np.packbits(turned > 0, axis=1)], pa.binary()), pa.array(f)], ["vec_id", "vec", "code", "f"])
 
     src = (vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col), dim))
            .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")))
@@ -149,7 +126,7 @@ class TopK:
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Merge scored pairs (query numbers in ascending order)."""
+        """Merge scored pairs."""
         if not len(query):
             return
         some = np.unique(query)
@@ -183,22 +160,22 @@ def search_chunk(index: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, flo
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, floor = shared.value
         q_norm = np.linalg.norm(q, axis=1)
-        planes = QueryPlanes(units(q) @ rotation(dim))
+        turned = units(q) @ rotation(dim)
         best = TopK(len(ids), k)
-        step = max(1, PAIRS // SLICE)
-        for big in batches if len(ids) else ():
-            for at in range(0, big.num_rows, SLICE):
-                b = big.slice(at, SLICE)
-                v_ids, f = b.column("vec_id").to_numpy(), b.column("f").to_numpy()
-                codes, rows = rows_of(b.column("code"), np.uint64, -(-dim // 64)), rows_of(b.column("vec"), np.float64, dim)
-                for lo in range(0, len(ids), step):
-                    part = slice(lo, lo + step)
+        for big in batches:
+            slices = [big.slice(at, SLICE) for at in range(0, big.num_rows, SLICE)]
+            for lo in range(0, len(ids), QUERIES):
+                part = slice(lo, lo + QUERIES)
+                tables = byte_tables(turned[part])
+                for b in slices:
+                    v_ids, f = b.column("vec_id").to_numpy(), b.column("f").to_numpy()
+                    upper = upper_bounds(tables, rows_of(b.column("code"), np.uint8, -(-dim // 8)), f, dim, bound)
                     goal = np.maximum(best.score[part, -1], floor[part])
-                    qi, vi = np.nonzero(planes.upper(part, codes, f, bound) >= goal[:, None])
+                    vi, qi = np.nonzero(upper >= goal)
                     qi = qi + lo
                     other = ids[qi] != v_ids[vi]
                     qi, vi = qi[other], vi[other]
-                    score = exact(q, q_norm, rows, qi, vi)
+                    score = exact(q, q_norm, rows_of(b.column("vec"), np.float64, dim), qi, vi)
                     good = score >= np.maximum(best.score[qi, -1], floor[qi])
                     best.add(qi[good], v_ids[vi[good]], score[good])
         row, place = np.nonzero(best.score > -np.inf)
