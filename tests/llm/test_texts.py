@@ -439,5 +439,5 @@ def test_url_model_separates_its_table(spark):
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in workloads.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in workloads.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(workloads.ORACLE) <= set(workloads.QUERIES)
