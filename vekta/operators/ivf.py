@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
@@ -43,6 +43,12 @@ class IvfIndex:
     lists: int
     dim: int
     coarse: DataFrame | None = None   # (cell, v) of the upper level; centroids then have its cell as ``coarse``
+    buckets: int | None = None        # cells are partitioned by ``bucket`` = cell modulo this (sources.cell_store)
+
+
+def bucket_of(cell: Column, buckets: int) -> Column:
+    """Folder of a cell in a store by bucket; rows without a cell are in -1."""
+    return F.coalesce(F.pmod(cell.cast("int"), F.lit(buckets)), F.lit(-1)).cast("int")
 
 
 def _centroid_block(centroids: DataFrame, dim: int) -> BroadcastBlock:
@@ -245,11 +251,27 @@ def ivf_candidates(index: IvfIndex, queries: DataFrame, k: int, probes: int,
     return probed_candidates(index, queries, _probe_table(queries, index, probes), k, probes, counts)
 
 
+# Cells that a search asks for are broadcast to its scan up to this many (12 bytes each).
+MAX_ASKED = 1_000_000
+
+
+def _asked_rows(index: IvfIndex, probe: DataFrame) -> DataFrame:
+    """Rows (id, v, cell) of the cells in ``probe``, by a semi join on (bucket, cell): Spark turns the asked buckets into a
+    dynamic filter on the folders of the scan, so unasked ones are never listed into tasks or read."""
+    asked = (probe.where(F.col("cell") >= 0).select(F.col("cell").cast("int").alias("cell")).distinct()
+             .withColumn("bucket", bucket_of(F.col("cell"), index.buckets)))
+    if 0 <= index.lists <= MAX_ASKED:
+        asked = F.broadcast(asked)
+    return index.cells.join(asked, ["bucket", "cell"], "left_semi").select("id", "v", "cell")
+
+
 def probed_candidates(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int, most: int,
                       counts: bool = False) -> DataFrame:
     """Candidates of the (query_id, cell) pairs of ``probe``, at most ``most`` a query."""
     spark = queries.sparkSession
     dim = index.dim
+    if index.buckets:
+        probe = staged(probe.select("query_id", "cell"), "probes")     # read by the scan's filter and by the kernel's map
     try:
         blk = BroadcastBlock.collect(queries, "query_id", "v", dim, query_limit(spark, dim, k + most))
     except BroadcastTooLarge:
@@ -268,8 +290,11 @@ def probed_candidates(index: IvfIndex, queries: DataFrame, probe: DataFrame, k:
         ids, m, ok, cmap = bc.value
         yield from K.cell_topk_partition(batches, ids, m, ok, cmap, k, dim, "id", "v", "cell", dtype=dt,
                                          counts=counts)
-    scan = index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
-    scan = scan.where(F.col("cell").isin(sorted(cq)))
+    if index.buckets:
+        scan = _asked_rows(index, probe)
+    else:
+        scan = index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
+        scan = scan.where(F.col("cell").isin(sorted(cq)))
     schema = "query_id long, examined long" if counts else CANDIDATES_DDL
     ensure_shipped(spark)
     return scan.mapInArrow(run, schema)
@@ -291,13 +316,13 @@ def _grid_ivf(index: IvfIndex, queries: DataFrame, probe: DataFrame, k: int,
     rows_per_block = max(1, block_limit(spark) // (dim * 8))
     dt = kernel_dtype(spark)
     nb = F.lit(rows_per_block)
-    sizes = index.cells.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _asked_rows(index, probe) if index.buckets else index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     probing = probe.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("_p"))
     split = (sizes.join(probing, "cell")
              .select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / nb)).cast("int").alias("_s"),
                      F.greatest(F.lit(1), F.ceil(F.col("_p") / nb)).cast("int").alias("_qb")))
-    b = (index.cells.select("id", "v", F.col("cell").cast("int").alias("cell"))
-         .join(split, "cell")
+    b = (rows.join(split, "cell")
          .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)))
          .drop("_s", "_qb"))

@@ -90,14 +90,19 @@ def fit_two_level(base: DataFrame, lists: int, dim: int, seed: int = 42, rows_pe
 
 def assign_two_level(rows: DataFrame, coarse: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
     """(id, v, cell): each row's nearest fine centroid in its nearest coarse cell. Null and wrong-length vectors get no cell."""
-    spark = rows.sparkSession
-    near = staged(with_cells(rows.select("id", "v"), coarse, dim, out_cell="coarse"), "coarse-rows")
+    return assign_inside(staged(with_cells(rows.select("id", "v"), coarse, dim, out_cell="coarse"), "coarse-rows"), centroids, dim)
+
+
+def assign_inside(near: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
+    """(id, v, cell) of rows (id, v, coarse): the nearest of the centroids (cell, v, coarse) with the row's ``coarse``, which
+    gets as many groups as its rows need. ``near`` is read several times."""
+    spark = near.sparkSession
     lost = near.where(F.col("coarse").isNull()).select("id", "v", F.lit(None).cast("int").alias("cell"))
     dealt = _salted(near.where(F.col("coarse").isNotNull()), max(1, block_limit(spark) // max(1, dim * 8)), "id")
     salts = dealt.groupBy("coarse").agg(F.max("salts").alias("salts"))
     there = (centroids.join(F.broadcast(salts), "coarse")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("coarse", "salt", "cell", "v"))
-    kind, dt = rows.schema["v"].dataType.simpleString(), kernel_dtype(spark)
+    kind, dt = near.schema["v"].dataType.simpleString(), kernel_dtype(spark)
 
     def nearest(r: pa.Table, c: pa.Table) -> pa.Table:
         cv, valid = K.vectors_from_arrow(c.column("v"), dim)

@@ -16,6 +16,8 @@ Values are compared bit for bit, so each side computes them the same way:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ from .operators import results as res_ops
 from .operators import sweep as sweep_ops
 from .operators import two_level as two_ops
 from .plans.scalars import attach_scalars
+from .plans.staging import staged
 from .session import scratch_path
 from .sources import catalog
+from .sources.cell_store import CellStore
 from .sources import fixtures as fx
 from .sources import vectors as vec_src
 from .streaming import ingest as ing_stream
@@ -436,6 +440,103 @@ def ivf_two_level_full_probe(spark, sf_dir):
             .select("query_id", "id", "rank", rounded("distance").alias("distance")))
 
 
+def _grown_store(spark, sf_dir):
+    """A store by cell bucket: k-means cells of the first tenth, the other rows appended in three batches of windows."""
+    import math
+    b = fx.base_vectors(spark, sf_dir)
+    plan = ing_ops.plan_ingest(b)
+    lists = max(1, math.isqrt(plan.n) // 2)
+    store = CellStore.create(ivf_ops.ivf_build(ing_ops.seed_rows(b, plan), lists=lists, seed=42, layout=False),
+                             scratch_path(spark, "cell-store"), buckets=8)
+    later = ing_ops.appended_rows(b, plan)
+    for batch in range(3):
+        store.append(later.where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch))
+    return b, plan, store
+
+
+@register("ivf_store_full_probe", ORACLE["knn_bulk_top10"])
+def ivf_store_full_probe(spark, sf_dir):
+    """A stored index grown by appends of new rows alone, then merged bucket by bucket, searched with all lists probed: exact search."""
+    b, _, store = _grown_store(spark, sf_dir)
+    store.merge()
+    idx = store.index()
+    return (ivf_ops.ivf_search(idx, b, 10, probes=idx.lists)
+            .select("query_id", "id", "rank", rounded("distance").alias("distance")))
+
+
+@register("ivf_store_split", """
+SELECT count(*)::BIGINT AS rows, count(DISTINCT vec_id)::BIGINT AS ids, 0::BIGINT AS too_large, TRUE AS reaches_90 FROM embeddings""")
+def ivf_store_split(spark, sf_dir):
+    """A grown store whose cells of more than twice the mean size were split: every row is there once, no cell is too large, and
+    recall@10 with three quarters of the lists probed is at least 0.9."""
+    import math
+    b, plan, store = _grown_store(spark, sf_dir)
+    most = max(1, 2 * plan.n // max(1, store.index().lists))
+    store.split(most)
+    idx = store.index()
+    rows = idx.cells.agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids"))
+    large = idx.cells.groupBy("cell").count().agg(F.sum((F.col("count") > most).cast("long")).alias("too_large"))
+    found = ivf_ops.ivf_search(idx, b, 10, probes=math.ceil(0.75 * idx.lists))
+    recall = rec.recall_at_k(found, knn_ops.build_truth(b, b, 10), plan.n, 10).select((F.col("recall") >= 0.9).alias("reaches_90"))
+    return attach_scalars(attach_scalars(rows, large), recall)
+
+
+# ---------------------------------------------- look-ups and life of tables
+LOOKED_UP = 7       # the given id
+
+
+@register("knn_by_id", f"""
+WITH base AS ({SQL_BASE}),
+pairs AS (SELECT q.id AS query_id, b.id, b.v, list_cosine_distance(q.v, b.v) AS d FROM base q, base b WHERE q.id = {LOOKED_UP}),
+top AS (SELECT *, row_number() OVER (ORDER BY d, id) AS rank FROM pairs QUALIFY rank <= 5)
+SELECT query_id, id, rank, {sql_round('d')} AS distance, unnest(range(len(v))) AS pos, unnest(v) AS x FROM top""")
+def knn_by_id(spark, sf_dir):
+    """The five nearest rows of one given id, whole vectors returned, a row a component."""
+    b = fx.base_vectors(spark, sf_dir)
+    top = knn_ops.knn(b, b.where(F.col("id") == LOOKED_UP), 5)
+    return top.select("query_id", "id", "rank", rounded("distance").alias("distance"), F.posexplode("v").alias("pos", "x")) \
+        .withColumn("pos", F.col("pos").cast("long")).withColumn("x", F.col("x").cast("double"))
+
+
+@register("load_once", """
+SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE vec_id < (SELECT min(vec_id) + count(*) // 10 FROM embeddings)""")
+def load_once(spark, sf_dir):
+    """Create-or-skip load: the first call writes the seed rows, the second finds rows there and leaves the table alone."""
+    b = fx.base_vectors(spark, sf_dir, with_label=True)
+    path = scratch_path(spark, "load-once")
+    vec_src.ensure_table(ing_ops.seed_rows(b, ing_ops.plan_ingest(b)), path)
+    return vec_src.ensure_table(b, path).select("id", F.col("label").cast("long").alias("label"))
+
+
+@register("index_lifecycle", """
+WITH s(step, there) AS (VALUES ('1 built', TRUE), ('2 dropped', FALSE), ('3 rebuilt', TRUE), ('4 rebuilt again', TRUE))
+SELECT step, there, CASE WHEN there THEN (SELECT count(*) FROM embeddings) END::BIGINT AS rows,
+       CASE WHEN there THEN (SELECT count(DISTINCT label) FROM embeddings) END::BIGINT AS cells,
+       CASE step WHEN '4 rebuilt again' THEN 2 WHEN '2 dropped' THEN 0 ELSE 1 END::BIGINT AS versions FROM s""")
+def index_lifecycle(spark, sf_dir):
+    """An index built, dropped, rebuilt and rebuilt over itself: after each step whether it is there, and what reads back."""
+    _, idx = _label_index(spark, sf_dir)
+    path = scratch_path(spark, "life")
+
+    def look(step):
+        there = catalog.table_exists(spark, path)
+        state = (catalog.read_ivf_index(spark, path).cells.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("cell").alias("cells"))
+                 if there else spark.range(1).select(F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("cells")))
+        # what is there is read now: the next step may drop it
+        return staged(state.select(F.lit(step).alias("step"), F.lit(there).alias("there"), "rows", "cells",
+                                   F.lit(len(catalog.versions(spark, path))).cast("long").alias("versions")), "life-state")
+
+    catalog.write_index(idx, path)
+    states = [look("1 built")]
+    catalog.drop_index(spark, path)
+    states.append(look("2 dropped"))
+    catalog.write_index(idx, path)
+    states.append(look("3 rebuilt"))
+    catalog.write_index(idx, path)
+    states.append(look("4 rebuilt again"))
+    return reduce(DataFrame.unionByName, states)
+
+
 # ------------------------------------------------------------ results store
 
 KEYS_SQL = "metric_type, extension, index_params, dataset, n, k"
