@@ -32,3 +32,18 @@ def test_edge_rows_go_through(spark, sf):
         docs = stage(spark, docs, sf).cache()
         docs.count()
     assert {r.doc_id for r in docs.collect()} <= {5, 9}
+
+
+def test_no_rows_stay_no_rows(spark, sf):
+    docs = documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
+
+
+def test_other_columns_pass_through(spark, sf):
+    names = ["letters", "rid", "comp", "n", "sig", "t_id", "row"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *[f"doc_id * 2 AS {n}" for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.count() and not docs.where(" OR ".join(f"{n} != doc_id * 2" for n in names)).count()
