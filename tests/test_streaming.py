@@ -86,3 +86,15 @@ def test_search_dispatch(spark, sf):
     exact = sorted((r["query_id"], r["id"]) for r in search(b, 3, base=b).collect())
     full = sorted((r["query_id"], r["id"]) for r in search(b, 3, index=idx, probes=10).collect())
     assert exact == full
+
+
+def test_source_stream_reads_a_table_that_is_a_folder(spark, sf):
+    b = fx.table(spark, sf, "embeddings").limit(40)
+    top = scratch_path(spark, "tables")
+    b.repartition(2).write.parquet(f"{top}/embeddings.parquet")
+    b.limit(5).write.parquet(f"{top}/other.parquet")
+    out = scratch_path(spark, "copied")
+    stream = prog.source_stream(spark, top, "embeddings", b.schema)
+    (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "ck"))
+     .format("parquet").start(out).awaitTermination())
+    assert sorted(r[0] for r in spark.read.parquet(out).select("vec_id").collect()) == sorted(r[0] for r in b.select("vec_id").collect())

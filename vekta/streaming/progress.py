@@ -17,10 +17,15 @@ from ..operators.metrics import latency_windows
 
 
 def source_stream(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
-    """Stream the Parquet files of one table in a folder (``<table>.parquet``
-    or ``<table>/…``) as they appear."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-            .option("recursiveFileLookup", "true").parquet(folder))
+    """Stream the Parquet files of one table in a folder as they appear. The table is a folder of files
+    (``<table>.parquet/…`` or ``<table>/…``, whatever their names), else the files ``<table>*.parquet``."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    for name in (f"{table}.parquet", table):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+            return reader.option("pathGlobFilter", "*.parquet").parquet(path.toString())
+    return reader.option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
 
 
 def start_progress(stream: DataFrame, out_path: str, checkpoint: str, duration: str = "5 seconds",
