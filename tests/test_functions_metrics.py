@@ -106,3 +106,17 @@ def test_series_keep_k_apart_unless_merged(spark):
     assert sorted((r["k"], r["r"]) for r in apart) == [(5, 0.5), (10, 0.7)]
     merged = R.metric_series(res, ["r", "t"], "ivf", "{}", "d", merge_k=True).collect()
     assert [(r["n"], r["r"], r["t"]) for r in merged] == [(10, 0.7, 3.0)]
+
+
+def test_series_whose_metric_is_named_like_a_key_can_be_written(spark):
+    from vekta.session import scratch_path
+    rows = [("A", "ivf", "{}", "d", 5, 1, 1.5), ("N", "ivf", "{}", "d", 5, 1, 2.5), ("N", "ivf", "{}", "d", 5, 1, 3.5), ("N", "ivf", "{}", "d", 7, 1, 4.5)]
+    res = spark.createDataFrame(rows, "metric_type string, extension string, index_params string, dataset string, n long, k long, metric_value double")
+    one = R.metric_series(res, ["A", "N"], "ivf", "{}", "d")
+    all_params = R.metric_series_all(res, ["A", "N"], "ivf", "d")
+    assert one.columns == ["n", "k", "A", "N"] and all_params.columns == ["index_params", "n", "k", "A", "N"]
+    assert [tuple(r) for r in one.collect()] == [(5, 1, 1.5, 3.5), (7, 1, None, 4.5)]
+    for df in (one, all_params):
+        path = scratch_path(spark, "series-out")
+        df.write.parquet(path)
+        assert df.sparkSession.read.parquet(path).count() == 2

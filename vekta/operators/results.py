@@ -183,6 +183,24 @@ def _series_keys(n, k, merge_k: bool) -> list[str]:
     return ["n"] if n is None else ["k"]
 
 
+def _columns_per_metric(rows: DataFrame, keys: Sequence[str], metric_types: Sequence[str]) -> DataFrame:
+    """One row per key, one column per metric: its MAX. A metric may be named like a key but for case ("N" beside "n"). A
+    session that ignores case can neither read such columns by name nor write them, so that table is written under plain
+    names and read back in a session of its own that tells them apart."""
+    keys, metrics = list(keys), list(metric_types)
+    names = [*keys, *metrics]
+    if len({c.lower() for c in names}) == len(names):
+        return rows.groupBy(*keys).pivot("metric_type", metrics).agg(F.max("metric_value"))
+    from ..session import scratch_path
+    path = scratch_path(rows.sparkSession, "series")
+    plain = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("metric_type") == m, F.col("metric_value"))).alias(f"_m{i}")
+                                      for i, m in enumerate(metrics)])
+    plain.write.parquet(path)
+    apart = rows.sparkSession.newSession()
+    apart.conf.set("spark.sql.caseSensitive", "true")
+    return apart.read.schema(plain.schema).parquet(path).toDF(*names)
+
+
 def metric_series(results: DataFrame, metric_type: str | Sequence[str], extension: str,
                   index_params: str, dataset: str, n: int | None = None,
                   k: int | None = None, merge_k: bool = False) -> DataFrame:
@@ -198,7 +216,7 @@ def metric_series(results: DataFrame, metric_type: str | Sequence[str], extensio
     r = results.where(cond)
     if isinstance(metric_type, str):
         return r.select(*xs, "metric_value").orderBy(*xs)
-    return r.groupBy(*xs).pivot("metric_type", list(metric_type)).agg(F.max("metric_value")).orderBy(*xs)
+    return _columns_per_metric(r, xs, metric_type).orderBy(*xs)
 
 
 def chart_series(results: DataFrame, configs: DataFrame, metric_types: Sequence[str], dataset: str,
@@ -231,8 +249,7 @@ def metric_series_all(results: DataFrame, metric_types: Sequence[str], extension
     cond = _metric_filter(metric_types) & (F.col("extension") == extension) & (F.col("dataset") == dataset)
     if n is not None:
         cond &= F.col("n") == n
-    return (results.where(cond).groupBy("index_params", *xs)
-            .pivot("metric_type", list(metric_types)).agg(F.max("metric_value")))
+    return _columns_per_metric(results.where(cond), ["index_params", *xs], metric_types)
 
 
 def metric_scatter(results: DataFrame, metric_x: str, metric_y: str, extension: str,
