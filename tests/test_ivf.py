@@ -142,3 +142,56 @@ def test_sweep_fallback_equals_probe_pass(spark, sf):
         spark.conf.unset("vekta.broadcast.maxBytes")
     assert got == want
     assert [h for _, h in want] == sorted(h for _, h in want)
+
+
+def test_a_query_is_sent_once_to_a_part_not_once_to_a_cell(spark, sf):
+    b = fx.base_vectors(spark, sf)
+    idx = ivf.ivf_build(b, lists=20, seed=1)
+    q = knn._prep(b, "id", "v", "query_id")
+    some = ivf.asked_cells(idx, q, 15, 3)
+    assert some.count() <= 3 * b.count() and some.select(F.sum(F.size("cells"))).first()[0] == 15 * b.count()
+    every = ivf.asked_cells(idx, q, 20, 3)
+    assert every.count() == 3 * b.count() and every.where("cells is not null").isEmpty()
+
+
+def test_blocks_are_bounded_and_all_cores_have_some(spark):
+    from vekta.plans import sizing
+    for n, kept in ((100, 10), (20_000, 10), (700_000, 10), (700_000, 80), (50_000_000, 10)):
+        qb, bb = sizing.grid_shape(spark, n, n, 64, kept)
+        assert n / bb * 64 * 8 <= sizing.block_limit(spark) and n / qb * (64 * 8 + 16 * kept) <= sizing.block_limit(spark)
+        assert qb * bb >= min(spark.sparkContext.defaultParallelism, n // 4096)
+
+
+def test_zero_vectors_copies_and_repeated_ids_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(60 + i, [1.0, 2.0, 0.0, 1.0]) for i in range(30)]
+    rows += [(90 + i, [0.0] * 4) for i in range(5)] + [(95, None), (96, [1.0])]
+    b = spark.createDataFrame(rows, "id long, v array<double>")
+    idx = ivf.ivf_build(b, lists=6, seed=3)
+    q = knn._prep(b, "id", "v", "query_id")
+    assert b.count() == 97
+
+    def got():
+        return [sorted(map(str, knn.rank_candidates(ivf.ivf_candidates(idx, q, k, p), k).collect())) for k, p in ((4, 2), (94, 6), (4, 6))]
+    want = got()
+    spark.conf.set("vekta.broadcast.maxBytes", "512")
+    spark.conf.set("vekta.block.maxBytes", "1024")
+    try:
+        assert got() == want
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+        spark.conf.unset("vekta.block.maxBytes")
+
+
+def test_sweep_above_the_limit_searches_once_a_build(spark, sf, monkeypatch):
+    from vekta.operators import sweep
+    b = fx.base_vectors(spark, sf).where("id < 100")
+    grid = spark.createDataFrame([("ivf", 4, p, None, None, None, "x") for p in (1, 2, 4)], sweep.GRID_DDL)
+    calls = []
+    monkeypatch.setattr(sweep, "block_candidates", lambda *a, f=sweep.block_candidates, **kw: calls.append(1) or f(*a, **kw))
+    spark.conf.set("vekta.broadcast.maxBytes", str(64 * 8 * 20))
+    try:
+        sweep.sweep_ivf(b, b, knn.build_truth(b, b, 5), grid, k=5).collect()
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+    assert calls == [1]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vekta.operators import ingest, ivf, knn, recall, two_level
 from vekta.session import scratch_path
 from vekta.sources import catalog
+from vekta.sources import fixtures as fx
 
 
 def vectors(spark, n, dim, seed=1, hot=0.4):
@@ -65,3 +66,15 @@ def test_edges(spark):
     key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.distance, 12)) for r in df.collect())
     assert key(got) == key(want)
     assert idx.centroids.where(F.exists("v", lambda x: F.isnan(x))).count() == 0
+
+
+def test_a_search_of_all_lists_ranks_no_cells(spark, sf, monkeypatch):
+    b = fx.base_vectors(spark, sf)
+    idx = two_level.ivf_build_two_level(b, lists=12)
+    want = sorted(map(str, knn.knn_join(b, b, 5).collect()))
+    monkeypatch.setattr(two_level, "probe_two_level", None)
+    spark.conf.set("vekta.broadcast.maxBytes", str(64 * 8 * 30))
+    try:
+        assert sorted(map(str, ivf.ivf_search(idx, b, 5, probes=idx.lists).collect())) == want
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")

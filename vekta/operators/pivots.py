@@ -64,12 +64,25 @@ def pivot_index(base: DataFrame, pivots: int | None = None, seed: int = 42, id_c
 
 def possible_cells(index: PivotIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, cell) of every cell that can hold one of a query's k nearest rows. ``queries`` has (query_id, v)."""
-    spark = queries.sparkSession
-    ivf, dim = index.cells, index.cells.dim
-    first = ivf_search(ivf, queries, k, probes=FIRST_CELLS, query_id="query_id")
+    return _pairs(_asked(index, _bounded(index, queries, k), 1))
+
+
+def _pairs(asked: DataFrame) -> DataFrame:
+    return asked.select("query_id", F.explode("cells").alias("cell"))
+
+
+def _bounded(index: PivotIndex, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, v, far): the first pass; ``far`` bounds the distance of the k-th neighbour (null: fewer than k were found)."""
+    first = ivf_search(index.cells, queries, k, probes=FIRST_CELLS, query_id="query_id")
     reach = first.groupBy("query_id").agg(F.count_if(~F.isnan("distance")).alias("found"),
                                           F.max(F.when(~F.isnan("distance"), F.col("distance"))).alias("far"))
-    bounded = queries.join(reach.where(F.col("found") >= k), "query_id", "left").select("query_id", "v", "far")
+    return queries.join(reach.where(F.col("found") >= k), "query_id", "left").select("query_id", "v", "far")
+
+
+def _asked(index: PivotIndex, bounded: DataFrame, parts: int) -> DataFrame:
+    """(query_id, v, part, cells) of the cells that can hold a near row (``ivf.asked_cells``)."""
+    spark = bounded.sparkSession
+    ivf, dim = index.cells, index.cells.dim
     ring = {r["cell"]: r for r in index.rings.collect()}                       # at most MOST_PIVOTS + 1 rows
     table = ivf.centroids.toArrow()
     cells = table.column("cell").to_numpy()
@@ -102,12 +115,12 @@ def possible_cells(index: PivotIndex, queries: DataFrame, k: int) -> DataFrame:
                 keep = valid[at][row]
                 row, col = row[keep], col[keep]
                 lost = np.flatnonzero(all_cells & valid[at]) if aimless else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[at][row], ids[at][lost]]), pa.int64()),
-                     pa.array(np.concatenate([cells[col], np.full(len(lost), -1)]), pa.int32())], ["query_id", "cell"])
+                yield K.asked_batch({"query_id": rb.column("query_id").slice(s, step)}, rb.column("v").slice(s, step),
+                                    np.concatenate([row, lost]), np.concatenate([cells[col], np.full(len(lost), -1)]), parts)
 
     ensure_shipped(spark)
-    return bounded.select("query_id", "v", "far").mapInArrow(choose, "query_id long, cell int")
+    kind = bounded.schema["v"].dataType.simpleString()
+    return bounded.select("query_id", "v", "far").mapInArrow(choose, f"query_id long, v {kind}, part int, cells array<int>")
 
 
 def knn_join_pruned(queries: DataFrame, base: DataFrame | PivotIndex, k: int, *, query_id: str = "id", query_vec: str = "v",
@@ -117,9 +130,10 @@ def knn_join_pruned(queries: DataFrame, base: DataFrame | PivotIndex, k: int, *,
     q = _prep(queries, query_id, query_vec, "query_id")
     if k <= 0 or index.cells.dim == 0:
         return _empty(queries.sparkSession)
-    probe = staged(possible_cells(index, q, k), "pivot-probes")
+    bounded = staged(_bounded(index, q, k), "pivot-bounds")
     most = index.rings.count()
-    return merge_topk(probed_candidates(index.cells, q, probe, k, most), k, source=index.cells.cells)
+    found = probed_candidates(index.cells, q, lambda: _pairs(_asked(index, bounded, 1)), lambda parts: _asked(index, bounded, parts), k, most)
+    return merge_topk(found, k, source=index.cells.cells)
 
 
 def pruned_effort(queries: DataFrame, index: PivotIndex, k: int, *, query_id: str = "id", query_vec: str = "v") -> DataFrame:

@@ -20,7 +20,7 @@ from ..plans.shipping import ensure_shipped
 from ..plans.staging import staged
 from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, kernel_dtype, query_limit, vector_dim
 from . import kernel as K
-from .ivf import IvfIndex, ivf_build, nearest_centroids
+from .ivf import IvfIndex, asked_cells, block_candidates, ivf_build, nearest_centroids
 from .knn import _prep, rank_candidates
 from .recall import recall_curve
 
@@ -106,6 +106,13 @@ def probe_sweep_candidates(index: IvfIndex, queries: DataFrame, k: int, max_prob
     return cands.join(probe.select("query_id", "cell", "probe_rank"), ["query_id", "cell"])
 
 
+def level_sweep_candidates(index: IvfIndex, queries: DataFrame, n: int, k: int, probes: list[int]) -> DataFrame:
+    """(query_id, probe_rank, id, distance) for query sets above the broadcast limit, in one pass: top-k per query, block of rows and step
+    between two probe counts. ``probe_rank`` is the upper end of the step, the least probe count that sees the candidate."""
+    found = block_candidates(index, lambda parts: asked_cells(index, queries, probes[-1], parts, probes), n, k, keys=("query_id", "level"))
+    return found.withColumnRenamed("level", "probe_rank")
+
+
 def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataFrame,
               k: int = SWEEP_K, seed: int = 42, id_offset: int | str = 0) -> DataFrame:
     """recall@k per IVF parameter set: (lists, probes, index_params, k,
@@ -114,6 +121,7 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
     q = _prep(queries, "id", "v", "query_id")
     dim = vector_dim(q, "v")
     nq = q.count()
+    truth = staged(truth, "sweep-truth")       # read by every build
     sets = [(r["lists"], r["probes"]) for r in grid.where("method = 'ivf'").select("lists", "probes").collect()]
     out = None
     for lists in sorted({s[0] for s in sets}):
@@ -123,18 +131,7 @@ def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataF
         try:
             cands = probe_sweep_candidates(idx, q, k, max(probes))
         except BroadcastTooLarge:
-            # query set above the broadcast limit: one (grid-path) search per setting
-            from .ivf import ivf_search
-            top = None
-            for p in probes:
-                t = ivf_search(idx, queries, k, probes=p).withColumn("probes", F.lit(p))
-                top = t if top is None else top.unionByName(t)
-            r = (recall_curve(top, truth, nq, [k], id_offset, by=["probes"], groups=_settings(spark, "probes", probes))
-                 .withColumn("lists", F.lit(lists))
-                 .withColumn("index_params", F.concat(F.lit('{"lists":%d,"probes":' % lists),
-                                                      F.col("probes").cast("string"), F.lit("}"))))
-            out = r if out is None else out.unionByName(r)
-            continue
+            cands = level_sweep_candidates(idx, q, nq, k, probes)
         parr = F.array(*[F.lit(p) for p in probes])
         per = cands.withColumn("probes", F.explode(F.filter(parr, lambda p: p >= F.col("probe_rank"))))
         top = rank_candidates(per, k, ["probes", "query_id"])
@@ -155,6 +152,7 @@ def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: Dat
     from .graph import graph_from_pool, graph_pool, graph_search_multi
     q = _prep(queries, "id", "v", "query_id")
     nq = q.count()
+    truth = staged(truth, "sweep-truth")       # read by every graph
     sets = [(r["m"], r["ef_construction"], r["ef"])
             for r in grid.where("method = 'graph'").select("m", "ef_construction", "ef").collect()]
     vectors, cands, dim = graph_pool(base, max(max(m, efc) for m, efc, _ in sets), max_iter, seed=seed)
