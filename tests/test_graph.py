@@ -1,6 +1,7 @@
 import inspect
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,40 @@ def test_zero_null_and_short_vectors_are_nodes_without_links(spark):
     assert len(found) == 90 and all(r.id not in (101, 102) for r in found)
     empty = graph.graph_build(b.where("id < 0"), m=4, ef_construction=8, dim=3)
     assert empty.nodes.count() == 0 and graph.graph_search(empty, b, 3).count() == 0
+
+
+def test_a_sweep_searches_all_its_graphs_at_once(spark, sf, monkeypatch):
+    b = fx.base_vectors(spark, sf)
+    q = b.where("id < 20")
+    grid = spark.createDataFrame([("graph", None, None, m, efc, ef, "x") for m, efc in ((4, 16), (8, 16), (4, 32)) for ef in (5, 10)], sweep.GRID_DDL)
+    calls = []
+    monkeypatch.setattr(graph, "_beam", lambda *a, f=graph._beam, **kw: calls.append(1) or f(*a, **kw))
+    got = sweep.sweep_graph(b, q, knn.build_truth(q, b, 5), grid, k=5, max_iter=1).collect()
+    assert calls == [1] and len(got) == 6
+    assert {r["index_params"] for r in got} >= {'{"ef":5,"ef_construction":16,"m":4}', '{"ef":10,"ef_construction":32,"m":4}'}
+
+
+def test_a_family_finds_what_each_of_its_graphs_finds(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(300 + i, [1.0, 0.0, 2.0, 0.0, 1.0, 1.0]) for i in range(20)]
+    rows += [(320, [0.0] * 6), (321, None), (322, [1.0])]
+    b = spark.createDataFrame(rows, "id long, v array<double>")
+    q = b.where("id % 20 = 0 or id > 318")
+    vectors, cands, dim = graph.graph_pool(b, 24, 2)
+    sets, efs = [(3, 12), (3, 24), (8, 24)], [[5, 9], [9], [5]]
+    found = graph.family_search(graph.graph_family(vectors, cands, dim, sets), q, 4, efs)
+    got = sorted((r.graph, r.ef, r.query_id, r.rank, r.id, str(r.distance)) for r in found.collect())
+    want = []
+    for g, (m, efc) in enumerate(sets):
+        one = graph.graph_search_multi(graph.graph_from_pool(vectors, cands, dim, m, efc), q, 4, efs[g])
+        want += [(g, r.ef, r.query_id, r.rank, r.id, str(r.distance)) for r in one.collect()]
+    assert got == sorted(want) and got
+
+
+def test_few_nodes_have_few_buckets(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        least = spark.sparkContext.defaultParallelism
+        assert [graph._buckets(spark, n) for n in (0, 10_000, 1_000_000)] == [least, max(least, 10_000 // graph.BUCKET_NODES), 200]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

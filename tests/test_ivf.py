@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from vekta.operators import ivf, knn, recall
+from vekta.operators import kernel as K
 from vekta.sources import fixtures as fx
 
 
@@ -195,3 +198,38 @@ def test_sweep_above_the_limit_searches_once_a_build(spark, sf, monkeypatch):
     finally:
         spark.conf.unset("vekta.broadcast.maxBytes")
     assert calls == [1]
+
+
+@pytest.mark.parametrize("limit", [None, 256])
+def test_a_sweep_sends_a_query_once_to_a_part_not_once_a_step(spark, sf, limit):
+    b = fx.base_vectors(spark, sf).where("id < 200")
+    idx = ivf.ivf_build(b, lists=20, seed=1)
+    q = knn._prep(b, "id", "v", "query_id")
+    if limit:
+        spark.conf.set("vekta.broadcast.maxBytes", str(limit))
+    try:
+        asked = ivf.asked_cells(idx, q, 8, 3, [1, 2, 4, 8])
+        assert asked.count() <= 3 * b.count()
+        each = asked.select("query_id", F.explode(F.arrays_zip("cells", "levels")).alias("c")).groupBy("c.levels").count()
+        assert {r["levels"]: r["count"] for r in each.collect()} == {1: 200, 2: 200, 4: 400, 8: 800}
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+
+
+def test_steps_leave_out_what_lower_steps_beat():
+    rng = np.random.default_rng(2)
+    vectors, cell = rng.normal(size=(400, 4)), rng.integers(0, 12, 400)
+    as_list = pa.list_(pa.float64())
+    base = pa.table({"id": pa.array(np.arange(400)), "v": pa.array(vectors.tolist(), as_list), "cell": pa.array(cell, pa.int32())})
+    asked, levels = [[0, 1, 2, 3, 4, 5], [6, 7, 8]], [[1, 2, 4, 4, 8, 8], [4, 1, 2]]
+    query = pa.table({"query_id": pa.array([7, 9]), "v": pa.array(vectors[:2].tolist(), as_list),
+                      "cells": pa.array(asked, pa.list_(pa.int32())), "levels": pa.array(levels, pa.list_(pa.int32()))})
+    got = K.cells_topk(query, base, 3, 4, ["query_id"]).to_pylist()
+    for i, qid in enumerate((7, 9)):
+        for most in (1, 2, 4, 8):
+            cells = [c for c, lv in zip(asked[i], levels[i]) if lv <= most]
+            want = [r["id"] for r in sorted(K.cells_topk(query.slice(i, 1).drop_columns(["cells", "levels"]).append_column(
+                "cells", pa.array([cells], pa.list_(pa.int32()))), base, 3, 4, ["query_id"]).to_pylist(), key=lambda r: (r["distance"], r["id"]))]
+            mine = sorted((r for r in got if r["query_id"] == qid and r["level"] <= most), key=lambda r: (r["distance"], r["id"]))
+            assert [r["id"] for r in mine[:3]] == want
+    assert len(got) < 3 * 7

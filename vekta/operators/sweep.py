@@ -108,9 +108,10 @@ def probe_sweep_candidates(index: IvfIndex, queries: DataFrame, k: int, max_prob
 
 def level_sweep_candidates(index: IvfIndex, queries: DataFrame, n: int, k: int, probes: list[int]) -> DataFrame:
     """(query_id, probe_rank, id, distance) for query sets above the broadcast limit, in one pass: top-k per query, block of rows and step
-    between two probe counts. ``probe_rank`` is the upper end of the step, the least probe count that sees the candidate."""
-    found = block_candidates(index, lambda parts: asked_cells(index, queries, probes[-1], parts, probes), n, k, keys=("query_id", "level"))
-    return found.withColumnRenamed("level", "probe_rank")
+    between two probe counts. ``probe_rank`` is the upper end of the step, the least probe count that sees the candidate.
+    A query's vector goes to a block once, whatever the steps, and its candidates to one partition before they count for every larger probe count."""
+    found = block_candidates(index, lambda parts: asked_cells(index, queries, probes[-1], parts, probes), n, k, levels=len(probes))
+    return found.withColumnRenamed("level", "probe_rank").repartition("query_id")
 
 
 def sweep_ivf(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: DataFrame,
@@ -147,25 +148,25 @@ def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: Dat
                 k: int = SWEEP_K, seed: int = 42, max_iter: int | None = None,
                 id_offset: int | str = 0) -> DataFrame:
     """recall@k per graph parameter set. Candidates are gathered once, as many as the widest set
-    needs; every (m, ef_construction) is pruned from that pool, and
-    all its ``ef`` values are searched together (ef is part of the beam key). Returns (m, ef_construction, ef, index_params, k, recall, hits, queries)."""
-    from .graph import graph_from_pool, graph_pool, graph_search_multi
+    needs; every (m, ef_construction) is pruned from that pool in one pass, and all graphs and ``ef`` values
+    are searched together (both are parts of the beam key). Returns (m, ef_construction, ef, index_params, k, recall, hits, queries)."""
+    from .graph import family_search, graph_family, graph_pool
     q = _prep(queries, "id", "v", "query_id")
     nq = q.count()
     truth = staged(truth, "sweep-truth")       # read by every graph
     sets = [(r["m"], r["ef_construction"], r["ef"])
             for r in grid.where("method = 'graph'").select("m", "ef_construction", "ef").collect()]
     vectors, cands, dim = graph_pool(base, max(max(m, efc) for m, efc, _ in sets), max_iter, seed=seed)
-    out = None
-    for m, efc in sorted({(s[0], s[1]) for s in sets}):
-        efs = sorted({e for mm, cc, e in sets if (mm, cc) == (m, efc)})
-        g = graph_from_pool(vectors, cands, dim, m, efc)
-        found = graph_search_multi(g, queries, k, efs, seed=seed)
-        r = (recall_curve(found, truth, nq, [k], id_offset, by=["ef"], groups=_settings(base.sparkSession, "ef", efs))
-             .withColumn("m", F.lit(m)).withColumn("ef_construction", F.lit(efc))
-             .withColumn("index_params", F.concat(F.lit('{"ef":'), F.col("ef").cast("string"),
-                                                  F.lit(',"ef_construction":%d,"m":%d}' % (efc, m)))))
-        out = r if out is None else out.unionByName(r)
+    graphs = sorted({(m, efc) for m, efc, _ in sets})
+    family = graph_family(vectors, cands, dim, graphs)
+    efs = [sorted({e for m, efc, e in sets if (m, efc) == g}) for g in graphs]
+    found = family_search(family, queries, k, efs, seed=seed)
+    groups = base.sparkSession.createDataFrame([(g, e) for g in range(len(graphs)) for e in efs[g]], "graph int, ef int")
+    name = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(efc).alias("ef_construction")) for m, efc in graphs])
+    out = (recall_curve(found, truth, nq, [k], id_offset, by=["graph", "ef"], groups=groups)
+           .withColumn("_set", F.get(name, F.col("graph"))).select("*", "_set.*")
+           .withColumn("index_params", F.concat(F.lit('{"ef":'), F.col("ef").cast("string"), F.lit(',"ef_construction":'),
+                                                F.col("ef_construction").cast("string"), F.lit(',"m":'), F.col("m").cast("string"), F.lit("}"))))
     return out.select("m", "ef_construction", "ef", "index_params", "k", "recall", "hits", "queries")
 
 
