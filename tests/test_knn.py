@@ -61,6 +61,25 @@ def test_grid_path_equals_broadcast_path(spark):
     assert grid == bc
 
 
+def test_grid_deals_one_group_to_a_task_and_copies_in_many(spark):
+    b = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 11), float(i)]) for i in range(400)], "id long, v array<double>").coalesce(1)
+    q = K._prep(b, "id", "v", "query_id")
+    spark.conf.set("vekta.broadcast.maxBytes", "512")
+    spark.conf.set("vekta.block.maxBytes", "4096")
+    try:
+        from vekta.plans import sizing
+        qb, bb = sizing.grid_shape(spark, 400, 400, 4, 3)
+        found = K.exact_candidates(q, b, 3, 4)
+        group = F.struct(F.pmod(F.xxhash64("query_id"), F.lit(qb)), F.pmod(F.xxhash64("id"), F.lit(bb)))
+        tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(group).alias("groups")).collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+        spark.conf.unset("vekta.block.maxBytes")
+    assert qb * bb > 20 and len(tasks) == qb * bb and {r["groups"] for r in tasks} == {1}
+    assert plan.count("RoundRobinPartitioning") == 2       # the scan has one task; neither side is copied there
+
+
 def test_ties_broken_by_id_and_duplicates(spark):
     rows = [(i, [1.0, 0.0]) for i in range(10)] + [(10, [0.0, 1.0])]
     b = spark.createDataFrame(rows, "id long, v array<float>")
