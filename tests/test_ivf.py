@@ -74,6 +74,33 @@ def test_hot_cell_is_split(spark):
     assert got == want == _ids(knn.knn_join(b, b, 3))
 
 
+def test_cell_blocks_deal_one_group_to_a_task_and_copies_in_many(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), 0 if i % 3 == 0 else i % 20) for i in range(600)]
+    b = spark.createDataFrame(rows, "id long, v array<double>, label int").coalesce(1)
+    idx = ivf.ivf_from_labels(b, "label")
+    q = knn._prep(b, "id", "v", "query_id")
+    want = sorted(map(str, knn.rank_candidates(ivf.ivf_candidates(idx, q, 3, 2), 3).collect()))
+    spark.conf.set("vekta.broadcast.maxBytes", str(4 * 8 * 30))
+    spark.conf.set("vekta.block.maxBytes", "4096")
+    try:
+        from vekta.plans import sizing
+        qb, parts = sizing.grid_shape(spark, 600, 600, 4, 3)
+        found = ivf.ivf_candidates(idx, q, 3, 2)
+        # a group is of one part and one query block; the salts of a hot part are groups of their own
+        sides = F.struct(F.pmod(F.xxhash64("query_id"), F.lit(qb)), F.pmod(F.col("label"), F.lit(parts)))
+        at = found.withColumn("task", F.spark_partition_id()).join(b.select("id", "label"), "id")
+        tasks = at.groupBy("task").agg(F.count_distinct(sides).alias("groups")).collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, knn.rank_candidates(found, 3).collect()))
+    finally:
+        spark.conf.unset("vekta.broadcast.maxBytes")
+        spark.conf.unset("vekta.block.maxBytes")
+    assert got == want
+    assert qb > 1 and parts > 1 and len(tasks) >= qb * parts and {r["groups"] for r in tasks} == {1}
+    assert plan.count("RoundRobinPartitioning") == 2       # the scan has one task; neither side is copied there
+
+
 def test_probe_filter_pushed_to_scan(spark, sf, tmp_path):
     b = fx.base_vectors(spark, sf, with_label=True)
     idx = ivf.ivf_from_labels(b, "label")
