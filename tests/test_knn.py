@@ -194,3 +194,45 @@ def test_distances_do_not_depend_on_block_shapes(monkeypatch, dtype):
             rows = sorted(map(str, zip(*(c.to_pylist() for c in got.columns))))
             assert want is None or rows == want
             want = rows
+
+
+@pytest.mark.parametrize("search", ["exact", "cells"])
+def test_a_common_vector_does_not_make_a_pair_of_each_of_its_rows(search, monkeypatch):
+    rng = np.random.default_rng(4)
+    b, q = rng.normal(size=(3000, 8)), rng.normal(size=(900, 8))
+    b[rng.random(len(b)) < 0.5] = b[0]
+    q[rng.random(len(q)) < 0.5] = b[0]
+    b[7] = 0.0
+    bids, qids, cell = rng.permutation(len(b)), np.arange(len(q)), rng.integers(0, 3, len(b))
+    as_list = pa.list_(pa.float64())
+    base = pa.table({"id": pa.array(bids), "v": pa.array(b.tolist(), as_list), "cell": pa.array(cell, pa.int32())})
+    query = pa.table({"query_id": pa.array(qids), "v": pa.array(q.tolist(), as_list), "cells": pa.array([[0, 2]] * len(q), pa.list_(pa.int32()))})
+    pairs = []
+    monkeypatch.setattr(kernel, "_pair_distances", lambda *a, f=kernel._pair_distances: pairs.append(len(a[2])) or f(*a))
+    if search == "exact":
+        met = b[:, 0] != 0
+        got = kernel.block_pair_topk(query, base, 5, 8, "query_id", "v", "id", "v")
+    else:
+        met = (b[:, 0] != 0) & (cell != 1)
+        got = kernel.cells_topk(query, base, 5, 8, ["query_id"])
+    assert sum(pairs) < 100 * len(q)       # 450 queries x 1,000 rows or more before
+    rows = {}
+    for r in got.to_pylist():
+        rows.setdefault(r["query_id"], []).append((r["distance"], r["id"]))
+    b[7] = 1.0
+    bn, qn = b / np.linalg.norm(b, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
+    for i, found in rows.items():
+        d = np.round(1.0 - bn[met] @ qn[i], 9)
+        want = bids[met][np.lexsort((bids[met], d))[:5]].tolist()
+        assert [r for _, r in sorted((round(d, 9), r) for d, r in found)] == want
+    assert len(rows) == len(q)
+
+
+def test_copies_are_left_out_only_after_k_of_the_same_vector_and_cell():
+    v = np.array([[1.0, 2.0], [1.0, 2.0], [2.0, 1.0], [1.0, 2.0], [1.0, 2.0], [np.nan, 1.0], [0.0, 1.0], [-0.0, 1.0]], dtype=np.float32)
+    ids = np.array([9, 3, 1, 3, 5, 0, 2, 2])
+    assert kernel.without_copies(v, ids, 2).tolist() == [1, 2, 3, 5, 6, 7]
+    assert kernel.without_copies(v, ids, 3).tolist() == [1, 2, 3, 4, 5, 6, 7]
+    assert kernel.without_copies(v, ids, 2, np.array([0, 1, 0, 0, 0, 0, 0, 0])).tolist() == [1, 2, 3, 4, 5, 6, 7]
+    assert kernel.without_copies(v, ids, 1, np.array([0, 1, 0, 0, 0, 0, 0, 0])).tolist() == [1, 2, 3, 5, 6, 7]
+    assert kernel.without_copies(v[:0], ids[:0], 2).tolist() == []

@@ -109,6 +109,32 @@ def cosine_block(qn: np.ndarray, q_ok: np.ndarray, bn: np.ndarray, b_ok: np.ndar
     return d
 
 
+def without_copies(v: np.ndarray, ids: np.ndarray, k: int, cells: np.ndarray | None = None) -> np.ndarray:
+    """Rows of ``v``, in their order, without those that k rows of the same vector (and cell) and no greater id
+    precede: equal vectors are equally far from any query, so these are never among its k nearest. Otherwise one
+    very common vector makes as many pairs that tie as its rows times its queries."""
+    bits = np.ascontiguousarray(v).view(f"u{v.itemsize}")
+    key = bits.astype(np.uint64, copy=False) @ np.random.default_rng(0).integers(2 ** 63, size=v.shape[1], dtype=np.uint64)
+    if cells is not None:
+        key = key * np.uint64(31) + cells.astype(np.int64).view(np.uint64)
+    order = np.lexsort((ids, key))
+    key = key[order]
+    if len(key) <= k or not (key[k:] == key[:len(key) - k]).any():
+        return np.arange(len(key))
+    same = np.zeros(len(key), dtype=bool)       # as the row before it in the order; equal keys alone prove nothing
+    same[1:] = key[1:] == key[:-1]
+    if cells is not None:
+        same[1:] &= cells[order[1:]] == cells[order[:-1]]
+    at = np.flatnonzero(same)
+    step = max(1, PAIR_CELLS // max(1, v.shape[1]))
+    for s in range(0, len(at), step):
+        i = at[s:s + step]
+        same[i] = (bits[order[i]] == bits[order[i - 1]]).all(axis=1)
+    number = np.arange(len(key))
+    copy = number - np.maximum.accumulate(np.where(same, 0, number))
+    return np.sort(order[copy < k])
+
+
 class TopK:
     """Running k smallest (distance, id) per query, over any number of blocks."""
 
@@ -261,6 +287,9 @@ def exact_topk_partition(batches: Iterator[pa.RecordBatch], query_ids: np.ndarra
         if len(ids) == 0:
             continue
         examined += len(ids)
+        if not counts and len(query_ids) >= LEAD_ROWS:
+            few = without_copies(bn, ids, k)
+            ids, bn, b_ok = ids[few], bn[few], b_ok[few]
         for qs in _query_chunks(len(query_ids), len(ids)):
             top.add(qs, qn[qs], q_ok[qs], bn, b_ok, ids)
     if counts:
@@ -418,8 +447,11 @@ def cells_topk(q_tbl: pa.Table, b_tbl: pa.Table, k: int, dim: int, keys: list[st
     b, valid = vectors_from_arrow(b_tbl.column("v"), dim, dtype)
     order = np.flatnonzero(valid)
     order = order[np.argsort(cells[order], kind="stable")]
-    bn, b_ok = normalise(b[order])
-    ids, cells = ids[order], cells[order]
+    b, ids, cells = b[order], ids[order], cells[order]
+    if not counts:
+        few = without_copies(b, ids, k, cells)
+        b, ids, cells = b[few], ids[few], cells[few]
+    bn, b_ok = normalise(b)
     q, q_valid = vectors_from_arrow(q_tbl.column("v"), dim, dtype)
     qn, q_ok = normalise(q, q_valid)
     wanted = q_tbl.column("cells").combine_chunks()
