@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vekta import workloads
 from vekta.operators import graph, knn, recall, sweep
+from vekta.session import checkpoint_dir
 from vekta.sources import fixtures as fx
 
 
@@ -189,3 +190,60 @@ def test_few_nodes_have_few_buckets(spark):
         assert [graph._buckets(spark, n) for n in (0, 10_000, 1_000_000)] == [least, max(least, 10_000 // graph.BUCKET_NODES), 200]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _points(spark, n, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, v array<double>")
+
+
+def test_a_search_round_holds_a_bucket_of_nodes_and_not_the_candidates(spark):
+    g = graph.graph_build(_points(spark, 60), m=3, ef_construction=6, max_iter=1)
+    plan = graph.at_nodes(spark.range(50).selectExpr("0 AS home", "id"), g.nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_vectors_go_once_to_a_home(spark, monkeypatch):
+    b = _points(spark, 300)
+    sent = []
+    monkeypatch.setattr(graph, "at_nodes", lambda c, n, f=graph.at_nodes: sent.append((c.count(), n.count())) or f(c, n))
+    monkeypatch.setattr(graph, "HOME_LEAST", 10 ** 6)     # one home
+    g = graph.graph_build(b, m=4, ef_construction=8, max_iter=2)
+    assert len(graph.graph_search(g, b, 5, ef=10).collect()) == 1500
+    assert len(sent) >= 5 and all(0 < asked <= nodes for asked, nodes in sent)
+
+
+def test_homes_do_not_change_what_is_built_and_found(spark, monkeypatch):
+    b = _points(spark, 300).unionByName(spark.createDataFrame([(300 + i, [1.0, 2.0, 0.0, 1.0, 0.0, 1.0]) for i in range(60)], "id long, v array<double>"))
+
+    def run():
+        g = graph.graph_build(b, m=4, ef_construction=10, max_iter=3)
+        links = sorted((r.id, tuple(r.links)) for r in g.nodes.collect())
+        return links, sorted((r.query_id, r.rank, r.id, r.distance) for r in graph.graph_search(g, b, 5, ef=8).collect())
+
+    one = run()
+    monkeypatch.setattr(graph, "HOME_NODES", 20)
+    monkeypatch.setattr(graph, "HOME_CANDIDATES", 8 * 8 * 15)
+    homes, count = graph._homes(b, 6, 20)
+    held = [r["count"] for r in homes.groupBy("home").count().collect()]
+    assert count >= len(held) > 10 and sum(held) == 360 and max(held) <= 60     # 60 equal vectors share several homes
+    assert run() == one
+
+
+def test_tables_of_past_rounds_are_deleted(spark):
+    at = checkpoint_dir(spark).removeprefix("file:")
+    held = set(os.listdir(at))
+
+    def new():
+        return [x.rsplit("-", 1)[0] for x in os.listdir(at) if x not in held]
+
+    b = _points(spark, 200)
+    g = graph.graph_build(b, m=4, ef_construction=8, max_iter=3)
+    found = graph.graph_search(g, b, 5, ef=10)
+    assert "graph-pool" not in new() and "graph-links" not in new() and new().count("graph-beam") == 1
+    assert found.count() == 1000
+    grid = spark.createDataFrame([("graph", None, None, m, 8, 10, "x") for m in (3, 4)], sweep.GRID_DDL)
+    got = sweep.sweep_graph(b, b, knn.build_truth(b, b, 5), grid, k=5, max_iter=2)
+    assert "graph-pool" not in new() and "graph-links" not in new() and new().count("graph-beam") == 2
+    assert got.count() == 2

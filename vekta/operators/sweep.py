@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_shipped
-from ..plans.staging import staged
+from ..plans.staging import dropped, staged
 from ..plans.sizing import BroadcastBlock, BroadcastTooLarge, kernel_dtype, query_limit, vector_dim
 from . import kernel as K
 from .ivf import IvfIndex, asked_cells, block_candidates, ivf_build, nearest_centroids
@@ -159,6 +159,7 @@ def sweep_graph(base: DataFrame, queries: DataFrame, truth: DataFrame, grid: Dat
     vectors, cands, dim = graph_pool(base, max(max(m, efc) for m, efc, _ in sets), max_iter, seed=seed)
     graphs = sorted({(m, efc) for m, efc, _ in sets})
     family = graph_family(vectors, cands, dim, graphs)
+    dropped(cands)
     efs = [sorted({e for m, efc, e in sets if (m, efc) == g}) for g in graphs]
     found = family_search(family, queries, k, efs, seed=seed)
     groups = base.sparkSession.createDataFrame([(g, e) for g in range(len(graphs)) for e in efs[g]], "graph int, ef int")
