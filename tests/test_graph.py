@@ -224,7 +224,8 @@ def test_homes_do_not_change_what_is_built_and_found(spark, monkeypatch):
 
     one = run()
     monkeypatch.setattr(graph, "HOME_NODES", 20)
-    monkeypatch.setattr(graph, "HOME_CANDIDATES", 8 * 8 * 15)
+    monkeypatch.setattr(graph, "HUB_BLOCKS", 1)
+    monkeypatch.setattr(graph, "HOME_POOL", 200)
     homes, count = graph._homes(b, 6, 20)
     held = [r["count"] for r in homes.groupBy("home").count().collect()]
     assert count >= len(held) > 10 and sum(held) == 360 and max(held) <= 60     # 60 equal vectors share several homes

@@ -59,7 +59,10 @@ BUCKET_NODES = 512     # least nodes of a bucket, where that leaves every core o
 START_CODES = 4        # random codes of a node at the start
 HOME_NODES = 4096      # most nodes of a home
 HOME_LEAST = 512       # homes are made smaller than that for no core's sake
-HOME_CANDIDATES = 2 ** 20     # candidates that the queries of a home meet in the first round, at most
+HOME_CANDIDATES = 2 ** 20     # candidates that the queries of a home meet in the first round, at most,
+SMALL_GRAPH = 2 ** 17         # unless the graph has so few nodes that a home can hold them all
+HOME_POOL = 2 ** 18    # candidates of the nodes of a home that are pruned together, about
+HUB_BLOCKS = 16        # blocks of a hub that stay at its home; the others are dealt to other homes
 MOST_PIVOTS = 4096     # nodes around which homes lie; a home beyond its bound is split
 SLICE = 2 ** 20        # candidates that are scored at a time
 EDGE = "src long, dst long, distance double"
@@ -192,11 +195,12 @@ def _fetched(nodes: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(order, ids, unit vectors, usable) of the node rows that came to a home, by id."""
     ids = nodes.column("id").to_numpy().astype(np.int64)
     order = np.argsort(ids, kind="stable")
-    v, valid = K.vectors_from_arrow(nodes.column("v"), dim, np.float64)
+    single = pa.types.is_float32(nodes.column("v").type.value_type)
+    v, valid = K.vectors_from_arrow(nodes.column("v"), dim, np.float32 if single else np.float64)
     unit, ok = np.empty(v.shape), np.empty(len(v), bool)
     for s in range(0, len(v), K.BLOCK_ROWS):
         at = order[s:s + K.BLOCK_ROWS]
-        unit[s:s + K.BLOCK_ROWS], ok[s:s + K.BLOCK_ROWS] = K.normalise(v[at], valid[at])
+        unit[s:s + K.BLOCK_ROWS], ok[s:s + K.BLOCK_ROWS] = K.normalise(v[at].astype(np.float64, copy=False), valid[at])
     return order, ids[order], unit, ok
 
 
@@ -366,7 +370,8 @@ def local_join(edges: DataFrame, vectors: DataFrame, dim: int, reach: int, most:
     out = near.select(F.col("src").alias("node"), F.col("dst").alias("id"), "fresh")
     out = (out.join(places, out["node"] == places["v_id"])
            .select("home", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "fresh"))
-    members = into.unionByName(out)
+    at = F.pmod(F.col("home") + F.floor(F.col("block") / HUB_BLOCKS), F.lit(parts)).cast("int")
+    members = into.unionByName(out).withColumn("home", at)
     bound = edges.groupBy(F.col("src").alias("id")).agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("held"))
     bound = bound.select("id", F.when(F.col("held") >= most, F.col("bound")).otherwise(float("inf")).alias("bound"))
     there = (_fetch(members.select("home", "id"), vectors).join(bound, "id", "left").fillna(float("inf"), ["bound"])
@@ -406,7 +411,8 @@ _ALL = np.iinfo(np.int32).max     # a pool that takes every candidate
 
 def _pruned(cands: DataFrame, vectors: DataFrame, dim: int, sets: list[tuple[int, int]]) -> DataFrame:
     """(graph, src, dst, distance, rank): for each (m, pool) of ``sets`` the links of each node. A node's candidates meet once."""
-    homes, parts = _homes(vectors, dim, HOME_NODES)
+    each = max(1, math.ceil(cands.count() / max(1, vectors.count())))
+    homes, parts = _homes(vectors, dim, max(1, min(HOME_NODES, HOME_POOL // each)))
     own = cands.select("src", F.col("dst").alias("id"), "distance").join(homes.select(F.col("id").alias("src"), "home"), "src")
     there = _fetch(own.select("home", "id"), vectors).select("home", "id", "v")
     links = _by_home(own, parts).cogroup(_by_home(there, parts)).applyInArrow(lambda c, n: _occlusion(c, n, dim, sets), f"graph int, {EDGE}")
@@ -686,14 +692,17 @@ def _beam(index: GraphIndex | GraphFamily, queries: DataFrame, k: int, efs: list
     several = isinstance(index, GraphFamily)
     runs = sorted({(g, int(e)) for g, own in enumerate(efs if several else [efs]) for e in own})     # (graph, ef)
     widest = max(k, *(e for _, e in runs))
+    size = index.nodes.count()
     if entry_points is None:
-        entry_points = max(MIN_ENTRY_POINTS, 4 * math.isqrt(index.nodes.count()))
+        entry_points = max(MIN_ENTRY_POINTS, 4 * math.isqrt(size))
     # seeds: each query's nearest nodes of a seeded sample
     sample = staged(sample_queries(index.nodes, entry_points, seed=seed), "graph-entry")
     seeds = rank_candidates(exact_candidates(q, sample.select("id", "v"), widest, dim), widest)
     usable = q.where(F.size("v") == dim).groupBy(F.col("query_id").alias("id")).agg(F.min("v").alias("v"))
     reached = sum(max(k, e) * 2 * (index.sets[g][0] if several else index.m) for g, e in runs)
-    homes, parts = _homes(usable, dim, max(1, min(HOME_NODES, HOME_CANDIDATES // max(1, reached))))
+    several_sets = several and len(index.sets) > 1     # a node then has as many lists of links
+    most = HOME_NODES if size <= SMALL_GRAPH and not several_sets else HOME_CANDIDATES // max(1, reached)
+    homes, parts = _homes(usable, dim, max(1, min(HOME_NODES, most)))
     usable = usable.join(homes, "id").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "home")
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("graph"), F.lit(e).alias("ef")) for g, e in runs]))
     seeds = (seeds.join(sample.select("id"), "id").withColumn("_run", each).select("*", "_run.*")
